@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import mixing, packing, quality, secrets
+from causeway.llm import mixing, packing, pq, quality, secrets, simhash
 from causeway.llm.common import read
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score_quality(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -30,13 +34,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, base), F.sha2(_listed(F.filter("found", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
 
 
+def op9_embedding_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(read(spark, sf_dir, "documents"))
     return m.taken(["doc_id"]).join(m.sources.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_quality_rules, op7_packing, op8_secret_scan, op10_mixing)}
+    return {f.__name__: f for f in (op4_simhash, op6_quality_rules, op7_packing, op8_secret_scan, op9_embedding_pq, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
