@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import mixing, packing, pq, quality, secrets, simhash
-from causeway.llm.common import read
+from causeway.llm import html, langid, mixing, packing, pq, quality, secrets, simhash
+from causeway.llm.common import held_out, learnable, read
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labelled = docs.filter(F.col("lang").isNotNull() & learnable("doc_id", 3)).select("lang", F.col("doc_id").alias("key"), "text")
+    out = langid.predict(docs, langid.fit(labelled))
+    return out.select("doc_id", held_out("doc_id", 3).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_simhash, op6_quality_rules, op7_packing, op8_secret_scan, op9_embedding_pq, op10_mixing)}
+    return {f.__name__: f for f in (op2_language_id, op3_html_extraction, op4_simhash, op6_quality_rules, op7_packing, op8_secret_scan, op9_embedding_pq, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
