@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import html, langid, mixing, packing, pq, quality, secrets, simhash
+from causeway.llm import html, langid, mixing, packing, pq, quality, secrets, simhash, toxicity
 from causeway.llm.common import held_out, learnable, read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels").filter(learnable("doc_id", 3))))
+    return out.select("doc_id", held_out("doc_id", 3).alias("held_out"), "score", "predicted", "flagged")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     labelled = docs.filter(F.col("lang").isNotNull() & learnable("doc_id", 3)).select("lang", F.col("doc_id").alias("key"), "text")
@@ -55,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_html_extraction, op4_simhash, op6_quality_rules, op7_packing, op8_secret_scan, op9_embedding_pq, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_html_extraction, op4_simhash, op6_quality_rules, op7_packing, op8_secret_scan, op9_embedding_pq, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
