@@ -60,7 +60,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/causeway-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _scratch[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._causeway_path = path

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import html, langid, mixing, packing, pq, quality, secrets, simhash, toxicity
+from causeway.llm import html, langid, lm, mixing, packing, pq, quality, secrets, simhash, toxicity
 from causeway.llm.common import held_out, learnable, read
 
 
@@ -30,6 +30,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(read(spark, sf_dir, "documents"), learnable("doc_id", 5))
+    return out.select("doc_id", held_out("doc_id", 5).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score_quality(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -61,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_html_extraction, op4_simhash, op6_quality_rules, op7_packing, op8_secret_scan, op9_embedding_pq, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_html_extraction, op4_simhash, op5_pitman_yor, op6_quality_rules, op7_packing, op8_secret_scan, op9_embedding_pq, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
