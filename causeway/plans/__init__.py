@@ -1,13 +1,14 @@
 """Registered queries of the engine."""
 
+from causeway.plans import graph_queries, relational_queries, text_queries
 from causeway.plans.registry import ORACLES, QUERIES, register
 
 __all__ = ["ORACLES", "QUERIES", "flagship", "register"]
 
 
 def flagship(spark, sf_dir):
-    """Orders' revenue by flag and status over all line items."""
-    from pyspark.sql import functions as F
+    """Which direction, magnitude and confidence each asset and window gets."""
+    return graph_queries.p03(spark, sf_dir)
 
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n_items"), F.sum("l_quantity").alias("sum_quantity"))
+
+_ = (relational_queries, text_queries)
