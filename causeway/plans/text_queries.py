@@ -1,0 +1,257 @@
+"""Text, hash, deduplication and rule queries over documents, pages, benchmark and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from causeway.functions import text as T
+from causeway.operators import dedup as D
+from causeway.operators import rules as R
+from causeway.plans.registry import register
+from causeway.sources import fixtures as X
+
+WITH = "WITH "
+A = WITH + X.ARTICLES
+TOK = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
+
+URL = r"""u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS host,
+  regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages),
+v AS (SELECT *, CASE scheme WHEN 'https' THEN regexp_replace(host, ':443$', '') WHEN 'http' THEN regexp_replace(host, ':80$', '') ELSE host END AS h,
+  CASE WHEN length(path) > 1 THEN regexp_replace(path, '/+$', '') ELSE path END AS p,
+  list_sort(list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '^[^=]+=.+') AND NOT list_contains(['fbclid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'ref', 'ref_src', 'cmpid'], lower(split_part(x, '=', 1))) AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_'))) AS k FROM u)"""
+
+
+@register("h01_canonical_url", WITH + URL + " SELECT page_id, scheme || '://' || h || p || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS canonical FROM v")
+def h01(spark, sf):
+    return X.read(spark, sf, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
+
+
+@register("h03_host_section", WITH + r"""s AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#:]*)', 1)), '^www\.', '') AS h, lower(regexp_extract(url, '^[^:/?#]+://[^/?#]*/([^/?#]*)', 1)) AS f FROM pages)
+SELECT page_id, CASE WHEN h <> '' THEN h || '/' || f END AS section FROM s""")
+def h03(spark, sf):
+    return X.read(spark, sf, "pages").select("page_id", T.host_section(F.col("url")).alias("section"))
+
+
+@register("h07_normalize", A + r" SELECT article_id, left(trim(regexp_replace(body, '\s+', ' ', 'g')), 2000) AS body, regexp_matches(left(body, 200), '(?i)<!doctype html|<html') AS is_page FROM articles")
+def h07(spark, sf):
+    a = X.articles(spark, sf)
+    return a.select("article_id", F.left(T.collapse(F.col("body")), F.lit(2000)).alias("body"), T.looks_like_page(F.col("body")).alias("is_page"))
+
+
+@register("h08_content_hash", A + " SELECT article_id, sha256(coalesce(title, '') || chr(0) || coalesce(body, '')) AS content_hash FROM articles")
+def h08(spark, sf):
+    return X.articles(spark, sf).select("article_id", T.content_hash(F.col("title"), F.col("body")).alias("content_hash"))
+
+
+@register("h09_observation_hash", WITH + X.EVENTS + " SELECT event_id, sha256(asset_id || '|' || factor || '|' || tag) AS observation_hash FROM ev")
+def h09(spark, sf):
+    return X.events(spark, sf).select("event_id", F.sha2(F.concat_ws("|", "asset_id", "factor", "tag"), 256).alias("observation_hash"))
+
+
+@register("h10_tokens", A + f" SELECT article_id, len({TOK.format('body')})::BIGINT AS n_tokens, {TOK.format('title')}[1] AS first_token FROM articles")
+def h10(spark, sf):
+    t = T.tokens(F.col("body"))
+    return X.articles(spark, sf).select("article_id", F.size(t).cast("bigint").alias("n_tokens"), F.try_element_at(T.tokens(F.col("title")), F.lit(1)).alias("first_token"))
+
+
+@register("h11_feature_hash", A + f" SELECT token, ('0x' || substr(sha256(token), 1, 15))::BIGINT AS h FROM (SELECT DISTINCT unnest({TOK.format('title')}) AS token FROM articles)")
+def h11(spark, sf):
+    return X.articles(spark, sf).select(F.explode(T.tokens(F.col("title"))).alias("token")).distinct().select("token", T.feature_hash(F.col("token")).alias("h"))
+
+
+SIM = f"""tk AS (SELECT doc_id, unnest({TOK.format("left(text, 2000)")}) AS token FROM documents),
+tc AS (SELECT doc_id, ('0x' || substr(sha256(token), 1, 15))::BIGINT AS h, count(*) AS n FROM tk GROUP BY doc_id, token),
+bits AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN n ELSE -n END) AS s FROM tc, range(60) r(b) GROUP BY ALL),
+sim AS (SELECT doc_id, sum(CASE WHEN s > 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS simhash FROM bits GROUP BY doc_id)"""
+
+
+def sim(spark, sf):
+    return D.simhash(X.read(spark, sf, "documents").select("doc_id", F.left("text", F.lit(2000)).alias("text")), "doc_id", "text")
+
+
+@register("h12_simhash", WITH + SIM + " SELECT doc_id, simhash FROM sim")
+def h12(spark, sf):
+    return sim(spark, sf)
+
+
+@register("d15_near_duplicate_pairs", WITH + SIM + " SELECT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM sim a JOIN sim b ON a.doc_id < b.doc_id AND bit_count(xor(a.simhash, b.simhash)) <= 3")
+def d15(spark, sf):
+    return D.near_pairs(sim(spark, sf), "doc_id")
+
+
+@register("h13_hamming", WITH + SIM + " SELECT doc_id, bit_count(xor(simhash, 0))::INT AS ones FROM sim")
+def h13(spark, sf):
+    return sim(spark, sf).select("doc_id", T.hamming(F.col("simhash"), F.lit(0).cast("bigint")).alias("ones"))
+
+
+CENTRE = "cen AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL), cv AS (SELECT label, list(x ORDER BY i) AS c FROM cen GROUP BY label)"
+
+
+def centroids(spark, sf):
+    e = X.read(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
+
+
+@register("h17_centroids", WITH + CENTRE + " SELECT label, len(c)::BIGINT AS dims, round(c[1], 6) AS x1, round(c[64], 6) AS x64 FROM cv")
+def h17(spark, sf):
+    return centroids(spark, sf).select("label", F.size("c").cast("bigint").alias("dims"), F.round(F.col("c")[0], 6).alias("x1"), F.round(F.col("c")[63], 6).alias("x64"))
+
+
+@register("h15_cosine", WITH + CENTRE + " SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 5) AS similarity FROM embeddings e JOIN cv USING (label)")
+def h15(spark, sf):
+    return X.read(spark, sf, "embeddings").join(centroids(spark, sf), "label").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("c")), 5).alias("similarity"))
+
+
+@register("d14_nearest_centroids", WITH + CENTRE + """, k AS (SELECT vec_id, cv.label AS cluster, round(list_cosine_similarity(embedding::DOUBLE[], c), 9) AS s FROM embeddings e JOIN cv ON e.label % 2 = cv.label % 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cluster) AS rank FROM k) SELECT vec_id, cluster, round(s, 5) AS similarity, rank::INT AS rank FROM r WHERE rank <= 5""")
+def d14(spark, sf):
+    from pyspark.sql import Window
+
+    c = centroids(spark, sf).withColumnRenamed("label", "cluster").withColumn("block", F.col("cluster") % 2)
+    k = X.read(spark, sf, "embeddings").withColumn("block", F.col("label") % 2).join(c, "block").select("vec_id", "cluster", F.round(T.cosine(F.col("embedding"), F.col("c")), 9).alias("s"))
+    r = k.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "cluster"))).filter("rank <= 5")
+    return r.select("vec_id", "cluster", F.round("s", 5).alias("similarity"), "rank")
+
+
+@register("h16_vector_literal", "SELECT vec_id, len(embedding)::BIGINT AS dims FROM embeddings")
+def h16(spark, sf):
+    e = X.read(spark, sf, "embeddings")
+    return e.select("vec_id", F.size(T.parse_vector(T.vector_text(F.col("embedding")))).cast("bigint").alias("dims"))
+
+
+KEY = "array_to_string(regexp_extract_all(lower(title), '[a-zåäö0-9]+'), ' ')"
+
+
+@register("h18_title_key", A + f" SELECT article_id, {KEY} AS key FROM articles")
+def h18(spark, sf):
+    return X.articles(spark, sf).select("article_id", T.title_key(F.col("title")).alias("key"))
+
+
+@register("f17_smallest_title", A + f" SELECT source_id, {KEY} AS key, min(article_id) AS article_id FROM articles GROUP BY ALL")
+def f17(spark, sf):
+    return X.articles(spark, sf).groupBy("source_id", T.title_key(F.col("title")).alias("key")).agg(F.min("article_id").alias("article_id"))
+
+
+@register("h05_sentences", A + r" SELECT article_id, (1 + len(regexp_extract_all(trim(body), '[.!?]\s+')))::BIGINT AS n FROM articles")
+def h05(spark, sf):
+    return X.articles(spark, sf).select("article_id", F.size(T.sentences(F.trim("body"))).cast("bigint").alias("n"))
+
+
+@register("h40_deterministic_ids", A + " SELECT article_id, substr(sha256(title), 1, 24) AS id FROM articles")
+def h40(spark, sf):
+    return X.articles(spark, sf).select("article_id", F.substring(F.sha2("title", 256), 1, 24).alias("id"))
+
+
+@register("h42_token_budget", A + """, t AS (SELECT article_id, ceil(length(body) / 4.0)::BIGINT AS n FROM articles),
+c AS (SELECT *, sum(n) OVER (ORDER BY article_id) AS used FROM t) SELECT article_id, n, used::BIGINT AS used FROM c WHERE used <= 50000""")
+def h42(spark, sf):
+    from pyspark.sql import Window
+
+    t = X.articles(spark, sf).select("article_id", F.ceil(F.length("body") / 4.0).cast("bigint").alias("n"))
+    # a day's budget is a small ordered prefix: the largest ids that could fit are cut off before the running sum
+    return t.orderBy("article_id").limit(50_000).withColumn("used", F.sum("n").over(Window.orderBy("article_id"))).filter("used <= 50000")
+
+
+@register("g05_term_overlap", "WITH b AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: length(x) > 3) AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(list_distinct(a.t), list_distinct(b.t)))::BIGINT AS n FROM b a JOIN b ON a.item_id < b.item_id AND a.item_id % 5 = b.item_id % 5 AND list_has_any(a.t, b.t)")
+def g05(spark, sf):
+    b = X.read(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 5).alias("k"), F.array_distinct(F.filter(T.tokens(F.col("text")), lambda x: F.length(x) > 3)).alias("t"))
+    j = b.alias("a").join(b.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.item_id") < F.col("b.item_id")))
+    n = F.size(F.array_intersect("a.t", "b.t")).cast("bigint")
+    return j.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), n.alias("n")).filter("n > 0")
+
+
+@register("g06_two_pass_dedup", A + f", k AS (SELECT article_id, published_at, substr(sha256(body), 1, 8) AS url, {KEY} AS key FROM articles), p AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY url ORDER BY published_at, article_id) = 1) SELECT article_id FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY published_at, article_id) = 1")
+def g06(spark, sf):
+    k = X.articles(spark, sf).select("article_id", "published_at", F.substring(F.sha2("body", 256), 1, 8).alias("url"), T.title_key(F.col("title")).alias("key"))
+    order = [F.col("published_at"), F.col("article_id")]
+    return D.first_by(D.first_by(k, ["url"], order), ["key"], order).select("article_id")
+
+
+# --- rules ---
+
+RULES = X.values(R.KEYWORDS, "kw", "keyword, event_type")
+HAY = "' ' || regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g') || ' '"
+SUF = "['', 's', 'es', 'ed', 'd', 'ing', 'er', 'ers']"
+SCAN = f"""hay AS (SELECT article_id, {HAY.format('title')} AS th, {HAY.format('body')} AS bh FROM articles),
+hits AS (SELECT article_id, keyword, event_type, min(instr(bh, ' ' || keyword || s || CASE WHEN contains(keyword, ' ') THEN '' ELSE ' ' END)) AS pos
+  FROM hay, kw, unnest({SUF}) AS u(s) WHERE instr(bh, ' ' || keyword || s || CASE WHEN contains(keyword, ' ') THEN '' ELSE ' ' END) > 0 GROUP BY ALL),
+scan AS (SELECT article_id, arg_min(keyword, {{'p': pos, 'l': -length(keyword), 'k': keyword}}) AS keyword, arg_min(event_type, {{'p': pos, 'l': -length(keyword), 'k': keyword}}) AS event_type FROM hits GROUP BY article_id)"""
+
+
+@register("t01_haystack", A + f" SELECT article_id, {HAY.format('title')} AS hay FROM articles")
+def t01(spark, sf):
+    return X.articles(spark, sf).select("article_id", T.haystack(F.col("title")).alias("hay"))
+
+
+@register("t02_keyword_match", A + ", " + RULES + ", " + SCAN + " SELECT article_id, keyword FROM hits")
+def t02(spark, sf):
+    return R.hits(X.articles(spark, sf), R.keyword_table(spark), "article_id", "body").select("article_id", "keyword")
+
+
+@register("t03_earliest_keyword", A + ", " + RULES + ", " + SCAN + " SELECT article_id, keyword, event_type FROM scan")
+def t03(spark, sf):
+    return R.earliest(R.hits(X.articles(spark, sf), R.keyword_table(spark), "article_id", "body"), "article_id")
+
+
+@register("t04_classify", A + ", " + RULES + ", " + SCAN + " SELECT a.article_id, coalesce(s.event_type, 'OTHER') AS event_type, CASE WHEN s.event_type IS NULL THEN 'none' ELSE 'body' END AS evidence FROM articles a LEFT JOIN scan s USING (article_id)")
+def t04(spark, sf):
+    a = X.articles(spark, sf)
+    found = R.earliest(R.hits(a, R.keyword_table(spark), "article_id", "body"), "article_id")
+    return a.join(found, "article_id", "left").select("article_id", F.coalesce("event_type", F.lit("OTHER")).alias("event_type"), F.when(F.col("event_type").isNull(), "none").otherwise("body").alias("evidence"))
+
+
+@register("t08_lemma_map", WITH + X.EVENTS + " SELECT event_id, CASE factor WHEN 'view' THEN 'SEE' WHEN 'purchase' THEN 'BUY' WHEN 'error' THEN 'FAIL' ELSE 'OTHER' END AS lemma FROM ev")
+def t08(spark, sf):
+    m = F.create_map(*map(F.lit, ("view", "SEE", "purchase", "BUY", "error", "FAIL")))
+    return X.events(spark, sf).select("event_id", F.coalesce(m[F.col("factor")], F.lit("OTHER")).alias("lemma"))
+
+
+@register("t09_group_fan_out", WITH + X.MEMBERS + " SELECT a.asset_id, list_sort(list(b.asset_id))::VARCHAR AS members FROM members a JOIN members b USING (group_id) GROUP BY a.asset_id")
+def t09(spark, sf):
+    m = X.edge_tables(spark)["members"]
+    g = m.join(m.select("group_id", F.col("asset_id").alias("other")), "group_id").groupBy("asset_id").agg(F.array_sort(F.collect_list("other")).alias("l"))
+    return g.select("asset_id", F.concat(F.lit("["), F.array_join("l", ", "), F.lit("]")).alias("members"))
+
+
+@register("t10_scope_precedence", WITH + X.EVENTS + " SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'COMPANY' WHEN event_id % 4 = 1 THEN 'INDUSTRY' WHEN factor <> 'view' THEN 'EVENT_TYPE' ELSE 'NONE' END AS scope FROM ev")
+def t10(spark, sf):
+    k = F.col("event_id") % 4
+    return X.events(spark, sf).select("event_id", F.coalesce(F.when(k == 0, "COMPANY"), F.when(k == 1, "INDUSTRY"), F.when(F.col("factor") != "view", "EVENT_TYPE"), F.lit("NONE")).alias("scope"))
+
+
+@register("t14_context_tags", A + """ SELECT article_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(body), '(^|[^\\p{L}])(and|und|et)([^\\p{L}]|$)') THEN 'JOINT' END, CASE WHEN length(body) > 2000 THEN 'LONG' END], lambda x: x IS NOT NULL), ',') AS tags FROM articles""")
+def t14(spark, sf):
+    tags = F.array_compact(F.array(F.when(F.lower("body").rlike(r"(^|[^\p{L}])(and|und|et)([^\p{L}]|$)"), "JOINT"), F.when(F.length("body") > 2000, "LONG")))
+    return X.articles(spark, sf).select("article_id", F.array_join(tags, ",").alias("tags"))
+
+
+@register("t15_compatible", WITH + X.EVENTS + " SELECT factor, count(*)::BIGINT AS n FROM ev WHERE factor NOT IN ('error') GROUP BY factor")
+def t15(spark, sf):
+    return X.events(spark, sf).filter(R.compatible(F.col("factor"), F.col("factor"), ("error",))).groupBy("factor").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("t18_signal_rules", A + """, s AS (SELECT article_id, 'UP' AS direction FROM articles WHERE regexp_matches(lower(title), '(^|\\W)(the|der|la)(\\W|$)') UNION ALL SELECT article_id, 'DOWN' FROM articles WHERE regexp_matches(lower(title), '(^|\\W)(of|und|de)(\\W|$)')) SELECT * FROM s""")
+def t18(spark, sf):
+    a = X.articles(spark, sf)
+    forces = F.array_compact(F.array(F.when(F.lower("title").rlike(r"(^|\W)(the|der|la)(\W|$)"), "UP"), F.when(F.lower("title").rlike(r"(^|\W)(of|und|de)(\W|$)"), "DOWN")))
+    return a.select("article_id", F.explode(forces).alias("direction"))
+
+
+@register("t19_conflict_contexts", WITH + X.EVENTS + " SELECT asset_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*)::BIGINT AS n FROM ev GROUP BY ALL HAVING count(DISTINCT polarity) = 2 AND count(DISTINCT event_id) >= 2")
+def t19(spark, sf):
+    g = X.events(spark, sf).groupBy("asset_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("polarity").alias("p"), F.count_distinct("event_id").alias("e"))
+    return g.filter("p = 2 and e >= 2").select("asset_id", X.stamp("h").alias("hour"), "n")
+
+
+@register("t21_rule_baseline", WITH + X.EVENTS + " SELECT asset_id, CASE WHEN sum(CASE polarity WHEN 'ESCALATION' THEN 1 ELSE -1 END) > 0 THEN 'UP' WHEN sum(CASE polarity WHEN 'ESCALATION' THEN 1 ELSE -1 END) < 0 THEN 'DOWN' ELSE 'NEUTRAL' END AS weighted, 'NEUTRAL' AS always, (SELECT arg_min(polarity, {'n': -n, 'p': polarity}) FROM (SELECT polarity, count(*) AS n FROM ev GROUP BY 1)) AS majority FROM ev GROUP BY asset_id")
+def t21(spark, sf):
+    e = X.events(spark, sf)
+    s = F.sum(F.when(F.col("polarity") == "ESCALATION", 1).otherwise(-1))
+    major = e.groupBy("polarity").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("polarity", F.struct(-F.col("n"), "polarity")).alias("majority"))
+    return e.groupBy("asset_id").agg(F.when(s > 0, "UP").when(s < 0, "DOWN").otherwise("NEUTRAL").alias("weighted")).withColumn("always", F.lit("NEUTRAL")).join(F.broadcast(major))  # one row
+
+
+@register("c11_guards", A + """ SELECT article_id, CASE WHEN regexp_matches(lower(title), 'opinion|column') THEN 'opinion' WHEN regexp_matches(lower(title), '\\?$') THEN 'question' END AS guard FROM articles""")
+def c11(spark, sf):
+    t = F.lower("title")
+    return X.articles(spark, sf).select("article_id", F.when(t.rlike("opinion|column"), "opinion").when(t.rlike(r"\?$"), "question").alias("guard"))
