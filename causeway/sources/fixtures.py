@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.session import ship
+
 FACTORS = ("view", "signup", "purchase", "error", "click")
 TAGS = ("CALM", "RISK", "SUPPLY")
 ASSETS = 29
@@ -13,6 +15,7 @@ CLOSE_MINUTE = 16 * 60
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -88,6 +91,7 @@ def values(rows: list[tuple], name: str, columns: str) -> str:
 
 
 def edge_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    ship(spark)
     return {
         "causes": spark.createDataFrame(causes(), "factor string, target string, direction string, weight double, alpha double, beta double, condition string"),
         "members": spark.createDataFrame(members(), "asset_id string, group_id string"),
