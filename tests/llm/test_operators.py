@@ -271,7 +271,7 @@ def test_label_model_recovers_accuracies():
     truth, accuracy = rng.random(20_000) < 0.8, np.array([0.95, 0.7, 0.9, 0.8])
     v = np.where(rng.random((20_000, 4)) < accuracy, np.where(truth, 1, -1)[:, None], np.where(truth, -1, 1)[:, None])
     v[rng.random(v.shape) < 0.3] = 0
-    m = quality.fit_label_model(v.astype(np.int8), np.ones(len(v)))
+    m = quality.fit_label_model(v.astype(np.int8), np.ones(len(v)), false_alarm=1.0)
     assert np.abs(m.accuracy - accuracy).max() < 0.03 and abs(m.prior - 0.8) < 0.02
     assert (quality.decode(quality.encode(v), 4) == v).all()
 
