@@ -42,25 +42,29 @@ def clean_text(text: pd.Series) -> pd.Series:
     return text.map(clean)
 
 
-def assess(text: str | None, least: int = 40) -> dict:
-    """Reasons against a text, and whether it is usable, partial or rejected."""
+#: Reasons against a sentence, in the order in which they are tried; repetition comes last.
+_AGAINST = {
+    "unrecoverable_encoding": lambda t: "\ufffd" in t,
+    "suspected_mojibake": lambda t: _repair(t) != t,
+    "markup_or_script_residue": re.compile(r"<[/!]?[a-z][^>]*>|\bfunction\s*\(|\bvar\s+\w+\s*=", re.I).search,
+    "boilerplate": re.compile(r"\b(cookies?|subscribe|sign up|all rights reserved|newsletter)\b", re.I).search,
+    "no_linguistic_content": lambda t: not any(map(str.isalpha, t)),
+}
+
+
+def assess(text: str | None) -> dict:
+    """Status of a text by its sentences: usable if none is refused, rejected if none is left, else partial; with the reasons of those refused."""
     t = clean(text)
-    parts = [s.strip().casefold() for s in re.split(r"(?<=[.!?。！？])\s*", t) if s.strip()]
-    reasons = []
     if not t:
-        reasons.append("EMPTY")
-    elif len(t) < least:
-        reasons.append("TOO_SHORT")
-    if parts and len(set(parts)) < len(parts) / 2:
-        reasons.append("REPETITIVE")
-    if t and sum(c.isalpha() for c in t) < len(t) / 2:
-        reasons.append("FEW_LETTERS")
-    if "�" in t:
-        reasons.append("BROKEN_ENCODING")
-    if t.endswith(("...", "…")):
-        reasons.append("TRUNCATED")
-    status = "rejected" if {"EMPTY", "FEW_LETTERS"} & set(reasons) else "partial" if reasons else "usable"
-    return {"status": status, "reasons": reasons}
+        return {"status": "rejected", "reasons": ["empty_or_html_page"]}
+    kept, reasons = {}, set()
+    for s in filter(str.strip, re.split(r"(?<=[.!?])\s+|(?<=[。！？])", t)):
+        reason = next((name for name, refuses in _AGAINST.items() if refuses(s)), "repetition" if s.casefold() in kept else None)
+        if reason:
+            reasons.add(reason)
+        else:
+            kept[s.casefold()] = s
+    return {"status": "rejected" if not kept else "partial" if reasons else "usable", "reasons": sorted(reasons)}
 
 
 @F.pandas_udf(StructType([StructField("status", StringType()), StructField("reasons", ArrayType(StringType()))]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TRACKING_KEYS = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src", "cmpid")
 TRACKING_PREFIX = "utm_"
 #: Endings that a keyword may carry.
-SUFFIXES = ("", "s", "es", "ed", "d", "ing", "er", "ers")
+SUFFIXES = ("", "s", "es", "er", "ar", "et", "en", "ing")
 
 
 def canonical_url(url: Column) -> Column:

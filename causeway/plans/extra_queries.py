@@ -114,7 +114,7 @@ statement("t05_corroboration", "SELECT article_id, (CASE WHEN length(body) > 500
 statement("t06_body_veto", "SELECT article_id, CASE WHEN body IS NULL OR length(body) = 0 THEN 'NO_BODY' WHEN strpos(lower(body), 'idiot') > 0 THEN 'VETO' ELSE 'PASS' END AS verdict FROM {articles}".replace("strpos(lower(body), 'idiot')", "position('idiot' IN lower(body))"))
 statement("t11_gated_fallback", "SELECT a.article_id, c.target FROM {articles} a JOIN {causes} c ON c.factor = 'view' AND c.weight > 0.8 WHERE position('and' IN lower(a.title)) > 0")
 statement("t12_ungated_fallback", "SELECT factor, min(target) AS target FROM {causes} GROUP BY factor")
-statement("t13_polarity", "SELECT event_id, CASE WHEN factor = 'error' THEN 'RESOLUTION' WHEN tag = 'CALM' THEN polarity ELSE 'ESCALATION' END AS polarity FROM {ev}")
+statement("t13_polarity", "SELECT event_id, CASE WHEN factor = 'error' THEN 'RESOLUTION' WHEN tag = 'CALM' THEN polarity ELSE 'OCCURRENCE' END AS polarity FROM {ev}")
 statement("t16_input_modes", "SELECT article_id, CASE language WHEN 'en' THEN concat(title, ' ', left(body, 100)) WHEN 'fr' THEN title ELSE left(body, 100) END AS input FROM {articles}")
 statement("t20_reviewed_subset", "SELECT d.doc_id FROM {documents} d WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 statement("v05_shadow_sweep", "SELECT asset_id, count(*) AS pending FROM {sc} WHERE actual IS NULL GROUP BY asset_id ORDER BY pending DESC, asset_id LIMIT 100")

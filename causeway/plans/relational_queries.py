@@ -78,7 +78,7 @@ statement("e08_local_day", "SELECT cast(to_date(from_utc_timestamp(ts, 'America/
 statement("e09_majority", "SELECT asset_id, tag FROM (SELECT asset_id, tag, row_number() OVER (PARTITION BY asset_id ORDER BY count(*) DESC, min(event_id)) AS k FROM {ev} GROUP BY asset_id, tag) t WHERE k = 1")
 statement("e10_first_seen_union", "SELECT asset_id, array_join(transform(array_sort(collect_list(struct(first_id, factor))), x -> x.factor), ',') AS factors FROM (SELECT asset_id, factor, min(event_id) AS first_id FROM {ev} GROUP BY asset_id, factor) t GROUP BY asset_id", "SELECT asset_id, string_agg(factor, ',' ORDER BY first_id) AS factors FROM (SELECT asset_id, factor, min(event_id) AS first_id FROM ev GROUP BY asset_id, factor) t GROUP BY asset_id")
 statement("e11_conflicts", "SELECT asset_id, cast(ts AS date) = DATE '2024-01-10' AS that_day, count(DISTINCT polarity) > 1 AS conflict FROM {ev} GROUP BY 1, 2")
-statement("e12_strict_majority", "SELECT asset_id, CASE WHEN count(*) FILTER (WHERE polarity = 'RESOLUTION') > count(*) FILTER (WHERE polarity <> 'RESOLUTION') THEN 'RESOLUTION' ELSE 'ESCALATION' END AS polarity FROM {ev} GROUP BY asset_id")
+statement("e12_strict_majority", "SELECT asset_id, CASE WHEN count(*) FILTER (WHERE polarity = 'RESOLUTION') > count(*) FILTER (WHERE polarity <> 'RESOLUTION') THEN 'RESOLUTION' ELSE 'OCCURRENCE' END AS polarity FROM {ev} GROUP BY asset_id")
 statement("e13_cluster_to_event", "SELECT source_id, count(*) AS n, min_by(title, article_id) AS title, min(article_id) AS first_id, max(article_id) AS last_id FROM {articles} GROUP BY source_id")
 statement("e18_source_credit", "SELECT article_id, lower(trim(source_id)) AS source, 1.0D / count(*) OVER (PARTITION BY language) AS credit FROM {articles}", "SELECT article_id, lower(trim(source_id)) AS source, 1.0::DOUBLE / count(*) OVER (PARTITION BY language) AS credit FROM articles")
 statement("e22_session_ohlc", "SELECT asset_id, cast(cast(ts AS date) AS string) AS session, min_by(value, event_id) AS open, max(value) AS high, min(value) AS low, max_by(value, event_id) AS close, count(*) AS n FROM {ev} GROUP BY asset_id, cast(ts AS date)")

@@ -171,7 +171,7 @@ def g06(spark, sf):
 
 RULES = X.values(R.KEYWORDS, "kw", "keyword, event_type")
 HAY = "' ' || regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g') || ' '"
-SUF = "['', 's', 'es', 'ed', 'd', 'ing', 'er', 'ers']"
+SUF = "['', 's', 'es', 'er', 'ar', 'et', 'en', 'ing']"
 SCAN = f"""hay AS (SELECT article_id, {HAY.format('title')} AS th, {HAY.format('body')} AS bh FROM articles),
 hits AS (SELECT article_id, keyword, event_type, min(instr(bh, ' ' || keyword || s || CASE WHEN contains(keyword, ' ') THEN '' ELSE ' ' END)) AS pos
   FROM hay, kw, unnest({SUF}) AS u(s) WHERE instr(bh, ' ' || keyword || s || CASE WHEN contains(keyword, ' ') THEN '' ELSE ' ' END) > 0 GROUP BY ALL),
@@ -243,10 +243,10 @@ def t19(spark, sf):
     return g.filter("p = 2 and e >= 2").select("asset_id", X.stamp("h").alias("hour"), "n")
 
 
-@register("t21_rule_baseline", WITH + X.EVENTS + " SELECT asset_id, CASE WHEN sum(CASE polarity WHEN 'ESCALATION' THEN 1 ELSE -1 END) > 0 THEN 'UP' WHEN sum(CASE polarity WHEN 'ESCALATION' THEN 1 ELSE -1 END) < 0 THEN 'DOWN' ELSE 'NEUTRAL' END AS weighted, 'NEUTRAL' AS always, (SELECT arg_min(polarity, {'n': -n, 'p': polarity}) FROM (SELECT polarity, count(*) AS n FROM ev GROUP BY 1)) AS majority FROM ev GROUP BY asset_id")
+@register("t21_rule_baseline", WITH + X.EVENTS + " SELECT asset_id, CASE WHEN sum(CASE polarity WHEN 'OCCURRENCE' THEN 1 ELSE -1 END) > 0 THEN 'UP' WHEN sum(CASE polarity WHEN 'OCCURRENCE' THEN 1 ELSE -1 END) < 0 THEN 'DOWN' ELSE 'NEUTRAL' END AS weighted, 'NEUTRAL' AS always, (SELECT arg_min(polarity, {'n': -n, 'p': polarity}) FROM (SELECT polarity, count(*) AS n FROM ev GROUP BY 1)) AS majority FROM ev GROUP BY asset_id")
 def t21(spark, sf):
     e = X.events(spark, sf)
-    s = F.sum(F.when(F.col("polarity") == "ESCALATION", 1).otherwise(-1))
+    s = F.sum(F.when(F.col("polarity") == "OCCURRENCE", 1).otherwise(-1))
     major = e.groupBy("polarity").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("polarity", F.struct(-F.col("n"), "polarity")).alias("majority"))
     return e.groupBy("asset_id").agg(F.when(s > 0, "UP").when(s < 0, "DOWN").otherwise("NEUTRAL").alias("weighted")).withColumn("always", F.lit("NEUTRAL")).join(F.broadcast(major))  # one row
 

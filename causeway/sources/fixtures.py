@@ -46,14 +46,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("A"), F.col("user_id") % ASSETS).alias("asset_id"),
         F.col("event_type").alias("factor"),
         F.element_at(F.array(*map(F.lit, TAGS)), k % 3 + 1).alias("tag"),
-        F.when(F.col("event_id") % 5 < 3, "RESOLUTION").otherwise("ESCALATION").alias("polarity"),
+        F.when(F.col("event_id") % 5 < 3, "RESOLUTION").otherwise("OCCURRENCE").alias("polarity"),
         "value",
     )
 
 
 EVENTS = """ev AS (SELECT event_id, ts, 'A' || (user_id % 29) AS asset_id, event_type AS factor,
   ['CALM', 'RISK', 'SUPPLY'][(json_extract_string(props, '$.k')::INT % 3) + 1] AS tag,
-  CASE WHEN event_id % 5 < 3 THEN 'RESOLUTION' ELSE 'ESCALATION' END AS polarity, value FROM events)"""
+  CASE WHEN event_id % 5 < 3 THEN 'RESOLUTION' ELSE 'OCCURRENCE' END AS polarity, value FROM events)"""
 
 
 def causes() -> list[tuple]:

@@ -55,7 +55,8 @@ def test_beta():
 def test_cleaning():
     assert clean.clean("<p>caf&amp;eacute;\x07  x</p>") == "café x"
     assert clean.clean(None) == "" and clean.assess("")["status"] == "rejected"
-    assert clean.assess("A. A. A. A. B is here and long enough to count. A. A.")["reasons"] == ["REPETITIVE"]
+    assert clean.assess("One here. One here. 12 34.") == {"status": "partial", "reasons": ["no_linguistic_content", "repetition"]}
+    assert clean.assess("All is well. Truly so.") == {"status": "usable", "reasons": []}
 
 
 def test_greedy_keeps_what_only_a_dropped_copy_resembles(spark):
