@@ -1,8 +1,8 @@
 """Language model scores from a hierarchical Pitman-Yor model.
 
-Tokens are words and one end for each text. Every context, a hash bucket of the word before (one more
-for the beginning), has a restaurant; all share the unigram restaurant as parent, whose base is uniform
-over the vocabulary and one unknown word. Seating is sampled by Gibbs: in turn each dish's number of
+Tokens are words and one end for each text. Every context, the word before (the end, at the beginning),
+has a restaurant, known by the word's 64-bit hash; all share the unigram restaurant as parent, whose base
+is uniform over the vocabulary and one unknown word. Seating is sampled by Gibbs: in turn each dish's number of
 tables in a context is drawn given all others, from its conditional probability under the Chinese
 restaurant process (generalised Stirling numbers times the parent's predictive probability), then the
 tables of the dish in the parent. After ``burn`` sweeps, table counts are averaged over ``sweeps``
@@ -11,9 +11,11 @@ samples; as the predictive probability is linear in them, the averaged probabili
 and sums to one over the vocabulary. Discounts come from the counts of ones and twos.
 
 The model is as large as the corpus makes it, in shards of words by hash; workers sample one shard's
-dishes at a time, with totals of contexts (one number a bucket) exchanged through the driver. Texts are
+dishes at a time. A context's tables lie in the shards of the words that follow it; they are summed in the
+shard of the context's own word, before seating and after it (:func:`restaurants`). Its customers are as
+many as the word's own, as each word but the end is followed by one token, and each end by a text. Texts are
 cut into chunks of about ``chunk`` bytes; a chunk sends each shard its distinct words with their
-contexts and counts, and gets back their probabilities. No vocabulary is broadcast or held whole.
+contexts and counts, and gets back what their probabilities are made of. No vocabulary is broadcast or held whole.
 
 Defined results: a null or empty text has the end alone. Rows with a null id are scored, but not
 learned from. With nothing to learn from, all tokens are unknown. Repeated rows count, and are scored,
@@ -36,9 +38,10 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import LOWER, map_batches, materialize, release, texts
 
-BUCKETS, CHUNK, SHARD, END = 128, 8_000_000, 12_000_000, b" "  # no word holds a space
-SHIFT = 8  # a context fits eight bits: buckets, then the beginning
-SEEN = np.dtype([("u", "u1"), ("n", "<f8"), ("t", "<f4")])
+CHUNK, SHARD, END = 8_000_000, 12_000_000, b" "  # no word holds a space
+SHIFT = 32  # a chunk's word numbers fit 30 bits
+MERGE = 4_000_000  # pairs of a shard that may wait to be merged
+SEEN = np.dtype([("u", "<u8"), ("n", "<f8"), ("t", "<f4")])
 
 
 def freeze(*parts: bytes) -> bytes:
@@ -79,20 +82,20 @@ class Chunk:
         """Document rows, the first with the chunk's tokens, then a row for each shard of its words."""
         vocabulary = list(self.words)
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
-        shard = (h >> np.uint64(16)) % np.uint64(self.shards)
+        shard = shard_of(h, self.shards)
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         tokens, lengths = place[np.concatenate(self.tokens)], np.array([n for _, _, n in self.docs])
-        bucket = (h[order] % np.uint64(BUCKETS)).astype(np.uint8)
-        keys = (tokens.astype(np.int64) << SHIFT | contexts(tokens, lengths, bucket)) << 1
+        keys = (tokens.astype(np.int64) << SHIFT | contexts(tokens, lengths)) << 1
         keys |= np.repeat(np.array([x for _, x, _ in self.docs], np.int64), lengths)
         keys.sort()
         first = np.flatnonzero(np.concatenate([[True], np.diff(keys >> 1) > 0]))
         learned = np.add.reduceat(keys & 1, first)
         asked = keys[first] >> 1
         of = asked >> SHIFT
-        data = freeze(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T).tobytes(), bucket.tobytes())
+        data = freeze(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T).tobytes())
+        h = h[order]
         k = len(self.docs)
         nothing = lambda m, t: pa.nulls(m, t)
         ids, learn = pa.array([x for x, _, _ in self.docs], kind), pa.array([x for _, x, _ in self.docs], pa.bool_())
@@ -105,7 +108,7 @@ class Chunk:
         for i, j, p, q in zip(cuts, cuts[1:], ends, ends[1:], strict=False):
             names = [vocabulary[x] for x in order[i:j]]
             sizes = np.bincount(of[p:q] - i, minlength=j - i)
-            blobs.append(freeze(_lengths(names), b"".join(names), sizes.astype("<u2").tobytes(), (asked[p:q] & 255).astype(np.uint8).tobytes(), learned[p:q].astype("<u4").tobytes()))
+            blobs.append(freeze(_lengths(names), b"".join(names), sizes.astype("<u4").tobytes(), h[asked[p:q] & (1 << SHIFT) - 1].astype("<u8").tobytes(), learned[p:q].astype("<u4").tobytes()))
         m = len(blobs)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(m, number)), nothing(m, kind), nothing(m, pa.bool_()), nothing(m, pa.int64()), pa.array(np.unique(shard).astype(np.int64)), pa.array(blobs, pa.binary())], names=ROW
@@ -115,11 +118,15 @@ class Chunk:
 ROW = ["chunk", "id", "learn", "n", "shard", "data"]
 
 
-def contexts(tokens: np.ndarray, lengths: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """The context of each token: the bucket of the one before, BUCKETS at the beginning of a text."""
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return (h >> np.uint64(16)) % np.uint64(shards)
+
+
+def contexts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The context of each token: the number of the one before, the end's at the beginning of a text."""
     before = np.empty(len(tokens), np.int64)
-    before[1:] = bucket[tokens[:-1]]
-    before[np.cumsum(lengths) - lengths] = BUCKETS
+    before[1:] = tokens[:-1]
+    before[np.cumsum(lengths) - lengths] = tokens[-1]  # each text ends with the end
     return before
 
 
@@ -157,7 +164,7 @@ class Shard:
     """Words of one shard with their learned (context, count) pairs, gathered from the chunks."""
 
     def __init__(self):
-        self.words, self.keys, self.counts = {}, [], []
+        self.words, self.parts, self.waiting = {}, [], 0
 
     def add(self, blob: bytes) -> None:
         lengths, names, sizes, u, n = thaw(blob)
@@ -165,18 +172,30 @@ class Shard:
         for w in names:
             if w not in known:
                 known[w] = len(known)
-        of = np.repeat(np.fromiter(map(known.__getitem__, names), np.int64, len(names)), np.frombuffer(sizes, "<u2"))
+        of = np.repeat(np.fromiter(map(known.__getitem__, names), np.int64, len(names)), np.frombuffer(sizes, "<u4"))
         n = np.frombuffer(n, "<u4")
         some = n > 0
-        self.keys.append((of << SHIFT | np.frombuffer(u, np.uint8))[some])
-        self.counts.append(n[some].astype(np.float64))
+        self.parts.append((of[some], np.frombuffer(u, "<u8")[some], n[some].astype(np.float64)))
+        self.waiting += len(self.parts[-1][0])
+        if self.waiting > MERGE:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers, contexts and counts of the distinct pairs, sorted."""
+        of, u, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((u, of))
+        of, u = of[order], u[order]
+        first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (u[1:] != u[:-1])])[: len(of)])
+        merged = of[first], u[first], np.add.reduceat(n[order], first) if len(first) else n
+        self.parts, self.waiting = [merged], 0
+        return merged
 
     def table(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Learned words, sorted pairs' word numbers and SEEN rows with one table each."""
-        keys, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
-        pairs = np.zeros(len(keys), SEEN)
-        pairs["u"], pairs["n"], pairs["t"] = keys & 255, np.bincount(inverse, np.concatenate(self.counts), len(keys)), 1
-        learned, of = np.unique(keys >> SHIFT, return_inverse=True)
+        of, u, n = self.merge()
+        pairs = np.zeros(len(of), SEEN)
+        pairs["u"], pairs["n"], pairs["t"] = u, n, 1
+        learned, of = np.unique(of, return_inverse=True)
         every = list(self.words)
         return [every[i] for i in learned], of, pairs
 
@@ -191,12 +210,10 @@ FITTED = "shard bigint, data binary, sums array<double>"
 
 
 def _fitted_batch(shard: int, words: list[bytes], of: np.ndarray, pairs: np.ndarray, k: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
-    """A shard's words and seating, and its sums: of each context customers, tables, ones and twos, then words, parent customers and roots."""
-    sums = np.zeros((BUCKETS + 1, 4))
-    for i, w in enumerate((pairs["n"], pairs["t"], pairs["n"] == 1, pairs["n"] == 2)):
-        sums[:, i] = np.bincount(pairs["u"], w, BUCKETS + 1)
-    data = freeze(_lengths(words), b"".join(words), np.bincount(of, minlength=len(words)).astype("<u2").tobytes(), pairs.tobytes(), k.astype("<f8").tobytes(), r.astype("<f8").tobytes())
-    flat = [*sums.T.ravel().tolist(), float(len(words)), float(k.sum()), float(r.sum())]
+    """A shard's words and seating, and its sums: customers, tables, ones and twos, then words, parent customers and roots."""
+    sums = [x.sum() for x in (pairs["n"], pairs["t"].astype(np.float64), pairs["n"] == 1, pairs["n"] == 2)]
+    data = freeze(_lengths(words), b"".join(words), np.bincount(of, minlength=len(words)).astype("<u4").tobytes(), *(pairs[x].tobytes() for x in SEEN.names), k.astype("<f8").tobytes(), r.astype("<f8").tobytes())
+    flat = [*map(float, sums), float(len(words)), float(k.sum()), float(r.sum())]
     return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([data], pa.binary()), pa.array([flat], pa.list_(pa.float64()))], names=["shard", "data", "sums"])
 
 
@@ -221,9 +238,72 @@ def _merged(shard: int, now: Shard) -> pa.RecordBatch:
 
 def _thawed(data: bytes):
     """Words, pairs' word numbers, pairs, parent customers, roots."""
-    lengths, names, sizes, pairs, k, r = thaw(data)
-    sizes = np.frombuffer(sizes, "<u2")
-    return _names(lengths, names), np.repeat(np.arange(len(sizes)), sizes), np.frombuffer(pairs, SEEN), np.frombuffer(k, "<f8"), np.frombuffer(r, "<f8")
+    lengths, names, sizes, u, n, t, k, r = thaw(data)
+    sizes = np.frombuffer(sizes, "<u4")
+    pairs = np.zeros(len(u) // 8, SEEN)
+    for name, x in zip(SEEN.names, (u, n, t), strict=True):
+        pairs[name] = np.frombuffer(x, SEEN[name])
+    return _names(lengths, names), np.repeat(np.arange(len(sizes)), sizes), pairs, np.frombuffer(k, "<f8"), np.frombuffer(r, "<f8")
+
+
+# --- restaurants ---
+
+SENT = "shard bigint, number bigint, data binary"
+
+
+def _sent(shards: list[int], numbers: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "number", "data"])
+
+
+def _dealt(table: DataFrame) -> DataFrame:
+    return table.repartition("shard").sortWithinPartitions("shard", "number")
+
+
+def _of_contexts(u: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct contexts, by shard and hash; the place of each u among them; their shards."""
+    distinct, at = np.unique(u, return_inverse=True)
+    own = shard_of(distinct, shards).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[at], own[order]
+
+
+def restaurants(table: DataFrame, shards: int, reply: bool) -> DataFrame:
+    """Tables of each context over all shards, at the shard of its word (number -1: hashes, tables); ``reply``: sent back to the shards that asked (number: who replies)."""
+
+    def send(batches):
+        for b in batches:
+            for shard, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                _, _, pairs, _, _ = _thawed(data)
+                u, at, own = _of_contexts(pairs["u"], shards)
+                t = np.bincount(at, pairs["t"], len(u)).astype("<f8")
+                to = np.unique(own)
+                cuts = [*np.searchsorted(own, to).tolist(), len(own)]
+                yield _sent(to.tolist(), [shard] * len(to), [freeze(u[i:j].tobytes(), t[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)])
+
+    def total(shard, froms, parts):
+        u, t = (np.concatenate([np.frombuffer(p[i], kind) for p in parts]) for i, kind in enumerate(("<u8", "<f8")))
+        distinct, at = np.unique(u, return_inverse=True)
+        sums = np.bincount(at, t, len(distinct))
+        if not reply:
+            return _sent([shard], [-1], [freeze(distinct.tobytes(), sums.astype("<f8").tobytes())])
+        ends = np.cumsum([len(p[0]) // 8 for p in parts]).tolist()
+        return _sent(froms, [shard] * len(froms), [freeze(sums[at[i:j]].astype("<f8").tobytes()) for i, j in zip([0, *ends], ends, strict=False)])
+
+    def add(batches):
+        shard, froms, parts = None, [], []
+        for at, of, data in _by_shard(batches):
+            if at != shard:
+                if parts:
+                    yield total(shard, froms, parts)
+                shard, froms, parts = at, [], []
+            froms.append(of)
+            parts.append(thaw(data))
+        if parts:
+            yield total(shard, froms, parts)
+
+    return map_batches(_dealt(map_batches(table.select("shard", "data"), send, SENT)), add, SENT)
 
 
 # --- seating ---
@@ -231,10 +311,8 @@ def _thawed(data: bytes):
 
 @dataclass(frozen=True)
 class Totals:
-    """Of the contexts: customers and tables; of the parent: customers and tables; the vocabulary; discounts and strength."""
+    """Of the parent: customers and tables; the vocabulary; discounts and strength."""
 
-    customers: np.ndarray
-    tables: np.ndarray
     parent: float
     roots: float
     words: int
@@ -248,8 +326,9 @@ class Totals:
         base = (self.strength + self.root_discount * self.roots) / (self.words + 1)
         return (k - self.root_discount * r + base) / (self.strength + self.parent)
 
-    def back_off(self) -> np.ndarray:
-        return self.strength + self.discount * self.tables
+    def predictive(self, own: np.ndarray, parent: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Of words in contexts: own, c_uw - d t_uw; the parent's P(w); customers and tables of the context."""
+        return (own + (self.strength + self.discount * tables) * parent) / (self.strength + customers)
 
 
 MOST = 64
@@ -297,18 +376,23 @@ def _groups(values: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.n
     return values[np.concatenate([[0], cuts])].tolist() if len(values) else [], np.split(order, cuts) if len(values) else []
 
 
-def _sampler(totals: Totals, burn: int, sweeps: int):
-    """mapInArrow over shards: Gibbs sweeps over their dishes."""
+#: A context's tables in other shards are taken to grow as in this one, which counts for as many tables of the average growth.
+STEADY = 16
 
-    def sample(shard: int, data: bytes) -> pa.RecordBatch:
+
+def _sampler(totals: Totals, shards: int, burn: int, sweeps: int):
+    """mapInArrow over (shard, number, data) sorted by both, each shard's counts first (number -1), then the replies of :func:`restaurants`: Gibbs sweeps over its dishes."""
+
+    def sample(shard: int, data: bytes, replies: list[bytes]) -> pa.RecordBatch:
         words, word, pairs, _, _ = _thawed(data)
-        pairs = pairs.copy()
-        u, n = pairs["u"].astype(np.int64), pairs["n"]
+        contexts_, u, _ = _of_contexts(pairs["u"], shards)
+        n, everywhere = pairs["n"], np.concatenate([np.frombuffer(thaw(x)[0], "<f8") for x in replies])
         rng = np.random.default_rng(shard)
         t, many = np.ones(len(n)), np.flatnonzero(n > 1)
         count = lambda x: np.bincount(word, x, len(words))
         k, r, sums = count(t), np.ones(len(words)), [np.zeros(len(n)), np.zeros(len(words))]
-        tables, begun = totals.tables.copy(), np.maximum(np.bincount(u, t, BUCKETS + 1), 1)
+        begun = np.bincount(u, t, len(contexts_))
+        tables, others = everywhere, everywhere - begun
         base = (totals.strength + totals.root_discount * totals.roots) / (totals.words + 1)
         for sweep in range(burn + sweeps):
             away = k[word[many]] - t[many]  # the parent without this dish's tables here
@@ -316,7 +400,8 @@ def _sampler(totals: Totals, burn: int, sweeps: int):
             t[many] = seat(n[many], (totals.strength + totals.discount * tables[u[many]]) * parent, totals.discount, rng)
             k = count(t)
             r = seat(k, np.full(len(k), base), totals.root_discount, rng)
-            tables = totals.tables * np.bincount(u, t, BUCKETS + 1) / begun  # this shard's dishes stand for all
+            here = np.bincount(u, t, len(contexts_))
+            tables = here + others * (here + STEADY * t.sum() / len(t)) / (begun + STEADY)
             if sweep >= burn:
                 for s, x in zip(sums, (t, r), strict=True):
                     s += x / sweeps
@@ -324,82 +409,103 @@ def _sampler(totals: Totals, burn: int, sweeps: int):
         return _fitted_batch(shard, words, word, pairs, count(pairs["t"].astype(np.float64)), sums[1])  # as stored, so that the sums agree
 
     def run(batches):
-        for b in batches:
-            for shard, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield sample(shard, data)
+        shard, counts, replies = None, None, []
+        for at, number, data in _by_shard(batches):
+            if number < 0:
+                if shard is not None:
+                    yield sample(shard, counts, replies)
+                shard, counts, replies = at, data, []
+            else:
+                replies.append(data)
+        if shard is not None:
+            yield sample(shard, counts, replies)
 
     return run
 
 
 def _sums(table: DataFrame) -> np.ndarray:
-    """Sums over all shards: 4 * (BUCKETS + 1) + 3 numbers reach the driver."""
-    out = np.zeros(4 * (BUCKETS + 1) + 3)
+    """Sums over all shards: seven numbers reach the driver."""
+    out = np.zeros(7)
     for r in table.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
         out[r.i] = r.x
     return out
 
 
 def _totals(sums: np.ndarray, before: Totals | None = None) -> Totals:
-    customers, tables, ones, twos = sums[:-3].reshape(4, -1)
-    words, parent, roots = sums[-3:]
+    customers, tables, one, two, words, parent, roots = sums.tolist()
     if before:
-        return Totals(customers, tables, parent, roots, int(words), int(customers.sum()), before.discount, before.root_discount, before.strength)
-    one, two = ones.sum(), twos.sum()
+        return Totals(parent, roots, int(words), int(customers), before.discount, before.root_discount, before.strength)
     discount = float(np.clip(one / (one + 2 * two), 0.1, 0.9)) if one else 0.5
-    return Totals(customers, tables, float(tables.sum()), float(words), int(words), int(customers.sum()), discount, discount)
+    return Totals(tables, words, int(words), int(customers), discount, discount)
 
 
 @dataclass(frozen=True)
 class Model:
-    """table: FITTED rows, one for each shard."""
+    """table: FITTED rows, one for each shard; tables: of contexts, of :func:`restaurants`."""
 
     table: DataFrame
+    tables: DataFrame
     totals: Totals
 
 
-def fit(rows: DataFrame, burn: int = 3, sweeps: int = 4) -> Model:
+def fit(rows: DataFrame, shards: int, burn: int = 3, sweeps: int = 4) -> Model:
     """rows: shard, chunk, data of :func:`_chunks`."""
     dealt = rows.select("shard", "chunk", "data").repartition("shard").sortWithinPartitions("shard")
     merged = materialize(map_batches(dealt, _merge, FITTED), "counts")
     totals = _totals(_sums(merged))
-    table = materialize(map_batches(merged.select("shard", "data"), _sampler(totals, burn, sweeps), FITTED), "seating")
+    counts = merged.filter("size(sums) > 0 and sums[0] > 0").select("shard", F.lit(-1).cast("bigint").alias("number"), "data")
+    asked = _dealt(counts.unionByName(restaurants(merged, shards, True)))
+    table = materialize(map_batches(asked, _sampler(totals, shards, burn, sweeps), FITTED), "seating")
     release(merged)
-    return Model(table, _totals(_sums(table), totals))
+    return Model(table, restaurants(table, shards, False), _totals(_sums(table), totals))
 
 
 # --- scoring ---
 
 
 def _answers(totals: Totals):
-    """mapInArrow over (shard, chunk, data) sorted by shard and chunk, each shard's seating first (chunk -1): counts of the chunk's words, logs of its pairs."""
-    back, full = totals.back_off(), totals.strength + totals.customers
+    """mapInArrow over (shard, number, data) sorted by both, each shard's seating first (number -2), then its contexts' tables (-1), then chunks: of the chunk's words counts, parent's probabilities and tables as a context; of its pairs c_uw - d t_uw."""
 
     def run(batches):
-        shard, known = None, {}
-        for at, chunk, data in _by_shard(batches):
+        shard = None
+        for at, number, data in _by_shard(batches):
             if at != shard:
-                shard, known = at, {}
-                keys, own, k, r, count = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0)
-            if chunk < 0:
+                shard, known, h, tables = at, {}, np.zeros(0, np.uint64), np.zeros(0)
+                of, u, own, start, parent, count = np.zeros(0, np.int64), h, tables, np.zeros(1, np.int64), tables, tables
+            if number == -2:
                 words, of, pairs, k, r = _thawed(data)
                 known = dict(zip(words, range(len(words)), strict=True))
-                keys, own = of << SHIFT | pairs["u"], pairs["n"] - totals.discount * pairs["t"]
-                count = np.bincount(of, pairs["n"], len(words))
+                u, own = pairs["u"].copy(), pairs["n"] - totals.discount * pairs["t"]
+                count, parent = np.bincount(of, pairs["n"], len(words)), totals.parent_of(k, r)
+                start = np.searchsorted(of, np.arange(len(words) + 1))
+                continue
+            if number == -1:
+                h, tables = (np.frombuffer(x, kind) for x, kind in zip(thaw(data), ("<u8", "<f8"), strict=True))
                 continue
-            lengths, names, sizes, u, _ = thaw(data)
-            place = np.array([known.get(w, -1) for w in _names(lengths, names)], np.int64)
-            u, asked = np.frombuffer(u, np.uint8), np.repeat(place, np.frombuffer(sizes, "<u2"))
-            parent = np.full(len(asked), totals.parent_of(np.zeros(1), np.zeros(1))[0])
-            seen = asked >= 0
-            parent[seen] = totals.parent_of(k, r)[asked[seen]]
-            p, want = back[u] * parent, asked << SHIFT | u
-            if len(keys):
-                hit = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                p += np.where(seen & (keys[hit] == want), own[hit], 0)
-            counts = np.zeros(len(place))
-            counts[place >= 0] = count[place[place >= 0]]
-            blob = freeze(counts.astype("<u8").tobytes(), np.log10(p / full[u]).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([shard]), pa.array([blob], pa.binary())], names=["chunk", "shard", "data"])
+            lengths, names, sizes, asked, _ = thaw(data)
+            names, asked = _names(lengths, names), np.frombuffer(asked, "<u8")
+            place = np.array([known.get(w, -1) for w in names], np.int64)
+            seen = place >= 0
+            counts, parents, as_context = np.zeros(len(place)), np.full(len(place), totals.parent_of(np.zeros(1), np.zeros(1))[0]), np.zeros(len(place))
+            counts[seen], parents[seen] = count[place[seen]], parent[place[seen]]
+            if len(h):
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+                hit = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
+                as_context = np.where(h[hit] == hashes, tables[hit], 0)
+            word = np.repeat(place, np.frombuffer(sizes, "<u4"))
+            low, high = start[np.maximum(word, 0)].copy(), np.where(word >= 0, start[np.maximum(word, 0) + 1], 0) if len(u) else np.zeros(len(word), np.int64)
+            last = high
+            while (low < high).any():  # binary search among each word's contexts
+                mid = (low + high) // 2
+                less = (low < high) & (u[np.minimum(mid, len(u) - 1)] < asked)
+                low, high = np.where(less, mid + 1, low), np.where(less, high, np.minimum(mid, high))
+            mine = np.zeros(len(word))
+            if len(u):
+                hit = np.minimum(low, len(u) - 1)
+                mine = np.where((low < last) & (u[hit] == asked), own[hit], 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number]), pa.array([shard]), pa.array([freeze(counts.astype("<u8").tobytes(), parents.astype("<f8").tobytes(), as_context.astype("<f4").tobytes(), mine.astype("<f4").tobytes())], pa.binary())], names=["chunk", "shard", "data"]
+            )
 
     return run
 
@@ -411,16 +517,16 @@ def _scorer(totals: Totals):
         parts = [thaw(x) for x in answers.sort_by("shard").column("data").to_pylist()]
         docs = docs.sort_by("place")
         lengths = docs.column("n").to_numpy()
-        tokens, bucket = thaw(docs.column("data")[0].as_py())
+        (tokens,) = thaw(docs.column("data")[0].as_py())
         tokens = np.ascontiguousarray(np.frombuffer(tokens, np.uint8).reshape(4, -1).T).view("<i4").ravel()
-        count = np.frombuffer(b"".join(c for c, _ in parts), "<u8").astype(np.float64)
-        logs = np.frombuffer(b"".join(x for _, x in parts), "<f4")
-        keys = tokens.astype(np.int64) << SHIFT | contexts(tokens, lengths, np.frombuffer(bucket, np.uint8))
-        _, at = np.unique(keys, return_inverse=True)  # the order in which the pairs were asked
+        count, parent, tables, own = (np.frombuffer(b"".join(x), kind).astype(np.float64) for x, kind in zip(zip(*parts, strict=True), ("<u8", "<f8", "<f4", "<f4"), strict=True))
+        before = contexts(tokens, lengths)
+        _, at = np.unique(tokens.astype(np.int64) << SHIFT | before, return_inverse=True)  # the order in which the pairs were asked
+        logs = np.log10(totals.predictive(own[at], parent[tokens], count[before], tables[before]))
         base = np.log10((count + 0.5) / (totals.tokens + 0.5 * (totals.words + 1)))[tokens]
         starts = np.cumsum(lengths) - lengths
         add = lambda x: pa.array(np.add.reduceat(x, starts))
-        return pa.table({"id": docs.column("id"), "n_tokens": pa.array(lengths), "n_known": add((count > 0)[tokens].astype(np.int64)), "base_score": add(base), "score": add(logs[at].astype(np.float64))})
+        return pa.table({"id": docs.column("id"), "n_tokens": pa.array(lengths), "n_known": add((count > 0)[tokens].astype(np.int64)), "base_score": add(base), "score": add(logs)})
 
     return run
 
@@ -432,11 +538,12 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).alias("id"), learn.alias("learn"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    rows = materialize(_chunks(rows, chunk, 1 + size // shard).withColumn("place", F.monotonically_increasing_id()), "chunks")
+    shards = 1 + size // shard
+    rows = materialize(_chunks(rows, chunk, shards).withColumn("place", F.monotonically_increasing_id()), "chunks")
     asked = rows.filter("shard is not null").select("shard", "chunk", "data")
-    model = fit(asked, burn, sweeps)
-    seating = model.table.select("shard", F.lit(-1).cast("bigint").alias("chunk"), "data")
-    dealt = asked.unionByName(seating).repartition("shard").sortWithinPartitions("shard", "chunk")
+    model = fit(asked, shards, burn, sweeps)
+    seating = model.table.select("shard", F.lit(-2).cast("bigint").alias("number"), "data")
+    dealt = _dealt(seating.unionByName(model.tables).unionByName(asked.withColumnRenamed("chunk", "number")))
     answers = map_batches(dealt, _answers(model.totals), "chunk bigint, shard bigint, data binary")
     texts_ = rows.filter("shard is null").select("chunk", "place", "id", "n", "data")
     kind = docs.schema[id_col].dataType.simpleString()
