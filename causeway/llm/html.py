@@ -2,8 +2,10 @@
 
 A page becomes a row of tags and text runs. Words score positive, except inside elements whose tag,
 class, id or role labelled pages show to hold boilerplate; tags score negative, by how seldom they
-stand inside main text. Weights are log-odds learned from labelled pages. One linear scan finds the
-region of the highest sum; its positive runs are the text.
+stand inside main text. Weights are log-odds learned from labelled pages. Boilerplate inside the content
+root (article, main, or else a container that labelled pages show to hold main text) is left out, but
+scores nothing, however long, so it parts no text; on pages without a root it costs at most BOX. One
+linear scan finds the region of the highest sum; its runs outside boilerplate are the text.
 
 Character references are decoded after the markup is read, white space becomes one space, blocks are
 joined by one space in page order. Inline tags don't part words.
@@ -33,6 +35,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements whose text never shows or is a control.
 SILENT = frozenset("button canvas datalist head iframe math noembed noframes noscript object option select svg template textarea title".split())
 MAIN = frozenset(["article", "main"])
+#: Most that boilerplate between two runs of text costs on a page without a content root.
+BOX = 10.0
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -59,7 +63,7 @@ def _marks(tag: str, attrs: str) -> tuple[str, ...]:
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
-    """("text", run, marks of the open elements) and ("tag", name, ()) in page order. Silent elements' text is left out."""
+    """("text", run, marks of the open elements) and ("tag", name, marks of the open elements and its own) in page order. Silent elements' text is left out."""
     open_: list[tuple[str, tuple[str, ...]]] = []
     around: tuple[tuple[str, ...], ...] = ()
     silent = 0
@@ -75,7 +79,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
         tag = m["tag"] or m["odd"]
         if not tag:
             continue
-        tag = tag.lower()
+        tag, inside = tag.lower(), around
         if m["end"] or (m["odd"] and m[0].startswith("</")):
             depth = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), None)
             if depth is not None:
@@ -89,25 +93,36 @@ def pieces(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
                 silent -= open_.pop()[0] in SILENT
             open_.append((tag, _marks(tag, m["attrs"] or "")))
             silent += tag in SILENT
-            around = tuple(x[1] for x in open_)
-        yield "tag", tag, ()
+            around = inside = tuple(x[1] for x in open_)
+        yield "tag", tag, inside
     yield from run(at, len(page))
 
 
 @dataclass(frozen=True)
 class Weights:
-    """word: of a word outside boilerplate. marks: log-odds of main text, negative ones only. tags: penalties. outside: of words outside the main element of a page that has one."""
+    """word: of a word outside boilerplate. marks: log-odds of main text, negative ones only. tags: penalties. outside: of words outside the main element of a page that has one. roots: classes and ids of containers of main text."""
 
     word: float
     outside: float
     marks: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
+    roots: frozenset[str] = frozenset()
 
-    def context(self, around: tuple[tuple[str, ...], ...], has_main: bool) -> float:
-        worst = min((self.marks.get(x, 0.0) for marks in around for x in marks), default=0.0)
-        if has_main and not any(marks[0] in MAIN for marks in around):
-            worst = min(worst, self.outside)
-        return worst if worst < 0 else self.word
+    def root(self, around: tuple[tuple[str, ...], ...], has_main: bool) -> int | None:
+        """Place of the outermost content root among the open elements."""
+        return next((i for i, marks in enumerate(around) if (marks[0] in MAIN if has_main else not self.roots.isdisjoint(marks))), None)
+
+    def context(self, around: tuple[tuple[str, ...], ...], has_main: bool) -> tuple[float, bool, bool]:
+        """Of a word: its score in the scan; whether it is boilerplate; whether that lies within a content root."""
+        at = self.root(around, has_main)
+        worst = lambda part: min((self.marks.get(x, 0.0) for marks in part for x in marks), default=0.0)
+        all_ = worst(around)
+        if has_main and at is None:
+            all_ = min(all_, self.outside)
+        if all_ >= 0:
+            return self.word, False, False
+        within = at is not None and worst(around[: at + 1]) >= 0
+        return 0.0 if within else all_, True, within
 
 
 def _has_main(items) -> bool:
@@ -136,7 +151,8 @@ def learn(pages: Iterable[tuple[str, str]]) -> Weights:
     odds = lambda g, b: log((g + 1) / (b + 1))
     marks = {m: w for m in good | bad if (w := odds(good[m], bad[m])) < -1}
     tags = {t: min(-0.05, odds(inside[t], outside[t]) / 2) for t in inside | outside}
-    return Weights(1.0, min(-1.0, odds(*away)), marks, tags)
+    roots = frozenset(m for m in good if m.startswith(".") and odds(good[m], bad[m]) > 1)
+    return Weights(1.0, min(-1.0, odds(*away)), marks, tags, roots)
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -153,17 +169,26 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: Weights) -> str:
     items = list(pieces(page))
-    has_main, scores = _has_main(items), []
+    has_main, scores, shown, spent = _has_main(items), [], [], 0.0
+    rooted = has_main or any(weights.root(around, False) is not None for kind, _, around in items if kind == "text")
     for kind, x, around in items:
+        s, boilerplate, within = weights.context(around, has_main)
         if kind == "tag":
-            scores.append(weights.tags.get(x, -0.5))
+            s = 0.0 if within else weights.tags.get(x, -0.5)
         else:
-            scores.append(len(x.split()) * weights.context(around, has_main))
+            s *= len(x.split())
+        if boilerplate and not rooted:
+            s = max(s, spent - BOX)
+            spent -= s
+        elif kind == "text" and not boilerplate and s > 0:
+            spent = 0.0
+        scores.append(s)
+        shown.append(not boilerplate)
     first, last = region(scores)
     out = []
-    for (kind, x, _), s in zip(items[first:last], scores[first:last], strict=True):
+    for (kind, x, _), show in zip(items[first:last], shown[first:last], strict=True):
         if kind == "text":
-            if s >= 0:
+            if show:
                 out.append(references.unescape(x))
         elif x not in INLINE:
             out.append(" ")
