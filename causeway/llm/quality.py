@@ -1,8 +1,8 @@
 """Quality rules under weak supervision.
 
 Each rule looks at counts of one text and votes good (+1), bad (-1) or abstains (0). A label model
-with accuracies for each rule and class is fitted by expectation-maximisation to the counts of all vote
-patterns (at most 3 ** rules rows, whatever the corpus), and a document is kept when the posterior
+tells for each rule's kind of fault the texts that have it from those that don't, by every rule's rates of
+votes in both; it is fitted by expectation-maximisation to the counts of all vote patterns (at most 3 ** rules rows, whatever the corpus), and a document is kept when the posterior
 probability of quality reaches ``threshold``, instead of having to pass every rule.
 
 Defined results: a null or empty text has no words, so the length rule votes bad and the base check
@@ -129,51 +129,84 @@ def decode(code: np.ndarray, rules: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Prior of quality and, for each rule, the rates of its votes (bad, abstain, good) on bad and on good texts: rules by 2 by 3."""
+    """Of each kind of fault the prior of texts without it, and for each rule the rates of its votes (bad, abstain, good) on texts with and without it: kinds by rules by 2 by 3. own: the kind's rule, -1 for all rules."""
 
-    prior: float
+    priors: np.ndarray
     rates: np.ndarray
+    own: tuple[int, ...]
+
+    @property
+    def prior(self) -> float:
+        """Of quality."""
+        return float(self.priors.prod())
 
     @property
     def accuracy(self) -> np.ndarray:
-        """Share of each rule's votes, abstentions left out, that are right."""
-        bad, good = (1 - self.prior) * self.rates[:, 0], self.prior * self.rates[:, 1]
+        """Share of each rule's votes, abstentions left out, that are right of its kind of fault."""
+        rules = np.arange(self.rates.shape[1])
+        kind = rules if len(self.own) > 1 else 0 * rules
+        bad, good = (1 - self.priors[kind])[:, None] * self.rates[kind, rules, 0], self.priors[kind][:, None] * self.rates[kind, rules, 1]
         return (bad[:, 0] + good[:, 2]) / (bad[:, 0] + bad[:, 2] + good[:, 0] + good[:, 2])
 
+    def without(self, v: np.ndarray) -> np.ndarray:
+        """Posterior probability that a fault is absent, patterns by kinds. None is guessed where its rule abstains."""
+        out = np.ones((len(v), len(self.own)))
+        for k, own in enumerate(self.own):
+            odds = np.log(np.maximum(self.rates[k, :, 1], 1e-12) / np.maximum(self.rates[k, :, 0], 1e-12))
+            total = np.log(self.priors[k] / (1 - self.priors[k])) + odds[np.arange(v.shape[1]), v.astype(np.int64) + 1].sum(1)
+            p = 1 / (1 + np.exp(-np.clip(total, -50, 50)))
+            out[:, k] = p if own < 0 else np.where(v[:, own] == 0, 1, p)
+        return out
+
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        odds = np.log(np.maximum(self.rates[:, 1], 1e-12) / np.maximum(self.rates[:, 0], 1e-12))
-        total = np.log(self.prior / (1 - self.prior)) + odds[np.arange(v.shape[1]), v.astype(np.int64) + 1].sum(1)
-        return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
+        """Of quality: no fault."""
+        return self.without(v).prod(1)
 
 
 #: Pseudo-counts of votes (bad, good): a bad vote is rare on good texts, so it weighs more than a good one.
 SEEN_BAD, SEEN_GOOD = np.array([4.0, 3.0]), np.array([0.1, 6.9])
+#: Prior that a rule seldom errs about its own fault: so many right votes are added for each vote seen.
+SELDOM = 1.0
 
 
-#: Upper bound of a rule's bad votes on good texts. Faults of different kinds seldom meet in a text; without the bound
-#: the two classes settle on the commonest fault and its opposite.
-FALSE_ALARM = 0.001
+def fit_label_model(v: np.ndarray, counts: np.ndarray, rounds: int = 50, false_alarm: float | None = None) -> LabelModel:
+    """Expectation-maximisation over vote patterns, from the guess that a text has the faults that rules find.
 
+    Each rule has a kind of fault of its own, so faults needn't meet in a text, and a common one doesn't
+    outweigh a rare one. Where a rule's bad votes mostly come with those of others, one alone is taken for
+    an error; how often that happens is estimated without a bound. With ``false_alarm``, a bound of that rate,
+    all rules are taken to look for one fault instead.
 
-def fit_label_model(v: np.ndarray, counts: np.ndarray, rounds: int = 50, false_alarm: float = FALSE_ALARM) -> LabelModel:
-    """Expectation-maximisation over vote patterns, from the guess that a text with a bad vote is bad.
-
-    Votes count by class, as most rules find one fault: their silence or approval says little. The
-    pseudo-counts keep the classes apart, so a corpus of one class is not split in two.
+    The pseudo-counts keep texts with and without a fault apart, so a corpus of one class is not split in two.
     """
+    rules = v.shape[1]
+    kinds = range(rules) if false_alarm is None else (-1,)
+    fits = [_fit_kind(v, counts, own, rounds, false_alarm) for own in kinds]
+    return LabelModel(np.array([m.priors[0] for m in fits]), np.concatenate([m.rates for m in fits]), tuple(kinds))
+
+
+def _fit_kind(v: np.ndarray, counts: np.ndarray, own: int, rounds: int, false_alarm: float | None) -> LabelModel:
+    counts = np.where(v[:, own] == 0, 0, counts) if own >= 0 else counts  # a rule tells nothing of its fault where it abstains
     n, rules = float(counts.sum()), v.shape[1]
     cast = np.stack([(v == k) for k in (-1, 0, 1)], axis=2).astype(np.float64)  # patterns by rules by votes
     silent = np.clip(np.einsum("i,ij->j", counts, cast[:, :, 1]) / max(n, 1), 0, 1 - 1e-6)[:, None]  # abstaining says nothing of the class
-    p, model = np.where((v == -1).any(1), 0.1, 0.95), LabelModel(0.8, np.full((rules, 2, 3), 1 / 3))
+    mine = np.full(rules, own < 0) | (np.arange(rules) == own)
+    p, model = np.where((v[:, mine] == -1).any(1), 0.1, 0.95), LabelModel(np.array([0.8]), np.full((1, rules, 2, 3), 1 / 3), (own,))
+    if own >= 0:
+        p = np.where(v[:, own] == -1, p, 1)
+    on_bad = np.where(mine[:, None], SEEN_BAD, SEEN_GOOD)
     for _ in range(rounds):
-        bad = np.einsum("i,ijk->jk", (1 - p) * counts, cast)[:, ::2] + SEEN_BAD
-        good = np.einsum("i,ijk->jk", p * counts, cast)[:, ::2] + SEEN_GOOD
-        fault = np.stack([bad[:, 0] / bad.sum(1), np.minimum(good[:, 0] / good.sum(1), false_alarm)], axis=1)
+        bad, good = (np.einsum("i,ijk->jk", q * counts, cast)[:, ::2] for q in (1 - p, p))
+        right_bad, right_good = (np.where(mine & (own >= 0), SELDOM * x.sum(1), 0) for x in (bad, good))
+        alarms = (good[:, 0] + SEEN_GOOD[0]) / (good.sum(1) + SEEN_GOOD.sum() + right_good)
+        hits = ((bad + on_bad)[:, 0] + right_bad) / ((bad + on_bad).sum(1) + right_bad)
+        fault = np.stack([hits, alarms if false_alarm is None else np.minimum(alarms, false_alarm)], axis=1)
         rates = np.stack([fault * (1 - silent), np.broadcast_to(silent, fault.shape), (1 - fault) * (1 - silent)], axis=2)
-        prior = float(np.clip(((p * counts).sum() + 8) / (n + 10), 0.5, 0.98))
-        done = np.abs(rates - model.rates).max(initial=0) < 1e-9
-        model = LabelModel(prior, rates)
-        p = model.posterior(v)
+        share = ((p * counts).sum() + 8) / (n + 10) if own < 0 else ((p * counts).sum() + 8) / (n + 8 + 2 / rules)
+        prior = np.clip(share, 0.5, 0.98) if own < 0 else share
+        done = np.abs(rates - model.rates[0]).max(initial=0) < 1e-9
+        model = LabelModel(np.array([prior]), rates[None], (own,))
+        p = model.without(v)[:, 0]
         if done:
             break
     return model
