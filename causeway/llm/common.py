@@ -6,9 +6,6 @@ splits on exactly these, whereas ``str.split()`` also splits on other Unicode sp
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -16,13 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from causeway.scratch import materialize, release, scratch_dir  # noqa: F401
 from causeway.session import ship
 
 WHITE = b" \t\n\x0b\x0c\r"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-_scratch: dict[str, SparkSession] = {}
-
 
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
@@ -44,51 +40,6 @@ def learnable(doc_id: str | Column, folds: int) -> Column:
     return F.coalesce(fold(doc_id, folds) != 1, F.lit(False))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share; one of our own only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="causeway-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = f"file://{named}" if "://" not in named else named
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/causeway-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _scratch[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._causeway_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete the scratch table behind a DataFrame that :func:`materialize` returned."""
-    path = getattr(df, "_causeway_path", None)
-    if path and _scratch.pop(path, None) is not None:
-        _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _cleanup() -> None:
-    for path, spark in list(_scratch.items()):
-        try:
-            _delete(spark, path)
-        except Exception:  # the session is gone; the folder belongs to the cluster  # noqa: BLE001
-            pass
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow, with this package on the executors."""
     ship(df.sparkSession)

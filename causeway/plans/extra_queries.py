@@ -9,9 +9,11 @@ from causeway.functions import statistics as B
 from causeway.functions import text as T
 from causeway.operators import dedup as D
 from causeway.operators import stance
+from causeway.operators.components import connected_components
 from causeway.plans import graph_queries as GQ
 from causeway.plans.registry import register
 from causeway.plans.relational_queries import statement
+from causeway.scratch import materialize
 from causeway.sources import fixtures as X
 from causeway.sources import readers as R
 
@@ -62,10 +64,13 @@ def p06(spark, sf):
 
 @register("i02_greedy_dedup")
 def i02(spark, sf):
-    pairs = D.near_pairs(D.simhash(X.read(spark, sf, "documents").select("doc_id", F.left("text", F.lit(2000)).alias("text")), "doc_id", "text"), "doc_id")
-    pairs = pairs.withColumn("component", F.least("id_a", "id_b") % 16)
-    ids = pairs.select((F.col("component") + 0).alias("component"), F.explode(F.array("id_a", "id_b")).alias("id")).distinct().withColumn("at", F.col("id"))
-    return D.greedy(ids, pairs, 3)
+    prints = materialize(D.simhash(X.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text"), "prints")
+    pairs = materialize(D.near_pairs(prints, "doc_id"), "pairs")
+    found = connected_components(pairs.selectExpr("id_a AS a", "id_b AS b"))
+    members = found.select("component", "node").union(found.select("component", "component")).distinct().selectExpr("component", "node AS at", "node AS id")
+    paired = materialize(pairs.join(members.selectExpr("id AS id_a", "component"), "id_a"), "paired")
+    told = D.greedy(members, paired, 3)
+    return prints.selectExpr("doc_id AS id").join(told, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))  # what has no pair is kept
 
 
 @register("a05_chart_scan", "WITH " + X.CLOSES + " SELECT asset_id AS symbol, session::VARCHAR AS session, close FROM closes")
