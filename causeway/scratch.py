@@ -12,11 +12,13 @@ _scratch: dict[str, SparkSession] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share; one of our own only where the cluster names none."""
+    """Folder that the driver and all executors share; one of our own only in local mode, where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="causeway-")
         spark.sparkContext.setCheckpointDir(named)
         named = f"file://{named}" if "://" not in named else named
