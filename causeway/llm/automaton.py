@@ -8,6 +8,7 @@ classes of bytes that no expression tells apart; Moore's partition refinement mi
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -172,14 +173,28 @@ class _Nfa:
 
 @dataclass(frozen=True)
 class Dfa:
-    """table: flat, next state times 256 at state times 256 plus byte. States with index >= first_accept accept; masks: the rules, by state. dead: the state without a way out, or -1."""
+    """rows: next state by state and class of bytes; of_byte: each byte's class. masks: the rules, by state.
 
-    table: list[int]
+    ``start``, ``first_accept`` (states from it on accept) and ``dead`` (the state without a way out, or -1) are
+    state numbers times 256, as in ``table``.
+    """
+
+    rows: np.ndarray
+    of_byte: list[int]
     masks: list[int]
     start: int
     first_accept: int
     dead: int
 
+    @cached_property
+    def table(self) -> list[int]:
+        """Flat: next state times 256 at state times 256 plus byte. Built where it is used, not shipped."""
+        shared = [i * 256 for i in range(self.states)]  # one integer for each state: fewer cache misses
+        return [shared[x] for x in self.rows[:, self.of_byte].ravel().tolist()]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
     @property
     def states(self) -> int:
         return len(self.masks)
@@ -230,5 +245,4 @@ def _minimise(rows: np.ndarray, accept: np.ndarray, of_byte: list[int]) -> Dfa:
     table = place[block[rows[chosen[order]]]]
     masks = [int(accept[chosen[k]]) for k in order]
     dead = [i for i in range(count) if not masks[i] and (table[i] == i).all()]
-    shared = [i * 256 for i in range(count)]  # one integer for each state: fewer cache misses
-    return Dfa([shared[x] for x in table[:, of_byte].ravel().tolist()], masks, int(place[block[0]]) * 256, next((i for i, m in enumerate(masks) if m), count) * 256, dead[0] * 256 if dead else -1)
+    return Dfa(table.astype(np.int32), of_byte, masks, int(place[block[0]]) * 256, next((i for i, m in enumerate(masks) if m), count) * 256, dead[0] * 256 if dead else -1)

@@ -1,18 +1,22 @@
 """Secret scans by one combined automaton.
 
-The openings of all rules are compiled together (see :mod:`causeway.llm.automaton`); one pass over a
-text's bytes runs the combined table. Where a rule's opening ends, its reversed automaton walks back
-to the leftmost start and the whole rule's anchored one forward to the longest end: ends left to that
-keep the product of the rules to a few hundred states. Matches of a kind don't overlap; those shorter
-than the rule asks, whole or in their value, fall away after they have been consumed.
-
-Defined results: a null or empty text has no spans. Offsets are code points, ends exclusive. Repeated
-rows are scanned each on its own; further columns are ignored.
+All rules are compiled together (see :mod:`causeway.llm.automaton`), each up to the shortest match it
+has at any start; one pass over a text's bytes runs the combined table. Where it accepts, a match is
+certain: the rule's reversed automaton walks back to the leftmost start and the anchored one forward to
+the longest end. Both stay within the match, which is then consumed, so a text of any content is scanned
+in linear time. Matches of a kind don't overlap; those shorter than the rule asks, whole or in their
+value, fall away after they have been consumed.
+
+Defined results: a null or empty text has no spans; an empty table gives an empty result. Texts are
+scanned whole, however long, in time linear in their length. Offsets are code points, ends exclusive.
+Ties: spans with one start are listed in the order of the rules. Repeated rows are scanned each on its
+own; further columns are ignored by :func:`find_secrets` and passed through by :func:`redact_secrets`.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +28,7 @@ from causeway.llm.common import map_batches, texts
 
 @dataclass(frozen=True)
 class Rule:
-    """``lead`` then ``value``; ``opening``: with the lead, what every match begins with. ``least``: bytes of the whole match; ``least_value``: of what follows the lead."""
+    """``lead`` then ``value``; lead and ``opening``: the shortest matches, with which every match begins. ``least``: bytes of the whole match; ``least_value``: of what follows the lead."""
 
     kind: str
     lead: str
@@ -40,11 +44,11 @@ RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=\\-]+", "[A-Za-z0-9+/_.=\\-]", least_value=6, fold_case=True),
     Rule("access", "AKIA", "[A-Z0-9]+", "[A-Z0-9]", least=20),
     Rule("hex", "", "[0-9a-f]{24,}", "[0-9a-f]{24}"),
-    Rule("pem", "-----BEGIN ", "([A-Z0-9]+ )*PRIVATE KEY-----"),
-    Rule("hub", "gh[pousr]_", "[A-Za-z0-9]+", least=40),
-    Rule("chat", "xox[abprs]-", "[A-Za-z0-9\\-]+", least=24),
-    Rule("jwt", "eyJ", "[A-Za-z0-9_\\-]+\\.eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+", least=40),
-    Rule("url", "[a-z]+://", "[A-Za-z0-9_.\\-]+:[A-Za-z0-9_.%\\-]+@", least=12),
+    Rule("pem", "-----BEGIN ", "([A-Z0-9]+ )*PRIVATE KEY-----", "([A-Z0-9]+ )*PRIVATE KEY-----"),
+    Rule("hub", "gh[pousr]_", "[A-Za-z0-9]+", "[A-Za-z0-9]", least=40),
+    Rule("chat", "xox[abprs]-", "[A-Za-z0-9\\-]+", "[A-Za-z0-9\\-]", least=24),
+    Rule("jwt", "eyJ", "[A-Za-z0-9_\\-]+\\.eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+", "[A-Za-z0-9_\\-]+\\.eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]", least=40),
+    Rule("url", "[a-z]+://", "[A-Za-z0-9_.\\-]+:[A-Za-z0-9_.%\\-]+@", "[A-Za-z0-9_.\\-]+:[A-Za-z0-9_.%\\-]+@", least=12),
 )
 
 
@@ -110,6 +114,12 @@ class Scanner:
         out.append((start, k, end))
 
 
+@lru_cache(maxsize=8)
+def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
+    """Compiled once on the driver; tasks get the transition arrays."""
+    return Scanner(rules)
+
+
 def points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Byte offsets to code points."""
     if not spans or data.isascii():
@@ -126,11 +136,10 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """id and ``found``, an array of kind, start, end by start and then the rules' order."""
-    kinds = [r.kind for r in rules]
+    kinds, s = [r.kind for r in rules], scanner(rules)
     fields = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        s = Scanner(rules)
         for b in batches:
             found = [[{"kind": kinds[k], "start": i, "end": j} for i, k, j in points(x, s.scan(x))] for x in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, fields)], names=["id", "found"])
@@ -141,9 +150,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with all their columns; each span of the text, overlaps joined, becomes ``[kind]`` of its first rule."""
-    at = docs.columns.index(text_col)
+    at, s = docs.columns.index(text_col), scanner(rules)
 
-    def clean(data: bytes, s: Scanner) -> bytes:
+    def clean(data: bytes) -> bytes:
         parts, last = [], 0
         for start, k, end in s.scan(data):
             if start >= last:
@@ -152,10 +161,9 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
         return b"".join([*parts, data[last:]]) if parts else data
 
     def run(batches):
-        s = Scanner(rules)
         for b in batches:
             old = b.column(at)
-            new = [None if x is None else clean(x, s) for x in old.cast(pa.large_binary()).to_pylist()]
+            new = [None if x is None else clean(x) for x in old.cast(pa.large_binary()).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(new, pa.large_binary()).cast(pa.large_string()).cast(old.type))
 
     return map_batches(docs, run, docs.schema)
