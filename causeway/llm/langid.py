@@ -3,14 +3,17 @@
 Each language has a codeword; for each bit a linear classifier over hashed byte n-grams tells the
 languages whose bit is 1 from the rest. Its weights are log-odds of n-gram frequencies, counted over a
 bounded sample of labelled texts. Decoding sums each bit's logistic loss against the codeword,
-weighted by how well the bit separates the sample, and takes the nearest codeword; texts whose two
-nearest codewords are almost as near are flagged ambiguous.
+weighted by how well the bit separates labelled texts that its weights weren't counted on, and takes the
+nearest codeword; texts whose two nearest codewords are almost as near are flagged ambiguous.
 
-Bounds: about ``sample`` texts of each language, the ``most`` commonest languages. Every text is
-scored whole.
+Bounds: about ``sample`` texts teach each language; all languages are learned. Counts stay on the
+executors; the driver gets the languages' names and sizes and the classifiers, whose number grows with
+the logarithm of that of the languages. Every text is scored whole, however long.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if there was nothing to
-learn from. Rows with a null language teach nothing. Repeated rows are scored each on its own.
+learn from. Rows with a null language teach nothing. Ties between codewords go to the first language by
+code point. Repeated rows are scored each on its own; an empty table gives an empty result. Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import map_batches, texts
+from causeway.llm.common import map_batches, materialize, release, texts
 
-SAMPLE, LANGUAGES, BITS = 1500, 256, 16
+SAMPLE, BITS = 1500, 16
+BLOCK = 8  # n-grams are learned in blocks of 2 ** BLOCK
+LEAST_JUDGED = 8  # texts of a language from which on some are kept to judge the bits
 _LETTER = re.compile(r"[^\W\d_]")
 #: A-Z in lower case; other ASCII than letters to spaces; the rest as it is.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -72,17 +77,6 @@ class Ecoc:
     weights: np.ndarray  # 2 ** BITS by bits
     trust: np.ndarray  # of bits
 
-    @classmethod
-    def fit(cls, languages: list[str], counts: np.ndarray) -> Ecoc:
-        """counts: languages by 2 ** BITS."""
-        code = codewords(len(languages))
-        p = (counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * counts.shape[1])
-        weights = []
-        for column in code.T:
-            one, zero = p[column > 0], p[column < 0]
-            weights.append(np.log(one.mean(0) / zero.mean(0)) if len(one) and len(zero) else np.zeros(p.shape[1]))
-        return cls(languages, code, np.clip(np.stack(weights, 1), -5, 5).astype(np.float32), np.ones(code.shape[1]))
-
     def margins(self, text: bytes) -> np.ndarray:
         g = grams(text)
         total = np.zeros(self.code.shape[1])
@@ -98,54 +92,82 @@ class Ecoc:
         return int(order[0]), float(score), bool(len(order) > 1 and loss[order[1]] - loss[order[0]] < 0.7)
 
 
-def _sampled(labelled: DataFrame, sample: int, most: int) -> tuple[list[str], DataFrame]:
-    """labelled: lang, key, text. The commonest languages and a sample of about as many texts of each, by a hash of the key."""
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
-    names = sorted(r.lang for r in sizes)
-    if not names:
-        return [], labelled.limit(0)
-    keep = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, sample / r.n))])
-    h = F.pmod(F.xxhash64("key"), F.lit(1 << 31)) / float(1 << 31)
-    return names, labelled.filter(F.col("lang").isin(names)).filter(h < keep[F.col("lang")])
+def bit_weights(counts: np.ndarray, totals: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """N-grams by bits, from counts (languages by n-grams) and each language's n-grams in total: log-odds of the mean frequencies, clipped."""
+    p = (counts + 0.05) / (totals + 0.05 * (1 << BITS))[:, None]
+    one, zero = code > 0, code < 0
+    if not zero.any():
+        return np.zeros((counts.shape[1], code.shape[1]), np.float32)
+    mean = lambda side: p.T @ side / side.sum(0)
+    return np.clip(np.log(mean(one) / mean(zero)), -5, 5).astype(np.float32)
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Ecoc | None:
-    """labelled: lang (not null), key, text. Counts of n-grams reach the driver, at most languages times 2 ** BITS."""
-    names, drawn = _sampled(labelled, sample, most)
-    if not names:
-        return None
-    place = {x: i for i, x in enumerate(names)}
+def _counted(drawn: DataFrame) -> DataFrame:
+    """drawn: k, text. Counts k, gram, n."""
 
     def count(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+            for k, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 g = grams(text)
-                seen = total.setdefault(place[lang], np.zeros(1 << BITS, np.int64))
-                seen += np.bincount(g, minlength=1 << BITS)
-        for k, seen in total.items():
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(seen[at])], names=["k", "gram", "n"])
+                if k not in total:
+                    if len(total) >= 64:  # 32 MB
+                        yield from _rows(total)
+                        total = {}
+                    total[k] = np.zeros(1 << BITS, np.int64)
+                total[k] += np.bincount(g, minlength=1 << BITS)
+        yield from _rows(total)
+
+    return map_batches(drawn, count, "k bigint, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+
 
-    counts = np.zeros((len(names), 1 << BITS))
-    got = map_batches(drawn.select("lang", "text"), count, "k bigint, gram bigint, n bigint").groupBy("k", "gram").agg(F.sum("n").alias("n")).toPandas()
-    counts[got["k"].to_numpy(), got["gram"].to_numpy()] = got["n"]
-    model = Ecoc.fit(names, counts)
+def _rows(total: dict[int, np.ndarray]):
+    for k, seen in total.items():
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(seen[at])], names=["k", "gram", "n"])
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Ecoc | None:
+    """labelled: lang (not null), key, text. A sample of about ``sample`` texts of each language, by a hash of the key, teaches."""
+    sizes = sorted((r.lang, r.n) for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())  # one row a language
+    if not sizes:
+        return None
+    names, code = [x for x, _ in sizes], codewords(len(sizes))
+    table = labelled.sparkSession.createDataFrame([(x, k, min(1.0, sample / n), n >= LEAST_JUDGED) for k, (x, n) in enumerate(sizes)], "lang string, k bigint, share double, many boolean")
+    unit = lambda seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 31)) / float(1 << 31)
+    drawn = labelled.join(F.broadcast(table) if len(sizes) <= 100_000 else table, "lang").filter(unit(0) < F.col("share"))
+    drawn = drawn.select("k", "text", (F.col("many") & (unit(1) < 0.25)).alias("judge"))
+    counts = materialize(_counted(drawn.filter("not judge").select("k", "text")), "grams")
+    totals = np.zeros(len(names))
+    for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row a language
+        totals[r.k] = r.n
+
+    def learn(block: pa.Table) -> pa.Table:
+        gram, first = block.column("gram").to_numpy(), int(block.column("gram")[0].as_py()) >> BLOCK << BLOCK
+        seen = np.zeros((len(names), 1 << BLOCK))
+        seen[block.column("k").to_numpy(), gram - first] = block.column("n").to_numpy()
+        return pa.table({"first": [first], "weights": pa.array([bit_weights(seen, totals, code).tobytes()], pa.binary())})
+
+    weights = np.tile(bit_weights(np.zeros((len(names), 1)), totals, code), (1 << BITS, 1))  # of n-grams that no text has
+    for r in counts.groupBy(F.shiftright("gram", BLOCK)).applyInArrow(learn, "first bigint, weights binary").collect():  # the model: 2 ** BITS by bits
+        weights[r.first : r.first + (1 << BLOCK)] = np.frombuffer(r.weights, np.float32).reshape(-1, code.shape[1])
+    release(counts)
+    model = Ecoc(names, code, weights, np.ones(code.shape[1]))
 
     def judge(batches):
-        right, n = np.zeros(model.code.shape[1], np.int64), 0
+        right, n = np.zeros(code.shape[1], np.int64), 0
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                right += model.margins(text) * model.code[place[lang]] > 0
+            for k, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+                right += model.margins(text) * code[k] > 0
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right))), pa.array(right), pa.array(np.full(len(right), n))], names=["bit", "good", "n"])
 
-    judged = map_batches(drawn.select("lang", "text"), judge, "bit bigint, good bigint, n bigint").groupBy("bit").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()
-    share = np.full(model.code.shape[1], 0.5)
+    judged = map_batches(drawn.filter("judge").select("k", "text"), judge, "bit bigint, good bigint, n bigint").groupBy("bit").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()
+    share = np.full(code.shape[1], 0.5)
     for r in judged:
         share[r.bit] = (r.good + 1) / (r.n + 2)
     trust = np.log(share / (1 - share)).clip(0.1)
-    return Ecoc(names, model.code, model.weights, trust / trust.mean())
+    return Ecoc(names, code, weights, trust / trust.mean())
 
 
 def predict(docs: DataFrame, model: Ecoc | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
