@@ -5,14 +5,17 @@ of the longest as fit, then the bits of the rest from high to low. Each piece is
 own, so no sequence crosses documents; sequences of one length form a bucket and need no padding.
 
 Tokenizing works piece by piece: the tokenizer's pre-tokenizer cuts a text before its merges run, so the
-ids of a text are those of its pieces in a row. Ids of pieces are remembered, up to a bound.
+ids of a text are those of its pieces in a row. Ids of pieces are remembered, up to a bound. That holds for
+the default tokenizer's cuts; for others a text is encoded whole.
 
 Defined results: a null or empty text has the end id alone, one piece of length 1. Repeated rows are
-packed each on its own. An empty table gives no pieces. Further columns are ignored.
+packed each on its own. Texts of any length are packed whole. An empty table gives no pieces. Further
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -42,6 +45,9 @@ class WordTokenizer:
     met again, so frequent pieces stay.
     """
 
+    #: Of the tokenizer whose cuts PLAIN and PIECE follow. Texts for any other are encoded whole.
+    CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMAL = ["NFC", "Replace", "Lowercase"]
     PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
@@ -50,6 +56,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        normal, cuts = (parts.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+        split = next((x for x in cuts.get("pretokenizers", []) if x["type"] == "Split"), {})
+        self.known = [x["type"] for x in normal.get("normalizers", [])] == self.NORMAL and split.get("pattern") == {"Regex": self.CUTS} and split.get("behavior") == "Removed"
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -78,6 +89,9 @@ class WordTokenizer:
         return {p for p in new if len(p) > LONG_WORD}
 
     def ids(self, text: bytes) -> bytes:
+        if not self.known:
+            ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         pieces = self.cut(text)
         seldom = self._learn(set(pieces))
         out = b"".join(map(self.young.__getitem__, pieces))
