@@ -4,7 +4,7 @@ Sources are ranked by code point (null last) and weigh 5, 2, 1, repeating. Targe
 times all words by weight and stop at ``most`` times their source's words; the excess is shared again
 among the rest until none is above. Each source's documents are shuffled by a hash and laid end to
 end; the run of words is cut into blocks of ``block`` words. Slot k of the schedule falls at the
-golden-ratio point frac(k * phi), mapped through the sources' cumulative slot counts; slots are ranked
+golden-ratio point, mapped through the sources' cumulative slot counts; slots are ranked
 within their source, and rank r takes block r modulo the number of blocks, on pass r div that number.
 Discrepancy leaves a source a few slots off; slots beyond its count fall away and missing ones follow
 at the schedule's end, so the words taken differ from the target by less than a block.
@@ -34,6 +34,13 @@ BLOCK = 128
 GOLDEN, CYCLE = 1327217885, 1 << 31
 
 
+def golden_point(k: Column) -> Column:
+    """Point k of the schedule, in [0, 1): frac(k * phi) on a grid of 2 ** 31 cells. Each further cycle of 2 ** 31 slots
+    moves its points within the cells by the golden ratio again, so none repeats below 2 ** 62 slots."""
+    cell = (k % CYCLE * GOLDEN % CYCLE).cast("double")
+    return (cell + (F.floor(k / CYCLE) * GOLDEN % CYCLE).cast("double") / CYCLE) / CYCLE
+
+
 def word_count(text: str | Column) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
@@ -158,8 +165,7 @@ def _schedule(sources: DataFrame) -> DataFrame:
     spark = sources.sparkSession
     n = sources.agg(F.sum("slots")).first()[0] or 0
     step = 4096
-    point = F.col("k") % CYCLE * GOLDEN % CYCLE / CYCLE
-    points = spark.range(n).select(F.col("id").alias("k")).withColumn("at", F.floor(point * n)).withColumn("bin", F.floor(F.col("at") / step))
+    points = spark.range(n).select(F.col("id").alias("k")).withColumn("at", F.least(F.floor(golden_point(F.col("k")) * n), F.lit(n - 1))).withColumn("bin", F.floor(F.col("at") / step))
     spans = sources.filter("slots > 0").select("sid", "slots", "blocks", "first_slot")
     spans = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first_slot") / step), F.floor((F.col("first_slot") + F.col("slots") - 1) / step))))
     hit = (F.col("at") >= F.col("first_slot")) & (F.col("at") < F.col("first_slot") + F.col("slots"))
@@ -177,11 +183,11 @@ def _schedule(sources: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents with all their columns: each as often as the words taken go into its size, rounded. Documents without words are not taken."""
-    rid = "_mix_rid"
-    while rid in docs.columns:
-        rid += "_"
+    rid, copies_, copy_ = "_mix_rid", "_mix_copies", "_mix_copy"
+    while not {rid, copies_, copy_}.isdisjoint(docs.columns):
+        rid, copies_, copy_ = rid + "_", copies_ + "_", copy_ + "_"
     numbered = materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "mix-docs")
     taken = mix(numbered, carry=(rid,), **options).taken([rid]).filter("size > 0")
-    copies = taken.select(F.col(rid), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_mix_copies")).filter("_mix_copies > 0")
-    out = numbered.join(copies, rid).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
+    copies = taken.select(F.col(rid), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(copies_)).filter(F.col(copies_) > 0)
+    out = numbered.join(copies, rid).withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(copies_))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -99,7 +99,7 @@ s7 AS (
   SELECT *, coalesce(sum(slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_slot,
          sum(slots) OVER ()::BIGINT AS n FROM s6),
 k AS (
-  SELECT k, floor((k % 2147483648) * 1327217885 % 2147483648 / 2147483648::DOUBLE * n)::BIGINT AS spot
+  SELECT k, least(floor(((k % 2147483648 * 1327217885 % 2147483648)::DOUBLE + (k // 2147483648 * 1327217885 % 2147483648)::DOUBLE / 2147483648::DOUBLE) / 2147483648::DOUBLE * n)::BIGINT, n - 1) AS spot
   FROM (SELECT max(n)::BIGINT AS n FROM s7), unnest(range(n)) AS u(k)),
 r AS (
   SELECT sid, slots, blocks, row_number() OVER (PARTITION BY sid ORDER BY k) - 1 AS rank
