@@ -1,13 +1,18 @@
 """Quality rules under weak supervision.
 
-Each rule looks at counts of one text and votes good (+1), bad (-1) or abstains (0). A label model
-tells for each rule's kind of fault the texts that have it from those that don't, by every rule's rates of
-votes in both; it is fitted by expectation-maximisation to the counts of all vote patterns (at most 3 ** rules rows, whatever the corpus), and a document is kept when the posterior
-probability of quality reaches ``threshold``, instead of having to pass every rule.
+Each rule looks at counts of one text and votes good (+1), bad (-1) or abstains (0). Nine rules look for
+a kind of fault of their own; four witnesses vote on loose signs that many good texts show too (letters
+beyond ASCII, a repeated sentence or line, brevity), which only count beside other votes. A label model
+tells for each kind of fault the texts that have it from those that don't, by every rule's and witness's
+rates of votes in both. It is fitted by expectation-maximisation to the counts of all vote patterns (at
+most 3 ** 9 * 2 ** 4, whatever the corpus), and a document is kept when the posterior probability of
+quality reaches ``threshold``, instead of having to pass every rule: bad votes of witnesses alone don't
+reject, and one of a rule only does as far as the other votes bear it out.
 
 Defined results: a null or empty text has no words, so the length rule votes bad and the base check
-fails it. Repeated rows are judged each on its own, alike. An empty table gives an empty result.
-Further columns are ignored by :func:`score_quality` and passed through by :func:`filter_quality`.
+fails it. Texts are counted whole, however long. Ties: a posterior equal to the threshold keeps.
+Repeated rows are judged each on its own, alike. An empty table gives an empty result. Further columns
+are ignored by :func:`score_quality` and passed through by :func:`filter_quality`.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,7 @@ from causeway.llm.common import WHITE, map_batches, materialize, texts
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 LETTERS = UPPER + bytes(range(97, 123))
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_bars")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks", "n_bars", "n_stutters")
 WINDOW = 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -73,6 +79,7 @@ def features(text: bytes) -> tuple[int, ...]:
         size - len(text.translate(None, LETTERS)),
         text.count(b"!") + text.count(b"?"),
         text.count(b"|"),
+        sum(map(eq, words, words[1:])),
     )
 
 
@@ -106,10 +113,23 @@ def _rules() -> dict[str, Callable[[dict[str, np.ndarray]], np.ndarray]]:
         "capitals": capitals,
         "marks": lambda f: _between(per_word(f, "n_marks"), 0.1, 0.4),
         "bars": lambda f: _between(per_word(f, "n_bars"), 0.05, 0.2),
+        "stutters": lambda f: _between(per_word(f, "n_stutters"), 0.05, 0.3),
     }
 
 
-RULES = _rules()
+def _witnesses() -> dict[str, Callable[[dict[str, np.ndarray]], np.ndarray]]:
+    """Loose signs of a fault: bad or good, never silent."""
+    against = lambda sign: np.where(sign, -1, 1)
+    return {
+        "letters": lambda f: against(f["n_letters"] < 0.88 * f["word_chars"]),
+        "some_repeats": lambda f: against(f["n_repeat_words"] > 0.02 * f["n_words"]),
+        "some_lines": lambda f: against(f["n_dup_lines"] > 0),
+        "brief": lambda f: against(f["n_words"] < 40),
+    }
+
+
+FAULTS = _rules()
+RULES = FAULTS | _witnesses()
 
 
 def votes(rows: np.ndarray) -> np.ndarray:
@@ -143,19 +163,19 @@ class LabelModel:
     @property
     def accuracy(self) -> np.ndarray:
         """Share of each rule's votes, abstentions left out, that are right of its kind of fault."""
-        rules = np.arange(self.rates.shape[1])
-        kind = rules if len(self.own) > 1 else 0 * rules
+        rules = np.arange(max(len(self.own), 1) if self.own != (-1,) else self.rates.shape[1])
+        kind = 0 * rules if self.own == (-1,) else rules
         bad, good = (1 - self.priors[kind])[:, None] * self.rates[kind, rules, 0], self.priors[kind][:, None] * self.rates[kind, rules, 1]
         return (bad[:, 0] + good[:, 2]) / (bad[:, 0] + bad[:, 2] + good[:, 0] + good[:, 2])
 
     def without(self, v: np.ndarray) -> np.ndarray:
-        """Posterior probability that a fault is absent, patterns by kinds. None is guessed where its rule abstains."""
+        """Posterior probability that a fault is absent, patterns by kinds. It counts as absent where its own rule doesn't vote bad."""
         out = np.ones((len(v), len(self.own)))
         for k, own in enumerate(self.own):
             odds = np.log(np.maximum(self.rates[k, :, 1], 1e-12) / np.maximum(self.rates[k, :, 0], 1e-12))
             total = np.log(self.priors[k] / (1 - self.priors[k])) + odds[np.arange(v.shape[1]), v.astype(np.int64) + 1].sum(1)
             p = 1 / (1 + np.exp(-np.clip(total, -50, 50)))
-            out[:, k] = p if own < 0 else np.where(v[:, own] == 0, 1, p)
+            out[:, k] = p if own < 0 else np.where(v[:, own] == -1, p, 1)
         return out
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
@@ -169,18 +189,17 @@ SEEN_BAD, SEEN_GOOD = np.array([4.0, 3.0]), np.array([0.1, 6.9])
 SELDOM = 1.0
 
 
-def fit_label_model(v: np.ndarray, counts: np.ndarray, rounds: int = 50, false_alarm: float | None = None) -> LabelModel:
+def fit_label_model(v: np.ndarray, counts: np.ndarray, rounds: int = 50, false_alarm: float | None = None, faults: int | None = None) -> LabelModel:
     """Expectation-maximisation over vote patterns, from the guess that a text has the faults that rules find.
 
-    Each rule has a kind of fault of its own, so faults needn't meet in a text, and a common one doesn't
+    Each of the first ``faults`` rules (all, if None) has a kind of fault of its own, so faults needn't meet in a text, and a common one doesn't
     outweigh a rare one. Where a rule's bad votes mostly come with those of others, one alone is taken for
     an error; how often that happens is estimated without a bound. With ``false_alarm``, a bound of that rate,
     all rules are taken to look for one fault instead.
 
     The pseudo-counts keep texts with and without a fault apart, so a corpus of one class is not split in two.
     """
-    rules = v.shape[1]
-    kinds = range(rules) if false_alarm is None else (-1,)
+    kinds = range(v.shape[1] if faults is None else faults) if false_alarm is None else (-1,)
     fits = [_fit_kind(v, counts, own, rounds, false_alarm) for own in kinds]
     return LabelModel(np.array([m.priors[0] for m in fits]), np.concatenate([m.rates for m in fits]), tuple(kinds))
 
@@ -229,9 +248,9 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def fit_on_patterns(patterns: DataFrame) -> LabelModel:
-    """patterns: a column ``votes``. At most 3 ** rules rows reach the driver."""
+    """patterns: a column ``votes``. The distinct patterns reach the driver, at most 3 ** 9 * 2 ** 4."""
     got = patterns.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    return fit_label_model(decode(np.array([r.votes for r in got], np.int64), len(RULES)), np.array([r.n for r in got], np.float64))
+    return fit_label_model(decode(np.array([r.votes for r in got], np.int64), len(RULES)), np.array([r.n for r in got], np.float64), faults=len(FAULTS))
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -246,7 +265,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lookup = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, posterior, strict=True)], "votes bigint, quality double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
-        table.join(F.broadcast(lookup), "votes", "left")  # 3 ** 8 rows at most
+        table.join(F.broadcast(lookup), "votes", "left")  # one row a pattern: 3 ** 9 * 2 ** 4 at most, 5 MB
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
         .withColumnRenamed("id", id_col)
