@@ -115,19 +115,10 @@ statement("p09_price_available", "SELECT m.asset_id, count(c.close) > 0 AS avail
 statement("i01_message_dedup", "SELECT count(*) AS n FROM (SELECT DISTINCT event_id FROM (SELECT event_id FROM {ev} UNION ALL SELECT event_id FROM {ev}) u) t")
 statement("i05_windows_with_grace", "SELECT asset_id, factor, count(*) AS n FROM {ev} WHERE ts < TIMESTAMP_NTZ '2024-01-29 00:00:00' GROUP BY asset_id, factor", "SELECT asset_id, factor, count(*)::BIGINT AS n FROM ev WHERE ts < TIMESTAMP '2024-01-29 00:00:00' GROUP BY asset_id, factor")
 statement("i09_tombstones", "SELECT o_orderkey, o_orderstatus = 'F' AND l.n IS NULL AS tombstone FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_orderkey) l ON l_orderkey = o_orderkey")
-statement("t05_corroboration", "SELECT article_id, (CASE WHEN length(body) > 500 THEN 1 ELSE 0 END) + (CASE WHEN language = 'en' THEN 1 ELSE 0 END) >= 1 AS corroborated FROM {articles}")
-statement("t06_body_veto", "SELECT article_id, CASE WHEN body IS NULL OR length(body) = 0 THEN 'NO_BODY' WHEN strpos(lower(body), 'idiot') > 0 THEN 'VETO' ELSE 'PASS' END AS verdict FROM {articles}".replace("strpos(lower(body), 'idiot')", "position('idiot' IN lower(body))"))
-statement("t11_gated_fallback", "SELECT a.article_id, c.target FROM {articles} a JOIN {causes} c ON c.factor = 'view' AND c.weight > 0.8 WHERE position('and' IN lower(a.title)) > 0")
-statement("t12_ungated_fallback", "SELECT factor, min(target) AS target FROM {causes} GROUP BY factor")
-statement("t13_polarity", "SELECT event_id, CASE WHEN factor = 'error' THEN 'RESOLUTION' WHEN tag = 'CALM' THEN polarity ELSE 'OCCURRENCE' END AS polarity FROM {ev}")
-statement("t16_input_modes", "SELECT article_id, CASE language WHEN 'en' THEN concat(title, ' ', left(body, 100)) WHEN 'fr' THEN title ELSE left(body, 100) END AS input FROM {articles}")
 statement("t20_reviewed_subset", "SELECT d.doc_id FROM {documents} d WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
 statement("v05_shadow_sweep", "SELECT asset_id, count(*) AS pending FROM {sc} WHERE actual IS NULL GROUP BY asset_id ORDER BY pending DESC, asset_id LIMIT 100")
 statement("x03_keyed_inserts", "SELECT doc_id, lang FROM {documents} WHERE doc_id % 2 = 0 UNION SELECT doc_id, lang FROM {documents}")
 statement("x05_split_targets", "SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'labelled' ELSE 'plain' END AS target, count(*) AS n FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY 1")
-statement("x06_predicates", "SELECT event_id, factor IN ('view', 'click') AS accepted, position('r' IN factor) > 0 AS cue FROM {ev}")
-statement("x09_registry_keywords", "SELECT group_id, count(*) AS n FROM {members} GROUP BY group_id")
-statement("x10_rule_assertions", "SELECT count(*) AS faults FROM {causes} c WHERE NOT EXISTS (SELECT 1 FROM {members} m WHERE m.asset_id = c.target OR m.group_id = c.target)")
 statement("x16_provenance", "SELECT event_id, least(minute(ts) + 15, 60) AS expires FROM {ev}")
 statement("x20_stream_identity", "SELECT asset_id, sha2(concat(asset_id, '|', cast(cast(ts AS date) AS string)), 256) AS stream_id, count(*) AS n FROM {ev} GROUP BY asset_id, cast(ts AS date)", "SELECT asset_id, sha256(asset_id || '|' || ts::DATE::VARCHAR) AS stream_id, count(*)::BIGINT AS n FROM ev GROUP BY asset_id, ts::DATE")
 statement("x32_graph_seed", "SELECT asset_id AS node, 'Asset' AS label FROM {members} UNION SELECT group_id, 'AssetGroup' FROM {members}")

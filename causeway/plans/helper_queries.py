@@ -48,14 +48,11 @@ def h40(spark, sf):
     return m.select("asset_id", F.length(u).cast("bigint").alias("n"), (F.substring(u, 15, 1) == "5").alias("version_5"))
 
 
-statement("t07_decision_record", "SELECT event_id, concat_ws('|', factor, 'rule', tag) AS record FROM {ev}", "SELECT event_id, factor || '|rule|' || tag AS record FROM ev")
-statement("t17_extracted_action", "SELECT article_id, lower(split_part(title, ' ', 1)) AS action, cast(NULL AS string) AS actor FROM {articles}", "SELECT article_id, lower(split_part(title, ' ', 1)) AS action, NULL::VARCHAR AS actor FROM articles")
 statement("c10_batch_validator", "SELECT asset_id, cast(cast(ts AS date) AS string) AS day, max(value) > 0 AS positive, count(*) = count(DISTINCT event_id) AS distinct_ids, min(hour(ts)) >= 0 AS bounded FROM {ev} GROUP BY asset_id, cast(ts AS date)")
 
 # --- storage and read models ---
 statement("b05_state_and_outbox", "SELECT kind, count(*) AS n FROM (SELECT 'state' AS kind FROM {decided} UNION ALL SELECT 'outbox' FROM {decided} WHERE direction <> 'NEUTRAL') t GROUP BY kind")
 statement("a13_dead_letters", "SELECT count(*) FILTER (WHERE get_json_object(props, '$.k') IS NOT NULL) AS accepted, count(*) FILTER (WHERE get_json_object(props, '$.k') IS NULL) AS refused FROM {events}", "SELECT (count(*) FILTER (json_extract_string(props, '$.k') IS NOT NULL))::BIGINT AS accepted, (count(*) FILTER (json_extract_string(props, '$.k') IS NULL))::BIGINT AS refused FROM events")
-statement("x07_cluster_assets", "SELECT source_id, count(*) AS n, count(DISTINCT language) AS languages FROM {articles} WHERE length(title) > 0 GROUP BY source_id")
 statement("x12_evidence_stamp", "SELECT d.doc_id, l.doc_id IS NOT NULL AS available FROM {documents} d LEFT JOIN (SELECT DISTINCT doc_id FROM {labels}) l ON d.doc_id = l.doc_id")
 statement("x14_point_reports", "SELECT event_id, cast(get_json_object(props, '$.k') AS int) AS k FROM {events} WHERE event_type = 'purchase'", "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events WHERE event_type = 'purchase'")
 statement("x17_session_reads", "SELECT asset_id, cast(cast(ts AS date) AS string) AS session, count(*) AS samples, max(value) AS high, min(value) AS low FROM {ev} WHERE hour(ts) BETWEEN 9 AND 16 GROUP BY asset_id, cast(ts AS date)")
@@ -63,7 +60,6 @@ statement("x21_job_transitions", "SELECT o_orderkey, CASE WHEN o_orderstatus = '
 statement("x24_allowed_urls", "SELECT page_id, url LIKE 'https://%' AND position('@' IN url) = 0 AS allowed FROM {pages}")
 statement("x25_status_endpoint", "SELECT max(event_id) AS last_event, count(DISTINCT asset_id) AS assets FROM {ev}")
 statement("x29_prompt_excerpt", "SELECT article_id, concat(title, ': ', left(body, 300)) AS prompt FROM {articles}")
-statement("x33_smoke_rules", "SELECT language, count(*) FILTER (WHERE length(title) >= 80) AS full_titles FROM {articles} GROUP BY language")
 statement("x34_trial_budget", "SELECT doc_id, used FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS used FROM {documents}) t WHERE used <= 20000", "SELECT doc_id, used::BIGINT AS used FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS used FROM documents) t WHERE used <= 20000")
 statement("x36_column_backfill", "SELECT doc_id, lang, 'v1' AS schema_version FROM {documents}")
 

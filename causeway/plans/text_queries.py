@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from causeway.functions import text as T
 from causeway.operators import dedup as D
-from causeway.operators import rules as R
 from causeway.plans.registry import register
 from causeway.sources import fixtures as X
 
@@ -152,14 +151,6 @@ def h42(spark, sf):
     return t.orderBy("article_id").limit(50_000).withColumn("used", F.sum("n").over(Window.orderBy("article_id"))).filter("used <= 50000")
 
 
-@register("g05_term_overlap", "WITH b AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: length(x) > 3) AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(list_distinct(a.t), list_distinct(b.t)))::BIGINT AS n FROM b a JOIN b ON a.item_id < b.item_id AND a.item_id % 5 = b.item_id % 5 AND list_has_any(a.t, b.t)")
-def g05(spark, sf):
-    b = X.read(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 5).alias("k"), F.array_distinct(F.filter(T.tokens(F.col("text")), lambda x: F.length(x) > 3)).alias("t"))
-    j = b.alias("a").join(b.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.item_id") < F.col("b.item_id")))
-    n = F.size(F.array_intersect("a.t", "b.t")).cast("bigint")
-    return j.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), n.alias("n")).filter("n > 0")
-
-
 @register("g06_two_pass_dedup", A + f", k AS (SELECT article_id, published_at, substr(sha256(body), 1, 8) AS url, {KEY} AS key FROM articles), p AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY url ORDER BY published_at, article_id) = 1) SELECT article_id FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY published_at, article_id) = 1")
 def g06(spark, sf):
     k = X.articles(spark, sf).select("article_id", "published_at", F.substring(F.sha2("body", 256), 1, 8).alias("url"), T.title_key(F.col("title")).alias("key"))
@@ -169,13 +160,7 @@ def g06(spark, sf):
 
 # --- rules ---
 
-RULES = X.values(R.KEYWORDS, "kw", "keyword, event_type")
 HAY = "' ' || regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g') || ' '"
-SUF = "['', 's', 'es', 'er', 'ar', 'et', 'en', 'ing']"
-SCAN = f"""hay AS (SELECT article_id, {HAY.format('title')} AS th, {HAY.format('body')} AS bh FROM articles),
-hits AS (SELECT article_id, keyword, event_type, min(instr(bh, ' ' || keyword || s || CASE WHEN contains(keyword, ' ') THEN '' ELSE ' ' END)) AS pos
-  FROM hay, kw, unnest({SUF}) AS u(s) WHERE instr(bh, ' ' || keyword || s || CASE WHEN contains(keyword, ' ') THEN '' ELSE ' ' END) > 0 GROUP BY ALL),
-scan AS (SELECT article_id, arg_min(keyword, {{'p': pos, 'l': -length(keyword), 'k': keyword}}) AS keyword, arg_min(event_type, {{'p': pos, 'l': -length(keyword), 'k': keyword}}) AS event_type FROM hits GROUP BY article_id)"""
 
 
 @register("t01_haystack", A + f" SELECT article_id, {HAY.format('title')} AS hay FROM articles")
@@ -183,29 +168,6 @@ def t01(spark, sf):
     return X.articles(spark, sf).select("article_id", T.haystack(F.col("title")).alias("hay"))
 
 
-@register("t02_keyword_match", A + ", " + RULES + ", " + SCAN + " SELECT article_id, keyword FROM hits")
-def t02(spark, sf):
-    return R.hits(X.articles(spark, sf), R.keyword_table(spark), "article_id", "body").select("article_id", "keyword")
-
-
-@register("t03_earliest_keyword", A + ", " + RULES + ", " + SCAN + " SELECT article_id, keyword, event_type FROM scan")
-def t03(spark, sf):
-    return R.earliest(R.hits(X.articles(spark, sf), R.keyword_table(spark), "article_id", "body"), "article_id")
-
-
-@register("t04_classify", A + ", " + RULES + ", " + SCAN + " SELECT a.article_id, coalesce(s.event_type, 'OTHER') AS event_type, CASE WHEN s.event_type IS NULL THEN 'none' ELSE 'body' END AS evidence FROM articles a LEFT JOIN scan s USING (article_id)")
-def t04(spark, sf):
-    a = X.articles(spark, sf)
-    found = R.earliest(R.hits(a, R.keyword_table(spark), "article_id", "body"), "article_id")
-    return a.join(found, "article_id", "left").select("article_id", F.coalesce("event_type", F.lit("OTHER")).alias("event_type"), F.when(F.col("event_type").isNull(), "none").otherwise("body").alias("evidence"))
-
-
-@register("t08_lemma_map", WITH + X.EVENTS + " SELECT event_id, CASE factor WHEN 'view' THEN 'SEE' WHEN 'purchase' THEN 'BUY' WHEN 'error' THEN 'FAIL' ELSE 'OTHER' END AS lemma FROM ev")
-def t08(spark, sf):
-    m = F.create_map(*map(F.lit, ("view", "SEE", "purchase", "BUY", "error", "FAIL")))
-    return X.events(spark, sf).select("event_id", F.coalesce(m[F.col("factor")], F.lit("OTHER")).alias("lemma"))
-
-
 @register("t09_group_fan_out", WITH + X.MEMBERS + " SELECT a.asset_id, list_sort(list(b.asset_id))::VARCHAR AS members FROM members a JOIN members b USING (group_id) GROUP BY a.asset_id")
 def t09(spark, sf):
     m = X.edge_tables(spark)["members"]
@@ -213,23 +175,6 @@ def t09(spark, sf):
     return g.select("asset_id", F.concat(F.lit("["), F.array_join("l", ", "), F.lit("]")).alias("members"))
 
 
-@register("t10_scope_precedence", WITH + X.EVENTS + " SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'COMPANY' WHEN event_id % 4 = 1 THEN 'INDUSTRY' WHEN factor <> 'view' THEN 'EVENT_TYPE' ELSE 'NONE' END AS scope FROM ev")
-def t10(spark, sf):
-    k = F.col("event_id") % 4
-    return X.events(spark, sf).select("event_id", F.coalesce(F.when(k == 0, "COMPANY"), F.when(k == 1, "INDUSTRY"), F.when(F.col("factor") != "view", "EVENT_TYPE"), F.lit("NONE")).alias("scope"))
-
-
-@register("t14_context_tags", A + """ SELECT article_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(body), '(^|[^\\p{L}])(and|und|et)([^\\p{L}]|$)') THEN 'JOINT' END, CASE WHEN length(body) > 2000 THEN 'LONG' END], lambda x: x IS NOT NULL), ',') AS tags FROM articles""")
-def t14(spark, sf):
-    tags = F.array_compact(F.array(F.when(F.lower("body").rlike(r"(^|[^\p{L}])(and|und|et)([^\p{L}]|$)"), "JOINT"), F.when(F.length("body") > 2000, "LONG")))
-    return X.articles(spark, sf).select("article_id", F.array_join(tags, ",").alias("tags"))
-
-
-@register("t15_compatible", WITH + X.EVENTS + " SELECT factor, count(*)::BIGINT AS n FROM ev WHERE factor NOT IN ('error') GROUP BY factor")
-def t15(spark, sf):
-    return X.events(spark, sf).filter(R.compatible(F.col("factor"), F.col("factor"), ("error",))).groupBy("factor").agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("t18_signal_rules", A + """, s AS (SELECT article_id, 'UP' AS direction FROM articles WHERE regexp_matches(lower(title), '(^|\\W)(the|der|la)(\\W|$)') UNION ALL SELECT article_id, 'DOWN' FROM articles WHERE regexp_matches(lower(title), '(^|\\W)(of|und|de)(\\W|$)')) SELECT * FROM s""")
 def t18(spark, sf):
     a = X.articles(spark, sf)
@@ -249,9 +194,3 @@ def t21(spark, sf):
     s = F.sum(F.when(F.col("polarity") == "OCCURRENCE", 1).otherwise(-1))
     major = e.groupBy("polarity").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("polarity", F.struct(-F.col("n"), "polarity")).alias("majority"))
     return e.groupBy("asset_id").agg(F.when(s > 0, "UP").when(s < 0, "DOWN").otherwise("NEUTRAL").alias("weighted")).withColumn("always", F.lit("NEUTRAL")).join(F.broadcast(major))  # one row
-
-
-@register("c11_guards", A + """ SELECT article_id, CASE WHEN regexp_matches(lower(title), 'opinion|column') THEN 'opinion' WHEN regexp_matches(lower(title), '\\?$') THEN 'question' END AS guard FROM articles""")
-def c11(spark, sf):
-    t = F.lower("title")
-    return X.articles(spark, sf).select("article_id", F.when(t.rlike("opinion|column"), "opinion").when(t.rlike(r"\?$"), "question").alias("guard"))
