@@ -100,26 +100,4 @@ def a01(spark, sf):
     return R.feed_items(feed).select("source_id", "title", "url")
 
 
-@register("a04_charset_decode", "SELECT doc_id, length(text)::BIGINT AS n FROM documents")
-def a04(spark, sf):
-    return X.read(spark, sf, "documents").select("doc_id", F.length(R.decoded(F.encode("text", "utf-8"))).cast("bigint").alias("n"))
-
-
-statement("a14_graph_scan", "SELECT factor, direction, count(*) AS n FROM {causes} GROUP BY factor, direction")
-statement("l02_correlation_samples", "SELECT a.asset_id AS source, b.asset_id AS target, count(*) AS n FROM {closes} a JOIN {closes} b ON a.session = b.session AND a.asset_id < b.asset_id GROUP BY 1, 2")
-statement("l05_source_credit", "SELECT factor, greatest(1.0D + sum(CASE WHEN direction = 'UP' THEN 0.5D ELSE 0.0D END), 1.0D) AS alpha FROM {causes} GROUP BY factor", "SELECT factor, greatest(1.0::DOUBLE + sum(CASE WHEN direction = 'UP' THEN 0.5 ELSE 0.0 END::DOUBLE), 1.0::DOUBLE) AS alpha FROM causes GROUP BY factor")
-statement("l06_process_once", "SELECT doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.toxic = 0)")
-statement("l07_edge_state", "SELECT target, coalesce(condition, '-') AS condition, count(*) AS n FROM {causes} GROUP BY 1, 2")
-statement("l08_missing_edges", "SELECT m.asset_id FROM {members} m WHERE NOT EXISTS (SELECT 1 FROM {causes} c WHERE c.target = m.asset_id)")
 statement("p09_price_available", "SELECT m.asset_id, count(c.close) > 0 AS available FROM {members} m LEFT JOIN {closes} c ON c.asset_id = m.asset_id GROUP BY m.asset_id")
-statement("i01_message_dedup", "SELECT count(*) AS n FROM (SELECT DISTINCT event_id FROM (SELECT event_id FROM {ev} UNION ALL SELECT event_id FROM {ev}) u) t")
-statement("i05_windows_with_grace", "SELECT asset_id, factor, count(*) AS n FROM {ev} WHERE ts < TIMESTAMP_NTZ '2024-01-29 00:00:00' GROUP BY asset_id, factor", "SELECT asset_id, factor, count(*)::BIGINT AS n FROM ev WHERE ts < TIMESTAMP '2024-01-29 00:00:00' GROUP BY asset_id, factor")
-statement("i09_tombstones", "SELECT o_orderkey, o_orderstatus = 'F' AND l.n IS NULL AS tombstone FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_orderkey) l ON l_orderkey = o_orderkey")
-statement("t20_reviewed_subset", "SELECT d.doc_id FROM {documents} d WHERE EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
-statement("v05_shadow_sweep", "SELECT asset_id, count(*) AS pending FROM {sc} WHERE actual IS NULL GROUP BY asset_id ORDER BY pending DESC, asset_id LIMIT 100")
-statement("x03_keyed_inserts", "SELECT doc_id, lang FROM {documents} WHERE doc_id % 2 = 0 UNION SELECT doc_id, lang FROM {documents}")
-statement("x05_split_targets", "SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'labelled' ELSE 'plain' END AS target, count(*) AS n FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY 1")
-statement("x16_provenance", "SELECT event_id, least(minute(ts) + 15, 60) AS expires FROM {ev}")
-statement("x20_stream_identity", "SELECT asset_id, sha2(concat(asset_id, '|', cast(cast(ts AS date) AS string)), 256) AS stream_id, count(*) AS n FROM {ev} GROUP BY asset_id, cast(ts AS date)", "SELECT asset_id, sha256(asset_id || '|' || ts::DATE::VARCHAR) AS stream_id, count(*)::BIGINT AS n FROM ev GROUP BY asset_id, ts::DATE")
-statement("x32_graph_seed", "SELECT asset_id AS node, 'Asset' AS label FROM {members} UNION SELECT group_id, 'AssetGroup' FROM {members}")
-statement("x35_corpus_identity", "SELECT sha2(url, 256) AS id, min(page_id) AS page_id FROM {pages} GROUP BY url", "SELECT sha256(url) AS id, min(page_id) AS page_id FROM pages GROUP BY url")

@@ -332,12 +332,6 @@ def l04(spark, sf):
     return L.fold_weights(L.credits(contributions(spark, sf))).withColumn("weight", F.round("weight", 6))
 
 
-@register("p04_contributing_filter", CHAIN + f" SELECT asset_id, {ts('window_start')} AS window_start, count(DISTINCT factor)::BIGINT AS n_factors FROM kept GROUP BY ALL")
-def p04(spark, sf):
-    e = G.resolve(fire(spark, sf).join(G.elevated(X.closes(spark, sf)), "asset_id", "left"))
-    return e.groupBy("asset_id", "window_start").agg(F.count_distinct("factor").alias("n_factors")).select("asset_id", X.stamp("window_start").alias("window_start"), "n_factors")
-
-
 @register("c15_graph_assertions", WITH + ", ".join([X.CAUSES, X.MEMBERS]) + """ SELECT * FROM (SELECT 'orphan_target' AS rule, count(*)::BIGINT AS n FROM causes c WHERE target NOT IN (SELECT asset_id FROM members UNION SELECT group_id FROM members)
 UNION ALL SELECT 'missing_properties', count(*) FROM causes WHERE weight IS NULL OR alpha IS NULL OR beta IS NULL
 UNION ALL SELECT 'conditioned_and_unconditional', count(*) FROM (SELECT factor, target FROM causes GROUP BY ALL HAVING count(*) FILTER (condition IS NULL) > 0 AND count(condition) > 0)

@@ -12,33 +12,12 @@ from causeway.sources import fixtures as X
 from causeway.sources import readers as R
 
 # --- parsers and scans ---
-statement(
-    "a09_price_text",
-    "SELECT event_id, try_cast(replace(regexp_extract(t, '^([0-9]+([.,][0-9]+)?) [A-Z][A-Z][A-Z]$', 1), ',', '.') AS double) AS price, regexp_extract(t, '([A-Z]+)$', 1) AS currency FROM (SELECT event_id, concat(cast(event_id AS string), ',25 SEK') AS t FROM {ev}) u",
-    "SELECT event_id, try_cast(replace(regexp_extract(t, '^([0-9]+([.,][0-9]+)?) [A-Z][A-Z][A-Z]$', 1), ',', '.') AS DOUBLE) AS price, regexp_extract(t, '([A-Z]+)$', 1) AS currency FROM (SELECT event_id, event_id || ',25 SEK' AS t FROM ev) u",
-)
-statement("a02_first_country", "SELECT c_custkey, upper(left(trim(n_name), 2)) AS country FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_name IS NOT NULL")
-statement("a12_mapping_hash", "SELECT asset_id, sha2(concat_ws('|', asset_id, group_id), 256) AS mapping_hash FROM {members}", "SELECT asset_id, sha256(asset_id || '|' || group_id) AS mapping_hash FROM members")
-statement("a18_feed_dates", "SELECT doc_id, date_format(to_timestamp_ntz(concat('2024-01-0', cast(doc_id % 9 + 1 AS string), ' 10:00:00'), 'yyyy-MM-dd HH:mm:ss'), 'yyyy-MM-dd') AS day FROM {documents}", "SELECT doc_id, '2024-01-0' || (doc_id % 9 + 1) AS day FROM documents")
-statement("a16_corpus_order", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM {documents}")
-
-
-@register("a10_registry_faults", "SELECT 'DUPLICATE_ASSET' AS rule, asset_id AS key FROM (SELECT 'A' || (i % 5) AS asset_id FROM range(7) r(i)) GROUP BY asset_id HAVING count(*) > 1")
-def a10(spark, sf):
-    a = spark.range(7).select(F.concat(F.lit("A"), F.col("id") % 5).alias("asset_id"), F.lit("S").alias("provider_symbol"))
-    return R.registry_faults(a)
 
 
 # --- identities, calendars, records ---
-statement("h02_url_variant", r"SELECT page_id, concat(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), CASE WHEN regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) END) AS place FROM {pages}")
-statement("h23_rationale", "SELECT asset_id, left(concat(direction, ' with confidence ', format_number(confidence, 4), ' from ', cast(n_edges AS string), ' edges'), 2000) AS rationale FROM {decided}", "SELECT asset_id, left(direction || ' with confidence ' || printf('%.4f', confidence) || ' from ' || n_edges || ' edges', 2000) AS rationale FROM decided")
-statement("h35_us_summer_time", "SELECT event_id, hour(from_utc_timestamp(ts, 'America/New_York')) AS local_hour FROM {ev}", "SELECT event_id, hour(timezone('America/New_York', timezone('UTC', ts)))::INT AS local_hour FROM ev")
-statement("h36_session_calendar", "SELECT cast(day AS string) AS day, 570 AS opens, 960 AS closes FROM (SELECT DISTINCT cast(ts AS date) AS day FROM {ev}) t WHERE weekday(day) < 5", "SELECT day::VARCHAR AS day, 570 AS opens, 960 AS closes FROM (SELECT DISTINCT ts::DATE AS day FROM ev) t WHERE isodow(day) < 6")
 statement("h38_abandoned", "SELECT asset_id, count(*) AS n FROM {sc} WHERE end_close IS NULL AND settlement < date_sub(DATE '2024-02-10', 7) GROUP BY asset_id", "SELECT asset_id, count(*)::BIGINT AS n FROM sc WHERE end_close IS NULL AND settlement < DATE '2024-02-10' - 7 GROUP BY asset_id")
-statement("h39_evidence_reasons", "SELECT asset_id, window_start IS NOT NULL AS dated, concat_ws(',', CASE WHEN base_close IS NULL THEN 'NO_BASELINE' END, CASE WHEN end_close IS NULL THEN 'NO_SETTLEMENT' END) AS reasons FROM {sc}")
 statement("h32_completion", "SELECT event_id, hour(from_utc_timestamp(ts, 'Europe/London')) * 60 + minute(from_utc_timestamp(ts, 'Europe/London')) >= 960 AS completed FROM {ev}", "SELECT event_id, hour(timezone('Europe/London', timezone('UTC', ts))) * 60 + minute(timezone('Europe/London', timezone('UTC', ts))) >= 960 AS completed FROM ev")
 statement("h34_bar_session", "SELECT event_id, cast(to_date(from_utc_timestamp(ts, 'Asia/Tokyo')) AS string) AS session FROM {ev}", "SELECT event_id, timezone('Asia/Tokyo', timezone('UTC', ts))::DATE::VARCHAR AS session FROM ev")
-statement("h27_score_buckets", "SELECT asset_id, direction = actual AS correct, count(*) AS n FROM {sc} WHERE actual IS NOT NULL GROUP BY 1, 2")
 
 
 @register("h40_name_uuid", "WITH m AS (SELECT asset_id FROM (VALUES ('A0'), ('A1'), ('A28')) v(asset_id)) SELECT asset_id, 36::BIGINT AS n, true AS version_5 FROM m")
@@ -48,23 +27,4 @@ def h40(spark, sf):
     return m.select("asset_id", F.length(u).cast("bigint").alias("n"), (F.substring(u, 15, 1) == "5").alias("version_5"))
 
 
-statement("c10_batch_validator", "SELECT asset_id, cast(cast(ts AS date) AS string) AS day, max(value) > 0 AS positive, count(*) = count(DISTINCT event_id) AS distinct_ids, min(hour(ts)) >= 0 AS bounded FROM {ev} GROUP BY asset_id, cast(ts AS date)")
-
 # --- storage and read models ---
-statement("b05_state_and_outbox", "SELECT kind, count(*) AS n FROM (SELECT 'state' AS kind FROM {decided} UNION ALL SELECT 'outbox' FROM {decided} WHERE direction <> 'NEUTRAL') t GROUP BY kind")
-statement("a13_dead_letters", "SELECT count(*) FILTER (WHERE get_json_object(props, '$.k') IS NOT NULL) AS accepted, count(*) FILTER (WHERE get_json_object(props, '$.k') IS NULL) AS refused FROM {events}", "SELECT (count(*) FILTER (json_extract_string(props, '$.k') IS NOT NULL))::BIGINT AS accepted, (count(*) FILTER (json_extract_string(props, '$.k') IS NULL))::BIGINT AS refused FROM events")
-statement("x12_evidence_stamp", "SELECT d.doc_id, l.doc_id IS NOT NULL AS available FROM {documents} d LEFT JOIN (SELECT DISTINCT doc_id FROM {labels}) l ON d.doc_id = l.doc_id")
-statement("x14_point_reports", "SELECT event_id, cast(get_json_object(props, '$.k') AS int) AS k FROM {events} WHERE event_type = 'purchase'", "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events WHERE event_type = 'purchase'")
-statement("x17_session_reads", "SELECT asset_id, cast(cast(ts AS date) AS string) AS session, count(*) AS samples, max(value) AS high, min(value) AS low FROM {ev} WHERE hour(ts) BETWEEN 9 AND 16 GROUP BY asset_id, cast(ts AS date)")
-statement("x21_job_transitions", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 100000 THEN 'PAUSED' WHEN o_orderstatus = 'P' THEN 'RETRY' ELSE 'DONE' END AS state FROM {orders}")
-statement("x24_allowed_urls", "SELECT page_id, url LIKE 'https://%' AND position('@' IN url) = 0 AS allowed FROM {pages}")
-statement("x25_status_endpoint", "SELECT max(event_id) AS last_event, count(DISTINCT asset_id) AS assets FROM {ev}")
-statement("x29_prompt_excerpt", "SELECT article_id, concat(title, ': ', left(body, 300)) AS prompt FROM {articles}")
-statement("x34_trial_budget", "SELECT doc_id, used FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS used FROM {documents}) t WHERE used <= 20000", "SELECT doc_id, used::BIGINT AS used FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS used FROM documents) t WHERE used <= 20000")
-statement("x36_column_backfill", "SELECT doc_id, lang, 'v1' AS schema_version FROM {documents}")
-
-
-@register("x15_correlation_credit", "WITH " + X.CORRELATIONS + " SELECT source || '->' || target || '|' || condition AS edge_id, round(least(1.0, greatest(0.05, weight + 0.01)), 6) AS weight FROM correlations")
-def x15(spark, sf):
-    c = X.edge_tables(spark)["correlations"].select(F.concat("source", F.lit("->"), "target", F.lit("|"), "condition").alias("edge_id"), "weight", F.lit(0.5).alias("credit"), F.lit(True).alias("is_correct"), F.lit(1).alias("scored_at"), F.lit("p").alias("prediction_id"))
-    return L.fold_weights(c).select("edge_id", F.round("weight", 6).alias("weight"))

@@ -31,22 +31,11 @@ def h03(spark, sf):
     return X.read(spark, sf, "pages").select("page_id", T.host_section(F.col("url")).alias("section"))
 
 
-@register("h07_normalize", A + r" SELECT article_id, left(trim(regexp_replace(body, '\s+', ' ', 'g')), 2000) AS body, regexp_matches(left(body, 200), '(?i)<!doctype html|<html') AS is_page FROM articles")
-def h07(spark, sf):
-    a = X.articles(spark, sf)
-    return a.select("article_id", F.left(T.collapse(F.col("body")), F.lit(2000)).alias("body"), T.looks_like_page(F.col("body")).alias("is_page"))
-
-
 @register("h08_content_hash", A + " SELECT article_id, sha256(coalesce(title, '') || chr(0) || coalesce(body, '')) AS content_hash FROM articles")
 def h08(spark, sf):
     return X.articles(spark, sf).select("article_id", T.content_hash(F.col("title"), F.col("body")).alias("content_hash"))
 
 
-@register("h09_observation_hash", WITH + X.EVENTS + " SELECT event_id, sha256(asset_id || '|' || factor || '|' || tag) AS observation_hash FROM ev")
-def h09(spark, sf):
-    return X.events(spark, sf).select("event_id", F.sha2(F.concat_ws("|", "asset_id", "factor", "tag"), 256).alias("observation_hash"))
-
-
 @register("h10_tokens", A + f" SELECT article_id, len({TOK.format('body')})::BIGINT AS n_tokens, {TOK.format('title')}[1] AS first_token FROM articles")
 def h10(spark, sf):
     t = T.tokens(F.col("body"))
@@ -101,17 +90,6 @@ def h15(spark, sf):
     return X.read(spark, sf, "embeddings").join(centroids(spark, sf), "label").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("c")), 5).alias("similarity"))
 
 
-@register("d14_nearest_centroids", WITH + CENTRE + """, k AS (SELECT vec_id, cv.label AS cluster, round(list_cosine_similarity(embedding::DOUBLE[], c), 9) AS s FROM embeddings e JOIN cv ON e.label % 2 = cv.label % 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cluster) AS rank FROM k) SELECT vec_id, cluster, round(s, 5) AS similarity, rank::INT AS rank FROM r WHERE rank <= 5""")
-def d14(spark, sf):
-    from pyspark.sql import Window
-
-    c = centroids(spark, sf).withColumnRenamed("label", "cluster").withColumn("block", F.col("cluster") % 2)
-    k = X.read(spark, sf, "embeddings").withColumn("block", F.col("label") % 2).join(c, "block").select("vec_id", "cluster", F.round(T.cosine(F.col("embedding"), F.col("c")), 9).alias("s"))
-    r = k.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "cluster"))).filter("rank <= 5")
-    return r.select("vec_id", "cluster", F.round("s", 5).alias("similarity"), "rank")
-
-
 @register("h16_vector_literal", "SELECT vec_id, len(embedding)::BIGINT AS dims FROM embeddings")
 def h16(spark, sf):
     e = X.read(spark, sf, "embeddings")
@@ -126,11 +104,6 @@ def h18(spark, sf):
     return X.articles(spark, sf).select("article_id", T.title_key(F.col("title")).alias("key"))
 
 
-@register("f17_smallest_title", A + f" SELECT source_id, {KEY} AS key, min(article_id) AS article_id FROM articles GROUP BY ALL")
-def f17(spark, sf):
-    return X.articles(spark, sf).groupBy("source_id", T.title_key(F.col("title")).alias("key")).agg(F.min("article_id").alias("article_id"))
-
-
 @register("h05_sentences", A + r" SELECT article_id, (1 + len(regexp_extract_all(trim(body), '[.!?]\s+')))::BIGINT AS n FROM articles")
 def h05(spark, sf):
     return X.articles(spark, sf).select("article_id", F.size(T.sentences(F.trim("body"))).cast("bigint").alias("n"))
@@ -141,16 +114,6 @@ def h40(spark, sf):
     return X.articles(spark, sf).select("article_id", F.substring(F.sha2("title", 256), 1, 24).alias("id"))
 
 
-@register("h42_token_budget", A + """, t AS (SELECT article_id, ceil(length(body) / 4.0)::BIGINT AS n FROM articles),
-c AS (SELECT *, sum(n) OVER (ORDER BY article_id) AS used FROM t) SELECT article_id, n, used::BIGINT AS used FROM c WHERE used <= 50000""")
-def h42(spark, sf):
-    from pyspark.sql import Window
-
-    t = X.articles(spark, sf).select("article_id", F.ceil(F.length("body") / 4.0).cast("bigint").alias("n"))
-    # a day's budget is a small ordered prefix: the largest ids that could fit are cut off before the running sum
-    return t.orderBy("article_id").limit(50_000).withColumn("used", F.sum("n").over(Window.orderBy("article_id"))).filter("used <= 50000")
-
-
 @register("g06_two_pass_dedup", A + f", k AS (SELECT article_id, published_at, substr(sha256(body), 1, 8) AS url, {KEY} AS key FROM articles), p AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY url ORDER BY published_at, article_id) = 1) SELECT article_id FROM p QUALIFY row_number() OVER (PARTITION BY key ORDER BY published_at, article_id) = 1")
 def g06(spark, sf):
     k = X.articles(spark, sf).select("article_id", "published_at", F.substring(F.sha2("body", 256), 1, 8).alias("url"), T.title_key(F.col("title")).alias("key"))
@@ -175,22 +138,7 @@ def t09(spark, sf):
     return g.select("asset_id", F.concat(F.lit("["), F.array_join("l", ", "), F.lit("]")).alias("members"))
 
 
-@register("t18_signal_rules", A + """, s AS (SELECT article_id, 'UP' AS direction FROM articles WHERE regexp_matches(lower(title), '(^|\\W)(the|der|la)(\\W|$)') UNION ALL SELECT article_id, 'DOWN' FROM articles WHERE regexp_matches(lower(title), '(^|\\W)(of|und|de)(\\W|$)')) SELECT * FROM s""")
-def t18(spark, sf):
-    a = X.articles(spark, sf)
-    forces = F.array_compact(F.array(F.when(F.lower("title").rlike(r"(^|\W)(the|der|la)(\W|$)"), "UP"), F.when(F.lower("title").rlike(r"(^|\W)(of|und|de)(\W|$)"), "DOWN")))
-    return a.select("article_id", F.explode(forces).alias("direction"))
-
-
 @register("t19_conflict_contexts", WITH + X.EVENTS + " SELECT asset_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*)::BIGINT AS n FROM ev GROUP BY ALL HAVING count(DISTINCT polarity) = 2 AND count(DISTINCT event_id) >= 2")
 def t19(spark, sf):
     g = X.events(spark, sf).groupBy("asset_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("polarity").alias("p"), F.count_distinct("event_id").alias("e"))
     return g.filter("p = 2 and e >= 2").select("asset_id", X.stamp("h").alias("hour"), "n")
-
-
-@register("t21_rule_baseline", WITH + X.EVENTS + " SELECT asset_id, CASE WHEN sum(CASE polarity WHEN 'OCCURRENCE' THEN 1 ELSE -1 END) > 0 THEN 'UP' WHEN sum(CASE polarity WHEN 'OCCURRENCE' THEN 1 ELSE -1 END) < 0 THEN 'DOWN' ELSE 'NEUTRAL' END AS weighted, 'NEUTRAL' AS always, (SELECT arg_min(polarity, {'n': -n, 'p': polarity}) FROM (SELECT polarity, count(*) AS n FROM ev GROUP BY 1)) AS majority FROM ev GROUP BY asset_id")
-def t21(spark, sf):
-    e = X.events(spark, sf)
-    s = F.sum(F.when(F.col("polarity") == "OCCURRENCE", 1).otherwise(-1))
-    major = e.groupBy("polarity").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("polarity", F.struct(-F.col("n"), "polarity")).alias("majority"))
-    return e.groupBy("asset_id").agg(F.when(s > 0, "UP").when(s < 0, "DOWN").otherwise("NEUTRAL").alias("weighted")).withColumn("always", F.lit("NEUTRAL")).join(F.broadcast(major))  # one row

@@ -117,3 +117,25 @@ CLOSES = EVENTS + """, closes AS (SELECT asset_id, ts::DATE AS session, arg_max(
 def stamp(c):
     """Timestamps without zone as text, alike in every session zone."""
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scheduled point samples of a session from 09:00 to 17:00, every 10 minutes, derived from events of these hours."""
+    e, k = events(spark, sf_dir).filter(F.hour("ts").between(9, 16)), F.col("event_id")
+    either = lambda n, odd, usual: F.when(k % n == 0, odd).otherwise(usual)
+    seconds = lambda x: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), x.cast("double"))
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    slot = F.floor((F.hour("ts") * 60 + F.minute("ts")) / 10) * 600
+    return e.select(
+        k.alias("sample_id"), "asset_id", F.to_date("ts").alias("session"), (day + seconds(F.lit(32400))).alias("opens_at"), (day + seconds(F.lit(61200))).alias("closes_at"),
+        (day + seconds(slot)).alias("scheduled_at"), F.col("ts").alias("observed_at"), (F.col("ts") - seconds(k % 180)).alias("provider_quote_at"), (F.col("ts") + seconds(k % 400)).alias("received_at"),
+        F.col("value").alias("price"), either(19, "EUR", "SEK").alias("currency"), F.lit("UNIT").alias("quote_unit"), either(23, "m2", "m1").alias("mapping_version"), F.lit("r1").alias("registry_version"),
+        either(29, "CLOSE", "LAST").alias("kind"), either(31, "CLOSED", "OPEN").alias("market_state"), either(13, "STALE", "FRESH").alias("quality"), F.lit(600).alias("interval_seconds"),
+    )
+
+
+SAMPLES = """samples AS (SELECT event_id AS sample_id, asset_id, ts::DATE AS session, date_trunc('day', ts) + INTERVAL 9 HOUR AS opens_at, date_trunc('day', ts) + INTERVAL 17 HOUR AS closes_at,
+  time_bucket(INTERVAL 10 MINUTE, ts) AS scheduled_at, ts AS observed_at, ts - to_seconds(event_id % 180) AS provider_quote_at, ts + to_seconds(event_id % 400) AS received_at, value AS price,
+  CASE WHEN event_id % 19 = 0 THEN 'EUR' ELSE 'SEK' END AS currency, 'UNIT' AS quote_unit, CASE WHEN event_id % 23 = 0 THEN 'm2' ELSE 'm1' END AS mapping_version, 'r1' AS registry_version,
+  CASE WHEN event_id % 29 = 0 THEN 'CLOSE' ELSE 'LAST' END AS kind, CASE WHEN event_id % 31 = 0 THEN 'CLOSED' ELSE 'OPEN' END AS market_state, CASE WHEN event_id % 13 = 0 THEN 'STALE' ELSE 'FRESH' END AS quality,
+  600 AS interval_seconds FROM ev WHERE hour(ts) BETWEEN 9 AND 16)"""

@@ -42,10 +42,91 @@ def feed_items(feeds: DataFrame, xml_col: str = "xml", source_col: str = "source
 
 
 def decoded(data: Column, declared: Column | str = "utf-8") -> Column:
-    """Strict UTF-8 if the bytes are valid, Latin-1 if that was declared; null rather than a loss."""
-    declared = F.lit(declared) if isinstance(declared, str) else declared
-    valid = F.is_valid_utf8(data.cast("string"))
-    return F.when(valid, F.regexp_replace(data.cast("string"), "^﻿", "")).when(F.lower(declared).isin("latin-1", "iso-8859-1"), F.decode(data, "ISO-8859-1"))
+    """Text of bytes: by their byte order mark, else strictly by the declared charset, else strict UTF-8; null rather than a loss."""
+    declared = F.lower(F.lit(declared) if isinstance(declared, str) else declared)
+    head = lambda n: F.hex(F.substring(data, 1, n))
+    body = lambda n: F.substring(data, n + 1, 1 << 30)
+    strict = lambda b: F.when(F.is_valid_utf8(b.cast("string")), b.cast("string"))
+    return (
+        F.when(head(3) == "EFBBBF", strict(body(3)))
+        .when(head(2) == "FFFE", F.decode(body(2), "UTF-16LE"))
+        .when(head(2) == "FEFF", F.decode(body(2), "UTF-16BE"))
+        .when(declared.isin("latin-1", "iso-8859-1"), F.decode(data, "ISO-8859-1"))
+        .when(declared.isin("us-ascii", "ascii"), F.when(F.regexp_replace(F.hex(data), "([0-7][0-9A-F])", "") == "", data.cast("string")))
+        .otherwise(strict(data))
+    )
+
+
+NEWS_LIST = "items array<struct<id:bigint,url:string,title:string,published:string>>"
+NEWS_DETAIL = "id bigint, countries array<string>, body string"
+
+
+def news_items(lists: DataFrame, details: DataFrame, json_col: str = "payload") -> DataFrame:
+    """id, url, title, published, country, body: items of list payloads with what their detail payloads add. Items without url, title or date are dropped; the country is the first two-letter code."""
+    items = lists.select(F.explode(F.from_json(json_col, NEWS_LIST)["items"]).alias("i")).select("i.id", F.trim("i.url").alias("url"), F.trim("i.title").alias("title"), parsed_date(F.col("i.published")).alias("published"))
+    more = details.select(F.from_json(json_col, NEWS_DETAIL).alias("d")).select("d.id", F.get(F.filter("d.countries", lambda c: F.trim(c).rlike("^[A-Za-z]{2}$")), F.lit(0)).alias("country"), "d.body")
+    return items.filter("url <> '' and title <> '' and published is not null").join(more, "id", "left").withColumn("country", F.upper(F.trim("country")))
+
+
+MINUTES = "symbol string, at array<bigint>, open array<double>, high array<double>, low array<double>, close array<double>"
+
+
+def minute_bars(payloads: DataFrame, begin: Column, end: Column, now: Column, json_col: str = "payload") -> DataFrame:
+    """symbol, start, open to close, conflict: bars of [begin, end) whose minute is over at ``now`` and whose prices are all there; a bar given twice is one, unless its prices differ."""
+    p = payloads.select(F.from_json(json_col, MINUTES).alias("p")).select("p.*")
+    bars = p.select("symbol", F.explode(F.arrays_zip("at", "open", "high", "low", "close")).alias("b")).select("symbol", F.timestamp_seconds("b.at").cast("timestamp_ntz").alias("start"), "b.open", "b.high", "b.low", "b.close")
+    prices = F.struct("open", "high", "low", "close")
+    full = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull()
+    kept = bars.filter(full & (F.col("start") >= begin) & (F.col("start") < end) & (F.col("start") + F.expr("interval 1 minute") <= now))
+    return kept.groupBy("symbol", "start").agg(F.min(prices).alias("p"), (F.count_distinct(prices) > 1).alias("conflict")).select("symbol", "start", "p.*", "conflict")
+
+
+def price_text(text: Column) -> Column:
+    """Price as a page prints it: spaces between thousands; the last comma or point is the decimal mark unless it parts thousands."""
+    bare = F.regexp_replace(F.regexp_replace(text, "[^0-9,.\\u2212-]", ""), "\u2212", "-")
+    both = F.contains(bare, F.lit(",")) & F.contains(bare, F.lit("."))
+    comma_last = F.instr(F.reverse(bare), ",") < F.instr(F.reverse(bare), ".")
+    plain = F.when(both & comma_last, F.translate(bare, ".", "")).when(both, F.translate(bare, ",", "")).otherwise(bare)
+    return F.translate(plain, ",", ".").try_cast("double")
+
+
+def status_text(text: Column) -> Column:
+    """OPEN, CLOSED, PAUSED or UNKNOWN."""
+    t = F.lower(text)
+    return F.when(t.rlike("halt|pause|suspend"), "PAUSED").when(t.rlike("clos"), "CLOSED").when(t.rlike("open|continuous"), "OPEN").otherwise("UNKNOWN")
+
+
+def delay_seconds(text: Column) -> Column:
+    """Seconds of a quote's delay: 0 for real time, null if it isn't told."""
+    n, t = F.regexp_extract(text, "([0-9]+)", 1).try_cast("int"), F.lower(text)
+    return F.when(t.rlike("real.?time"), F.lit(0)).when(t.rlike("[0-9] *(m|min|minutes)\\b"), n * 60).when(t.rlike("[0-9] *(s|sec|seconds)\\b"), n)
+
+
+def retry_after(text: Column, now: Column) -> Column:
+    """Seconds to wait by a Retry-After header: a number, or a date less ``now``; never negative, null if neither."""
+    until = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, "^[A-Za-z]{3}, *", ""), "GMT$", "+0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
+    return F.greatest(F.lit(0), F.coalesce(F.trim(text).try_cast("bigint"), F.unix_seconds(until) - F.unix_seconds(now.cast("timestamp"))))
+
+
+def allowed_url(url: Column, hosts: tuple[str, ...]) -> Column:
+    """https on one of the hosts or below it, without credentials, port or fragment."""
+    host = F.lower(F.regexp_extract(url, "^https://([^/?#]*)", 1))
+    of = F.lit(False)
+    for h in hosts:
+        of = of | (host == h) | host.endswith("." + h)
+    return F.coalesce(url.startswith("https://") & ~host.contains("@") & ~host.contains(":") & ~url.contains("#") & of, F.lit(False))
+
+
+def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of seed files, JSON lines under ``nodes`` and ``edges``, with their fixed schemas."""
+    nodes = spark.read.schema("id string, label string").json(f"{path}/nodes")
+    edges = spark.read.schema("kind string, source string, target string, direction string, weight double, alpha double, beta double, condition string").json(f"{path}/edges")
+    return nodes, edges
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
 
 
 def registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -56,13 +137,24 @@ def registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def registry_faults(assets: DataFrame) -> DataFrame:
-    """rule and key of every asset id that stands twice or has no provider symbol."""
-    twice = assets.groupBy("asset_id").count().filter("count > 1").select(F.lit("DUPLICATE_ASSET").alias("rule"), F.col("asset_id").alias("key"))
-    return twice.unionByName(assets.filter("provider_symbol is null").select(F.lit("NO_SYMBOL").alias("rule"), F.col("asset_id").alias("key")))
-
-
-def load_corpus(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path)
+    """assets: asset_id, group_id, provider_symbol, currency, fallback. rule and key of every breach of the registry's rules."""
+    fault = lambda rule, df, key="asset_id": df.select(F.lit(rule).alias("rule"), F.col(key).alias("key"))
+    twice = assets.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("group_id").alias("groups"))
+    shared = assets.filter("provider_symbol is not null").groupBy("provider_symbol").agg(F.count_distinct("asset_id").alias("n"))
+    ids = assets.select(F.col("asset_id").alias("fallback")).distinct()
+    return (
+        fault("DUPLICATE_ASSET", twice.filter("n > 1"))
+        .unionByName(fault("SEVERAL_GROUPS", twice.filter("groups > 1")))
+        .unionByName(fault("SHARED_SYMBOL", shared.filter("n > 1"), "provider_symbol"))
+        .unionByName(fault("NO_SYMBOL", assets.filter("provider_symbol is null or trim(provider_symbol) = ''")))
+        .unionByName(fault("BAD_CURRENCY", assets.filter(~F.coalesce(F.col("currency").rlike("^[A-Z]{3}$"), F.lit(False)))))
+        .unionByName(fault("OWN_FALLBACK", assets.filter("fallback = asset_id")))
+        .unionByName(fault("UNKNOWN_FALLBACK", assets.filter("fallback is not null").join(ids, "fallback", "left_anti")))
+    )
+
+
+def load_corpus(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
 def save_corpus(df: DataFrame, path: str, *order: str) -> None:
