@@ -40,9 +40,11 @@ def completed(ts: Column, session: Column, zone: Column | str, close_minute: Col
 
 
 def baseline_session(ts: Column, zone: Column | str, close_minute: Column | int) -> Column:
-    """The last session that is over at ``ts``."""
-    day = to_weekday(local_date(ts, zone))
-    return F.when(completed(ts, day, zone, close_minute), day).otherwise(previous_session(day))
+    """The last session that is over at ``ts``: days back from the local date, by its weekday and whether its session is over."""
+    local = local_time(ts, zone)
+    over, day = F.hour(local) * 60 + F.minute(local) >= close_minute, F.weekday(local)
+    back = F.when(day >= 5, day - 4).when(over, 0).when(day == 0, 3).otherwise(1)
+    return F.date_sub(F.to_date(local), back)
 
 
 def settlement_session(ts: Column, zone: Column | str, close_minute: Column | int) -> Column:

@@ -6,17 +6,26 @@ import hashlib
 import html
 import re
 import unicodedata
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, LongType, StringType
 
-_TAG, _CONTROL, _SPACE = re.compile(r"<[^<>]*>"), re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), re.compile(r"\s+")
+#: Elements whose content is never text; tags that part lines; all others.
+_UNSEEN = re.compile(r"<(script|style|iframe|head|noscript)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_LINE = re.compile(r"</?(?:p|div|br|li|tr)\b[^<>]*>", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-z][^<>]*>|<![^<>]*>", re.I | re.S)
+_PAGE = re.compile(r"<!doctype\s+html|<html\b|<body\b", re.I)
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+#: Letters that UTF-8 leaves behind when read as a one-byte charset.
+_GARBLED = re.compile("[ÃÂâ][\x80-\xbf€-™]")
 
 
 def _repair(text: str) -> str:
     """UTF-8 that was read as Latin-1 or Windows-1252; approximate."""
-    if not re.search("[ÃÂâ][\x80-\xbf€-™]", text):
+    if not _GARBLED.search(text):
         return text
     for codec in ("cp1252", "latin-1"):
         try:
@@ -27,14 +36,24 @@ def _repair(text: str) -> str:
 
 
 def clean(text: str | None, passes: int = 8) -> str:
-    """To a fixed point, in at most ``passes`` rounds."""
+    """Text of a fragment: encoding repaired, markup and hidden elements out, references decoded, NFC, white space in order, a line for each block.
+
+    Repair, markup and references go on until nothing changes. A whole page is no article text, and what doesn't settle in ``passes`` rounds isn't either: both give an empty text.
+    """
     text = text or ""
     for _ in range(passes):
-        new = _SPACE.sub(" ", _CONTROL.sub("", unicodedata.normalize("NFC", html.unescape(_TAG.sub(" ", _repair(text)))))).strip()
+        new = _repair(text)
+        if _PAGE.search(new, 0, 2048):
+            return ""
+        new = html.unescape(_TAG.sub("", _LINE.sub("\n", _UNSEEN.sub("", new))))
         if new == text:
             break
         text = new
-    return text
+    else:
+        return ""
+    text = _CONTROL.sub(" ", unicodedata.normalize("NFC", text).lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n"))
+    lines = (" ".join(line.split()) for line in text.split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 @F.pandas_udf(StringType())
@@ -42,34 +61,37 @@ def clean_text(text: pd.Series) -> pd.Series:
     return text.map(clean)
 
 
-#: Reasons against a sentence, in the order in which they are tried; repetition comes last.
-_AGAINST = {
-    "unrecoverable_encoding": lambda t: "\ufffd" in t,
-    "suspected_mojibake": lambda t: _repair(t) != t,
-    "markup_or_script_residue": re.compile(r"<[/!]?[a-z][^>]*>|\bfunction\s*\(|\bvar\s+\w+\s*=", re.I).search,
-    "boilerplate": re.compile(r"\b(cookies?|subscribe|sign up|all rights reserved|newsletter)\b", re.I).search,
-    "no_linguistic_content": lambda t: not any(map(str.isalpha, t)),
-}
-
-
-def assess(text: str | None) -> dict:
-    """Status of a text by its sentences: usable if none is refused, rejected if none is left, else partial; with the reasons of those refused."""
-    t = clean(text)
-    if not t:
-        return {"status": "rejected", "reasons": ["empty_or_html_page"]}
-    kept, reasons = {}, set()
-    for s in filter(str.strip, re.split(r"(?<=[.!?])\s+|(?<=[。！？])", t)):
-        reason = next((name for name, refuses in _AGAINST.items() if refuses(s)), "repetition" if s.casefold() in kept else None)
-        if reason:
-            reasons.add(reason)
-        else:
-            kept[s.casefold()] = s
-    return {"status": "rejected" if not kept else "partial" if reasons else "usable", "reasons": sorted(reasons)}
-
-
-@F.pandas_udf(StructType([StructField("status", StringType()), StructField("reasons", ArrayType(StringType()))]))
-def assess_text(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(list(text.map(assess)), columns=["status", "reasons"])
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+#: Patterns against a sentence of cleaned text, by reason. The first that applies counts; repetition and texts without a letter come after them.
+AGAINST = (
+    ("unrecoverable_encoding", "\ufffd"),
+    ("suspected_mojibake", "[ÃÂ][\\x{80}-\\x{bf}]|â€|ï»¿"),
+    ("markup_or_script_residue", r"(?i)</?[a-z]+(\s[^>]*)?/?>|\bfunction\s*\w*\s*\(|\b(var|let|const)\s+\w+\s*="),
+    ("boilerplate", r"(?i)\b(accept( all)? cookies|cookie policy|subscribe (now|to)|sign up (now|for)|all rights reserved|our newsletter)\b"),
+)
+
+
+def assess_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs: a unique id and cleaned text. id, status, reasons, usable.
+
+    Each sentence is a row; a sentence met before, whatever its case, is a repetition. A text is usable if none is refused, rejected if none is
+    left, else partial; ``reasons`` of those refused, sorted; ``usable``: the sentences left, by line breaks. Texts with nothing in them are rejected.
+    """
+    parts = F.filter(F.transform(F.split(text_col, r"(?<=[.!?])\s+|(?<=[。！？])|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+    spans = docs.select(F.col(id_col), F.posexplode_outer(parts).alias("at", "s"))
+    why = F.coalesce(*[F.when(F.col("s").rlike(pattern), F.lit(name)) for name, pattern in AGAINST], F.when(~F.col("s").rlike(r"\p{L}"), F.lit("no_linguistic_content")))
+    once = spans.withColumn("why", why).groupBy(id_col, "why", F.lower("s").alias("folded")).agg(F.min("at").alias("at"), F.min_by("s", "at").alias("s"), F.count("s").alias("n"))
+    good = F.col("why").isNull() & F.col("s").isNotNull()
+    kept = F.sort_array(F.collect_list(F.when(good, F.struct("at", "s"))))
+    told = once.groupBy(id_col).agg(kept.alias("kept"), F.collect_set(F.when(F.col("why").isNotNull() & F.col("s").isNotNull(), F.col("why"))).alias("why"), F.bool_or(good & (F.col("n") > 1)).alias("again"), F.sum("n").alias("spans"))
+    reasons = F.array_sort(F.array_union("why", F.when(F.col("again"), F.array(F.lit("repetition"))).otherwise(F.array().cast("array<string>"))))
+    status = F.when(F.size("kept") == 0, "rejected").when(F.size("reasons") > 0, "partial").otherwise("usable")
+    told = told.withColumn("reasons", F.when(F.col("spans") == 0, F.array(F.lit("empty_or_html_page"))).otherwise(reasons))
+    return told.select(id_col, status.alias("status"), "reasons", F.array_join("kept.s", "\n").alias("usable"))
 
 
 @F.pandas_udf(LongType())
@@ -78,17 +100,30 @@ def blake_hash(token: pd.Series) -> pd.Series:
     return token.map(lambda t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "big", signed=True))
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def embed(text: pd.Series) -> pd.Series:
-    """Hashed bag of tokens in 1024 buckets with signs, scaled to length 1."""
+def hashed(text: str | None, dims: int = 1024):
+    """Hashed bag of tokens with signs, scaled to length 1."""
     import numpy as np
 
-    def one(t):
-        v = np.zeros(1024)
-        for token in re.findall(r"\w+", (t or "").lower()):
-            h = hashlib.blake2b(token.encode(), digest_size=8).digest()
-            v[int.from_bytes(h[:4], "big") % 1024] += 1 if h[4] & 1 else -1
-        n = np.sqrt((v * v).sum())
-        return (v / n if n else v).astype("float32")
+    v = np.zeros(dims)
+    for token in re.findall(r"\w+", (text or "").lower()):
+        h = hashlib.blake2b(token.encode(), digest_size=8).digest()
+        v[int.from_bytes(h[:4], "big") % dims] += 1 if h[4] & 1 else -1
+    return v
+
+
+def embedder(model: Callable[[list[str]], Sequence[Sequence[float]]] | None = None) -> Callable[[Column], Column]:
+    """A function from a text column to unit vectors: of ``model``, a function from texts to vectors that is loaded once in each worker, else hashed tokens."""
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        for t in texts:
+            rows = np.asarray(model([x or "" for x in t]) if model else [hashed(x) for x in t], float)
+            scale = np.sqrt((rows * rows).sum(1, keepdims=True)) if len(rows) else 1.0
+            yield pd.Series(list((rows / np.where(scale > 0, scale, 1.0)).astype("float32")))
+
+    return run
+
 
-    return text.map(one)
+embed = embedder()

@@ -25,6 +25,15 @@ def canonical_url(url: Column) -> Column:
     return F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def collector_url(url: Column) -> Column:
+    """As :func:`canonical_url`, but keeping ports, blank values and slashes; an empty path is ``/``."""
+    part = lambda pattern: F.regexp_extract(url, pattern, 1)
+    scheme, host, path = F.lower(part(r"^([A-Za-z][A-Za-z0-9+.-]*)://")), F.lower(part(r"^[^:/?#]+://([^/?#]*)")), part(r"^[^:/?#]+://[^/?#]*([^?#]*)")
+    kept = F.filter(F.split(part(r"^[^?#]*\?([^#]*)"), "&"), lambda p: (p != "") & ~F.lower(p).startswith(TRACKING_PREFIX))
+    query = F.array_join(F.array_sort(kept), "&")
+    return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
 def host_section(url: Column) -> Column:
     """Host without ``www.`` and first path segment, joined by a slash; null if it isn't a URL."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[^:/?#]+://([^/?#:]*)", 1)), r"^www\.", "")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import scoring as S
+from causeway.scratch import materialize
 
 MINUTES = 15
 
@@ -74,19 +75,19 @@ def resolve(edges: DataFrame) -> DataFrame:
 
 
 def elevated(closes: DataFrame, lookback: int = 10, threshold: float = 0.01) -> DataFrame:
-    """Per asset: whether the latest close exceeds the mean of up to ``lookback`` before it by the threshold."""
-    latest = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("session", "close")))), 1, lookback + 1)
-    rows = closes.groupBy("asset_id").agg(latest.alias("r"))
-    before = F.transform(F.slice("r", 2, lookback), lambda x: x["close"])
-    mean = F.aggregate(before, F.lit(0.0), lambda s, x: s + x) / F.size(before)
-    return rows.select("asset_id", F.coalesce((F.size("r") >= 2) & (mean > 0) & (F.col("r")[0]["close"] > mean * (1 + threshold)), F.lit(False)).alias("elevated"))
+    """Per asset: whether the latest close exceeds the mean of up to ``lookback`` before it by the threshold. Older closes are cut off before the shuffle's sort ends."""
+    k = F.row_number().over(Window.partitionBy("asset_id").orderBy(F.desc("session")))
+    rows = closes.withColumn("k", k).filter(F.col("k") <= lookback + 1).groupBy("asset_id").agg(F.max(F.when(F.col("k") == 1, F.col("close"))).alias("latest"), F.avg(F.when(F.col("k") > 1, F.col("close"))).alias("mean"))
+    return rows.select("asset_id", F.coalesce((F.col("mean") > 0) & (F.col("latest") > F.col("mean") * (1 + threshold)), F.lit(False)).alias("elevated"))
 
 
 def propagate(direct: DataFrame, correlations: DataFrame, depth: int = 3, least: float = 0.30) -> DataFrame:
     """Level by level along correlation edges: forces that reach an unvisited asset are summed and decided once.
 
-    direct: context_id, asset_id, direction, confidence. At most ``depth`` joins; assets decided directly count as visited.
+    direct: context_id, asset_id, direction, confidence. At most ``depth`` joins; assets decided directly count as visited. Each level is
+    written, so that none is computed again for the next.
     """
+    direct = materialize(direct.select("context_id", "asset_id", "direction", "confidence"), "direct")
     level = direct.filter(F.col("direction").isin("UP", "DOWN") & (F.col("confidence") >= least)).select("context_id", "asset_id", F.col("direction").alias("from_direction"))
     visited = direct.select("context_id", "asset_id")
     out = None
@@ -94,8 +95,11 @@ def propagate(direct: DataFrame, correlations: DataFrame, depth: int = 3, least:
         e = correlations.withColumnRenamed("source", "asset_id")
         hit = level.join(e, "asset_id").filter(F.col("condition") == F.concat(F.lit("UPSTREAM_"), F.col("from_direction")))
         hit = hit.drop("asset_id").withColumnRenamed("target", "asset_id").join(visited, ["context_id", "asset_id"], "left_anti")
-        decided = decide(hit, ["context_id", "asset_id"]).withColumn("depth", F.lit(hop))
+        # targets whose edges are all neutral have no decision, but count as visited
+        decided = decide(hit, ["context_id", "asset_id"])
+        reached = materialize(hit.select("context_id", "asset_id").distinct().join(decided, ["context_id", "asset_id"], "left"), "level")
+        decided = reached.filter("direction is not null").withColumn("depth", F.lit(hop))
         out = decided if out is None else out.unionByName(decided)
-        visited = visited.unionByName(hit.select("context_id", "asset_id").distinct())
+        visited = visited.unionByName(reached.select("context_id", "asset_id"))
         level = decided.filter(F.col("direction").isin("UP", "DOWN")).select("context_id", "asset_id", F.col("direction").alias("from_direction"))
     return out

@@ -48,3 +48,38 @@ def fold_weights(credited: DataFrame) -> DataFrame:
     steps = F.array_sort(F.collect_list(F.struct("scored_at", "prediction_id", "credit", "is_correct")))
     g = credited.groupBy("edge_id").agg(F.first("weight").alias("weight"), steps.alias("steps"))
     return g.select("edge_id", F.aggregate("steps", F.col("weight"), lambda w, x: S.moved_weight(w, x["credit"], x["is_correct"])).alias("weight"), F.size("steps").cast("bigint").alias("n_steps"))
+
+
+def source_credits(scored: DataFrame) -> DataFrame:
+    """scored: prediction_id, source, is_correct. Each distinct source of a prediction, whatever its case, gets 1/n of it. source, alpha, beta above a prior of one each."""
+    each = scored.select("prediction_id", F.lower(F.trim("source")).alias("source"), "is_correct").filter("source <> ''").distinct()
+    share = each.withColumn("credit", 1.0 / F.count(F.lit(1)).over(Window.partitionBy("prediction_id")))
+    won, lost = (F.sum(F.when(F.col("is_correct") == x, F.col("credit")).otherwise(0.0)) for x in (True, False))
+    return share.groupBy("source").agg(S.posterior(F.lit(1.0), won).alias("alpha"), S.posterior(F.lit(1.0), lost).alias("beta"))
+
+
+def claimed(messages: DataFrame, processed: DataFrame, key: str = "prediction_id") -> DataFrame:
+    """Messages whose key is new, one for each; withdrawn ones are claimed, but not applied."""
+    return messages.dropDuplicates([key]).join(processed.select(key), key, "left_anti").withColumn("applied", F.coalesce(F.col("status") != "WITHDRAWN", F.lit(True)))
+
+
+def write_weights(edges: DataFrame, updates: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """edges: keys, weight; updates: keys, new_weight. The edges with their new weights, and the updates that meet no edge. Null keys equal each other."""
+    e, u = edges.alias("e"), updates.alias("u")
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    written = e.join(u, on, "left").select(*[F.col(f"e.{c}") for c in edges.columns if c != "weight"], F.coalesce("u.new_weight", "e.weight").alias("weight"))
+    return written, u.join(e, on, "left_anti").select("u.*")
+
+
+def learn_edges(samples: DataFrame, causes: DataFrame, pairs: DataFrame, correlations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A learner run: edges estimated from both kinds of samples that neither table has, and how many of each kind were created. Neutral and unconditional ones are left out."""
+
+    def new(rows: DataFrame, have: DataFrame, keys: list[str], kind: str) -> DataFrame:
+        got = estimate(rows.filter("condition is not null"), keys).filter("direction <> 'NEUTRAL'")
+        return got.join(have.select(*keys), keys, "left_anti").select(F.lit(kind).alias("kind"), F.col(keys[0]).alias("source"), F.col(keys[1]).alias("condition"), F.col(keys[2]).alias("target"), "direction", "weight", "alpha", "beta")
+
+    created = new(samples, causes, ["factor", "condition", "target"], "CAUSES").unionByName(new(pairs, correlations, ["source", "condition", "target"], "CORRELATES_WITH"))
+    return created, created.groupBy("kind").agg(F.count(F.lit(1)).alias("created"))

@@ -25,7 +25,8 @@ def h04(spark, sf):
 
 @register("h06_assess_text")
 def h06(spark, sf):
-    return X.articles(spark, sf).select("article_id", K.assess_text("body").alias("a")).select("article_id", "a.status", F.array_join("a.reasons", ",").alias("reasons"))
+    cleaned = X.articles(spark, sf).select("article_id", K.clean_text("body").alias("t"))
+    return K.assess_text(cleaned, "article_id", "t").select("article_id", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
 @register("h11_blake_hash")
@@ -35,7 +36,8 @@ def h11b(spark, sf):
 
 @register("h14_hashing_embedder")
 def h14(spark, sf):
-    return X.articles(spark, sf).select("article_id", K.embed("title").alias("v"))
+    a = X.articles(spark, sf)
+    return a.select("article_id", K.embed(F.concat_ws(" ", "title", "body")).alias("v"))
 
 
 @register("h26_beta_interval")
@@ -64,12 +66,15 @@ def p06(spark, sf):
 
 @register("i02_greedy_dedup")
 def i02(spark, sf):
-    prints = materialize(D.simhash(X.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text"), "prints")
-    pairs = materialize(D.near_pairs(prints, "doc_id"), "pairs")
+    """In order of time a document is dropped if one kept in the 48 hours before is near; documents come ten minutes apart."""
+    docs = X.read(spark, sf, "documents").select("doc_id", "text")
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * 10).cast("int"))
+    prints = materialize(D.simhash(docs, "doc_id", "text").withColumn("at", at), "prints")
+    pairs = materialize(D.near_pairs(prints, "doc_id", at_col="at"), "pairs")
     found = connected_components(pairs.selectExpr("id_a AS a", "id_b AS b"))
     members = found.select("component", "node").union(found.select("component", "component")).distinct().selectExpr("component", "node AS at", "node AS id")
     paired = materialize(pairs.join(members.selectExpr("id AS id_a", "component"), "id_a"), "paired")
-    told = D.greedy(members, paired, 3)
+    told = D.greedy(members, paired)
     return prints.selectExpr("doc_id AS id").join(told, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))  # what has no pair is kept
 
 

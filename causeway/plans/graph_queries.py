@@ -230,11 +230,6 @@ def c06(spark, sf):
     return decided(spark, sf).filter("confidence >= 0.6").select("asset_id", X.stamp("window_start").alias("window_start"), "confidence")
 
 
-@register("d18_close_lookup", WITH + X.CLOSES + " SELECT asset_id, session::VARCHAR AS session, close FROM closes")
-def d18(spark, sf):
-    return X.closes(spark, sf).select("asset_id", F.col("session").cast("string"), "close")
-
-
 @register("f05_latest_window", CHAIN + f" SELECT asset_id, {ts('max(window_start)')} AS window_start, arg_max(direction, window_start) AS direction FROM decided GROUP BY asset_id")
 def f05(spark, sf):
     return decided(spark, sf).groupBy("asset_id").agg(F.max("window_start").alias("w"), F.max_by("direction", "window_start").alias("direction")).select("asset_id", X.stamp("w").alias("window_start"), "direction")

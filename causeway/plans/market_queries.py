@@ -92,7 +92,7 @@ def a07(spark, sf):
     return R.minute_bars(p, at("2024-01-05 00:00:00"), at("2024-01-20 00:00:00"), at("2024-01-18 12:00:30")).select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "open", "conflict")
 
 
-@register("a09_quote_texts", "WITH q AS (SELECT event_id, event_id % 5 AS k, 1000 + event_id % 9000 AS whole, event_id % 100 AS part FROM events) SELECT event_id, CASE WHEN k = 4 THEN NULL ELSE whole + part / 100.0::DOUBLE END AS price, ['OPEN', 'CLOSED', 'PAUSED', 'UNKNOWN', 'OPEN'][k + 1] AS status, CASE k WHEN 0 THEN 0 WHEN 1 THEN 900 WHEN 2 THEN 30 END AS delay FROM q")
+@register("a09_quote_texts", "WITH q AS (SELECT event_id, event_id % 5 AS k, 1000 + event_id % 9000 AS whole, event_id % 100 AS part FROM events) SELECT event_id, CASE WHEN k = 4 THEN NULL ELSE whole + part / 100.0::DOUBLE END AS price, ['OPEN', 'CLOSED', 'PAUSED', 'UNKNOWN', 'OPEN'][k + 1] AS status, CASE k WHEN 0 THEN 0 WHEN 1 THEN 900 WHEN 2 THEN 30 ELSE -1 END AS delay FROM q")
 def a09(spark, sf):
     k, whole = F.col("event_id") % 5, 1000 + F.col("event_id") % 9000
     part = F.lpad((F.col("event_id") % 100).cast("string"), 2, "0")
@@ -100,7 +100,7 @@ def a09(spark, sf):
     pick = lambda *xs: F.element_at(F.array(*[x if not isinstance(x, str) else F.lit(x) for x in xs]), (k + 1).cast("int"))
     price = pick(F.concat(thousands, F.lit(" "), rest, F.lit(","), part, F.lit(" SEK")), F.concat(thousands, F.lit("."), rest, F.lit(","), part), F.concat(thousands, F.lit(","), rest, F.lit("."), part, F.lit(" USD")), F.concat(thousands, rest, F.lit("."), part), "n/a")
     status, delay = pick("Market open", "Closed for today", "Trading halted", "?", "Continuous trading"), pick("Real-time", "15 min delay", "30 s", "unknown", "")
-    return X.read(spark, sf, "events").select("event_id", R.price_text(price).alias("price"), R.status_text(status).alias("status"), R.delay_seconds(delay).alias("delay"))
+    return X.read(spark, sf, "events").select("event_id", R.price_text(price).alias("price"), R.status_text(status).alias("status"), F.coalesce(R.delay_seconds(delay), F.lit(-1)).alias("delay"))
 
 
 @register("a10_registry_faults", """WITH a AS (SELECT 'S' || (s_suppkey % 37) AS asset_id, 'G' || (s_nationkey % 7) AS group_id, CASE WHEN s_suppkey % 10 = 3 THEN NULL ELSE 'P' || (s_suppkey % 50) END AS provider_symbol, CASE WHEN s_suppkey % 9 = 2 THEN 'kr' ELSE 'SEK' END AS currency, CASE s_suppkey % 8 WHEN 1 THEN 'S' || (s_suppkey % 37) WHEN 2 THEN 'S' || (s_suppkey % 60) END AS fallback FROM supplier)
@@ -123,11 +123,11 @@ both("a12_mapping_hash", lambda d: f"""SELECT m.url, {d.matches("m.url", "^https
   FROM {MAPPING} m LEFT JOIN {{members}} k ON k.asset_id = m.asset_id""")
 
 
-@register("a13_consumer", "SELECT event_id, CASE WHEN event_id % 17 = 0 OR json_extract_string(props, '$.k') IS NULL THEN 'POISON' WHEN event_id % 5 = 0 AND event_id % 4 < 3 THEN 'RETRY' WHEN event_id % 5 = 0 THEN 'DEAD' ELSE 'ACK' END AS outcome, CASE WHEN event_id % 17 <> 0 THEN json_extract_string(props, '$.k')::INT END AS k FROM events")
+@register("a13_consumer", "SELECT event_id, CASE WHEN event_id % 17 = 0 OR json_extract_string(props, '$.k') IS NULL THEN 'POISON' WHEN event_id % 5 = 0 AND event_id % 4 < 3 THEN 'RETRY' WHEN event_id % 5 = 0 THEN 'DEAD' ELSE 'ACK' END AS outcome, CASE WHEN event_id % 17 <> 0 THEN json_extract_string(props, '$.k')::INT ELSE -1 END AS k FROM events")
 def a13(spark, sf):
     """Unreadable messages go to quarantine at once, failing ones after three attempts."""
     e = X.read(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 17 == 0, F.expr("left(props, 3)")).otherwise(F.col("props")).alias("payload"), (F.col("event_id") % 4).alias("attempts"), (F.col("event_id") % 5 == 0).alias("failing"))
-    return D.consumed(e, "payload", "k int", F.col("failing")).select("event_id", "outcome", "message.k")
+    return D.consumed(e, "payload", "k int", F.col("failing")).select("event_id", "outcome", F.coalesce("message.k", F.lit(-1)).alias("k"))
 
 
 @register("a14_graph_scan", "WITH " + X.CAUSES + ", " + X.MEMBERS + ", " + X.CORRELATIONS + " SELECT 'CAUSES' AS kind, factor AS source, target, coalesce(condition, '-') AS condition, weight FROM causes UNION ALL SELECT 'MEMBER_OF', asset_id, group_id, '-', NULL FROM members UNION ALL SELECT 'CORRELATES_WITH', source, target, condition, weight FROM correlations")
@@ -175,7 +175,7 @@ def b05(spark, sf):
 
 both("b06_outbox_relay", lambda d: """SELECT o_orderkey, CASE WHEN place IS NULL THEN 'WAITING' WHEN o_orderkey % 9 = 4 THEN 'PENDING' ELSE 'DELIVERED' END AS status, CASE WHEN place IS NOT NULL THEN 1 ELSE 0 END AS attempts
   FROM {orders} o LEFT JOIN (SELECT o_orderkey AS id, 1 AS place FROM {orders} WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 100) c ON o.o_orderkey = c.id WHERE o_orderstatus = 'P'""")
-both("b07_typed_dispatch", lambda d: f"""SELECT event_id, event_type, CASE WHEN event_type = 'purchase' THEN cast({d.json("payload", "$.amount")} AS double) END AS amount, CASE WHEN event_type = 'error' THEN cast({d.json("payload", "$.code")} AS int) END AS code, event_type NOT IN ('purchase', 'error') AS unknown
+both("b07_typed_dispatch", lambda d: f"""SELECT event_id, event_type, CASE WHEN event_type = 'purchase' THEN cast({d.json("payload", "$.amount")} AS double) END AS amount, CASE WHEN event_type = 'error' THEN cast({d.json("payload", "$.code")} AS int) ELSE -1 END AS code, event_type NOT IN ('purchase', 'error') AS unknown
   FROM (SELECT event_id, event_type, CASE event_type WHEN 'purchase' THEN concat(chr(123), '"amount":', cast(event_id % 500 AS string), '.5', chr(125)) WHEN 'error' THEN concat(chr(123), '"code":', cast(event_id % 40 AS string), chr(125)) END AS payload FROM {{events}}) t""")
 both("b08_retention", lambda d: f"""SELECT 'article' AS kind, article_id AS id FROM {{articles}} WHERE published_at >= {d.at("2024-01-31 00:00:00")} - INTERVAL 30 DAY
   UNION ALL SELECT 'outbox', o_orderkey FROM {{orders}} WHERE NOT (o_orderstatus = 'F' AND o_orderdate < {d.at("2001-06-01 00:00:00")} - INTERVAL 7 DAY)""")

@@ -47,14 +47,14 @@ def h11(spark, sf):
     return X.articles(spark, sf).select(F.explode(T.tokens(F.col("title"))).alias("token")).distinct().select("token", T.feature_hash(F.col("token")).alias("h"))
 
 
-SIM = f"""tk AS (SELECT doc_id, unnest({TOK.format("left(text, 2000)")}) AS token FROM documents),
+SIM = f"""tk AS (SELECT doc_id, unnest({TOK.format("text")}) AS token FROM documents),
 tc AS (SELECT doc_id, ('0x' || substr(sha256(token), 1, 15))::BIGINT AS h, count(*) AS n FROM tk GROUP BY doc_id, token),
 bits AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN n ELSE -n END) AS s FROM tc, range(60) r(b) GROUP BY ALL),
 sim AS (SELECT doc_id, sum(CASE WHEN s > 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS simhash FROM bits GROUP BY doc_id)"""
 
 
 def sim(spark, sf):
-    return D.simhash(X.read(spark, sf, "documents").select("doc_id", F.left("text", F.lit(2000)).alias("text")), "doc_id", "text")
+    return D.simhash(X.read(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @register("h12_simhash", WITH + SIM + " SELECT doc_id, simhash FROM sim")
@@ -62,9 +62,11 @@ def h12(spark, sf):
     return sim(spark, sf)
 
 
-@register("d15_near_duplicate_pairs", WITH + SIM + " SELECT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM sim a JOIN sim b ON a.doc_id < b.doc_id AND bit_count(xor(a.simhash, b.simhash)) <= 3")
+@register("d15_near_duplicate_pairs", WITH + SIM + ", st AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 10) AS at FROM sim) SELECT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM st a JOIN st b ON a.doc_id < b.doc_id AND bit_count(xor(a.simhash, b.simhash)) <= 3 AND b.at - a.at <= INTERVAL 48 HOUR AND a.at - b.at <= INTERVAL 48 HOUR")
 def d15(spark, sf):
-    return D.near_pairs(sim(spark, sf), "doc_id")
+    """Documents come ten minutes apart; near ones within 48 hours are paired."""
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * 10).cast("int"))
+    return D.near_pairs(sim(spark, sf).withColumn("at", at), "doc_id", at_col="at")
 
 
 @register("h13_hamming", WITH + SIM + " SELECT doc_id, bit_count(xor(simhash, 0))::INT AS ones FROM sim")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHART = (
     "chart struct<error:string,result:array<struct<meta:struct<currency:string,exchangeTimezoneName:string,symbol:string>,timestamp:array<bigint>,"
@@ -105,7 +106,8 @@ def delay_seconds(text: Column) -> Column:
 def retry_after(text: Column, now: Column) -> Column:
     """Seconds to wait by a Retry-After header: a number, or a date less ``now``; never negative, null if neither."""
     until = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, "^[A-Za-z]{3}, *", ""), "GMT$", "+0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
-    return F.greatest(F.lit(0), F.coalesce(F.trim(text).try_cast("bigint"), F.unix_seconds(until) - F.unix_seconds(now.cast("timestamp"))))
+    wait = F.coalesce(F.trim(text).try_cast("bigint"), F.unix_seconds(until) - F.unix_seconds(now.cast("timestamp")))
+    return F.when(wait < 0, 0).otherwise(wait)
 
 
 def allowed_url(url: Column, hosts: tuple[str, ...]) -> Column:
@@ -160,3 +162,12 @@ def load_corpus(spark: SparkSession, path: str, schema: str | None = None) -> Da
 def save_corpus(df: DataFrame, path: str, *order: str) -> None:
     """JSON lines, range-partitioned and sorted within files; written whole or not at all."""
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(path)
+
+
+def with_schema(df: DataFrame, ddl: str, defaults: dict) -> DataFrame:
+    """df under a schema: columns it lacks, and nulls in columns that have a default, get the default; other columns go."""
+    out = []
+    for f in StructType.fromDDL(ddl).fields:
+        value = F.col(f.name) if f.name in df.columns else F.lit(None)
+        out.append((F.coalesce(value, F.lit(defaults[f.name])) if f.name in defaults else value).cast(f.dataType).alias(f.name))
+    return df.select(*out)

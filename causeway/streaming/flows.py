@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
+from causeway.operators import dedup
 from causeway.session import ship
 
 EVENTS = "message_id string, event_id bigint, ts timestamp, asset_id string, factor string, tag string, polarity string, value double"
@@ -77,3 +79,35 @@ def idempotent(path: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def relayed(pending: DataFrame, failing: Column) -> DataFrame:
+    """Pending rows after an attempt to publish: each has its time; failing ones stay pending."""
+    return pending.withColumn("attempted_at", F.current_timestamp()).withColumn("status", F.when(failing, "PENDING").otherwise("DELIVERED"))
+
+
+def relay(publish: Callable[[list[dict]], list[bool]], path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that publishes each micro-batch from the executors, ``publish`` telling row by row what went out, and logs every row with the time of the attempt."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                p["status"] = ["DELIVERED" if ok else "PENDING" for ok in publish(p.to_dict("records"))]
+                yield p
+
+        out = StructType([*batch.schema.fields, StructField("status", StringType())])
+        batch.mapInPandas(send, out).withColumn("attempted_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def consume(schema: str, path: str, failing: Callable[[DataFrame], Column], **options) -> Callable[[DataFrame, int], None]:
+    """A sink that parts each micro-batch of deliveries into accepted, retried and quarantined ones, under a folder for each."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        out = dedup.consumed(batch, "payload", schema, failing(batch), **options).persist()
+        for folder, outcomes in (("accepted", ["ACK"]), ("retry", ["RETRY"]), ("quarantine", ["POISON", "DEAD"])):
+            out.filter(F.col("outcome").isin(outcomes)).write.mode("overwrite").parquet(f"{path}/{folder}/batch={number}")
+        out.unpersist()
+
+    return write

@@ -53,10 +53,26 @@ def test_beta():
 
 
 def test_cleaning():
-    assert clean.clean("<p>caf&amp;eacute;\x07  x</p>") == "café x"
-    assert clean.clean(None) == "" and clean.assess("")["status"] == "rejected"
-    assert clean.assess("One here. One here. 12 34.") == {"status": "partial", "reasons": ["no_linguistic_content", "repetition"]}
-    assert clean.assess("All is well. Truly so.") == {"status": "usable", "reasons": []}
+    assert clean.clean("<p>caf&amp;eacute;\x07  x</p>one<br>two<script>var x = 1;</script><b>th</b>ree") == "café x\none\ntwothree"
+    assert clean.clean(None) == "" and clean.clean("<!DOCTYPE html><p>whole page</p>") == "" and clean.clean(" <html><body>x") == ""
+    assert clean.clean("cafÃ© ok") == "café ok"
+
+
+@pytest.mark.parametrize(
+    "text, status, reasons, usable",
+    [
+        ("", "rejected", ["empty_or_html_page"], ""),
+        (None, "rejected", ["empty_or_html_page"], ""),
+        ("One here. one HERE. 12 34.", "partial", ["no_linguistic_content", "repetition"], "One here."),
+        ("All is well. Truly so.", "usable", [], "All is well.\nTruly so."),
+        ("Bad \ufffd one. Read function go( now. Our newsletter is here! Fine.", "partial", ["boilerplate", "markup_or_script_residue", "unrecoverable_encoding"], "Fine."),
+        ("var x = 1.", "rejected", ["markup_or_script_residue"], ""),
+        ("Ã\xa9t\xe9 was. 語は。次。", "partial", ["suspected_mojibake"], "語は。\n次。"),
+    ],
+)
+def test_assessment_of_sentences(spark, text, status, reasons, usable):
+    (r,) = clean.assess_text(spark.createDataFrame([(1, text)], "id bigint, t string"), "id", "t").collect()
+    assert (r.status, r.reasons, r.usable) == (status, reasons, usable)
 
 
 def test_greedy_keeps_what_only_a_dropped_copy_resembles(spark):
@@ -81,7 +97,7 @@ def test_readers(spark):
     xml = "<rss><channel><title>t</title><item><title>a</title><link>http://x/1</link><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item><item><title>b</title><link>http://x/2</link></item></channel></rss>"
     got = readers.feed_items(spark.createDataFrame([("s", xml)], "source_id string, xml string")).collect()
     assert [(r.title, r.published) for r in got] == [("a", "2024-01-01 10:00:00")]
-    assert one(spark, readers.decoded(F.lit(b"caf\xe9"), "latin-1")) == "café" and one(spark, readers.decoded(F.lit(b"\xff\xfe"))) is None
+    assert one(spark, readers.decoded(F.lit(b"caf\xe9"), "latin-1")) == "café" and one(spark, readers.decoded(F.lit(b"\xff\xfa"))) is None
 
 
 def test_streams(spark, tmp_path):
