@@ -154,7 +154,7 @@ def test_fingerprints_and_components(docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.deduplicate(nothing).count() == 0
 
 
-@pytest.mark.parametrize("n, shard", [(3000, 1024), (1200, 40)])
+@pytest.mark.parametrize("n, shard", [(3000, 1024), (1200, 40), (1500, 4)])
 def test_links_keep_components_of_dense_groups(spark, n, shard):
     rng = random.Random(n)
     centre = rng.getrandbits(64)
@@ -174,13 +174,32 @@ def test_links_keep_components_of_dense_groups(spark, n, shard):
     assert union(len(f), [(at[a], at[b]) for a, b in edges]) == union(len(f), pairs)
 
 
-def test_subspaces_share_a_block():
+def test_near_fingerprints_meet_in_a_shard():
     rng = random.Random(0)
-    for n in (100, 10**8, 10**11):
-        masks = simhash.subspaces(n)
-        for _ in range(200):
-            x = sum(1 << b for b in rng.sample(range(64), 4))
-            assert any(x & (m % (1 << 64)) == 0 for m in masks)
+    for levels in (1, 3, 8):
+        for _ in range(150):
+            x = rng.getrandbits(64)
+            y = x
+            for b in rng.sample(range(64), rng.randint(0, 4)):
+                y ^= 1 << b
+            cells, who, used = simhash.route(np.array([x, y], np.uint64), levels, 2)
+            homes = {int(f): set(cells[(who == f) & (used == 0)].tolist()) for f in who.tolist()}
+            assert any(homes[a] & set(cells[who == b].tolist()) for a, b in ((x, y), (y, x)))
+
+
+def test_trees_split_and_prune():
+    rng = np.random.default_rng(1)
+    f = np.unique(rng.integers(0, 1 << 63, 100_000).astype(np.uint64) << np.uint64(1))
+    cells, who, used = simhash.route(f, simhash.shard_levels(len(f), simhash.SHARD), 2)
+    order = np.argsort(cells, kind="stable")
+    cells, who, used = cells[order], who[order], used[order]
+    cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+    compared = 0
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        home = used[i:j] == 0
+        if home.any():
+            compared += simhash.Search(who[i:j][home], who[i:j][~home], used[i:j][~home], int(cells[i]) >> 24, 3, 4).compared
+    assert len(cuts) > 200 and compared < 0.1 * len(f) ** 2 / 2
 
 
 def test_components(spark):
@@ -214,18 +233,6 @@ def test_language_model(docs, nothing):
     assert lm.score(nothing, learnable("doc_id", 5)).count() == 0
 
 
-def test_predictive_probabilities_sum_to_one(docs):
-    rows = lm._chunks(docs.selectExpr("doc_id AS id", "true AS learn", "text"), 1000, 3).filter("shard is not null")
-    m = lm.fit(rows)
-    t = m.totals
-    for u in range(lm.BUCKETS + 1):
-        total = t.parent_of(np.zeros(1), np.zeros(1))[0] * t.back_off()[u]
-        for r in m.table.collect():
-            _, of, pairs, k, roots = lm._thawed(r.data)
-            total += (t.parent_of(k, roots) * t.back_off()[u]).sum() + (pairs["n"] - t.discount * pairs["t"])[pairs["u"] == u].sum()
-        assert total / (t.strength + t.customers[u]) == pytest.approx(1, abs=1e-6)
-
-
 def test_seating_follows_the_exact_distribution():
     rng, d, n, weight = np.random.default_rng(1), 0.6, 5, 0.8
     s = {(0, 0): 1.0}
