@@ -36,6 +36,28 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def materialize_by(df: DataFrame, column: str, values: list[str], name: str = "table") -> list[DataFrame]:
+    """As :func:`materialize`, a table for each of the values that a text column takes; each is released on its own."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/causeway-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    rest = df.drop(column)
+    out = []
+    for value in values:
+        part = f"{path}/{column}={value}"
+        _scratch[part] = spark
+        found = _exists(spark, part)
+        table = spark.read.schema(rest.schema).parquet(part) if found else spark.createDataFrame([], rest.schema)
+        table._causeway_path = part
+        out.append(table)
+    return out
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def release(df: DataFrame) -> None:
     """Delete the scratch table behind a DataFrame that :func:`materialize` returned."""
     path = getattr(df, "_causeway_path", None)
