@@ -1,7 +1,7 @@
 """Language model scores from a hierarchical Pitman-Yor model.
 
 Tokens are words and one end for each text. Every context, the word before (the end, at the beginning),
-has a restaurant, known by the word's 64-bit hash; all share the unigram restaurant as parent, whose base
+has a restaurant, known by the word's code; all share the unigram restaurant as parent, whose base
 is uniform over the vocabulary and one unknown word. Seating is sampled by Gibbs: in turn each dish's number of
 tables in a context is drawn given all others, from its conditional probability under the Chinese
 restaurant process (generalised Stirling numbers times the parent's predictive probability), then the
@@ -17,14 +17,18 @@ many as the word's own, as each word but the end is followed by one token, and e
 cut into chunks of about ``chunk`` bytes; a chunk sends each shard its distinct words with their
 contexts and counts, and gets back what their probabilities are made of. No vocabulary is broadcast or held whole.
 
+Words are coded for the wire: the commonest of a bounded sample (``CODES`` at most, 1 MB) by their rank, all others by 48 bits of their
+hash. The table only shortens what is sent; any other gives the same contexts.
+
 Defined results: a null or empty text has the end alone. Rows with a null id are scored, but not
-learned from. With nothing to learn from, all tokens are unknown. Repeated rows count, and are scored,
-each on its own. Further columns are ignored.
+learned from. With nothing to learn from, all tokens are unknown. Texts are scored whole, however long. Repeated rows count,
+and are scored, each on its own. An empty table gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -36,12 +40,81 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import LOWER, map_batches, materialize, release, texts
+from causeway.llm.common import LOWER, map_batches, materialize, materialize_by, release, texts
 
 CHUNK, SHARD, END = 8_000_000, 12_000_000, b" "  # no word holds a space
 SHIFT = 32  # a chunk's word numbers fit 30 bits
 MERGE = 4_000_000  # pairs of a shard that may wait to be merged
 SEEN = np.dtype([("u", "<u8"), ("n", "<f8"), ("t", "<f4")])
+CODES, SAMPLE = 1 << 17, 32_000_000  # words with a rank; bytes of text that they are found in
+BITS = 48
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as one string of all first bytes, one of all second bytes, and so on."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack(codes: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Codes as marks of those that are hashes, the ranks, and the hashes' 48 bits."""
+    hashed = codes >> np.uint64(BITS) != 0
+    rest = np.ascontiguousarray(codes[hashed].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8])
+    return np.packbits(hashed).tobytes(), planes(codes[~hashed].astype("<u4")), rest.tobytes()
+
+
+def unpack(marks: bytes, ranks: bytes, rest: bytes) -> np.ndarray:
+    few, many = unplanes(ranks, "<u4"), np.frombuffer(rest, np.uint8).reshape(-1, BITS // 8)
+    hashed = np.unpackbits(np.frombuffer(marks, np.uint8), count=len(few) + len(many)).astype(bool)
+    out = np.empty(len(hashed), np.uint64)
+    out[~hashed] = few
+    wide = np.zeros((len(many), 8), np.uint8)
+    wide[:, : BITS // 8] = many
+    wide[:, BITS // 8] = 1
+    out[hashed] = wide.view("<u8").ravel()
+    return out
+
+
+class Codebook:
+    """Codes of words by their 64-bit hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        """hashes: of the commonest words, in order of rank."""
+        self.rank = np.argsort(hashes, kind="stable").astype(np.uint64)
+        self.hashes = hashes[self.rank.astype(np.int64)]
+
+    def code(self, h: np.ndarray) -> np.ndarray:
+        out = h & np.uint64((1 << BITS) - 1) | np.uint64(1 << BITS)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[at] == h
+            out[hit] = self.rank[at[hit]]
+        return out
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        return self.code(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+
+
+def codebook(rows: DataFrame, size: int, most: int = CODES, sample: int = SAMPLE) -> Codebook:
+    """rows: id, learn, text of ``size`` bytes. Hashes of up to ``most`` words reach the driver."""
+
+    def count(batches):
+        seen: Counter = Counter()
+        for b in batches:
+            for text in texts(b.column(0)):
+                seen.update(text.translate(LOWER).split())
+                seen[END] += 1
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
+
+    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 31)) < int((1 << 31) * min(1.0, sample / max(size, 1)))).select("text")
+    counts = map_batches(drawn, count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    got = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow().column(0)
+    return Codebook(np.array(got.to_pylist(), np.int64).view(np.uint64))
 
 
 def freeze(*parts: bytes) -> bytes:
@@ -65,7 +138,8 @@ def thaw(blob: bytes) -> list[bytes]:
 class Chunk:
     """Texts in local word numbers, ordered by shard, with the counts of (word, context)."""
 
-    def __init__(self, shards: int):
+    def __init__(self, shards: int, book: Codebook):
+        self.book = book
         self.shards, self.words, self.tokens, self.docs, self.size = shards, {}, [], [], 0
 
     def add(self, doc, learn: bool, text: bytes) -> None:
@@ -81,7 +155,7 @@ class Chunk:
     def rows(self, number: int, kind: pa.DataType):
         """Document rows, the first with the chunk's tokens, then a row for each shard of its words."""
         vocabulary = list(self.words)
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
+        h = self.book.codes(vocabulary)
         shard = shard_of(h, self.shards)
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), np.int32)
@@ -94,7 +168,7 @@ class Chunk:
         learned = np.add.reduceat(keys & 1, first)
         asked = keys[first] >> 1
         of = asked >> SHIFT
-        data = freeze(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T).tobytes())
+        data = freeze(planes(tokens))
         h = h[order]
         k = len(self.docs)
         nothing = lambda m, t: pa.nulls(m, t)
@@ -108,7 +182,7 @@ class Chunk:
         for i, j, p, q in zip(cuts, cuts[1:], ends, ends[1:], strict=False):
             names = [vocabulary[x] for x in order[i:j]]
             sizes = np.bincount(of[p:q] - i, minlength=j - i)
-            blobs.append(freeze(_lengths(names), b"".join(names), sizes.astype("<u4").tobytes(), h[asked[p:q] & (1 << SHIFT) - 1].astype("<u8").tobytes(), learned[p:q].astype("<u4").tobytes()))
+            blobs.append(freeze(_lengths(names), b"".join(names), planes(sizes.astype("<u4")), planes(learned[p:q].astype("<u4")), *pack(h[asked[p:q] & (1 << SHIFT) - 1])))
         m = len(blobs)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(m, number)), nothing(m, kind), nothing(m, pa.bool_()), nothing(m, pa.int64()), pa.array(np.unique(shard).astype(np.int64)), pa.array(blobs, pa.binary())], names=ROW
@@ -118,8 +192,9 @@ class Chunk:
 ROW = ["chunk", "id", "learn", "n", "shard", "data"]
 
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return (h >> np.uint64(16)) % np.uint64(shards)
+def shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)
 
 
 def contexts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -131,20 +206,20 @@ def contexts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _lengths(words: list[bytes]) -> bytes:
-    return np.fromiter(map(len, words), "<u4", len(words)).tobytes()
+    return planes(np.fromiter(map(len, words), "<u4", len(words)))
 
 
 def _names(lengths: bytes, data: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(lengths, "<u4").astype(np.int64)).tolist()
+    ends = np.cumsum(unplanes(lengths, "<u4").astype(np.int64)).tolist()
     return [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
-def _chunks(docs: DataFrame, chunk: int, shards: int) -> DataFrame:
+def _chunks(docs: DataFrame, chunk: int, shards: int, book: Codebook) -> DataFrame:
     """docs: id, learn, text. Rows of :class:`Chunk`."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        number, now, arrow = TaskContext.get().partitionId() << 20, Chunk(shards), None
+        number, now, arrow = TaskContext.get().partitionId() << 20, Chunk(shards, book), None
         for b in batches:
             arrow = b.schema.field(0).type
             for at in range(0, len(b), 256):
@@ -153,7 +228,7 @@ def _chunks(docs: DataFrame, chunk: int, shards: int) -> DataFrame:
                     now.add(doc, learn, text)
                     if now.size >= chunk:
                         yield from now.rows(number, arrow)
-                        number, now = number + 1, Chunk(shards)
+                        number, now = number + 1, Chunk(shards, book)
         if now.docs:
             yield from now.rows(number, arrow)
 
@@ -167,15 +242,15 @@ class Shard:
         self.words, self.parts, self.waiting = {}, [], 0
 
     def add(self, blob: bytes) -> None:
-        lengths, names, sizes, u, n = thaw(blob)
+        lengths, names, sizes, n, *u = thaw(blob)
         known, names = self.words, _names(lengths, names)
         for w in names:
             if w not in known:
                 known[w] = len(known)
-        of = np.repeat(np.fromiter(map(known.__getitem__, names), np.int64, len(names)), np.frombuffer(sizes, "<u4"))
-        n = np.frombuffer(n, "<u4")
+        of = np.repeat(np.fromiter(map(known.__getitem__, names), np.int64, len(names)), unplanes(sizes, "<u4"))
+        n = unplanes(n, "<u4")
         some = n > 0
-        self.parts.append((of[some], np.frombuffer(u, "<u8")[some], n[some].astype(np.float64)))
+        self.parts.append((of[some], unpack(*u)[some], n[some].astype(np.float64)))
         self.waiting += len(self.parts[-1][0])
         if self.waiting > MERGE:
             self.merge()
@@ -212,7 +287,8 @@ FITTED = "shard bigint, data binary, sums array<double>"
 def _fitted_batch(shard: int, words: list[bytes], of: np.ndarray, pairs: np.ndarray, k: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
     """A shard's words and seating, and its sums: customers, tables, ones and twos, then words, parent customers and roots."""
     sums = [x.sum() for x in (pairs["n"], pairs["t"].astype(np.float64), pairs["n"] == 1, pairs["n"] == 2)]
-    data = freeze(_lengths(words), b"".join(words), np.bincount(of, minlength=len(words)).astype("<u4").tobytes(), *(pairs[x].tobytes() for x in SEEN.names), k.astype("<f8").tobytes(), r.astype("<f8").tobytes())
+    sizes = np.bincount(of, minlength=len(words)).astype("<u4")
+    data = freeze(_lengths(words), b"".join(words), planes(sizes), planes(pairs["n"].astype("<u4")), planes(pairs["t"].copy()), planes(k.astype("<f8")), planes(r.astype("<f8")), *pack(pairs["u"]))
     flat = [*map(float, sums), float(len(words)), float(k.sum()), float(r.sum())]
     return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([data], pa.binary()), pa.array([flat], pa.list_(pa.float64()))], names=["shard", "data", "sums"])
 
@@ -238,12 +314,11 @@ def _merged(shard: int, now: Shard) -> pa.RecordBatch:
 
 def _thawed(data: bytes):
     """Words, pairs' word numbers, pairs, parent customers, roots."""
-    lengths, names, sizes, u, n, t, k, r = thaw(data)
-    sizes = np.frombuffer(sizes, "<u4")
-    pairs = np.zeros(len(u) // 8, SEEN)
-    for name, x in zip(SEEN.names, (u, n, t), strict=True):
-        pairs[name] = np.frombuffer(x, SEEN[name])
-    return _names(lengths, names), np.repeat(np.arange(len(sizes)), sizes), pairs, np.frombuffer(k, "<f8"), np.frombuffer(r, "<f8")
+    lengths, names, sizes, n, t, k, r, *u = thaw(data)
+    sizes = unplanes(sizes, "<u4")
+    pairs = np.zeros(len(n) // 4, SEEN)
+    pairs["u"], pairs["n"], pairs["t"] = unpack(*u), unplanes(n, "<u4"), unplanes(t, "<f4")
+    return _names(lengths, names), np.repeat(np.arange(len(sizes)), sizes), pairs, unplanes(k, "<f8"), unplanes(r, "<f8")
 
 
 # --- restaurants ---
@@ -277,19 +352,19 @@ def restaurants(table: DataFrame, shards: int, reply: bool) -> DataFrame:
             for shard, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 _, _, pairs, _, _ = _thawed(data)
                 u, at, own = _of_contexts(pairs["u"], shards)
-                t = np.bincount(at, pairs["t"], len(u)).astype("<f8")
+                t = np.bincount(at, pairs["t"], len(u)).astype("<f4")
                 to = np.unique(own)
                 cuts = [*np.searchsorted(own, to).tolist(), len(own)]
-                yield _sent(to.tolist(), [shard] * len(to), [freeze(u[i:j].tobytes(), t[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)])
+                yield _sent(to.tolist(), [shard] * len(to), [freeze(planes(t[i:j]), *pack(u[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)])
 
     def total(shard, froms, parts):
-        u, t = (np.concatenate([np.frombuffer(p[i], kind) for p in parts]) for i, kind in enumerate(("<u8", "<f8")))
+        u, t = (np.concatenate(x) for x in zip(*parts, strict=True))
         distinct, at = np.unique(u, return_inverse=True)
         sums = np.bincount(at, t, len(distinct))
         if not reply:
-            return _sent([shard], [-1], [freeze(distinct.tobytes(), sums.astype("<f8").tobytes())])
-        ends = np.cumsum([len(p[0]) // 8 for p in parts]).tolist()
-        return _sent(froms, [shard] * len(froms), [freeze(sums[at[i:j]].astype("<f8").tobytes()) for i, j in zip([0, *ends], ends, strict=False)])
+            return _sent([shard], [-1], [freeze(planes(sums.astype("<f8")), *pack(distinct))])
+        ends = np.cumsum([len(p[0]) for p in parts]).tolist()
+        return _sent(froms, [shard] * len(froms), [freeze(planes(sums[at[i:j]].astype("<f4"))) for i, j in zip([0, *ends], ends, strict=False)])
 
     def add(batches):
         shard, froms, parts = None, [], []
@@ -299,7 +374,8 @@ def restaurants(table: DataFrame, shards: int, reply: bool) -> DataFrame:
                     yield total(shard, froms, parts)
                 shard, froms, parts = at, [], []
             froms.append(of)
-            parts.append(thaw(data))
+            t, *u = thaw(data)
+            parts.append((unpack(*u), unplanes(t, "<f4").astype(float)))
         if parts:
             yield total(shard, froms, parts)
 
@@ -386,7 +462,7 @@ def _sampler(totals: Totals, shards: int, burn: int, sweeps: int):
     def sample(shard: int, data: bytes, replies: list[bytes]) -> pa.RecordBatch:
         words, word, pairs, _, _ = _thawed(data)
         contexts_, u, _ = _of_contexts(pairs["u"], shards)
-        n, everywhere = pairs["n"], np.concatenate([np.frombuffer(thaw(x)[0], "<f8") for x in replies])
+        n, everywhere = pairs["n"], np.concatenate([unplanes(thaw(x)[0], "<f4") for x in replies]).astype(float)
         rng = np.random.default_rng(shard)
         t, many = np.ones(len(n)), np.flatnonzero(n > 1)
         count = lambda x: np.bincount(word, x, len(words))
@@ -462,8 +538,11 @@ def fit(rows: DataFrame, shards: int, burn: int = 3, sweeps: int = 4) -> Model:
 
 # --- scoring ---
 
+#: Of a chunk's words: count, parent's probability, tables as a context; of its pairs: c_uw - d t_uw.
+ANSWER = ("<u8", "<f4", "<f4", "<f4")
+
 
-def _answers(totals: Totals):
+def _answers(totals: Totals, book: Codebook):
     """mapInArrow over (shard, number, data) sorted by both, each shard's seating first (number -2), then its contexts' tables (-1), then chunks: of the chunk's words counts, parent's probabilities and tables as a context; of its pairs c_uw - d t_uw."""
 
     def run(batches):
@@ -480,19 +559,20 @@ def _answers(totals: Totals):
                 start = np.searchsorted(of, np.arange(len(words) + 1))
                 continue
             if number == -1:
-                h, tables = (np.frombuffer(x, kind) for x, kind in zip(thaw(data), ("<u8", "<f8"), strict=True))
+                t, *codes = thaw(data)
+                h, tables = unpack(*codes), unplanes(t, "<f8")
                 continue
-            lengths, names, sizes, asked, _ = thaw(data)
-            names, asked = _names(lengths, names), np.frombuffer(asked, "<u8")
+            lengths, names, sizes, _, *asked = thaw(data)
+            names, asked, sizes = _names(lengths, names), unpack(*asked), unplanes(sizes, "<u4")
             place = np.array([known.get(w, -1) for w in names], np.int64)
             seen = place >= 0
             counts, parents, as_context = np.zeros(len(place)), np.full(len(place), totals.parent_of(np.zeros(1), np.zeros(1))[0]), np.zeros(len(place))
             counts[seen], parents[seen] = count[place[seen]], parent[place[seen]]
             if len(h):
-                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+                hashes = book.codes(names)
                 hit = np.minimum(np.searchsorted(h, hashes), len(h) - 1)
                 as_context = np.where(h[hit] == hashes, tables[hit], 0)
-            word = np.repeat(place, np.frombuffer(sizes, "<u4"))
+            word = np.repeat(place, sizes)
             low, high = start[np.maximum(word, 0)].copy(), np.where(word >= 0, start[np.maximum(word, 0) + 1], 0) if len(u) else np.zeros(len(word), np.int64)
             last = high
             while (low < high).any():  # binary search among each word's contexts
@@ -504,7 +584,7 @@ def _answers(totals: Totals):
                 hit = np.minimum(low, len(u) - 1)
                 mine = np.where((low < last) & (u[hit] == asked), own[hit], 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([shard]), pa.array([freeze(counts.astype("<u8").tobytes(), parents.astype("<f8").tobytes(), as_context.astype("<f4").tobytes(), mine.astype("<f4").tobytes())], pa.binary())], names=["chunk", "shard", "data"]
+                [pa.array([number]), pa.array([shard]), pa.array([freeze(*(planes(x.astype(kind)) for x, kind in zip((counts, parents, as_context, mine), ANSWER, strict=True)))], pa.binary())], names=["chunk", "shard", "data"]
             )
 
     return run
@@ -518,8 +598,8 @@ def _scorer(totals: Totals):
         docs = docs.sort_by("place")
         lengths = docs.column("n").to_numpy()
         (tokens,) = thaw(docs.column("data")[0].as_py())
-        tokens = np.ascontiguousarray(np.frombuffer(tokens, np.uint8).reshape(4, -1).T).view("<i4").ravel()
-        count, parent, tables, own = (np.frombuffer(b"".join(x), kind).astype(np.float64) for x, kind in zip(zip(*parts, strict=True), ("<u8", "<f8", "<f4", "<f4"), strict=True))
+        tokens = unplanes(tokens, "<i4")
+        count, parent, tables, own = (np.concatenate([unplanes(y, kind) for y in x]).astype(np.float64) for x, kind in zip(zip(*parts, strict=True), ANSWER, strict=True))
         before = contexts(tokens, lengths)
         _, at = np.unique(tokens.astype(np.int64) << SHIFT | before, return_inverse=True)  # the order in which the pairs were asked
         logs = np.log10(totals.predictive(own[at], parent[tokens], count[before], tables[before]))
@@ -538,14 +618,17 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).alias("id"), learn.alias("learn"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards = 1 + size // shard
-    rows = materialize(_chunks(rows, chunk, shards).withColumn("place", F.monotonically_increasing_id()), "chunks")
-    asked = rows.filter("shard is not null").select("shard", "chunk", "data")
+    shards, book = 1 + size // shard, codebook(rows, size)
+    rows = _chunks(rows, chunk, shards, book).withColumn("place", F.monotonically_increasing_id()).withColumn("kind", F.when(F.col("shard").isNull(), "texts").otherwise("words"))
+    texts_, words = materialize_by(rows, "kind", ["texts", "words"], "chunks")
+    asked = words.select("shard", "chunk", "data")
     model = fit(asked, shards, burn, sweeps)
     seating = model.table.select("shard", F.lit(-2).cast("bigint").alias("number"), "data")
     dealt = _dealt(seating.unionByName(model.tables).unionByName(asked.withColumnRenamed("chunk", "number")))
-    answers = map_batches(dealt, _answers(model.totals), "chunk bigint, shard bigint, data binary")
-    texts_ = rows.filter("shard is null").select("chunk", "place", "id", "n", "data")
+    answers = materialize(map_batches(dealt, _answers(model.totals, book), "chunk bigint, shard bigint, data binary"), "answers")
+    release(words)
+    release(model.table)
+    texts_ = texts_.select("chunk", "place", "id", "n", "data")
     kind = docs.schema[id_col].dataType.simpleString()
     out = answers.groupBy("chunk").cogroup(texts_.groupBy("chunk")).applyInArrow(_scorer(model.totals), f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(model.totals.tokens)).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from causeway.llm import lm
@@ -27,17 +26,19 @@ def test_probabilities_sum_to_one_in_every_context(pairs):
     rows = [(i, " ".join(rng.choice(words, 12))) for i in range(60)]
     d = pairs.sparkSession.createDataFrame(rows, "id bigint, text string").selectExpr("id", "true AS learn", "text")
     shards = 3
-    model = lm.fit(lm._chunks(d, 1500, shards).filter("shard is not null"), shards)
+    book = lm.codebook(d, 4000, most=5)  # some words by rank, the others by hash
+    model = lm.fit(lm._chunks(d, 1500, shards, book).filter("shard is not null"), shards)
     t, seen, parents, customers, own = model.totals, set(), {}, {}, []
     for r in model.table.collect():
         names, of, pairs_, k, roots = lm._thawed(r.data)
         for i, w in enumerate(names):
-            h = xxhash.xxh3_64_intdigest(w)
+            h = int(book.codes([w])[0])
             parents[h], customers[h] = t.parent_of(k, roots)[i], pairs_["n"][of == i].sum()
-        own += [(int(u), xxhash.xxh3_64_intdigest(names[i]), n - t.discount * s) for i, u, n, s in zip(of, pairs_["u"], pairs_["n"], pairs_["t"], strict=True)]
+        own += [(int(u), int(book.codes([names[i]])[0]), n - t.discount * s) for i, u, n, s in zip(of, pairs_["u"], pairs_["n"], pairs_["t"], strict=True)]
     tables = {}
     for r in model.tables.collect():
-        h, x = (np.frombuffer(b, kind) for b, kind in zip(lm.thaw(r.data), ("<u8", "<f8"), strict=True))
+        t_, *codes = lm.thaw(r.data)
+        h, x = lm.unpack(*codes), lm.unplanes(t_, "<f8")
         tables |= dict(zip(h.tolist(), x.tolist(), strict=True))
     assert len(parents) == len(tables) == len(words) + 1 and set(tables) == set(parents)
     unknown = t.parent_of(np.zeros(1), np.zeros(1))[0]
