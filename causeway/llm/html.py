@@ -10,9 +10,11 @@ linear scan finds the region of the highest sum; its runs outside boilerplate ar
 Character references are decoded after the markup is read, white space becomes one space, blocks are
 joined by one space in page order. Inline tags don't part words.
 
-Defined results: null or empty html, and pages without a positive word, give an empty text. Broken
+A root's own class, id and role don't make it boilerplate on pages where they would leave no root.
+
+Defined results: null or empty html, and pages without a positive word, give an empty text; an empty table gives an empty result. Broken
 markup (unclosed or stray tags, a page that ends inside a tag, comment or script) is read as far as it
-goes. Repeated rows are read each on its own. Further columns are ignored.
+goes. Pages are read whole, in time linear in their length, however deep. Ties: of regions with equal sums the first and shortest. Repeated rows are read each on its own. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,40 +64,60 @@ def _marks(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def pieces(page: str) -> Iterator[tuple[str, str, tuple[tuple[str, ...], ...]]]:
-    """("text", run, marks of the open elements) and ("tag", name, marks of the open elements and its own) in page order. Silent elements' text is left out."""
-    open_: list[tuple[str, tuple[str, ...]]] = []
-    around: tuple[tuple[str, ...], ...] = ()
+class Element:
+    """An open element; what holds for it and all around it is worked out once, from its parent, so deep pages cost no more than flat ones."""
+
+    __slots__ = ("known", "marks", "parent", "tag")
+
+    def __init__(self, tag: str, marks: tuple[str, ...], parent: Element | None):
+        self.tag, self.marks, self.parent, self.known = tag, marks, parent, None
+
+    def line(self) -> Iterator[Element]:
+        """Itself and what is around it, inside out."""
+        at: Element | None = self
+        while at:
+            yield at
+            at = at.parent
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, Element | None]]:
+    """("text", run, innermost open element) and ("tag", name, the same, its own for a start tag) in page order. Silent elements' text is left out."""
+    open_: list[Element] = []
+    count: Counter = Counter()
     silent = 0
     at = 0
 
-    def run(i: int, j: int):
-        if j > i and not silent:
-            yield "text", page[i:j], around
+    def close() -> None:
+        nonlocal silent
+        e = open_.pop()
+        count[e.tag] -= 1
+        silent -= e.tag in SILENT
 
     for m in _PIECE.finditer(page):
-        yield from run(at, m.start())
+        if m.start() > at and not silent:
+            yield "text", page[at : m.start()], open_[-1] if open_ else None
         at = m.end()
         tag = m["tag"] or m["odd"]
         if not tag:
             continue
-        tag, inside = tag.lower(), around
+        tag, inside = tag.lower(), open_[-1] if open_ else None
         if m["end"] or (m["odd"] and m[0].startswith("</")):
-            depth = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), None)
-            if depth is not None:
-                silent -= sum(x[0] in SILENT for x in open_[depth:])
-                del open_[depth:]
-                around = tuple(x[1] for x in open_)
+            if count[tag]:
+                while open_[-1].tag != tag:
+                    close()
+                close()
         elif tag == "body":
-            open_, around, silent = [], (), 0
+            open_, count, silent = [], Counter(), 0
         elif tag not in VOID and not (m["attrs"] or "").rstrip().endswith("/"):
-            if tag in ("p", "li", "option") and open_ and open_[-1][0] == tag:
-                silent -= open_.pop()[0] in SILENT
-            open_.append((tag, _marks(tag, m["attrs"] or "")))
+            if tag in ("p", "li", "option") and open_ and open_[-1].tag == tag:
+                close()
+            inside = Element(tag, _marks(tag, m["attrs"] or ""), open_[-1] if open_ else None)
+            open_.append(inside)
+            count[tag] += 1
             silent += tag in SILENT
-            around = inside = tuple(x[1] for x in open_)
         yield "tag", tag, inside
-    yield from run(at, len(page))
+    if len(page) > at and not silent:
+        yield "text", page[at:], open_[-1] if open_ else None
 
 
 @dataclass(frozen=True)
@@ -108,21 +130,38 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
     roots: frozenset[str] = frozenset()
 
-    def root(self, around: tuple[tuple[str, ...], ...], has_main: bool) -> int | None:
-        """Place of the outermost content root among the open elements."""
-        return next((i for i, marks in enumerate(around) if (marks[0] in MAIN if has_main else not self.roots.isdisjoint(marks))), None)
-
-    def context(self, around: tuple[tuple[str, ...], ...], has_main: bool) -> tuple[float, bool, bool]:
+    def is_root(self, e: Element, has_main: bool) -> bool:
+        """Whether an element, were it the outermost such, is the content root."""
+        return e.tag in MAIN if has_main else not self.roots.isdisjoint(e.marks)
+
+    def state(self, e: Element | None, has_main: bool, trusting: bool) -> tuple[float, bool, float]:
+        """Of an element and those around it: the worst mark; whether there is a root; the worst mark up to the root. ``trusting``: a root's own marks don't count."""
+        if e is None:
+            return 0.0, False, 0.0
+        todo = []
+        at: Element | None = e
+        while at and at.known is None:
+            todo.append(at)
+            at = at.parent
+        worst, rooted, at_root = at.known if at else (0.0, False, 0.0)
+        for x in reversed(todo):
+            begins = not rooted and self.is_root(x, has_main)
+            if not (begins and trusting):
+                worst = min(worst, min((self.marks.get(k, 0.0) for k in x.marks), default=0.0))
+            if begins:
+                rooted, at_root = True, worst
+            x.known = worst, rooted, at_root
+        return e.known
+
+    def context(self, e: Element | None, has_main: bool, trusting: bool) -> tuple[float, bool, bool]:
         """Of a word: its score in the scan; whether it is boilerplate; whether that lies within a content root."""
-        at = self.root(around, has_main)
-        worst = lambda part: min((self.marks.get(x, 0.0) for marks in part for x in marks), default=0.0)
-        all_ = worst(around)
-        if has_main and at is None:
-            all_ = min(all_, self.outside)
-        if all_ >= 0:
+        worst, rooted, at_root = self.state(e, has_main, trusting)
+        if has_main and not rooted:
+            worst = min(worst, self.outside)
+        if worst >= 0:
             return self.word, False, False
-        within = at is not None and worst(around[: at + 1]) >= 0
-        return 0.0 if within else all_, True, within
+        within = rooted and at_root >= 0
+        return 0.0 if within else worst, True, within
 
 
 def _has_main(items) -> bool:
@@ -144,9 +183,10 @@ def learn(pages: Iterable[tuple[str, str]]) -> Weights:
             if not words:
                 continue
             last = f" {' '.join(words)} " in main
-            for mark in {y for marks in around for y in marks}:
+            line = list(around.line()) if around else []
+            for mark in {y for e in line for y in e.marks}:
                 (good if last else bad)[mark] += len(words)
-            if has_main and not any(marks[0] in MAIN for marks in around):
+            if has_main and not any(e.tag in MAIN for e in line):
                 away[not last] += len(words)
     odds = lambda g, b: log((g + 1) / (b + 1))
     marks = {m: w for m in good | bad if (w := odds(good[m], bad[m])) < -1}
@@ -170,9 +210,17 @@ def region(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: Weights) -> str:
     items = list(pieces(page))
     has_main, scores, shown, spent = _has_main(items), [], [], 0.0
-    rooted = has_main or any(weights.root(around, False) is not None for kind, _, around in items if kind == "text")
+    states = [weights.state(around, has_main, False) for kind, _, around in items if kind == "text"]
+    rooted = has_main or any(x[1] for x in states)
+    trusting = rooted and not any(x[1] and x[2] >= 0 for x in states)  # marks speak against every root: then they mean something else
+    if trusting:
+        for _, _, around in items:
+            for e in around.line() if around else ():
+                if e.known is None:
+                    break
+                e.known = None
     for kind, x, around in items:
-        s, boilerplate, within = weights.context(around, has_main)
+        s, boilerplate, within = weights.context(around, has_main, trusting)
         if kind == "tag":
             s = 0.0 if within else weights.tags.get(x, -0.5)
         else:

@@ -33,3 +33,32 @@ def test_a_teaser_article_in_a_sidebar_is_boilerplate(weights):
 def test_a_page_without_a_root_keeps_its_lead(weights):
     page = f"<body><nav>Home page</nav><p>{LEAD}</p><aside>{'Read this other thing too ' * 40}</aside><p>{TEXT}</p><footer>us</footer></body>"
     assert html.main_text(page, weights) == f"{LEAD} {TEXT}"
+
+
+def test_marks_of_the_only_root_are_not_held_against_it(weights):
+    page = f'<body><nav>Home page</nav><article class="shared-article social-science"><h1>Big news</h1><p>{TEXT}</p><div class="share">Share it</div></article><footer>us</footer></body>'
+    assert html.main_text(page, weights) == f"Big news {TEXT}"
+    assert html.main_text(f'<body><div class="post-header-share main-content"><p>{TEXT}</p></div></body>', weights) == TEXT
+    two = f'<body><article><p>{TEXT}</p></article><article class="comment"><p>{LEAD}</p></article></body>'
+    assert html.main_text(two, weights) == TEXT
+
+
+def test_deep_and_long_pages_take_linear_time(weights):
+    import time
+
+    def seconds(page):
+        began = time.perf_counter()
+        html.main_text(page, weights)
+        return time.perf_counter() - began
+
+    for unit in ("<b>x", "<div class=share>x ", "<article>x", "</b>x", "<li><ul>x", "<p><b>x</p>", "< a", "<a b='"):
+        short, long_ = seconds(unit * 3_000), seconds(unit * 30_000)
+        assert long_ < 1 + 40 * short, unit
+    assert html.main_text("<b>x" * 2_000, weights) == "x" * 2_000
+
+
+def test_tables_without_rows_and_with_more_columns(spark):
+    schema = "page_id bigint, url string, html string, text string, n_chars string"
+    assert html.extract(spark.createDataFrame([], schema)).count() == 0
+    (r,) = html.extract(spark.createDataFrame([(1, "u", f"<article>{TEXT}</article>", "a", "b")], schema)).collect()
+    assert r.text == TEXT and r.n_chars == len(TEXT)
