@@ -1,21 +1,22 @@
 """Near-duplicate vectors by product quantisation, with an exact cosine rerank.
 
-Equal vectors form a class. A coarse quantiser deals the classes' unit vectors into inverted lists; of
-each vector's residual a product quantiser keeps one code for each subspace, and the exact length of
+Equal vectors form a class. A coarse quantiser, the product of one for each half of the dimensions, deals the classes'
+unit vectors into inverted lists, about as many as the square root of their number; of each vector's residual a product quantiser keeps one code for each subspace, and the exact length of
 what the code misses. A vector searches its own list and those whose centroids are nearly as near; in
 a list, table look-ups give the distance from the query to each code, and only vectors whose distance
 less their miss is within reach are compared: that bound loses nothing. Cosines of candidates are then
 computed in double precision, and links have at least ``threshold``.
 
 Quantisers are fitted to a bounded sample (``sample`` classes, smallest hashes first); every vector is
-indexed. The probes decide recall: a pair is found when either vector searches the other's list.
+indexed. Half a sample's worth of centroids in each half makes 10 ** 8 lists, so they may grow with the table. The probes decide recall: a pair
+is found when either vector searches the other's list.
 
 A list is cut into tiles of ``tile`` vectors and its queries into as many chunks, so no task holds more;
 tasks return link counts and a spanning forest, never pairs.
 
 Defined results: null or zero vectors and those with null or non-finite components link with nothing
 and are their own component; so are vectors of another length than each other. Repeated rows are
-linked. ``kept`` is vec_id = component_id, false for a null id. An empty table gives an empty result.
+linked. A cosine equal to the threshold links. ``kept`` is vec_id = component_id, false for a null id. An empty table gives an empty result.
 Further columns are ignored.
 """
 
@@ -33,7 +34,7 @@ from causeway.llm.common import map_batches, materialize
 from causeway.llm.components import connected_components
 from causeway.llm.simhash import _join
 
-SAMPLE, PROBES, TILE, LISTS = 20_000, 12, 2048, 4096
+SAMPLE, PROBES, TILE = 20_000, 12, 2048
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -58,26 +59,50 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Quantiser:
-    """coarse: lists by dimensions. books: subspaces by codes by their dimensions."""
+    """coarse: for each half of the dimensions, centroids; list i * len(coarse[1]) + j is that of the i-th and the j-th. books: subspaces by codes by their dimensions."""
 
-    coarse: np.ndarray
+    coarse: list[np.ndarray]
     books: list[np.ndarray]
     cuts: list[int]
 
     @classmethod
     def fit(cls, x: np.ndarray, lists: int, width: int = 4, codes: int = 256, seed: int = 9) -> Quantiser:
-        coarse = k_means(x, lists, 8, seed)
-        residual = x - coarse[nearest(x, coarse)]
+        half, k = x.shape[1] // 2, max(1, min(round(math.sqrt(lists)), len(x) // 2))
+        coarse = [k_means(part, k, 8, seed + h) for h, part in enumerate((x[:, :half], x[:, half:]))] if half else [np.zeros((1, 0)), k_means(x, k, 8, seed)]
+        q = cls(coarse, [], [])
+        residual = x - q.centroids(q.probe(x, 1)[:, 0])
         cuts = [*range(0, x.shape[1], width), x.shape[1]]
-        books = [k_means(residual[:, i:j], codes, 6, seed + 1 + i) for i, j in zip(cuts, cuts[1:], strict=False)]
+        books = [k_means(residual[:, i:j], codes, 6, seed + 2 + i) for i, j in zip(cuts, cuts[1:], strict=False)]
         return cls(coarse, books, cuts)
 
+    @property
+    def width(self) -> int:
+        return sum(c.shape[1] for c in self.coarse)
+
+    def probe(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The nearest ``probes`` lists of each row, nearest first, among the products of each half's nearest centroids."""
+        half, near, far = self.coarse[0].shape[1], [], []
+        for part, c in zip((x[:, :half], x[:, half:]), self.coarse, strict=True):
+            d = squared(part, c)
+            k = min(probes, d.shape[1])
+            at = np.argpartition(d, k - 1, axis=1)[:, :k]
+            near.append(at)
+            far.append(np.take_along_axis(d, at, 1))
+        total = (far[0][:, :, None] + far[1][:, None, :]).reshape(len(x), -1)
+        names = (near[0][:, :, None] * len(self.coarse[1]) + near[1][:, None, :]).reshape(len(x), -1)
+        order = np.argsort(total, axis=1, kind="stable")[:, :probes]
+        return np.take_along_axis(names, order, 1)
+
+    def centroids(self, lists: np.ndarray) -> np.ndarray:
+        i, j = np.divmod(lists, len(self.coarse[1]))
+        return np.concatenate([self.coarse[0][i], self.coarse[1][j]], axis=-1)
+
     def parts(self):
         return zip(self.cuts, self.cuts[1:], self.books, strict=False)
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and how far each vector lies from what its codes stand for."""
-        residual = x - self.coarse[home]
+        residual = x - self.centroids(home)
         codes = np.stack([nearest(residual[:, i:j], b) for i, j, b in self.parts()], axis=1).astype(np.uint8)
         return codes, np.sqrt(((residual - self.decode(codes)) ** 2).sum(1))
 
@@ -86,7 +111,7 @@ class Quantiser:
 
     def distances(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to the vectors behind codes of one list, by table look-up."""
-        residual, out = queries - self.coarse[cell], np.zeros((len(queries), len(codes)))
+        residual, out = queries - self.centroids(np.int64(cell)), np.zeros((len(queries), len(codes)))
         for m, (i, j, b) in enumerate(self.parts()):
             out += squared(residual[:, i:j], b)[:, codes[:, m]]
         return out
@@ -107,25 +132,30 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _assign(each: DataFrame, q: Quantiser, probes: int) -> DataFrame:
     """node, weight, vec, home, lists (searched, its own among them), codes, miss of each class."""
 
+    kind = _kind(each)
+
     def run(batches):
         for b in batches:
             raw = _vectors(b.column(2))
-            x = _unit(raw) if len(raw) else raw.reshape(0, q.coarse.shape[1])
-            d = squared(x, q.coarse)
-            k = min(probes, d.shape[1])
-            lists = np.argpartition(d, k - 1, axis=1)[:, :k].astype(np.int32)
-            home = np.take_along_axis(lists, np.take_along_axis(d, lists, 1).argmin(1)[:, None], 1)[:, 0] if len(x) else np.zeros(0, np.int32)
+            x = _unit(raw) if len(raw) else raw.reshape(0, q.width)
+            lists = q.probe(x, probes)
+            home = lists[:, 0]
             codes, miss = q.encode(x, home)
             binary = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), binary(x), pa.array(home, pa.int32()), pa.array(lists.tolist(), pa.list_(pa.int32())), binary(codes), pa.array(miss)],
+                [b.column(0), b.column(1), binary(raw.astype(kind)), pa.array(home), pa.array(lists.tolist(), pa.list_(pa.int64())), binary(codes), pa.array(miss)],
                 names=["node", "weight", "vec", "home", "lists", "codes", "miss"],
             )
 
-    return map_batches(each.select("node", "weight", "embedding"), run, "node bigint, weight bigint, vec binary, home int, lists array<int>, codes binary, miss double")
+    return map_batches(each.select("node", "weight", "embedding"), run, "node bigint, weight bigint, vec binary, home bigint, lists array<bigint>, codes binary, miss double")
+
+
+def _kind(each: DataFrame) -> str:
+    """Vectors travel as they came: in single precision, if that is what the table has. Cosines are computed in double precision."""
+    return "<f4" if each.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
 
 
-def _cell_links(q: Quantiser, threshold: float):
+def _cell_links(q: Quantiser, threshold: float, kind: str):
     """applyInArrow over a cell: queries against the vectors of (a tile of) one list."""
     reach = math.sqrt(2 - 2 * threshold) + 1e-9
 
@@ -133,8 +163,8 @@ def _cell_links(q: Quantiser, threshold: float):
         table = table.combine_chunks()
         query = table.column("query").to_numpy()
         node, weight, home = (table.column(c).to_numpy() for c in ("node", "weight", "home"))
-        cell, width = int(table.column("list")[0].as_py()), q.coarse.shape[1]
-        vec = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(-1, width)
+        cell = int(table.column("list")[0].as_py())
+        vec = _unit(np.frombuffer(b"".join(table.column("vec").to_pylist()), kind).astype(np.float64).reshape(-1, q.width))
         lists = table.column("lists").to_pylist()
         ours = np.flatnonzero(~query)
         codes = np.frombuffer(b"".join(table.column("codes").take(pa.array(ours)).to_pylist()), np.uint8).reshape(len(ours), -1)
@@ -193,23 +223,20 @@ def _links(each: DataFrame, n: int, threshold: float, probes: int, sample: int,
     h = F.pmod(F.xxhash64("embedding"), F.lit(1 << 32))
     drawn = each.filter(h < int((1 << 32) * min(1.0, 1.2 * sample / n))).orderBy(h).limit(sample).select("embedding").toPandas()
     x = _unit(np.array([np.asarray(e, np.float64) for e in drawn["embedding"]]))
-    lists = int(min(LISTS, max(1, round(math.sqrt(n)))))
-    q = Quantiser.fit(x, lists)
+    q = Quantiser.fit(x, max(1, round(math.sqrt(n))))
     indexed = materialize(_assign(each, q, probes), "indexed")
-    size = {r.home: r.n for r in indexed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a list
-    asked = {r.list: r.n for r in indexed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = [math.ceil(size.get(k, 0) / tile) for k in range(len(q.coarse))]
-    chunks = [math.ceil(asked.get(k, 0) / (4 * tile)) for k in range(len(q.coarse))]
-    lookup = each.sparkSession.createDataFrame(list(zip(range(len(parts)), parts, chunks, strict=True)), "list int, parts int, chunks int")
+    # a row for each list: at most as many as the square root of the vectors, which the planner broadcasts if it is small
+    size = indexed.groupBy(F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("own"))
+    asked = indexed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("asked"))
+    lookup = materialize(size.join(asked, "list").select("list", F.ceil(F.col("own") / tile).cast("int").alias("parts"), F.ceil(F.col("asked") / (4 * tile)).cast("int").alias("chunks")), "lists")
     h = F.xxhash64("node")
     deal = lambda df, own, other: (
-        df.join(F.broadcast(lookup), "list")  # LISTS rows at most
-        .filter("parts > 0 and chunks > 0")
+        df.join(lookup, "list")
         .withColumn(own, F.pmod(h, F.col(f"{own}s")).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s").cast("int") - 1)))
     )
     columns = ["list", "part", "chunk", "query", "node", "weight", "vec", "home", "lists", "codes", "miss"]
     ours = deal(indexed.withColumn("list", F.col("home")), "part", "chunk").withColumn("query", F.lit(False)).select(columns)
     asks = deal(indexed.withColumn("list", F.explode("lists")), "chunk", "part").withColumn("query", F.lit(True))
-    asks = asks.withColumn("codes", F.lit(None).cast("binary")).withColumn("miss", F.lit(0.0)).select(columns)
-    return ours.unionByName(asks).groupBy("list", "part", "chunk").applyInArrow(_cell_links(q, threshold), "node bigint, n bigint, to bigint")
+    asks = asks.withColumn("codes", F.lit(None).cast("binary")).withColumn("lists", F.lit(None).cast("array<bigint>")).withColumn("miss", F.lit(0.0)).select(columns)
+    return ours.unionByName(asks).groupBy("list", "part", "chunk").applyInArrow(_cell_links(q, threshold, _kind(each)), "node bigint, n bigint, to bigint")

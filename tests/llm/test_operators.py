@@ -382,6 +382,24 @@ def test_vectors_against_brute_force(spark):
     assert pq.near_vectors(d.limit(0)).count() == 0
 
 
+def test_recall_of_near_pairs(spark):
+    """Of random vectors and copies at cosines around the threshold, nine in ten links at least are found; none that isn't."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(4000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    x = np.concatenate([base, base[:1500] + rng.normal(size=(1500, 32)) * rng.uniform(0.01, 0.06, size=(1500, 1))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    d = spark.createDataFrame([(i, v.tolist(), "x", "y") for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, node string, lists string")
+    got = np.array([r.n_links for r in sorted(pq.near_vectors(d).collect(), key=lambda r: r.vec_id)])
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum() and want.sum() > 1500
+
+
+def test_a_cosine_equal_to_the_threshold_links(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [0.0, -1.0])], "vec_id bigint, embedding array<double>")
+    assert [(r.vec_id, r.n_links, r.component_id) for r in sorted(pq.near_vectors(d, threshold=0.6).collect())] == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
 # 10
 
 
