@@ -42,7 +42,9 @@ def test_languages_tied_wide_and_empty(spark, wide):
     d = spark.createDataFrame([(1, "one two three four", "x", "y")], "doc_id bigint, text string, lang string, weights string")
     (r,) = langid.predict(d, model).collect()
     assert r.lang_pred == "a" and r.score == pytest.approx(0.5) and r.ambiguous
-    many = spark.createDataFrame([(f"{k}-{i}", f"w{k}x w{k}y{k} w{k}z", f"l{k:03}") for k in range(300) for i in range(2)], "key string, text string, lang string")
+    rng = random.Random(1)
+    own = {k: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for k in range(300)}
+    many = spark.createDataFrame([(f"{k}-{i}", " ".join(rng.choices(own[k], k=30)), f"l{k:03}") for k in range(300) for i in range(2)], "key string, text string, lang string")
     model = langid.fit(many)
     assert len(model.languages) == 300  # none is left out
     got = langid.predict(many.withColumnRenamed("key", "doc_id"), model).join(many.withColumnRenamed("key", "doc_id"), "doc_id")
