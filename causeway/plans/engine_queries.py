@@ -73,7 +73,6 @@ def h35(spark, sf):
     return X.events(spark, sf).withColumn("u", u).select("event_id", F.hour(F.when(summer, F.col("u") - F.expr("interval 4 hours")).otherwise(F.col("u") - F.expr("interval 5 hours"))).alias("local_hour"))
 
 
-CALENDAR = [("NYSE", "09:30", "16:00", None, None), ("TSE", "09:00", "15:00", "11:30", "12:30"), ("STO", "09:00", "17:30", None, None)]
 both("h36_session_calendar", lambda d: f"""SELECT k.calendar_id, {d.stamp(f"day + {d.seconds('opens * 60')}")} AS opens_at, {d.stamp(f"day + {d.seconds('closes * 60')}")} AS closes_at, pause, closes - opens - pause AS minutes FROM (SELECT DISTINCT date_trunc('day', ts) AS day FROM {{ev}}) s
   CROSS JOIN (SELECT 'NYSE' AS calendar_id, 570 AS opens, 960 AS closes, 0 AS pause UNION ALL SELECT 'TSE', 540, 900, 60 UNION ALL SELECT 'STO', 540, 1050, 0) k WHERE {"isodow(day) < 6" if d.duck else "weekday(day) < 5"} AND NOT (k.calendar_id = 'NYSE' AND day = {d.at("2024-01-15 00:00:00")})""")
 both("h39_evidence_reasons", lambda d: f"""SELECT asset_id, {d.stamp("window_start")} AS window_start, concat_ws(',', CASE WHEN base_close IS NULL THEN 'NO_BASELINE' END, CASE WHEN n_edges < 2 THEN 'SINGLE_EDGE' END, CASE WHEN end_close IS NULL THEN 'NO_SETTLEMENT' END, CASE WHEN confidence < 0.3 THEN 'WEAK' END) AS reasons,

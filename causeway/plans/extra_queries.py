@@ -10,7 +10,9 @@ from causeway.functions import text as T
 from causeway.operators import dedup as D
 from causeway.operators import stance
 from causeway.operators.components import connected_components
+from causeway.operators import graph as G
 from causeway.plans import graph_queries as GQ
+from causeway.plans import text_queries as TQ
 from causeway.plans.registry import register
 from causeway.plans.relational_queries import statement
 from causeway.scratch import materialize
@@ -52,19 +54,34 @@ def l09(spark, sf):
     return t.withColumn("ci", B.beta_interval("alpha_after", "beta")).select("factor", "target", "alpha", "alpha_after", F.col("ci.lower").alias("ci_lower"), F.col("ci.upper").alias("ci_upper"), "weight")
 
 
-@register("p05_stance_policy")
+STANCE = GQ.CHAIN.replace("WITH ", "WITH RECURSIVE ", 1) + """, st AS (SELECT asset_id, window_start + INTERVAL 15 MINUTE AS decision_at, direction, isodow(window_start + INTERVAL 15 MINUTE) < 6 AS opened, row_number() OVER (PARTITION BY asset_id ORDER BY window_start) AS k FROM decided WHERE direction <> 'NEUTRAL'),
+fold(asset_id, k, decision_at, direction, outcome, n, active) AS (SELECT asset_id, k, decision_at, direction, 'STORED', 1, direction FROM st WHERE k = 1 UNION ALL SELECT s.asset_id, s.k, s.decision_at, s.direction, o.outcome, CASE WHEN o.outcome = 'STORED' THEN o.today + 1 ELSE o.today END, CASE WHEN o.outcome = 'DAILY_CAP' THEN o.active ELSE s.direction END FROM (
+  SELECT f.asset_id, f.k, f.active, CASE WHEN s.opened AND f.active = s.direction THEN 'SAME_DIRECTION' WHEN s.opened AND CASE WHEN s.decision_at::DATE = f.decision_at::DATE THEN f.n ELSE 0 END >= 2 THEN 'DAILY_CAP' WHEN s.opened THEN 'STORED' ELSE 'SUPERSEDES' END AS outcome, CASE WHEN s.decision_at::DATE = f.decision_at::DATE THEN f.n ELSE 0 END AS today
+  FROM fold f JOIN st s ON s.asset_id = f.asset_id AND s.k = f.k + 1) o JOIN st s ON s.asset_id = o.asset_id AND s.k = o.k + 1)
+SELECT asset_id, strftime(decision_at, '%Y-%m-%d %H:%M:%S') AS decision_at, direction, outcome FROM fold"""
+
+
+@register("p05_stance_policy", STANCE)
 def p05(spark, sf):
     d = GQ.decided(spark, sf).filter("direction <> 'NEUTRAL'").withColumn("decision_at", F.expr("window_start + interval 15 minutes"))
     return stance.apply_stance(d.select("asset_id", "decision_at", "direction", (F.weekday("decision_at") < 5).alias("open"), F.lit(False).alias("propagated"))).withColumn("decision_at", X.stamp("decision_at"))
 
 
-@register("p06_two_pass_batch")
+@register("p06_two_pass_batch", GQ.PROPAGATE.rsplit(" SELECT context_id", 1)[0] + " SELECT asset_id, context_id, direction, 0 AS depth FROM direct WHERE direction <> 'NEUTRAL' UNION ALL SELECT asset_id, context_id, direction, depth FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)")
 def p06(spark, sf):
-    d = GQ.decided(spark, sf).filter("direction <> 'NEUTRAL'").select("asset_id", X.stamp("window_start").alias("context_id"), "direction", F.lit(0).alias("depth"))
-    return d.unionByName(GQ.p07(spark, sf).select("asset_id", "context_id", "direction", "depth"))
+    """All direct decisions first, then what they propagate to."""
+    d = materialize(GQ.decided(spark, sf).select(X.stamp("window_start").alias("context_id"), "asset_id", "direction", "confidence"), "direct")
+    far = G.propagate(d, X.edge_tables(spark)["correlations"]).select("asset_id", "context_id", "direction", "depth")
+    return d.filter("direction <> 'NEUTRAL'").select("asset_id", "context_id", "direction", F.lit(0).alias("depth")).unionByName(far)
+
+
+GREEDY = "WITH RECURSIVE " + TQ.SIM + """, st AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 10) AS at, row_number() OVER (ORDER BY doc_id) AS k FROM sim),
+nb AS (SELECT a.k, a.doc_id, coalesce(list(b.doc_id) FILTER (b.doc_id IS NOT NULL), []) AS near FROM st a LEFT JOIN st b ON b.k < a.k AND bit_count(xor(a.simhash, b.simhash)) <= 3 AND a.at - b.at <= INTERVAL 48 HOUR GROUP BY ALL),
+r(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.k, CASE WHEN list_has_any(r.kept, n.near) THEN r.kept ELSE list_append(r.kept, n.doc_id) END FROM r JOIN nb n ON n.k = r.k + 1)
+SELECT doc_id AS id, list_contains((SELECT kept FROM r ORDER BY k DESC LIMIT 1), doc_id) AS kept FROM st"""
 
 
-@register("i02_greedy_dedup")
+@register("i02_greedy_dedup", GREEDY)
 def i02(spark, sf):
     """In order of time a document is dropped if one kept in the 48 hours before is near; documents come ten minutes apart."""
     docs = X.read(spark, sf, "documents").select("doc_id", "text")
