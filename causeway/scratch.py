@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -65,6 +66,12 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of DataFrames that are gone: it learns of them by the driver's garbage collection, which may otherwise be hours away."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
