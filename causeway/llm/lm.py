@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.llm.common import LOWER, map_batches, materialize, materialize_by, release, texts
+from causeway.llm.common import LOWER, map_batches, materialize, materialize_by, release, sweep, texts
 
 CHUNK, SHARD, END = 8_000_000, 12_000_000, b" "  # no word holds a space
 SHIFT = 32  # a chunk's word numbers fit 30 bits
@@ -157,7 +157,8 @@ class Chunk:
         vocabulary = list(self.words)
         h = self.book.codes(vocabulary)
         shard = shard_of(h, self.shards)
-        order = np.argsort(shard, kind="stable")
+        order = np.array(sorted(range(len(vocabulary)), key=vocabulary.__getitem__), np.int64)  # in order they compress better
+        order = order[np.argsort(shard[order], kind="stable")]
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
         tokens, lengths = place[np.concatenate(self.tokens)], np.array([n for _, _, n in self.docs])
@@ -330,8 +331,9 @@ def _sent(shards: list[int], numbers: list[int], blobs: list[bytes]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "number", "data"])
 
 
-def _dealt(table: DataFrame) -> DataFrame:
-    return table.repartition("shard").sortWithinPartitions("shard", "number")
+def _dealt(table: DataFrame, shards: int) -> DataFrame:
+    """Rows by shard, a partition for each or so, so that tasks stay of one size as the table grows."""
+    return table.repartition(shards, "shard").sortWithinPartitions("shard", "number")
 
 
 def _of_contexts(u: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -379,7 +381,7 @@ def restaurants(table: DataFrame, shards: int, reply: bool) -> DataFrame:
         if parts:
             yield total(shard, froms, parts)
 
-    return map_batches(_dealt(map_batches(table.select("shard", "data"), send, SENT)), add, SENT)
+    return map_batches(_dealt(map_batches(table.select("shard", "data"), send, SENT), shards), add, SENT)
 
 
 # --- seating ---
@@ -526,11 +528,12 @@ class Model:
 
 def fit(rows: DataFrame, shards: int, burn: int = 3, sweeps: int = 4) -> Model:
     """rows: shard, chunk, data of :func:`_chunks`."""
-    dealt = rows.select("shard", "chunk", "data").repartition("shard").sortWithinPartitions("shard")
+    dealt = rows.select("shard", "chunk", "data").repartition(shards, "shard").sortWithinPartitions("shard")
     merged = materialize(map_batches(dealt, _merge, FITTED), "counts")
+    sweep(rows.sparkSession)
     totals = _totals(_sums(merged))
     counts = merged.filter("size(sums) > 0 and sums[0] > 0").select("shard", F.lit(-1).cast("bigint").alias("number"), "data")
-    asked = _dealt(counts.unionByName(restaurants(merged, shards, True)))
+    asked = _dealt(counts.unionByName(restaurants(merged, shards, True)), shards)
     table = materialize(map_batches(asked, _sampler(totals, shards, burn, sweeps), FITTED), "seating")
     release(merged)
     return Model(table, restaurants(table, shards, False), _totals(_sums(table), totals))
@@ -623,12 +626,15 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     texts_, words = materialize_by(rows, "kind", ["texts", "words"], "chunks")
     asked = words.select("shard", "chunk", "data")
     model = fit(asked, shards, burn, sweeps)
+    sweep(docs.sparkSession)
     seating = model.table.select("shard", F.lit(-2).cast("bigint").alias("number"), "data")
-    dealt = _dealt(seating.unionByName(model.tables).unionByName(asked.withColumnRenamed("chunk", "number")))
+    dealt = _dealt(seating.unionByName(model.tables).unionByName(asked.withColumnRenamed("chunk", "number")), shards)
     answers = materialize(map_batches(dealt, _answers(model.totals, book), "chunk bigint, shard bigint, data binary"), "answers")
     release(words)
     release(model.table)
+    sweep(docs.sparkSession)
     texts_ = texts_.select("chunk", "place", "id", "n", "data")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = answers.groupBy("chunk").cogroup(texts_.groupBy("chunk")).applyInArrow(_scorer(model.totals), f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    parts = 1 + size // (2 * chunk)  # as many as keep a few chunks in each
+    out = answers.repartition(parts, "chunk").groupBy("chunk").cogroup(texts_.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(_scorer(model.totals), f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(int(model.totals.tokens)).cast("bigint").alias("train_tokens"), "base_score", "score")
