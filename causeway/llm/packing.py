@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import map_batches, texts
 
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 LONG_WORD, STEP = 64, 512
 
 
