@@ -17,7 +17,7 @@ many as the word's own, as each word but the end is followed by one token, and e
 cut into chunks of about ``chunk`` bytes; a chunk sends each shard its distinct words with their
 contexts and counts, and gets back what their probabilities are made of. No vocabulary is broadcast or held whole.
 
-Words are coded for the wire: the commonest of a bounded sample (``CODES`` at most, 1 MB) by their rank, all others by 48 bits of their
+Words are coded for the wire: the commonest of a bounded sample (``CODES`` at most, 2 MB) by their rank, all others by 48 bits of their
 hash. The table only shortens what is sent; any other gives the same contexts.
 
 Defined results: a null or empty text has the end alone. Rows with a null id are scored, but not
@@ -46,7 +46,7 @@ CHUNK, SHARD, END = 8_000_000, 12_000_000, b" "  # no word holds a space
 SHIFT = 32  # a chunk's word numbers fit 30 bits
 MERGE = 4_000_000  # pairs of a shard that may wait to be merged
 SEEN = np.dtype([("u", "<u8"), ("n", "<f8"), ("t", "<f4")])
-CODES, SAMPLE = 1 << 17, 32_000_000  # words with a rank; bytes of text that they are found in
+CODES, SAMPLE = 1 << 18, 32_000_000  # words with a rank; bytes of text that they are found in
 BITS = 48
 
 
@@ -117,17 +117,21 @@ def codebook(rows: DataFrame, size: int, most: int = CODES, sample: int = SAMPLE
     return Codebook(np.array(got.to_pylist(), np.int64).view(np.uint64))
 
 
+LEVEL = 9
+
+
 def freeze(*parts: bytes) -> bytes:
-    """Byte strings as one compressed blob."""
-    return zstandard.ZstdCompressor().compress(struct.pack(f"<{len(parts) + 1}Q", len(parts), *map(len, parts)) + b"".join(parts))
+    """Byte strings as one blob, each compressed on its own, as they have little in common."""
+    squeeze = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False).compress
+    small = [squeeze(x) for x in parts]
+    return struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, small)) + b"".join(small)
 
 
 def thaw(blob: bytes) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = struct.unpack_from("<Q", data)[0]
-    out, at = [], 8 * (n + 1)
-    for k in struct.unpack_from(f"<{n}Q", data, 8):
-        out.append(data[at : at + k])
+    n = struct.unpack_from("<I", blob)[0]
+    expand, out, at = zstandard.ZstdDecompressor().decompress, [], 4 * (n + 1)
+    for k in struct.unpack_from(f"<{n}I", blob, 4):
+        out.append(expand(blob[at : at + k]))
         at += k
     return out
 
@@ -186,7 +190,7 @@ class Chunk:
             blobs.append(freeze(_lengths(names), b"".join(names), planes(sizes.astype("<u4")), planes(learned[p:q].astype("<u4")), *pack(h[asked[p:q] & (1 << SHIFT) - 1])))
         m = len(blobs)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, number)), nothing(m, kind), nothing(m, pa.bool_()), nothing(m, pa.int64()), pa.array(np.unique(shard).astype(np.int64)), pa.array(blobs, pa.binary())], names=ROW
+            [pa.array(np.full(m, number)), nothing(m, kind), pa.array([self.docs[0][1]] * m), nothing(m, pa.int64()), pa.array(np.unique(shard).astype(np.int64)), pa.array(blobs, pa.binary())], names=ROW
         )
 
 
@@ -220,18 +224,21 @@ def _chunks(docs: DataFrame, chunk: int, shards: int, book: Codebook) -> DataFra
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        number, now, arrow = TaskContext.get().partitionId() << 20, Chunk(shards, book), None
+        number, arrow = TaskContext.get().partitionId() << 20, None
+        now = {x: Chunk(shards, book) for x in (True, False)}  # texts to learn from and others apart, so that only the former's words are sent to learn
         for b in batches:
             arrow = b.schema.field(0).type
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
                 for doc, learn, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part.column(2)), strict=True):
-                    now.add(doc, learn, text)
-                    if now.size >= chunk:
-                        yield from now.rows(number, arrow)
-                        number, now = number + 1, Chunk(shards, book)
-        if now.docs:
-            yield from now.rows(number, arrow)
+                    now[bool(learn)].add(doc, bool(learn), text)
+                    if now[bool(learn)].size >= chunk:
+                        yield from now[bool(learn)].rows(number, arrow)
+                        number, now[bool(learn)] = number + 1, Chunk(shards, book)
+        for last in now.values():
+            if last.docs:
+                yield from last.rows(number, arrow)
+                number += 1
 
     return map_batches(docs, run, f"chunk bigint, id {kind}, learn boolean, n bigint, shard bigint, data binary")
 
@@ -332,8 +339,8 @@ def _sent(shards: list[int], numbers: list[int], blobs: list[bytes]) -> pa.Recor
 
 
 def _dealt(table: DataFrame, shards: int) -> DataFrame:
-    """Rows by shard, a partition for each or so, so that tasks stay of one size as the table grows."""
-    return table.repartition(shards, "shard").sortWithinPartitions("shard", "number")
+    """Rows by shard, a partition for each, so that tasks stay of one size as the table grows."""
+    return table.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "number")
 
 
 def _of_contexts(u: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -528,7 +535,7 @@ class Model:
 
 def fit(rows: DataFrame, shards: int, burn: int = 3, sweeps: int = 4) -> Model:
     """rows: shard, chunk, data of :func:`_chunks`."""
-    dealt = rows.select("shard", "chunk", "data").repartition(shards, "shard").sortWithinPartitions("shard")
+    dealt = rows.select("shard", "chunk", "data").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
     merged = materialize(map_batches(dealt, _merge, FITTED), "counts")
     sweep(rows.sparkSession)
     totals = _totals(_sums(merged))
@@ -625,7 +632,7 @@ def score(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text"
     rows = _chunks(rows, chunk, shards, book).withColumn("place", F.monotonically_increasing_id()).withColumn("kind", F.when(F.col("shard").isNull(), "texts").otherwise("words"))
     texts_, words = materialize_by(rows, "kind", ["texts", "words"], "chunks")
     asked = words.select("shard", "chunk", "data")
-    model = fit(asked, shards, burn, sweeps)
+    model = fit(words.filter("learn"), shards, burn, sweeps)
     sweep(docs.sparkSession)
     seating = model.table.select("shard", F.lit(-2).cast("bigint").alias("number"), "data")
     dealt = _dealt(seating.unionByName(model.tables).unionByName(asked.withColumnRenamed("chunk", "number")), shards)
