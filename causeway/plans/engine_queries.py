@@ -129,7 +129,7 @@ def f17(spark, sf):
 SIGNALS = [("r1", "A1", "UP", "the"), ("r2", "A1", "DOWN", "of"), ("r3", "A2", "UP", "and"), ("r4", "A2", "DOWN", "und"), ("r5", "A3", "UP", "la|le"), ("r6", "A3", "DOWN", "de"), ("r7", "A4", "UP", "in"), ("r8", "A4", "DOWN", "que"), ("r9", "A5", "UP", "der|die")]
 
 
-@register("t18_signal_rules", A + ", " + X.values(SIGNALS, "sr", "rule, asset_id, direction, pattern") + r" SELECT article_id, rule, asset_id, direction, regexp_matches(body, '[0-9]') AS strict FROM articles JOIN sr ON regexp_matches(lower(title), '(^|[^\p{L}])(' || pattern || ')([^\p{L}]|$)')")
+@register("t18_signal_rules", A + " " + " UNION ALL ".join(f"SELECT article_id, '{r}' AS rule, '{a}' AS asset_id, '{d}' AS direction, regexp_matches(body, '[0-9]') AS strict FROM articles WHERE regexp_matches(lower(title), '(^|[^\\p{{L}}])({p})([^\\p{{L}}]|$)')" for r, a, d, p in SIGNALS))
 def t18(spark, sf):
     """Forces of nine rules on a title; strict ones have a figure in the text too."""
     t = F.lower("title")

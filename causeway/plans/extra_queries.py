@@ -75,8 +75,8 @@ def p06(spark, sf):
     return d.filter("direction <> 'NEUTRAL'").select("asset_id", "context_id", "direction", F.lit(0).alias("depth")).unionByName(far)
 
 
-GREEDY = "WITH RECURSIVE " + TQ.SIM + """, st AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 10) AS at, row_number() OVER (ORDER BY doc_id) AS k FROM sim),
-nb AS (SELECT a.k, a.doc_id, coalesce(list(b.doc_id) FILTER (b.doc_id IS NOT NULL), []) AS near FROM st a LEFT JOIN st b ON b.k < a.k AND bit_count(xor(a.simhash, b.simhash)) <= 3 AND a.at - b.at <= INTERVAL 48 HOUR GROUP BY ALL),
+GREEDY = "WITH RECURSIVE " + TQ.SIM + """, st AS MATERIALIZED (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 10) AS at, row_number() OVER (ORDER BY doc_id) AS k FROM sim),
+nb AS MATERIALIZED (SELECT a.k, a.doc_id, coalesce(list(b.doc_id) FILTER (b.doc_id IS NOT NULL), []) AS near FROM st a LEFT JOIN st b ON b.k < a.k AND bit_count(xor(a.simhash, b.simhash)) <= 3 AND a.at - b.at <= INTERVAL 48 HOUR GROUP BY ALL),
 r(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.k, CASE WHEN list_has_any(r.kept, n.near) THEN r.kept ELSE list_append(r.kept, n.doc_id) END FROM r JOIN nb n ON n.k = r.k + 1)
 SELECT doc_id AS id, list_contains((SELECT kept FROM r ORDER BY k DESC LIMIT 1), doc_id) AS kept FROM st"""
 

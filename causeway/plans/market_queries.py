@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from causeway.functions import text as T
 from causeway.operators import dedup as D
+from causeway.operators.asof import as_of
 from causeway.plans.registry import register
 from causeway.plans.relational_queries import statement
 from causeway.scratch import materialize, scratch_dir
@@ -195,8 +197,17 @@ both("c13_numeric_validity", lambda d: f"""SELECT event_id, lower(raw) NOT IN ('
   SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'true' WHEN 1 THEN 'abc' WHEN 2 THEN 'NaN' WHEN 3 THEN '-1.5' WHEN 4 THEN '0' WHEN 5 THEN 'Infinity' ELSE cast(event_id AS string) END AS raw FROM {{ev}}) r) t""")
 
 # --- joins over samples and sessions ---
-both("d16_session_as_of", lambda d: f"""SELECT e.event_id, cast(max(CASE WHEN c.done <= e.ts THEN c.session END) AS string) AS baseline, cast(min(CASE WHEN c.done > e.ts THEN c.session END) AS string) AS settlement
-  FROM {{ev}} e JOIN (SELECT asset_id, session, cast(session AS timestamp{'' if d.duck else '_ntz'}) + INTERVAL 16 HOUR AS done FROM {{closes}}) c ON c.asset_id = e.asset_id GROUP BY e.event_id""")
+@register("d16_session_as_of", "WITH " + X.CLOSES + " SELECT e.event_id, max(CASE WHEN c.done <= e.ts THEN c.session END)::VARCHAR AS baseline, min(CASE WHEN c.done > e.ts THEN c.session END)::VARCHAR AS settlement FROM ev e JOIN (SELECT asset_id, session, session::TIMESTAMP + INTERVAL 16 HOUR AS done FROM closes) c ON c.asset_id = e.asset_id GROUP BY e.event_id")
+def d16(spark, sf):
+    """The last session that is over at an event, and the one after it; before all of them, the first is next."""
+    c = X.closes(spark, sf).select("asset_id", "session")
+    marks = c.withColumn("following", F.lead("session").over(Window.partitionBy("asset_id").orderBy("session"))).withColumn("ts", F.col("session").cast("timestamp_ntz") + F.expr("interval 16 hours"))
+    got = as_of(X.events(spark, sf).select("asset_id", "ts", "event_id"), marks, ["asset_id"], "ts", ["session", "following"])
+    first = c.groupBy("asset_id").agg(F.min("session").alias("first"))
+    out = got.join(first, "asset_id")
+    return out.select("event_id", F.col("session").cast("string").alias("baseline"), F.when(F.col("session").isNull(), F.col("first")).otherwise(F.col("following")).cast("string").alias("settlement"))
+
+
 both("d19_interval_join", lambda d: f"""SELECT j.asset_id, {d.stamp("j.opens_at")} AS opens_at, count(s.sample_id) AS evidence, min(s.sample_id) AS first_sample FROM (SELECT DISTINCT asset_id, session, opens_at + {d.seconds("h * 3600")} AS opens_at FROM {{samples}} CROSS JOIN (SELECT {d.steps("0", "7", "1")} AS h) hours) j
   LEFT JOIN {{samples}} s ON s.asset_id = j.asset_id AND s.session = j.session AND s.observed_at >= j.opens_at AND s.observed_at < j.opens_at + INTERVAL 1 HOUR AND s.received_at <= j.opens_at + INTERVAL 1 HOUR + INTERVAL 2 MINUTE GROUP BY j.asset_id, j.opens_at""")
 both("d19_following_events", lambda d: """SELECT event_id, count(*) OVER (PARTITION BY asset_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 30 MINUTE FOLLOWING) AS n FROM {ev}""")

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from causeway.operators import clusters, hooks, rules
+from causeway.operators import asof, clusters, hooks, rules
 from causeway.sources import datasources
 from causeway.streaming import flows
 
@@ -144,3 +144,13 @@ def test_tiers_of_the_classifier(spark):
     d = spark.createDataFrame([x[:4] for x in rows], "article_id int, title string, body string, section string")
     got = {x.article_id: (x.event_type, x.source) for x in rules.classify(d, r).collect()}
     assert got == {x[0]: (x[4], x[5]) for x in rows}
+
+
+def test_as_of_takes_the_last_mark(spark):
+    rng = random.Random(6)
+    marks = [(rng.choice("ab"), rng.randrange(100), i) for i in range(20)]
+    marks = list({(k, t): (k, t, i) for k, t, i in marks}.values())
+    rows = [(rng.choice("abc"), rng.randrange(100), i) for i in range(200)]
+    got = asof.as_of(spark.createDataFrame(rows, "k string, t int, id int"), spark.createDataFrame(marks, "k string, t int, mark int"), ["k"], "t", ["mark"]).collect()
+    want = {i: max(((mt, m) for mk, mt, m in marks if mk == k and mt <= t), default=(0, None))[1] for k, t, i in rows}
+    assert {r.id: r.mark for r in got} == want and len(got) == len(rows)
