@@ -38,9 +38,21 @@ def inherited_edges(ctx: DataFrame, causes: DataFrame, members: DataFrame, own:
     return out.join(own.select("asset_id", "window_start", "factor").distinct(), ["asset_id", "window_start", "factor"], "left_anti")
 
 
+def edge_lists(causes: DataFrame, members: DataFrame) -> DataFrame:
+    """factor, asset_id and all edges between them, own ones and those of the asset's groups."""
+    parts = ("direction", "weight", "alpha", "beta", "condition", "inherited_from")
+    own = causes.withColumnRenamed("target", "asset_id").withColumn("inherited_from", F.lit(None).cast("string"))
+    of_groups = causes.join(members, causes["target"] == members["group_id"]).drop("target").withColumnRenamed("group_id", "inherited_from")
+    return own.unionByName(of_groups.select(*own.columns)).groupBy("factor", "asset_id").agg(F.collect_list(F.struct(*parts)).alias("_edges"))
+
+
 def firing_edges(ctx: DataFrame, causes: DataFrame, members: DataFrame) -> DataFrame:
-    own = own_edges(ctx, causes)
-    return own.unionByName(inherited_edges(ctx, causes, members, own))
+    """Edges of each context that pass the gate: own ones, or where none fires those of its asset's groups. One join with the graph; contexts are read once."""
+    j = ctx.join(edge_lists(causes, members), ["factor", "asset_id"])
+    passed = F.filter("_edges", lambda e: gate(e["condition"], F.col("tags")))
+    own = F.filter("_passed", lambda e: e["inherited_from"].isNull())
+    j = j.withColumn("_passed", passed).withColumn("_e", F.explode(F.when(F.exists("_passed", lambda e: e["inherited_from"].isNull()), own).otherwise(F.col("_passed"))))
+    return j.select(*ctx.columns, "_e.*")
 
 
 def forces(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -72,12 +72,17 @@ def zone(asset):
     return F.element_at(F.array(*map(F.lit, X.ZONES)), F.substring(asset, 2, 4).cast("int") % 3 + 1)
 
 
+def sure(session):
+    """A session that is never null: joins on it then push no null tests, with all the zone arithmetic in them, down to each event."""
+    return F.coalesce(session, F.expr("date'1900-01-01'"))
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions with their sessions, closes, return and actual direction."""
     c = X.closes(spark, sf)
     at = F.expr("window_start + interval 15 minutes")
-    d = decided(spark, sf).withColumn("decision_at", at).withColumn("baseline", C.baseline_session(F.col("decision_at"), zone(F.col("asset_id")), X.CLOSE_MINUTE))
-    d = d.withColumn("settlement", C.next_session(F.col("baseline")))
+    d = decided(spark, sf).withColumn("decision_at", at).withColumn("baseline", sure(C.baseline_session(F.col("decision_at"), zone(F.col("asset_id")), X.CLOSE_MINUTE)))
+    d = d.withColumn("settlement", sure(C.next_session(F.col("baseline"))))
     d = d.join(c.select("asset_id", F.col("session").alias("baseline"), F.col("close").alias("base_close")), ["asset_id", "baseline"], "left")
     d = d.join(c.select("asset_id", F.col("session").alias("settlement"), F.col("close").alias("end_close")), ["asset_id", "settlement"], "left")
     d = d.withColumn("r", F.col("end_close") / F.col("base_close") - 1)
