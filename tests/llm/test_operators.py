@@ -331,7 +331,7 @@ def test_scanner_agrees_with_regular_expressions():
         x = b"".join(rng.choices(parts, k=rng.randint(1, 14)))
         want = sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(BASE) for m in p.finditer(x) if ok(m))
         assert [y for y in s.scan(x) if y[1] < 3] == want
-    assert s.all.states < 1000
+    assert s.all.states < 3000  # whole rules, not their openings
 
 
 @pytest.mark.parametrize("pattern", ["a(b|cd)*e{2,3}", "[^a-c]x+|y?z", "(ab|a)(c|bcd)", "\\x41[b-d]{2}"])
