@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import html, langid, lm, mixing, packing, pq, quality, secrets, simhash, toxicity
+from causeway.llm import bpe, collocations, html, langid, lexical, lm, mixing, packing, pq, quality, secrets, simhash, toxicity
 from causeway.llm.common import held_out, learnable, read
 
 
@@ -65,12 +65,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.taken(["doc_id"]).join(m.sources.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(read(spark, sf_dir, "documents"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    out = bpe.decode(encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), "ids"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_html_extraction, op4_simhash, op5_pitman_yor, op6_quality_rules, op7_packing, op8_secret_scan, op9_embedding_pq, op10_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_html_extraction, op4_simhash, op5_pitman_yor, op6_quality_rules, op7_packing, op8_secret_scan, op9_embedding_pq, op10_mixing, op11_lexical_search, op12_collocations, op13_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op10_mixing": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_collocations": OP12_SQL}
 
 
 OP10_SQL = r"""
@@ -121,3 +136,54 @@ SELECT doc_id, size, source_size, target,
 FROM p LEFT JOIN u ON p.sid = u.sid AND p.block = u.block
 GROUP BY id, doc_id, size, source_size, target
 """
+
+TERMS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, {TERMS_SQL} AS terms FROM documents WHERE text IS NOT NULL),
+own AS (SELECT id, doc_id, len(terms)::BIGINT AS n, terms FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM own),
+q AS (SELECT item_id, unnest(list_distinct({TERMS_SQL})) AS term FROM benchmark WHERE text IS NOT NULL),
+tf AS (
+  SELECT id, term, count(*)::BIGINT AS tf FROM (SELECT id, unnest(terms) AS term FROM own) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY term),
+s AS (
+  SELECT item_id, id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN own USING (id), total GROUP BY item_id, id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents),
+v AS MATERIALIZED (
+  SELECT lang, unnest(w) AS w1, unnest(w[2:]) AS w2, unnest(w[3:]) AS w3
+  FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p)),
+f1 AS MATERIALIZED (SELECT lang, w1, count(*)::BIGINT AS f FROM v GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*)::BIGINT AS f FROM v WHERE w2 IS NOT NULL GROUP BY ALL HAVING f >= 10),
+f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*)::BIGINT AS f FROM v WHERE w3 IS NOT NULL GROUP BY ALL HAVING f >= 10),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+  UNION ALL
+  SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 1, x.f, y.f
+  FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+  UNION ALL
+  SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, 2, x.f, y.f
+  FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+s AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(f) AS longer
+  FROM (SELECT lang, f, w1 || ' ' || w2 AS phrase FROM f3 UNION ALL SELECT lang, f, w2 || ' ' || w3 FROM f3) GROUP BY lang, phrase),
+kept AS (
+  SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.phrase)::BIGINT AS rank
+  FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM kept JOIN total USING (lang) WHERE rank <= 2000
+"""
