@@ -95,7 +95,7 @@ def sketch_rows(unit: int, text: bytes, lang: str, least: int, longest: int, bit
     cells, counts = np.unique(cells, return_counts=True)
     blocks, firsts = np.unique(cells >> BLOCK_BITS, return_index=True)
     data = []
-    for a, b in zip(firsts, [*firsts[1:], len(cells)], strict=True):
+    for a, b in zip(firsts, [*firsts[1:], len(cells)][: len(firsts)], strict=True):
         data.append(_packed(cells[a:b] & ((1 << BLOCK_BITS) - 1)) + np.minimum(counts[a:b], np.iinfo(kind).max).astype(kind).tobytes())
     n = len(blocks)
     return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([unit] * n, pa.int64()), pa.nulls(n, pa.string()), pa.array(blocks.astype(np.int64)), pa.array(data, pa.binary())], names=["kind", "unit", "lang", "block", "data"])
