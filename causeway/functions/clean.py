@@ -1,4 +1,8 @@
-"""Text cleaning that built-in functions can't express: encoding repair, NFC, mark-up, as Arrow functions."""
+"""Text cleaning that built-in functions can't express, as Arrow functions over whole columns.
+
+A column is cleaned by a list of kernels, each a vectorised replacement. They run until a value stays as it is; only
+values that changed are run again, so a batch costs what its deepest escapes cost. RE2 keeps every pattern linear.
+"""
 
 from __future__ import annotations
 
@@ -9,89 +13,154 @@ import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType, StringType
 
-#: Elements whose content is never text; tags that part lines; all others.
-_UNSEEN = re.compile(r"<(script|style|iframe|head|noscript)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_LINE = re.compile(r"</?(?:p|div|br|li|tr)\b[^<>]*>", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-z][^<>]*>|<![^<>]*>", re.I | re.S)
-_PAGE = re.compile(r"<!doctype\s+html|<html\b|<body\b", re.I)
-_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
-#: Letters that UTF-8 leaves behind when read as a one-byte charset.
-_GARBLED = re.compile("[ÃÂâ][\x80-\xbf€-™]")
-
-
-def _repair(text: str) -> str:
-    """UTF-8 that was read as Latin-1 or Windows-1252; approximate."""
-    if not _GARBLED.search(text):
-        return text
-    for codec in ("cp1252", "latin-1"):
+#: Elements without text of their own, and elements that begin a line.
+HIDDEN = ("script", "style", "iframe", "head", "noscript")
+LINES = ("p", "div", "br", "li", "tr")
+
+
+def _swap(pattern: str, by: str) -> Callable[[pa.Array], pa.Array]:
+    return lambda texts: pc.replace_substring_regex(texts, pattern, by)
+
+
+def _where(pattern: str, change: Callable[[str], str]) -> Callable[[pa.Array], pa.Array]:
+    """A change that Arrow has no kernel for, made only in values where ``pattern`` is found."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = pc.fill_null(pc.match_substring_regex(texts, pattern), False)
+        if not pc.any(found).as_py():
+            return texts
+        return pc.replace_with_mask(texts, found, pa.array([change(x) for x in texts.filter(found).to_pylist()], texts.type))
+
+    return run
+
+
+def one_byte(text: str) -> bytes:
+    """The bytes that text was when it was read as Windows-1252, whose five gaps stand for themselves."""
+    return b"".join(bytes([ord(c)]) if ord(c) < 256 else c.encode("cp1252") for c in text)
+
+
+def _misread() -> str:
+    """Characters that the lead bytes of Latin letters and typographic marks become when UTF-8 is read byte by byte, followed by as many others as such a sequence has."""
+    follow = "".join(sorted({bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xC0)} | {chr(b) for b in range(0x80, 0xC0)}))
+    follow = "[" + re.sub(r"([\\\]^-])", r"\\\1", follow) + "]"
+    return f"(?:[\u00c2\u00c3]{follow}|\u00e2{follow}{{2}})+"
+
+
+MISREAD = _misread()
+
+
+def _reread(text: str) -> str:
+    def run(m: re.Match) -> str:
         try:
-            return text.encode(codec).decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            continue
-    return text
+            return one_byte(m.group()).decode()
+        except UnicodeDecodeError:
+            return m.group()
 
+    return re.sub(MISREAD, run, text)
 
-def clean(text: str | None, passes: int = 8) -> str:
-    """Text of a fragment: encoding repaired, markup and hidden elements out, references decoded, NFC, white space in order, a line for each block.
 
-    Repair, markup and references go on until nothing changes. A whole page is no article text, and what doesn't settle in ``passes`` rounds isn't either: both give an empty text.
-    """
-    text = text or ""
-    for _ in range(passes):
-        new = _repair(text)
-        if _PAGE.search(new, 0, 2048):
-            return ""
-        new = html.unescape(_TAG.sub("", _LINE.sub("\n", _UNSEEN.sub("", new))))
-        if new == text:
+#: Arrow's own kernel leaves letters decomposed.
+composed = _where(r"[^\x00-\x{ff}]", lambda x: unicodedata.normalize("NFC", x))
+
+#: Each is applied to the whole column; none of them needs to know where it stands in the list for the end result.
+KERNELS: tuple[Callable[[pa.Array], pa.Array], ...] = (
+    _where("&", html.unescape),
+    _where(MISREAD, _reread),
+    _swap("(?is)" + "|".join(rf"<{e}\b[^>]*>.*?(?:</{e}\s*>|\z)" for e in HIDDEN), ""),
+    _swap(r"(?s)<!--.*?(?:-->|\z)", ""),
+    _swap(rf"(?i)</?(?:{'|'.join(LINES)})\b[^<>]*>", "\n"),
+    _swap(r"</?[A-Za-z][^<>]*>|<![A-Za-z][^<>]*>", ""),
+)
+#: Once, after the kernels.
+LAYOUT: tuple[Callable[[pa.Array], pa.Array], ...] = (
+    composed,
+    _swap(r"\r\n?", "\n"),
+    _swap(r"\A\x{feff}+", ""),
+    _swap(r"[\x00-\x08\x0e-\x1f\x7f-\x{9f}\t\v\f\p{Z}]+", " "),
+    _swap(r" *\n[ \n]*", "\n"),
+    _swap(r"\A[ \n]+|[ \n]+\z", ""),
+)
+#: What a whole page begins with, whatever comments or declarations come before.
+PAGE = r"(?is)\A\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*)*<(?:!doctype\s+html|html|head|body)\b"
+
+
+def cleaned(texts: pa.Array, rounds: int = 8) -> pa.Array:
+    """Null counts as empty. A whole page is no article text, and what is still changing after ``rounds`` rounds isn't either: both give an empty text."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    busy = pa.array(range(len(texts)), pa.int32())  # places of values that may change still
+    for _ in range(rounds):
+        if not len(busy):
             break
-        text = new
-    else:
-        return ""
-    text = _CONTROL.sub(" ", unicodedata.normalize("NFC", text).lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n"))
-    lines = (" ".join(line.split()) for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+        before = texts.take(busy)
+        after = pc.replace_with_mask(before, pc.match_substring_regex(before, PAGE), pa.scalar("", pa.string()))
+        for kernel in KERNELS:
+            after = kernel(after)
+        changed = pc.not_equal(before, after)
+        texts = _put(texts, busy, after)
+        busy = busy.filter(changed)
+    texts = _put(texts, busy, pa.array([""] * len(busy), pa.string()))
+    for kernel in LAYOUT:
+        texts = kernel(texts)
+    return texts
 
 
-@F.pandas_udf(StringType())
-def clean_text(text: pd.Series) -> pd.Series:
-    return text.map(clean)
+def _put(texts: pa.Array, places: pa.Array, values: pa.Array) -> pa.Array:
+    if not len(places):
+        return texts
+    order = pa.array(range(len(texts)), pa.int32())
+    at = pc.index_in(order, places)
+    return pc.if_else(pc.is_valid(at), values.take(pc.fill_null(at, 0)), texts)
 
 
-@F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+@F.arrow_udf(StringType())
+def clean_text(text: pa.Array) -> pa.Array:
+    return cleaned(text)
 
 
-#: Patterns against a sentence of cleaned text, by reason. The first that applies counts; repetition and texts without a letter come after them.
-AGAINST = (
-    ("unrecoverable_encoding", "\ufffd"),
-    ("suspected_mojibake", "[ÃÂ][\\x{80}-\\x{bf}]|â€|ï»¿"),
-    ("markup_or_script_residue", r"(?i)</?[a-z]+(\s[^>]*)?/?>|\bfunction\s*\w*\s*\(|\b(var|let|const)\s+\w+\s*="),
-    ("boilerplate", r"(?i)\b(accept( all)? cookies|cookie policy|subscribe (now|to)|sign up (now|for)|all rights reserved|our newsletter)\b"),
-)
+@F.arrow_udf(StringType())
+def nfc(text: pa.Array) -> pa.Array:
+    return composed(text.cast(pa.string()))
+
+
+#: What speaks against a sentence, by reason: columns over the sentence. ``notices`` of :func:`assess_text` are one more.
+FAULTS: dict[str, Callable[[Column], Column]] = {
+    "markup_or_script_residue": lambda s: s.rlike(r"</?[A-Za-z][^<>]{0,400}>") | s.rlike(r"\bfunction\b[^.;]{0,40}\(|\b(?:var|let|const)\s+[\w$]+\s*="),
+    "no_linguistic_content": lambda s: ~s.rlike(r"\p{L}"),
+    "suspected_mojibake": lambda s: s.rlike(MISREAD) | s.contains("\u00ef\u00bb\u00bf"),
+    "unrecoverable_encoding": lambda s: s.contains("\ufffd"),
+}
+NOTICES = ("accept all cookies", "all rights reserved", "cookie policy", "our newsletter")
 
 
-def assess_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def assess_text(docs: DataFrame, id_col: str, text_col: str, notices: Sequence[str] = NOTICES) -> DataFrame:
     """docs: a unique id and cleaned text. id, status, reasons, usable.
 
-    Each sentence is a row; a sentence met before, whatever its case, is a repetition. A text is usable if none is refused, rejected if none is
-    left, else partial; ``reasons`` of those refused, sorted; ``usable``: the sentences left, by line breaks. Texts with nothing in them are rejected.
+    A sentence with a fault is refused, for every fault that it has; so is one that holds a notice, and one that a sentence without fault before it equals but
+    for case. A text is usable if none is refused, rejected if none is left, else partial; ``reasons`` of those refused, sorted; ``usable``: the sentences left,
+    by line breaks. Texts with nothing in them are rejected. No sentence is compared with another but by its key, so long texts cost no more than their length.
     """
     parts = F.filter(F.transform(F.split(text_col, r"(?<=[.!?])\s+|(?<=[。！？])|\n+"), lambda s: F.trim(s)), lambda s: s != "")
     spans = docs.select(F.col(id_col), F.posexplode_outer(parts).alias("at", "s"))
-    why = F.coalesce(*[F.when(F.col("s").rlike(pattern), F.lit(name)) for name, pattern in AGAINST], F.when(~F.col("s").rlike(r"\p{L}"), F.lit("no_linguistic_content")))
-    once = spans.withColumn("why", why).groupBy(id_col, "why", F.lower("s").alias("folded")).agg(F.min("at").alias("at"), F.min_by("s", "at").alias("s"), F.count("s").alias("n"))
-    good = F.col("why").isNull() & F.col("s").isNotNull()
-    kept = F.sort_array(F.collect_list(F.when(good, F.struct("at", "s"))))
-    told = once.groupBy(id_col).agg(kept.alias("kept"), F.collect_set(F.when(F.col("why").isNotNull() & F.col("s").isNotNull(), F.col("why"))).alias("why"), F.bool_or(good & (F.col("n") > 1)).alias("again"), F.sum("n").alias("spans"))
-    reasons = F.array_sort(F.array_union("why", F.when(F.col("again"), F.array(F.lit("repetition"))).otherwise(F.array().cast("array<string>"))))
-    status = F.when(F.size("kept") == 0, "rejected").when(F.size("reasons") > 0, "partial").otherwise("usable")
-    told = told.withColumn("reasons", F.when(F.col("spans") == 0, F.array(F.lit("empty_or_html_page"))).otherwise(reasons))
-    return told.select(id_col, status.alias("status"), "reasons", F.array_join("kept.s", "\n").alias("usable"))
+    low = F.lower("s")
+    checks = {name: fault(F.col("s")) for name, fault in FAULTS.items()} | {"boilerplate": F.coalesce(*[F.when(F.contains(low, F.lit(x)), True) for x in notices], F.lit(False))}
+    faults = F.filter(F.array(*[F.when(check, F.lit(name)) for name, check in checks.items()]), lambda x: x.isNotNull())
+    judged = spans.withColumns({"faults": faults, "sound": F.size(faults) == 0, "key": low})
+    same = Window.partitionBy(id_col, "key").orderBy("at")
+    judged = judged.withColumn("faults", F.when(F.col("sound") & (F.row_number().over(same) > 1), F.array(F.lit("repetition"))).otherwise(F.col("faults")))
+    told = judged.groupBy(id_col).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("s").isNotNull(), F.col("faults")))))).alias("reasons"),
+        F.sort_array(F.collect_list(F.when(F.col("s").isNotNull() & (F.size("faults") == 0), F.struct("at", "s")))).alias("kept"),
+        F.count("s").alias("n"),
+    )
+    reasons = F.when(F.col("n") == 0, F.array(F.lit("empty_or_html_page"))).otherwise(F.col("reasons"))
+    status = F.when(F.size("kept") == 0, "rejected").when(F.size("kept") < F.col("n"), "partial").otherwise("usable")
+    return told.select(id_col, status.alias("status"), reasons.alias("reasons"), F.array_join("kept.s", "\n").alias("usable"))
 
 
 @F.pandas_udf(LongType())

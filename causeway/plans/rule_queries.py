@@ -10,6 +10,9 @@ from causeway.plans.registry import register
 from causeway.sources import fixtures as X
 
 #: Rules of our own that fire on the driver's texts: their real words are function words of four languages.
+GUARDS: tuple[R.Guard, ...] = (
+    ("reader_service", (r"^for\b",), "OTHER"), ("resignation_opinion", (r"\bwill\b", r"\bby\b"), "OTHER"), ("reported_joke", (r"\bun\b", r"\bla\b"), "TENSION"), ("denied_event", (r"\bnot? (the|to)\b",), "OTHER"),
+)
 RULES = R.Rules(
     specific=(("tariff", "TRADE"), ("from", "TRADE"), ("ist", "LABOUR"), ("des", "SANCTIONS"), ("para", "DEAL"), ("rate cut", "POLICY"), ("this of", "POLICY"), ("is in", "CONFLICT"), ("not", "REGULATION")),
     generic=(("with", "DEAL"), ("mit", "DEAL"), ("un", "POLICY"), ("it", "TRADE"), ("de la", "CONFLICT")),
@@ -24,6 +27,7 @@ RULES = R.Rules(
     targets=(("TRADE", "A7", "ENERGY"), ("TRADE", "G4", "HAVEN"), ("SANCTIONS", "G5", "HAVEN"), ("CONFLICT", "A9", "DEFENCE"), ("LABOUR", "G6", "DEFENCE"), ("POLICY", "A7", "HAVEN"), ("SPORT", "A8", "HAVEN")),
     silent=("OTHER", "SPORT", "LEISURE"),
     geopolitical=("CONFLICT", "SANCTIONS"),
+    guards=GUARDS,
 )
 POLARITY = R.PolarityRules(
     approval=("REGULATION", r" (approv|and|der) ?", r" (fine|penalt|of) ?"),
@@ -32,6 +36,7 @@ POLARITY = R.PolarityRules(
     ends={"CONFLICT": r" (ceasefire|truce|the) ", "SANCTIONS": r" (lift|lifts|lifted|la) .{0,30}(sanction|de)"},
     calls_off=r"\b(calls off|called off|cancels|cancelled|averts)",
     resolved=r" (ceasefire|truce|and|und) ",
+    guards=GUARDS,
 )
 
 
@@ -50,7 +55,11 @@ SUF = "[" + quoted(T.SUFFIXES) + "]"
 
 
 def guard_sql(column: str) -> str:
-    return "CASE " + " ".join(f"WHEN {' AND '.join(f'regexp_matches(lower({column}), {quoted([p])})' for p in patterns)} THEN '{name}'" for name, patterns in R.GUARDS) + " END"
+    return "CASE " + " ".join(f"WHEN {' AND '.join(f'regexp_matches(lower({column}), {quoted([p])})' for p in patterns)} THEN '{name}'" for name, patterns, _ in GUARDS) + " END"
+
+
+def guarded_sql() -> str:
+    return " ".join(f"WHEN '{name}' THEN '{kind}'" for name, _, kind in GUARDS)
 
 
 def first_sql(role: str, place: str) -> str:
@@ -79,7 +88,7 @@ f AS (SELECT *, CASE WHEN title_specific IS NOT NULL THEN title_specific WHEN co
 g AS (SELECT *, ft IS NOT NULL AND len(company) = 0 AND len(industry) = 0 AND body_reject IS NOT NULL AS vetoed,
   CASE WHEN tripped IS NOT NULL THEN 'guard' WHEN free AND sec IS NOT NULL THEN 'section' WHEN free AND title_reject IS NOT NULL THEN 'reject' WHEN ft IS NOT NULL AND len(company) = 0 AND len(industry) = 0 AND body_reject IS NOT NULL THEN 'veto' WHEN ft IS NOT NULL THEN 'found' ELSE 'other' END AS way FROM f),
 dec AS (SELECT article_id, title, body, company, industry, cue, transport, corroborated, vetoed,
-  CASE way WHEN 'guard' THEN CASE tripped WHEN 'reported_joke' THEN 'TENSION' ELSE 'OTHER' END WHEN 'section' THEN sec WHEN 'reject' THEN title_reject WHEN 'veto' THEN body_reject WHEN 'found' THEN ft ELSE 'OTHER' END AS event_type,
+  CASE way WHEN 'guard' THEN CASE tripped {guarded_sql()} END WHEN 'section' THEN sec WHEN 'reject' THEN title_reject WHEN 'veto' THEN body_reject WHEN 'found' THEN ft ELSE 'OTHER' END AS event_type,
   CASE way WHEN 'section' THEN 'section:' || lower(sec) WHEN 'reject' THEN title_reject_k WHEN 'veto' THEN body_reject_k WHEN 'found' THEN fk END AS keyword,
   CASE way WHEN 'section' THEN 'publisher_section' WHEN 'veto' THEN 'body_veto' WHEN 'found' THEN fs ELSE 'title' END AS source,
   coalesce(tripped, CASE WHEN way = 'other' THEN 'unmapped' ELSE 'tiered_rule' END) AS reason FROM g)"""
@@ -199,11 +208,9 @@ def t17(spark, sf):
     return c.select("article_id", F.lit(None).cast("string").alias("actor"), F.coalesce("keyword", F.lit("OTHER")).alias("action_lemma"), "event_type", F.array_join("company", ",").alias("object"), F.concat_ws(":", "source", "reason").alias("audit"))
 
 
-@register("c11_guards", f"WITH {X.ARTICLES}, t AS (SELECT article_id, CASE article_id % 6 WHEN 0 THEN 'minister should resign' WHEN 1 THEN 'Find your nearest station' WHEN 2 THEN 'He joked about an attack' WHEN 3 THEN 'Firm denies talk of a merger' WHEN 4 THEN 'He joked' ELSE title END AS title FROM articles) SELECT article_id, {guard_sql('title')} AS guard FROM t")
+@register("c11_guards", f"WITH {X.ARTICLES} SELECT article_id, {guard_sql('title')} AS guard FROM articles")
 def c11(spark, sf):
-    made = F.element_at(F.array(*map(F.lit, ("minister should resign", "Find your nearest station", "He joked about an attack", "Firm denies talk of a merger", "He joked"))), F.least(F.col("article_id") % 6 + 1, F.lit(5)).cast("int"))
-    t = F.when(F.col("article_id") % 6 < 5, made).otherwise(F.col("title"))
-    return X.articles(spark, sf).select("article_id", R.guard(t).alias("guard"))
+    return X.articles(spark, sf).select("article_id", R.guard(F.col("title"), GUARDS).alias("guard"))
 
 
 @register("g05_term_overlap", f"WITH b AS (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, count(*)::BIGINT AS n FROM b a JOIN b ON a.term = b.term AND a.item_id < b.item_id GROUP BY ALL")
@@ -258,7 +265,7 @@ def x10(spark, sf):
 #: Ten headlines of our own with the verdict each must get.
 SMOKE = (
     (1, "Tariff raised by council", "", "src0", "TRADE"), (2, "A quiet day", "", "src1", "OTHER"), (3, "Quiet day", "", "src1", "SPORT"), (4, "What an idiot", "", "src0", "SPORT"), (5, "Idiot comes to pour steel, tariff says", "", "src0", "TRADE"),
-    (6, "Deal with rival", "", "src0", "OTHER"), (7, "Deal with rival worth 12%", "", "src0", "DEAL"), (8, "Tariff news", "Trash talk all day", "src0", "LEISURE"), (9, "Silence", "A rate cut came", "src0", "POLICY"), (10, "Minister should resign over tariff", "", "src0", "OTHER"),
+    (6, "Deal with rival", "", "src0", "OTHER"), (7, "Deal with rival worth 12%", "", "src0", "DEAL"), (8, "Tariff news", "Trash talk all day", "src0", "LEISURE"), (9, "Silence", "A rate cut came", "src0", "POLICY"), (10, "For readers: tariff table", "", "src0", "OTHER"),
 )
 
 

@@ -134,7 +134,7 @@ def test_online_clusters_follow_a_plain_loop(spark):
 
 
 def test_tiers_of_the_classifier(spark):
-    r = rules.Rules(specific=(("tariff", "TRADE"), ("rate cut", "POLICY")), generic=(("deal", "DEAL"),), reject=(("match", "SPORT"),), company=(("acme", "A1"),), industry=(("steel", "G1"),), override=("court",), terms=("bourse",), sections={"sport": "SPORT"})
+    r = rules.Rules(specific=(("tariff", "TRADE"), ("rate cut", "POLICY")), generic=(("deal", "DEAL"),), reject=(("match", "SPORT"),), company=(("acme", "A1"),), industry=(("steel", "G1"),), override=("court",), terms=("bourse",), sections={"sport": "SPORT"}, guards=(("denied_event", ("denies", "merger"), "OTHER"),))
     rows = [
         (1, "Tariff raised", "", None, "TRADE", "title"), (2, "Tariff raised", "", "sport", "SPORT", "publisher_section"), (3, "Acme tariff", "", "sport", "TRADE", "title"), (4, "Court hears tariff", "", "sport", "TRADE", "title"),
         (5, "Match lost over tariff", "", None, "SPORT", "title"), (6, "Deal done", "", None, "OTHER", "title"), (7, "Deal done on bourse", "", None, "DEAL", "title"), (8, "Deal worth $5", "", None, "DEAL", "title"),
