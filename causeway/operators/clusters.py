@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.scratch import materialize, release
@@ -44,58 +46,141 @@ def session_clusters(events: DataFrame, keys: list[str], quiet: str = "30 minute
 
 
 CLUSTERED = "event_type string, cluster_id string, n bigint, first_at timestamp_ntz, last_at timestamp_ntz, closed_by string, status string"
-
-
-def online_clusters(articles: DataFrame, threshold: float = 0.80, nearest: int = 5, quiet: str = "30 minutes", lifetime: str = "24 hours", never: tuple[str, ...] = ("OTHER",)) -> DataFrame:
+COLUMNS = ["event_type", "cluster_id", "n", "first_at", "last_at", "closed_by", "status"]
+
+
+@dataclass
+class Cluster:
+    """An open cluster; times in microseconds."""
+
+    id: str
+    mean: np.ndarray
+    n: int
+    first: int
+    last: int
+    actors: set[str] = field(default_factory=set)
+
+
+class OpenClusters:
+    """Open clusters of one event type, by the time at which they are due, and their means as one matrix."""
+
+    def __init__(self, threshold: float, quiet: int, lifetime: int):
+        self.threshold, self.quiet, self.lifetime = threshold, quiet, lifetime
+        self.slots: list[Cluster | None] = []
+        self.free: list[int] = []
+        self.due: list[tuple[int, str, int]] = []  # a cluster that has grown has a later entry too
+        self.means = np.zeros((0, 0))
+        self.lengths = np.zeros(0)
+
+    def end(self, c: Cluster) -> int:
+        return min(c.last + self.quiet, c.first + self.lifetime)
+
+    def put(self, c: Cluster) -> None:
+        if self.free:
+            at = self.free.pop()
+        else:
+            at = len(self.slots)
+            self.slots.append(None)
+        self.slots[at] = c
+        width = max(self.means.shape[1], len(c.mean))
+        if at >= len(self.means) or width > self.means.shape[1]:
+            grown = np.zeros((max(16, 2 * (at + 1)), width))
+            grown[: len(self.means), : self.means.shape[1]] = self.means
+            self.means, self.lengths = grown, np.concatenate([self.lengths, np.zeros(len(grown) - len(self.lengths))])
+        self._moved(at)
+
+    def _moved(self, at: int) -> None:
+        c = self.slots[at]
+        self.means[at] = 0
+        self.means[at, : len(c.mean)] = c.mean
+        self.lengths[at] = np.sqrt(c.mean @ c.mean)
+        heapq.heappush(self.due, (self.end(c), c.id, at))
+
+    def closed(self, now: int | None) -> Iterator[tuple[Cluster, str]]:
+        """Clusters whose time is over before ``now``, in the order in which they end; all, if there is no ``now``."""
+        while self.due and (now is None or self.due[0][0] < now):
+            end, name, at = heapq.heappop(self.due)
+            c = self.slots[at]
+            if c is not None and c.id == name and self.end(c) == end:
+                self.slots[at], self.lengths[at] = None, 0
+                self.means[at] = 0
+                self.free.append(at)
+                yield c, "LIFETIME" if c.first + self.lifetime < c.last + self.quiet else "QUIET"
+
+    def next_end(self) -> int | None:
+        while self.due:
+            end, name, at = self.due[0]
+            c = self.slots[at]
+            if c is not None and c.id == name and self.end(c) == end:
+                return end
+            heapq.heappop(self.due)
+        return None
+
+    def add(self, name: str, at: int, actor: str | None, vec: np.ndarray, alone: bool) -> Cluster:
+        """The cluster that an article joins, or the one that it opens."""
+        length = np.sqrt(vec @ vec)
+        if not alone and length > 0 and self.slots and self.means.shape[1] == len(vec):
+            n = len(self.slots)
+            near = self.means[:n] @ vec / np.where(self.lengths[:n] > 0, self.lengths[:n] * length, np.inf)
+            top = near.max()
+            if top > self.threshold:
+                best = min(np.flatnonzero(near == top), key=lambda i: self.slots[i].id)
+                c = self.slots[best]
+                c.mean = (c.mean * c.n + vec) / (c.n + 1)
+                c.n, c.last = c.n + 1, max(c.last, at)
+                c.actors |= {actor} - {None}
+                self._moved(best)
+                return c
+        c = Cluster(name, vec, 1, at, at, {actor} - {None})
+        self.put(c)
+        return c
+
+
+def closed_row(kind: str, c: Cluster, why: str) -> tuple:
+    return kind, c.id, c.n, pd.Timestamp(c.first, unit="us"), pd.Timestamp(c.last, unit="us"), why, "DEFERRED" if len(c.actors) > 1 else "EVENT"
+
+
+def micros(interval: str) -> int:
+    return pd.Timedelta(interval).value // 1000
+
+
+#: A type that never joins is dealt out by article, into so many parts.
+PARTS = 64
+
+
+def part_of(never: tuple[str, ...]) -> Column:
+    """What the articles of a type are parted by: nothing but their type, unless each is a cluster of its own."""
+    return F.when(F.col("event_type").isin(*never), F.pmod(F.xxhash64("article_id"), F.lit(PARTS)).cast("int")).otherwise(-1)
+
+
+def online_clusters(articles: DataFrame, threshold: float = 0.80, quiet: str = "30 minutes", lifetime: str = "24 hours", never: tuple[str, ...] = ("OTHER",)) -> DataFrame:
     """articles: article_id, event_type, at, actor, vec. One row for each cluster, closed once.
 
-    In order of arrival an article joins the most similar of the ``nearest`` open clusters of its type if the cosine exceeds the threshold, and
-    moves that cluster's mean; else it opens one. A cluster closes ``quiet`` after its last article or ``lifetime`` after its first. Members that
-    name different actors defer the cluster's event. Types in ``never`` open a cluster for each article.
+    In order of arrival an article joins the most similar open cluster of its type if the cosine exceeds the threshold, and moves that cluster's mean;
+    else it opens one. A cluster closes ``quiet`` after its last article or ``lifetime`` after its first. Members that name different actors defer the
+    cluster's event. Types in ``never`` open a cluster for each article; these are rows on their own.
 
-    A type's articles are folded in one pass over a sorted partition; only its open clusters are held.
+    A type that joins is folded in one pass over a sorted partition, as each step depends on the one before; only its open clusters are held.
     """
     ship(articles.sparkSession)
-    gap, life = pd.Timedelta(quiet), pd.Timedelta(lifetime)
-
-    def row(kind: str, c: dict, why: str) -> tuple:
-        return kind, c["id"], c["n"], c["first"], c["last"], why, "DEFERRED" if len(c["actors"]) > 1 else "EVENT"
-
-    def due(kind: str, open_: list[dict], now: pd.Timestamp | None) -> Iterator[tuple]:
-        for c in sorted(open_, key=lambda c: (min(c["last"] + gap, c["first"] + life), c["id"])):
-            end = min(c["last"] + gap, c["first"] + life)
-            if now is None or now > end:
-                open_.remove(c)
-                yield row(kind, c, "LIFETIME" if c["first"] + life < c["last"] + gap else "QUIET")
+    gap, life = micros(quiet), micros(lifetime)
+    own = ["article_id", "event_type", "at", "actor", "vec"]
+    lone = articles.filter(F.col("event_type").isin(*never)) if never else articles.limit(0)
+    alone = lone.select("event_type", F.concat_ws("|", "event_type", "article_id").alias("cluster_id"), F.lit(1).cast("bigint").alias("n"), F.col("at").alias("first_at"), F.col("at").alias("last_at"), F.lit("LIFETIME" if life < gap else "QUIET").alias("closed_by"), F.lit("EVENT").alias("status"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kind, open_ = None, []
+        kind, open_ = None, OpenClusters(threshold, gap, life)
         for b in batches:
             out: list[tuple] = []
-            for key, article, at, actor, vec in zip(b["event_type"], b["article_id"], b["at"], b["actor"], b["vec"], strict=True):
+            for key, article, at, actor, vec in zip(b["event_type"], b["article_id"], b["at"].astype("datetime64[us]").astype("int64"), b["actor"], b["vec"], strict=True):
                 if key != kind:
-                    out += due(kind, open_, None)
-                    kind, open_ = key, []
-                out += due(kind, open_, at)
-                v = np.asarray(vec, float)
-                scale = np.sqrt(v @ v)
-                near = []
-                if key not in never and scale > 0:
-                    for c in open_:
-                        length = np.sqrt(c["mean"] @ c["mean"])
-                        near.append((float(c["mean"] @ v / (length * scale)) if length > 0 else 0.0, c))
-                    near = sorted(near, key=lambda x: (-x[0], x[1]["id"]))[:nearest]
-                if near and near[0][0] > threshold:
-                    c = near[0][1]
-                    c["mean"] = (c["mean"] * c["n"] + v) / (c["n"] + 1)
-                    c["n"], c["last"] = c["n"] + 1, max(c["last"], at)
-                else:
-                    c = {"id": f"{key}|{article}", "mean": v, "n": 1, "first": at, "last": at, "actors": set()}
-                    open_.append(c)
-                if actor:
-                    c["actors"].add(actor)
-            yield pd.DataFrame(out, columns=["event_type", "cluster_id", "n", "first_at", "last_at", "closed_by", "status"])
-        yield pd.DataFrame(list(due(kind, open_, None)), columns=["event_type", "cluster_id", "n", "first_at", "last_at", "closed_by", "status"])
-
-    ordered = articles.select("event_type", "article_id", "at", "actor", "vec").repartition("event_type").sortWithinPartitions("event_type", "at", "article_id")
-    return ordered.mapInPandas(fold, CLUSTERED)
+                    out += [closed_row(kind, *x) for x in open_.closed(None)]
+                    kind, open_ = key, OpenClusters(threshold, gap, life)
+                out += [closed_row(kind, *x) for x in open_.closed(at)]
+                open_.add(f"{key}|{article}", at, actor, np.asarray(vec, float), False)
+            yield pd.DataFrame(out, columns=COLUMNS)
+        yield pd.DataFrame([closed_row(kind, *x) for x in open_.closed(None)], columns=COLUMNS)
+
+    joining = articles.filter(~F.col("event_type").isin(*never)) if never else articles
+    ordered = joining.select(*own).repartition("event_type").sortWithinPartitions("event_type", "at", "article_id")
+    return ordered.mapInPandas(fold, CLUSTERED).unionByName(alone)
