@@ -12,7 +12,7 @@ that hold a term: weight = floor(1000 * ln((2N + 2) / (2df + 1))), m = 50 + (50
 (1000000000 * tf) div (1000 * tf + 20 * m), score = sum of weight * impact over a query's terms, once each.
 
 Queries are taken in blocks, each with a pass over the documents; what a block sends to tasks is the terms
-of its queries. Shards have some 16,000 documents, so they grow in number with the table, not in size.
+of its queries. Shards have some 8,000 documents, so they grow in number with the table, not in size.
 
 Defined results: a null or empty text has no terms, neither in documents nor as a query; such a query
 returns nothing. Ties rank by ascending id, null ids last, repeated rows each with a rank of its own.
@@ -33,7 +33,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 from causeway.llm.common import map_batches, materialize, release, texts
 from causeway.session import ship
 
-SHARD, BLOCK = 16_384, 10_000
+SHARD, BLOCK = 8_192, 10_000
 #: Everything but letters, digits and bytes beyond ASCII becomes a space; A-Z become a-z.
 TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -105,7 +105,9 @@ class Shard:
         of = np.repeat(np.arange(len(spans)), [b - a for (a, b), _ in spans])
         order = np.argsort(-adds, kind="stable")
         group, adds, of = group[order], adds[order], of[order]
-        left = np.array([w * self.impact[a] for (a, b), w in spans])  # most that a term may still add to a document
+        firsts, ends = np.array([x for x, _ in spans]).T
+        weights, taken, done_groups = np.array([w for _, w in spans]), np.zeros(len(spans), np.int64), 0
+        left = weights * self.impact[firsts]  # most that a term may still add to a document
         scores, at, done, step = np.zeros(len(self.rows), np.int64), 0, 0, max(64, len(group) // 32)
         while at < len(group):
             to = min(len(group), at + step)
@@ -115,10 +117,9 @@ class Shard:
             spots = np.repeat(self.ends[group[at:to]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
             scores += np.bincount(self.docs[spots], np.repeat(adds[at:to], sizes), len(scores)).astype(np.int64) if adds[at] * len(spots) < 1 << 52 else self._exact(spots, np.repeat(adds[at:to], sizes))
             done, at = done + len(spots), to
-            nxt = np.zeros(len(spans), np.int64)
-            later, first = np.unique(of[at:], return_index=True)
-            nxt[later] = adds[at:][first]
-            left = nxt
+            taken += np.bincount(of[done_groups:at], minlength=len(spans))
+            done_groups = at
+            left = np.where(taken < ends - firsts, weights * self.impact[np.minimum(firsts + taken, len(self.impact) - 1)], 0)
             met = scores[scores > 0]
             if len(met) >= k and left.sum() < np.partition(met, len(met) - k)[len(met) - k]:
                 break
