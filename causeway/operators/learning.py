@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import scoring as S
+from causeway.operators.folds import clamped_sums
 
 DEADBAND, LEAST, ABNORMAL_LEAST, SCALE = 0.002, 5, 2, 0.05
 
@@ -43,11 +44,11 @@ def credits(contributions: DataFrame) -> DataFrame:
     return contributions.withColumn("credit", F.when(total > 0, F.col("influence") / total).otherwise(1.0 / F.count(F.lit(1)).over(w)))
 
 
-def fold_weights(credited: DataFrame) -> DataFrame:
-    """edge_id, weight after its scored predictions in order: each step is clamped, so the order matters."""
-    steps = F.array_sort(F.collect_list(F.struct("scored_at", "prediction_id", "credit", "is_correct")))
-    g = credited.groupBy("edge_id").agg(F.first("weight").alias("weight"), steps.alias("steps"))
-    return g.select("edge_id", F.aggregate("steps", F.col("weight"), lambda w, x: S.moved_weight(w, x["credit"], x["is_correct"])).alias("weight"), F.size("steps").cast("bigint").alias("n_steps"))
+def fold_weights(credited: DataFrame, pieces: int | None = None) -> DataFrame:
+    """edge_id, weight after its scored predictions in order, n_steps: each step is clamped, so the order matters; a hot edge's steps are spread over tasks."""
+    moved = credited.withColumn("_move", F.when(F.col("is_correct"), S.STEP).otherwise(-S.STEP) * F.col("credit"))
+    folded = clamped_sums(moved, "edge_id", ["scored_at", "prediction_id", "credit"], "_move", "weight", S.FLOOR, 1.0, pieces)
+    return folded.select("edge_id", F.col("value").alias("weight"), F.col("n").alias("n_steps"))
 
 
 def source_credits(scored: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from causeway import plans
 from causeway.functions import calendar, clean, scoring, statistics, text
-from causeway.operators import dedup, graph, stance
+from causeway.operators import dedup, graph
 from causeway.sources import fixtures, readers
 from causeway.streaming import flows
 
@@ -102,12 +102,6 @@ def test_greedy_keeps_what_only_a_dropped_copy_resembles(spark):
     assert {r.id for r in dedup.greedy(members, pairs).collect() if r.kept} == {0, 2}
 
 
-def test_stance():
-    day = pd.Timestamp("2024-01-08 10:00")
-    rows = pd.DataFrame({"asset_id": "A", "decision_at": [day + pd.Timedelta(minutes=i) for i in range(5)], "direction": ["UP", "UP", "DOWN", "UP", "DOWN"], "open": [True] * 5, "propagated": [False, False, False, False, True]})
-    assert stance.fold(rows)["outcome"].tolist() == ["STORED", "SAME_DIRECTION", "STORED", "DAILY_CAP", "SAME_DIRECTION"]
-
-
 def test_propagation_visits_once(spark):
     direct = spark.createDataFrame([("c", "A", "UP", 0.9)], "context_id string, asset_id string, direction string, confidence double")
     e = spark.createDataFrame([("A", "B", "UPSTREAM_UP", "UP", 0.9, 9.0, 1.0), ("B", "C", "UPSTREAM_UP", "DOWN", 0.9, 9.0, 1.0), ("B", "A", "UPSTREAM_UP", "UP", 0.9, 9.0, 1.0)], "source string, target string, condition string, direction string, weight double, alpha double, beta double")
