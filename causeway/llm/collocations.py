@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from causeway.llm.common import map_batches, materialize, materialize_by, release, sweep
 from causeway.session import ship
 
-UNIT = 6 << 20
+UNIT = 8 << 20
 #: Cells of a block; keys of an automaton in characters, some 50 bytes each.
 BLOCK_BITS, KEYS = 20, 3_000_000
 BREAK = b"\n"
@@ -63,10 +63,13 @@ class Unit:
         self.real = self.seq != numbers.get(BREAK, -1)
 
     def phrases(self, longest: int, lang: str, bits: int):
-        """Of each length: the numbers of its phrases, and where each occurrence's cell is."""
+        """Of each length from 1: where its phrases begin, their cells and their numbers, occurrence by occurrence."""
         seed = xxhash.xxh3_64_intdigest(lang.encode())
         marks = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))[self.seq]
         hashed, fit, ids = marks, self.real, self.seq
+        spread = lambda h: ((h ^ (h >> np.uint64(32))) * EVEN[1]) >> np.uint64(64 - bits)
+        with np.errstate(over="ignore"):
+            yield 1, np.flatnonzero(fit), spread(marks)[fit].astype(np.int64), ids[fit]
         for k in range(2, longest + 1):
             n = len(self.seq) - k + 1
             if n < 1:
@@ -74,7 +77,7 @@ class Unit:
             fit = fit[:n] & self.real[k - 1 :]
             with np.errstate(over="ignore"):
                 hashed = (hashed[:n] ^ (hashed[:n] >> np.uint64(29))) * EVEN[0] + marks[k - 1 :]
-                cells = ((hashed ^ (hashed >> np.uint64(32))) * EVEN[1]) >> np.uint64(64 - bits)
+                cells = spread(hashed)
             first, ids = ids[:n], self.seq[k - 1 :]
             pairs = first * (int(ids.max()) + 1) + ids if int(first.max()) * (int(ids.max()) + 1) < 1 << 62 else None
             if pairs is None:
@@ -113,20 +116,22 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, bytes]:
     return np.cumsum(planes[0] | planes[1] << 8 | planes[2] << 16), blob[4 + 3 * n :]
 
 
-def scan(text: bytes, lang: str, hot: np.ndarray, longest: int, bits: int, keys: int = KEYS) -> tuple[list[bytes], list[int]]:
-    """Candidates of a unit, which are its phrases in ``hot`` cells, and how often each occurs there; its single words too."""
-    u = Unit(text)
-    words, counts = np.unique(u.seq[u.real], return_counts=True)
-    out, sums = [u.words[i] for i in words], counts.tolist()
-    hot = np.sort(hot)
-    found: list[str] = []
+def scan(text: bytes, lang: str, hot: np.ndarray, longest: int, bits: int, keys: int = KEYS) -> tuple[list[bytes | None], list[int]]:
+    """Candidates of a unit, which are its words and phrases in ``hot`` cells, and how often each occurs there; first, under None, how many words it has. Single words are counted as they are numbered."""
+    u, hot = Unit(text), np.sort(hot)
+    out, sums, found = [None], [int(u.real.sum())], []
     for k, at, cells, ids in u.phrases(longest, lang, bits):
         if not len(hot):
             break
         passed = hot[np.minimum(np.searchsorted(hot, cells), len(hot) - 1)] == cells
-        at = at[passed][np.unique(ids[passed], return_index=True)[1]]
-        parts = [[u.words[i] for i in u.seq[at + j]] for j in range(k)]
-        found += [b" ".join(p).decode("latin-1") for p in zip(*parts, strict=True)]
+        numbers, first, n = np.unique(ids[passed], return_index=True, return_counts=True)
+        at = at[passed][first]
+        if k == 1:
+            out += [u.words[i] for i in numbers]
+            sums += n.tolist()
+        else:
+            parts = [[u.words[i] for i in u.seq[at + j]] for j in range(k)]
+            found += [b" ".join(p).decode("latin-1") for p in zip(*parts, strict=True)]
     line = text.decode("latin-1")
     at = 0
     while at < len(found):
@@ -142,9 +147,9 @@ def scan(text: bytes, lang: str, hot: np.ndarray, longest: int, bits: int, keys:
 
 
 def counts(docs: DataFrame, least: int = 10, longest: int = 3, text_col: str = "text", lang_col: str = "lang", unit: int = UNIT) -> DataFrame:
-    """Whole counts of all words, and of all phrases of 2 to ``longest`` words that occur ``least`` times or more: lang, ``size`` in words, phrase, n.
+    """Whole counts of all words and phrases of up to ``longest`` words that occur ``least`` times or more: lang, ``size`` in words, phrase, n; and of all words together, with size 0 and no phrase.
 
-    Sums below ``least`` may be there for phrases too; they are not whole.
+    Sums below ``least`` may be there too: of candidates that fail the threshold.
     """
     spark = docs.sparkSession
     table = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
@@ -215,7 +220,7 @@ def counts(docs: DataFrame, least: int = 10, longest: int = 3, text_col: str = "
         return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "phrase": pa.array(found, pa.binary()).cast(pa.string()), "n": pa.array(n, pa.int64())})
 
     each = texts.select("unit", "lang", "data").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(match, "lang string, phrase string, n bigint")
-    out = materialize(each.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).withColumn("size", F.size(F.split("phrase", " "))), "counts")
+    out = materialize(each.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).withColumn("size", F.coalesce(F.size(F.split("phrase", " ")), F.lit(0))), "counts")
     release(texts)
     release(answers)
     return out
@@ -224,8 +229,8 @@ def counts(docs: DataFrame, least: int = 10, longest: int = 3, text_col: str = "
 def collocations(docs: DataFrame, least: int = 10, longest: int = 3, covered: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Each language's first ``top`` phrases by score, count and phrase: lang, rank, phrase, a, l, r, n, score."""
     counted = counts(docs, least, longest, text_col, lang_col)
-    total = counted.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    often = counted.filter(F.col("n") >= least)
+    total = counted.filter("size = 0").select("lang", F.col("n").alias("total"))
+    often = counted.filter((F.col("n") >= least) & (F.col("size") > 0))
     phrases = often.filter("size > 1").withColumnRenamed("n", "a")
     words = F.split("phrase", " ")
     part = lambda at, k: F.array_join(F.slice(words, at, k), " ")
