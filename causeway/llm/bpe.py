@@ -1,14 +1,14 @@
 """BPE encoding by a distinct-word table, decoding by a join of ids with pieces.
 
 Encoding: texts are cut into words where the tokenizer cuts them. A chunk of texts is kept as numbers of
-its own words, next to the list of those words; the lists of all chunks make the table of distinct words,
-each of which the tokenizer encodes once. The ids are joined to the lists by word, go back to their chunks
-and take their places there. What is shuffled are a chunk's numbers, about a byte and a half a word, and
-a row for each distinct word of a chunk; a frequent word is one row a chunk, wherever it is looked up.
+its own words, next to the list of those words; lists are dealt out by hash of the word, so that all chunks'
+entries of a word meet, and there the tokenizer encodes each distinct word once. Its ids go back to each
+chunk that has the word and are joined to the words' places by number. What is shuffled are a chunk's
+numbers, about a byte and a half a word, and an entry for each distinct word of a chunk, packed by chunk and
+bucket; a frequent word is one entry a chunk. The number of buckets follows the size of the table.
 
-Decoding: ids are exploded in order and joined with the vocabulary's pieces, a table whose size the
-tokenizer's file bounds and which is therefore broadcast. That join keeps order, so pieces of a text come
-one after the other and are put together without a shuffle; a position out of order raises an error.
+Decoding: ids are joined with the vocabulary's pieces in the tasks, batch by batch, and a text's pieces put
+together in order. The pieces, as many as the tokenizer's file has, are sent to every task; no shuffle.
 
 Defined results: a null or empty text has no ids and decodes to the empty text. Repeated rows are encoded
 each on its own. Texts of any length are encoded whole; a chunk ends with the text that fills it, so a
@@ -24,17 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from causeway.llm.common import map_batches, materialize_by, release
+from causeway.llm.common import map_batches, materialize, materialize_by, release, sweep
 from causeway.session import ship
 
-CHUNK = 16 << 20
+#: Characters of a chunk of texts, and of the texts for each bucket of words.
+CHUNK, BUCKET = 16 << 20, 8 << 20
 LONG = 1 << 20
 ENCODED_AT_ONCE = 2_000
 #: How byte-level tokenizers of this kind cut a text.
@@ -104,22 +107,33 @@ def words_at(path: str) -> Words:
     return _loaded[path]
 
 
-def _squeeze(numbers: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side: the high ones are nearly all zero."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def _squeeze(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Columns of small numbers, bytes of equal weight side by side as the high ones are nearly all zero, and ``tail``."""
+    parts = [len(columns).to_bytes(4, "little")]
+    for numbers in columns:
+        parts += [len(numbers).to_bytes(4, "little"), np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, tail]))
 
 
-def _unsqueeze(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+def _unsqueeze(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    at, out = 4, []
+    for _ in range(int.from_bytes(raw[:4], "little")):
+        n = int.from_bytes(raw[at : at + 4], "little")
+        planes = np.frombuffer(raw, np.uint8, 4 * n, at + 4)
+        out.append(np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel())
+        at += 4 + 4 * n
+    return out, raw[at:]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """One row per document: id and ``ids`` (array of int), as the tokenizer encodes the whole text without special tokens at its ends."""
     path = tokenizer or default_tokenizer()
     words_at(path)  # an unfit tokenizer fails here
-    key = docs.schema[id_col].dataType
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     table = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    chars = table.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, -(-chars // bucket))
 
     def run(batches):
         words, task, made = words_at(path), TaskContext.get().partitionId(), 0
@@ -127,18 +141,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
         def flush():
             nonlocal made, keys, counts, coded, numbers, held
-            codes = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
+            codes = np.concatenate(coded)
             order = np.argsort(-np.bincount(codes, minlength=len(numbers)), kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order))
-            name, by_number = task << 33 | made, list(numbers)
-            blank = pa.nulls(1, keys[0].type)
-            yield _rows("text", name, [-1], blank, [len(codes)], [_squeeze(rank[codes])])
+            name, listed = task << 33 | made, [w.encode() for w in numbers]
+            made += 1
+            yield _rows("text", name, [-1], pa.nulls(1, keys[0].type), [len(codes)], [_squeeze(rank[codes])])
             yield _rows("text", name, range(len(counts)), pa.concat_arrays(keys), counts, [None] * len(counts))
-            for at in range(0, len(order), 50_000):
-                part = [by_number[i].encode() for i in order[at : at + 50_000]]
-                yield _rows("word", name, range(at, at + len(part)), pa.nulls(len(part), keys[0].type), [0] * len(part), part)
-            keys, counts, coded, numbers, held, made = [], [], [], _Numbers(), 0, made + 1
+            for at, entry in _dealt(listed, rank, buckets):
+                yield _rows("word", name, [at], pa.nulls(1, keys[0].type), [0], [entry])
+            keys, counts, coded, numbers, held = [], [], [], _Numbers(), 0
 
         for b in batches:
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -152,72 +165,87 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         if counts:
             yield from flush()
 
-    schema = StructType([StructField("key", key)])
-    cut = map_batches(table, run, "kind string, chunk bigint, at int, " + _ddl(schema) + ", n int, data binary")
+    cut = map_batches(table, run, f"kind string, chunk bigint, at int, key {kind.simpleString()}, n int, data binary")
     texts, words = materialize_by(cut, "kind", ["text", "word"], "bpe")
 
-    def encoded(batches):
-        tok = words_at(path)
-        for b in batches:
-            for at in range(0, len(b), ENCODED_AT_ONCE):
-                part = b.slice(at, ENCODED_AT_ONCE)
-                ids = tok.encode([str(w, "utf-8") for w in part.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], names=["data", "ids"])
-
-    table = map_batches(words.select("data").distinct(), encoded, "data binary, ids binary")
-    placed = words.select("data", "chunk", "at").join(table, "data").select("chunk", "at", "ids")
+    def encoded(group: pa.Table) -> pa.Table:
+        """All chunks' words of a bucket: each distinct one is encoded once."""
+        entries = [_listed(x) for x in group.column("data").to_pylist()]
+        distinct = list(dict.fromkeys(w for _, own in entries for w in own))
+        ids: dict[bytes, np.ndarray] = {}
+        for at in range(0, len(distinct), ENCODED_AT_ONCE):
+            part = distinct[at : at + ENCODED_AT_ONCE]
+            ids.update(zip(part, words_at(path).encode([str(w, "utf-8") for w in part]), strict=True))
+        packed = []
+        for rank, own in entries:
+            found = [ids[w] for w in own]
+            packed.append(_squeeze(np.diff(rank, prepend=0), np.array([len(x) for x in found]), np.concatenate(found)))
+        return pa.table([group.column("chunk"), pa.array(packed, pa.binary())], names=["chunk", "data"])
+
+    ship(spark)
+    placed = materialize(words.select("chunk", "at", "data").groupBy("at").applyInArrow(encoded, "chunk bigint, data binary"), "bpe-ids")
+    release(words)
+    sweep(spark)
 
     def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.sort_by("at"), right.sort_by("at")
-        lengths, flat = _flat(right.column("ids"))
-        codes = _unsqueeze(left.column("data")[0].as_py())
-        ends = np.concatenate([[0], np.cumsum(lengths[codes], dtype=np.int64)])
-        spread = np.repeat((np.cumsum(lengths) - lengths)[codes] - ends[:-1], lengths[codes])
+        left = left.sort_by("at")
+        (codes,), _ = _unsqueeze(left.column("data")[0].as_py())
+        entries = [_unsqueeze(x)[0] for x in right.column("data").to_pylist()]
+        none = np.zeros(0, np.int64)
+        rank, sizes, flat = (np.concatenate([none, *column]).astype(np.int64) for column in (zip(*((np.cumsum(r), n, ids) for r, n, ids in entries), strict=True) if entries else ([none],) * 3))
+        lengths, starts = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        lengths[rank], starts[rank] = sizes, np.cumsum(sizes) - sizes
+        ends = np.concatenate([[0], np.cumsum(lengths[codes])])
+        spread = np.repeat(starts[codes] - ends[:-1], lengths[codes])
         spread += np.arange(len(spread))
         rows = left.slice(1)
         bounds = np.concatenate([[0], np.cumsum(rows.column("n").to_numpy())])
         ids = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat[spread].astype(np.int32)))
         return pa.table([rows.column("key"), ids], names=["key", "ids"])
 
-    ship(docs.sparkSession)
-    out = texts.groupBy("chunk").cogroup(placed.groupBy("chunk")).applyInArrow(put_together, _ddl(schema) + ", ids array<int>")
+    out = texts.groupBy("chunk").cogroup(placed.groupBy("chunk")).applyInArrow(put_together, f"key {kind.simpleString()}, ids array<int>")
     out = out.withColumnRenamed("key", id_col)
-    out._causeway_parts = (texts, words)
+    out._causeway_parts = (texts, placed)
     return out
 
 
+def _dealt(words: list[bytes], rank: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """A chunk's words by bucket: numbers in ascending order, lengths, and the words one after the other."""
+    of = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+    order = np.lexsort((rank, of))
+    sizes = np.bincount(of, minlength=buckets)
+    for at, (end, n) in enumerate(zip(np.cumsum(sizes), sizes, strict=True)):
+        if n:
+            own = order[end - n : end]
+            listed = [words[i] for i in own]
+            yield at, _squeeze(np.diff(rank[own].astype(np.int64), prepend=0), np.array([len(w) for w in listed]), tail=b"".join(listed))
+
+
+def _listed(entry: bytes) -> tuple[np.ndarray, list[bytes]]:
+    (gaps, sizes), raw = _unsqueeze(entry)
+    ends = np.cumsum(sizes).tolist()
+    return np.cumsum(gaps), [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def forget(encoded: DataFrame) -> None:
     """Delete the scratch tables behind what :func:`encode` returned, once its rows are written."""
     for part in getattr(encoded, "_causeway_parts", ()):
         release(part)
 
 
-def _ddl(schema: StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-
-
 def _rows(kind: str, chunk: int, at, keys: pa.Array, counts: list[int], data: list[bytes | None]) -> pa.RecordBatch:
     n = len(counts)
     columns = [pa.array([kind] * n), pa.array([chunk] * n, pa.int64()), pa.array(list(at), pa.int32()), keys, pa.array(counts, pa.int32()), pa.array(data, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["kind", "chunk", "at", "key", "n", "data"])
 
 
-def _flat(ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each row, in number and one after the other."""
-    values = ids.to_pylist()
-    return np.array([len(x) // 4 for x in values], np.int64), np.frombuffer(b"".join(values), "<u4")
-
-
-def pieces(spark, tokenizer: str | None = None) -> DataFrame:
+def pieces(tokenizer: str | None = None) -> pa.Table:
     """The vocabulary: id and piece (bytes), as many rows as the tokenizer's file has ids."""
-    path = tokenizer or default_tokenizer()
-    tok = words_at(path).tokenizer
+    tok = words_at(tokenizer or default_tokenizer()).tokenizer
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte = {chr(c): c for c in plain} | {chr(0x100 + i): c for i, c in enumerate(c for c in range(0x100) if c not in plain)}
-    rows = []
-    for piece, i in tok.get_vocab(with_added_tokens=True).items():
-        rows.append((i, bytearray(byte[c] for c in piece) if all(c in byte for c in piece) else bytearray(piece.encode())))
-    return spark.createDataFrame(rows, "id int, piece binary")
+    known = sorted((i, bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode()) for piece, i in tok.get_vocab(with_added_tokens=True).items())
+    return pa.table([pa.array([i for i, _ in known], pa.int32()), pa.array([p for _, p in known], pa.binary())], names=["id", "piece"])
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
@@ -225,44 +253,19 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str | None = Non
     if "text" in encoded.columns:
         raise ValueError("there is a column named text already")
     others = [c for c in encoded.columns if c != ids_col]
-    rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"), F.col(ids_col).alias("ids"))
-    each = rows.select("row", "others", F.posexplode_outer("ids").alias("pos", "id")).select("row", F.coalesce("pos", F.lit(0)).alias("pos"), "others", "id")
-    each = each.select("row", "pos", F.when(F.col("pos") == 0, F.col("others")).alias("others"), "id")
-    named = each.join(F.broadcast(pieces(encoded.sparkSession, tokenizer)), "id", "left").select("row", "pos", "others", "piece")
-    schema = StructType([*(encoded.schema[c] for c in others)])
+    table = pieces(tokenizer)
 
     def run(batches):
-        row, pos, kept, text = -1, -1, None, []  # of the text that may go on in the next batch
+        known, piece = table.column("id").combine_chunks(), table.column("piece").combine_chunks()
         for b in batches:
-            if not len(b):
-                continue
-            r, p = b.column(0).to_numpy(), b.column(1).to_numpy()
-            fresh = np.diff(r, prepend=row) != 0
-            if not np.array_equal(np.where(fresh, 0, np.concatenate([[pos], p[:-1]]) + 1), p):
-                raise RuntimeError("ids of a text have lost their order")
-            column = b.column(2)
-            piece = b.column(3)
-            ends = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1]
-            data = memoryview(piece.buffers()[2] or b"")
-            starts = np.flatnonzero(fresh)
-            text.append(bytes(data[ends[0] : ends[starts[0] if len(starts) else len(b)]]))
-            done, whole = [] if kept is None or not len(starts) else [kept], [] if kept is None or not len(starts) else [b"".join(text)]
-            for k, at in enumerate(starts):
-                to = starts[k + 1] if k + 1 < len(starts) else len(b)
-                part = bytes(data[ends[at] : ends[to]])
-                if k + 1 < len(starts):
-                    done.append(column.slice(at, 1))
-                    whole.append(part)
-                else:
-                    kept, text = column.slice(at, 1), [part]
-            row, pos = r[-1], p[-1]
-            if done:
-                yield _texts(done, whole)
-        if kept is not None:
-            yield _texts([kept], [b"".join(text)])
-
-    def _texts(kept: list[pa.Array], whole: list[bytes]) -> pa.RecordBatch:
-        columns = pa.concat_arrays(kept).flatten()
-        return pa.RecordBatch.from_arrays([*columns, pa.array([x.decode("utf-8", "replace") for x in whole], pa.string())], names=[*others, "text"])
-
-    return map_batches(named, run, _ddl(schema) + ", text string")
+            ids = pc.fill_null(b.column(len(others)), pa.array([[]], pa.list_(pa.int32()))[0])
+            joined = piece.take(pc.index_in(ids.flatten(), known))  # a null where the vocabulary has no such id
+            at = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
+            offsets = ids.offsets.to_numpy()
+            ends = at[offsets - offsets[0]]
+            data = memoryview(joined.buffers()[2] or b"")
+            whole = [str(data[x:y], "utf-8", "replace") for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(whole, pa.string())], names=[*others, "text"])
+
+    schema = StructType([*(encoded.schema[c] for c in others), StructField("text", StringType())])
+    return map_batches(encoded.select(*(F.col(f"`{c}`") for c in [*others, ids_col])), run, schema)

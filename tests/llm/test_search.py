@@ -130,12 +130,12 @@ def tokenizer():
     return Tokenizer.from_file(bpe.default_tokenizer())
 
 
-@pytest.mark.parametrize("chunk", [bpe.CHUNK, 200])
-def test_bpe_equals_the_tokenizer(docs, chunk):
+@pytest.mark.parametrize(("chunk", "bucket"), [(bpe.CHUNK, bpe.BUCKET), (200, 700)])
+def test_bpe_equals_the_tokenizer(docs, chunk, bucket):
     t, plain = tokenizer(), Counter()
     for d, text, *_ in rows():
         plain[d, tuple(t.encode(text or "", add_special_tokens=False).ids)] += 1
-    encoded = bpe.encode(docs, chunk=chunk)
+    encoded = bpe.encode(docs, chunk=chunk, bucket=bucket)
     assert encoded.columns == ["doc_id", "ids"]
     assert Counter((r.doc_id, tuple(r.ids)) for r in encoded.collect()) == plain
     back = Counter((r.doc_id, r.text) for r in bpe.decode(encoded).collect())
