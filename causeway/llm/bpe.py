@@ -37,9 +37,9 @@ from causeway.llm.common import map_batches, materialize, materialize_by, releas
 from causeway.session import ship
 
 #: Characters of a chunk of texts, and of the texts for each bucket of words.
-CHUNK, BUCKET = 16 << 20, 8 << 20
+CHUNK, BUCKET = 12 << 20, 8 << 20
 LONG = 1 << 20
-ENCODED_AT_ONCE = 2_000
+ENCODED_AT_ONCE, PLACED_AT_ONCE, DECODED_AT_ONCE = 2_000, 500_000, 500_000
 #: How byte-level tokenizers of this kind cut a text.
 CUTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Blocks of code points that have long been settled. Elsewhere versions of Unicode differ in what is a letter, so the tokenizer itself cuts such texts.
@@ -196,11 +196,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         lengths, starts = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
         lengths[rank], starts[rank] = sizes, np.cumsum(sizes) - sizes
         ends = np.concatenate([[0], np.cumsum(lengths[codes])])
-        spread = np.repeat(starts[codes] - ends[:-1], lengths[codes])
-        spread += np.arange(len(spread))
+        put = np.empty(ends[-1], np.int32)
+        for a in range(0, len(codes), PLACED_AT_ONCE):
+            b = min(len(codes), a + PLACED_AT_ONCE)
+            spread = np.repeat(starts[codes[a:b]] - ends[a:b], lengths[codes[a:b]])
+            spread += np.arange(ends[a], ends[b])
+            put[ends[a] : ends[b]] = flat[spread]
         rows = left.slice(1)
         bounds = np.concatenate([[0], np.cumsum(rows.column("n").to_numpy())])
-        ids = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(flat[spread].astype(np.int32)))
+        ids = pa.ListArray.from_arrays(pa.array(ends[bounds], pa.int32()), pa.array(put))
         return pa.table([rows.column("key"), ids], names=["key", "ids"])
 
     out = texts.groupBy("chunk").cogroup(placed.groupBy("chunk")).applyInArrow(put_together, f"key {kind.simpleString()}, ids array<int>")
@@ -239,6 +243,16 @@ def _rows(kind: str, chunk: int, at, keys: pa.Array, counts: list[int], data: li
     return pa.RecordBatch.from_arrays(columns, names=["kind", "chunk", "at", "key", "n", "data"])
 
 
+def _sliced(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with up to ``DECODED_AT_ONCE`` ids, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy())
+    at, before = 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, before + DECODED_AT_ONCE, side="right")))
+        yield batch.slice(at, to - at)
+        at, before = to, ends[to - 1]
+
+
 def pieces(tokenizer: str | None = None) -> pa.Table:
     """The vocabulary: id and piece (bytes), as many rows as the tokenizer's file has ids."""
     tok = words_at(tokenizer or default_tokenizer()).tokenizer
@@ -257,7 +271,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str | None = Non
 
     def run(batches):
         known, piece = table.column("id").combine_chunks(), table.column("piece").combine_chunks()
-        for b in batches:
+        for b in (part for whole in batches for part in _sliced(whole, len(others))):
             ids = pc.fill_null(b.column(len(others)), pa.array([[]], pa.list_(pa.int32()))[0])
             joined = piece.take(pc.index_in(ids.flatten(), known))  # a null where the vocabulary has no such id
             at = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
