@@ -9,7 +9,6 @@ from causeway.functions import statistics as B
 from causeway.functions import text as T
 from causeway.operators import dedup as D
 from causeway.operators import stance
-from causeway.operators.components import connected_components
 from causeway.operators import graph as G
 from causeway.plans import graph_queries as GQ
 from causeway.plans import text_queries as TQ
@@ -84,15 +83,8 @@ SELECT doc_id AS id, list_contains((SELECT kept FROM r ORDER BY k DESC LIMIT 1),
 @register("i02_greedy_dedup", GREEDY)
 def i02(spark, sf):
     """In order of time a document is dropped if one kept in the 48 hours before is near; documents come ten minutes apart."""
-    docs = X.read(spark, sf, "documents").select("doc_id", "text")
-    at = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * 10).cast("int"))
-    prints = materialize(D.simhash(docs, "doc_id", "text").withColumn("at", at), "prints")
-    pairs = materialize(D.near_pairs(prints, "doc_id", at_col="at"), "pairs")
-    found = connected_components(pairs.selectExpr("id_a AS a", "id_b AS b"))
-    members = found.select("component", "node").union(found.select("component", "component")).distinct().selectExpr("component", "node AS at", "node AS id")
-    paired = materialize(pairs.join(members.selectExpr("id AS id_a", "component"), "id_a"), "paired")
-    told = D.greedy(members, paired)
-    return prints.selectExpr("doc_id AS id").join(told, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))  # what has no pair is kept
+    prints = TQ.prints_in_time(spark, sf).withColumnRenamed("doc_id", "id")
+    return D.greedy(prints, materialize(D.near_links(prints, at_col="at"), "links"))
 
 
 @register("a05_chart_scan", "WITH " + X.CLOSES + " SELECT asset_id AS symbol, session::VARCHAR AS session, close FROM closes")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from causeway.functions import text as T
 from causeway.operators import dedup as D
 from causeway.plans.registry import register
+from causeway.scratch import materialize
 from causeway.sources import fixtures as X
 
 WITH = "WITH "
@@ -62,16 +64,27 @@ def h12(spark, sf):
     return sim(spark, sf)
 
 
-@register("d15_near_duplicate_pairs", WITH + SIM + ", st AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 10) AS at FROM sim) SELECT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM st a JOIN st b ON a.doc_id < b.doc_id AND bit_count(xor(a.simhash, b.simhash)) <= 3 AND b.at - a.at <= INTERVAL 48 HOUR AND a.at - b.at <= INTERVAL 48 HOUR")
+@register("d15_near_duplicate_pairs", WITH + SIM + """, st AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 10) AS at, min(doc_id) OVER (PARTITION BY simhash) AS class_id FROM sim)
+SELECT 'member' AS kind, doc_id AS a, class_id AS b, 0 AS distance FROM st
+UNION ALL SELECT DISTINCT 'link', least(a.class_id, b.class_id), greatest(a.class_id, b.class_id), bit_count(xor(a.simhash, b.simhash))::INT FROM st a JOIN st b ON a.doc_id < b.doc_id AND a.simhash <> b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 3 AND b.at - a.at <= INTERVAL 48 HOUR AND a.at - b.at <= INTERVAL 48 HOUR""")
 def d15(spark, sf):
-    """Documents come ten minutes apart; near ones within 48 hours are paired."""
+    """Documents come ten minutes apart. Each with the first of its copies, and the classes of copies that come near each other within 48 hours."""
+    members, links = D.near_groups(prints_in_time(spark, sf), "doc_id", at_col="at")
+    member = members.select(F.lit("member").alias("kind"), F.col("doc_id").alias("a"), F.col("class_id").alias("b"), F.lit(0).alias("distance"))
+    return member.unionByName(links.select(F.lit("link").alias("kind"), F.col("class_a").alias("a"), F.col("class_b").alias("b"), "distance"))
+
+
+def prints_in_time(spark, sf):
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * 10).cast("int"))
-    return D.near_pairs(sim(spark, sf).withColumn("at", at), "doc_id", at_col="at")
+    return materialize(sim(spark, sf), "prints").withColumn("at", at)
 
 
-@register("h13_hamming", WITH + SIM + " SELECT doc_id, bit_count(xor(simhash, 0))::INT AS ones FROM sim")
+@register("h13_hamming", WITH + SIM + ", r AS (SELECT s.doc_id, s.simhash, source, lead(s.simhash) OVER (PARTITION BY source ORDER BY s.doc_id) AS other FROM sim s JOIN documents d ON d.doc_id = s.doc_id) SELECT doc_id, bit_count(xor(simhash, other))::INT AS distance FROM r")
 def h13(spark, sf):
-    return sim(spark, sf).select("doc_id", T.hamming(F.col("simhash"), F.lit(0).cast("bigint")).alias("ones"))
+    """Distance of each document's fingerprint to that of its source's next document; null for the last."""
+    of = sim(spark, sf).join(X.read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    after = F.lead("simhash").over(Window.partitionBy("source").orderBy("doc_id"))
+    return of.select("doc_id", T.hamming(F.col("simhash"), after).alias("distance"))
 
 
 CENTRE = "cen AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL), cv AS (SELECT label, list(x ORDER BY i) AS c FROM cen GROUP BY label)"
@@ -92,10 +105,11 @@ def h15(spark, sf):
     return X.read(spark, sf, "embeddings").join(centroids(spark, sf), "label").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("c")), 5).alias("similarity"))
 
 
-@register("h16_vector_literal", "SELECT vec_id, len(embedding)::BIGINT AS dims FROM embeddings")
+@register("h16_vector_literal", "SELECT vec_id, i - 1 AS at, embedding[i]::DOUBLE AS x FROM embeddings, range(1, 65) r(i)")
 def h16(spark, sf):
-    e = X.read(spark, sf, "embeddings")
-    return e.select("vec_id", F.size(T.parse_vector(T.vector_text(F.col("embedding")))).cast("bigint").alias("dims"))
+    """Every component of a vector that was written as a literal and read again."""
+    e = X.read(spark, sf, "embeddings").select("vec_id", T.vector_text(F.col("embedding")).alias("literal"))
+    return e.select("vec_id", F.posexplode(T.parse_vector(F.col("literal"))).alias("at", "x")).select("vec_id", F.col("at").cast("bigint").alias("at"), F.col("x").cast("float").cast("double").alias("x"))
 
 
 KEY = "array_to_string(regexp_extract_all(lower(title), '[a-zåäö0-9]+'), ' ')"

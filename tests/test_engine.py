@@ -96,10 +96,47 @@ def test_assessment_of_sentences(spark, text, status, reasons, usable):
     assert (r.status, r.reasons, r.usable) == (status, reasons, usable)
 
 
+def at(minutes):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+
+
 def test_greedy_keeps_what_only_a_dropped_copy_resembles(spark):
-    members = spark.createDataFrame([(0, i, i) for i in range(3)], "component int, at bigint, id bigint")
-    pairs = spark.createDataFrame([(0, 0, 1), (0, 1, 2)], "component int, id_a bigint, id_b bigint")
-    assert {r.id for r in dedup.greedy(members, pairs).collect() if r.kept} == {0, 2}
+    prints = spark.createDataFrame([(i, at(i), x) for i, x in enumerate((0b0, 0b111, 0b111111))], "id bigint, at timestamp_ntz, simhash bigint")
+    links = dedup.near_links(prints, at_col="at")
+    assert sorted(map(tuple, links.collect())) == [(0, 7, 3), (7, 63, 3)]
+    assert {r.id for r in dedup.greedy(prints, links).collect() if r.kept} == {0, 2}
+    before = spark.createDataFrame([(7, at(-60))], "simhash bigint, at timestamp_ntz")
+    assert not {r.id for r in dedup.greedy(prints, links, kept_before=before).collect() if r.kept}
+    assert dedup.greedy(prints.limit(0), links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [2_000, 5, 1])
+def test_links_are_all_pairs_whatever_is_split(spark, crowd):
+    rng = random.Random(crowd)
+    base = [rng.getrandbits(60) for _ in range(12)]
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(60), n))
+    rows = [(i, at(rng.randrange(0, 60 * 24 * 8)), flip(rng.choice(base), rng.choice([0, 0, 1, 2, 3, 4]))) for i in range(400)]
+    rows += [(1000 + i, at(i), (1 << 15) - 1 ^ rng.getrandbits(45) << 15) for i in range(150)]  # a crowded band
+    prints = spark.createDataFrame(rows, "id bigint, at timestamp_ntz, simhash bigint").repartition(3)
+    day = dt.timedelta(hours=48)
+    near = {(min(f, g), max(f, g), (f ^ g).bit_count()) for _, s, f in rows for _, t, g in rows if f != g and (f ^ g).bit_count() <= 3 and abs(s - t) <= day}
+    assert {tuple(r) for r in dedup.near_links(prints, at_col="at", crowd=crowd).collect()} == near
+    first = {}
+    for i, _, f in rows:
+        first[f] = min(i, first.get(f, i))
+    members, links = dedup.near_groups(prints, "id", crowd=crowd)
+    assert {(r.id, r.class_id) for r in members.collect()} == {(i, first[f]) for i, _, f in rows}
+    every = {(min(first[f], first[g]), max(first[f], first[g]), (f ^ g).bit_count()) for f in first for g in first if f != g and (f ^ g).bit_count() <= 3}
+    assert {tuple(r) for r in links.collect()} == every
+
+
+def test_copies_make_no_pairs(spark):
+    """A third of the rows are one text: rows stay in proportion."""
+    prints = spark.range(30_000).select("id", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id % 1000 as int))").alias("at"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") * 1_000_003 % (1 << 30)).cast("bigint").alias("simhash"))
+    members, links = dedup.near_groups(prints, "id", at_col="at")
+    assert members.count() == 30_000 and links.count() < 60_000
+    kept = dedup.greedy(prints, dedup.near_links(prints, at_col="at"))
+    assert kept.join(prints, "id").filter("kept and simhash = 5").count() == 1
 
 
 def test_propagation_visits_once(spark):
