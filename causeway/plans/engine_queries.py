@@ -15,6 +15,8 @@ from causeway.operators import dedup as D
 from causeway.operators import graph as G
 from causeway.operators import hooks as H
 from causeway.operators import learning as L
+from causeway.operators import nearest as N
+from causeway.plans import extra_queries as EQ
 from causeway.plans import graph_queries as GQ
 from causeway.plans import rule_queries as RQ
 from causeway.plans import text_queries as TQ
@@ -23,7 +25,7 @@ from causeway.plans.registry import register
 from causeway.scratch import materialize, scratch_dir
 from causeway.sources import fixtures as X
 from causeway.sources import readers as R
-from causeway.streaming import flows
+from causeway.streaming import flows, greedy, online
 
 A = "WITH " + X.ARTICLES
 NTZ = "yyyy-MM-dd HH:mm:ss"
@@ -92,15 +94,12 @@ def h42(spark, sf):
 
 
 @register("d14_nearest_centroids", "WITH " + TQ.CENTRE + """, k AS (SELECT vec_id, cv.label AS cluster, round(list_cosine_similarity(embedding::DOUBLE[], c), 9) AS s FROM embeddings e JOIN cv ON cv.label % 5 <> 4),
-r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cluster) AS rank FROM k) SELECT vec_id, cluster, round(s, 5) AS similarity, rank::INT AS rank, s > 0.80 AND rank = 1 AS joins FROM r WHERE rank <= 5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cluster) AS rank FROM k) SELECT vec_id, cluster, s AS similarity, rank::INT AS rank, s > 0.80 AND rank = 1 AS joins FROM r WHERE rank <= 5""")
 def d14(spark, sf):
     """Every vector against all open clusters' centroids (a label is open unless it is 4 or 9): top five first, then the threshold."""
     c = TQ.centroids(spark, sf).withColumnRenamed("label", "cluster").filter("cluster % 5 <> 4")
-    c = F.broadcast(c) if c.count() <= 100_000 else c  # 1,024 doubles each at most
-    k = X.read(spark, sf, "embeddings").select("vec_id", "embedding").join(c).select("vec_id", "cluster", F.round(T.cosine(F.col("embedding"), F.col("c")), 9).alias("s"))
-    best = k.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "cluster", "s"))), 1, 5).alias("b"))  # one row a vector, as many entries as clusters
-    r = best.select("vec_id", F.posexplode("b").alias("p", "x"))
-    return r.select("vec_id", "x.cluster", F.round("x.s", 5).alias("similarity"), (F.col("p") + 1).alias("rank"), ((F.col("x.s") > 0.80) & (F.col("p") == 0)).alias("joins"))
+    r = N.nearest(X.read(spark, sf, "embeddings"), c, 5, "vec_id", "embedding", "cluster", "c")
+    return r.select("vec_id", "cluster", "similarity", "rank", ((F.col("similarity") > 0.80) & (F.col("rank") == 1)).alias("joins"))
 
 
 @register("d18_close_lookup", "WITH " + X.CLOSES + ", v AS (SELECT *, 'r1' AS registry_version FROM closes UNION ALL SELECT asset_id, session, close + 1, 'r2' FROM closes WHERE day(session) % 3 = 0) SELECT asset_id, session::VARCHAR AS session, arg_max(close, registry_version) AS close, max(registry_version) AS registry_version FROM v GROUP BY ALL")
@@ -301,6 +300,15 @@ def i03(spark, sf):
     return C.online_clusters(arrivals(spark, sf), quiet="30 hours", lifetime="100 hours").withColumn("first_at", X.stamp("first_at")).withColumn("last_at", X.stamp("last_at"))
 
 
+@register("i03_streamed_clusters")
+def i03s(spark, sf):
+    """The same rows from a stream: state by type, timers in event time. A row far in the future, of a type of its own, lets the watermark pass all others."""
+    a = arrivals(spark, sf).withColumn("at", F.col("at").cast("timestamp"))
+    clock = a.agg(F.max("article_id").alias("article_id"), (F.max("at") + F.expr("interval 30 days")).alias("at"), F.any_value("vec").alias("vec")).select("article_id", F.lit("CLOCK").alias("event_type"), "at", F.lit(None).cast("string").alias("actor"), "vec")
+    out = _streamed(spark, sf, a.unionByName(clock), lambda s: online.cluster_stream(s, quiet="30 hours", lifetime="100 hours", delay="1 hour"))
+    return out.withColumn("first_at", X.stamp("first_at")).withColumn("last_at", X.stamp("last_at"))
+
+
 def arrivals(spark, sf):
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("article_id") * 10).cast("int"))
     c = RQ.classified(spark, sf)
@@ -309,8 +317,27 @@ def arrivals(spark, sf):
 
 @register("i04_cluster_events")
 def i04(spark, sf):
-    """One event for each closed cluster without conflict."""
-    return i03(spark, sf).filter("status = 'EVENT'").select("event_type", F.sha2("cluster_id", 256).alias("event_id"), "first_at", "last_at", "n", "closed_by")
+    """One event for each cluster that the stream closes without conflict."""
+    return online.cluster_events(i03s(spark, sf))
+
+
+@register("i02_streamed_dedup", EQ.GREEDY)
+def i02s(spark, sf):
+    """The verdicts of the sequential pass, from documents that come as a stream in three files, the second and third with stragglers of the one before."""
+    at = (F.expr("timestamp'2024-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * 10).cast("int"))).alias("at")
+    docs = X.read(spark, sf, "documents")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    part = F.floor(F.col("doc_id") * 3 / (last + 1))
+    near_next = F.floor((F.col("doc_id") + 5) * 3 / (last + 1)) > part
+    dealt = docs.select(F.col("doc_id").alias("id"), at, "text", F.when(near_next & (F.col("doc_id") % 2 == 0), F.least(F.lit(2), part + 1)).otherwise(part).alias("part"))
+    path = f"{scratch_dir(spark)}/causeway-stream-{uuid.uuid4().hex}"
+    clock = spark.range(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit("2100-01-01").cast("timestamp").alias("at"), F.lit("").alias("text"))
+    for k in range(4):
+        rows = dealt.filter(F.col("part") == k).drop("part") if k < 3 else clock
+        rows.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("id bigint, at timestamp, text string").parquet(f"{path}/in")
+        flows.run(stream, greedy.greedy_sink(f"{path}/state"), f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("id bigint, kept boolean").parquet(f"{path}/state/verdicts").select("id", "kept")
 
 
 @register("i09_tombstones", GQ.SCORED + f", n AS (SELECT asset_id, window_start, actual, settlement, lead(window_start) OVER (PARTITION BY asset_id ORDER BY window_start) + INTERVAL 15 MINUTE AS superseded_at FROM sc) SELECT asset_id, {GQ.ts('window_start')} AS window_start, superseded_at IS NOT NULL AND superseded_at <= settlement::TIMESTAMP + INTERVAL 16 HOUR AS skipped FROM n WHERE actual IS NOT NULL")
