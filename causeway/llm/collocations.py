@@ -37,8 +37,8 @@ from causeway.llm.common import map_batches, materialize, materialize_by, releas
 from causeway.session import ship
 
 UNIT = 8 << 20
-#: Cells of a block; keys of an automaton in characters, some 50 bytes each.
-BLOCK_BITS, KEYS = 20, 3_000_000
+#: Cells of a block; keys of an automaton in characters, some 50 bytes each; characters of the texts for each bucket of counts.
+BLOCK_BITS, KEYS, BUCKET = 20, 3_000_000, 4 << 20
 BREAK = b"\n"
 MARKS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 EVEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -91,10 +91,10 @@ def count_type(least: int) -> type:
     return np.uint8 if least <= 255 else np.uint32
 
 
-def sketch_rows(unit: int, text: bytes, lang: str, least: int, longest: int, bits: int, name: str) -> pa.RecordBatch:
+def sketch_rows(unit: int, u: Unit, lang: str, least: int, longest: int, bits: int, name: str) -> pa.RecordBatch:
     """A unit's cells and their counts, a row for each block."""
     kind = count_type(least)
-    cells = np.concatenate([c for *_, c, _ in Unit(text).phrases(longest, lang, bits)] or [np.zeros(0, np.int64)])
+    cells = np.concatenate([c for *_, c, _ in u.phrases(longest, lang, bits)] or [np.zeros(0, np.int64)])
     cells, counts = np.unique(cells, return_counts=True)
     blocks, firsts = np.unique(cells >> BLOCK_BITS, return_index=True)
     data = []
@@ -116,10 +116,10 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, bytes]:
     return np.cumsum(planes[0] | planes[1] << 8 | planes[2] << 16), blob[4 + 3 * n :]
 
 
-def scan(text: bytes, lang: str, hot: np.ndarray, longest: int, bits: int, keys: int = KEYS) -> tuple[list[bytes | None], list[int]]:
-    """Candidates of a unit, which are its words and phrases in ``hot`` cells, and how often each occurs there; first, under None, how many words it has. Single words are counted as they are numbered."""
+def scan(text: bytes, lang: str, hot: np.ndarray, longest: int, bits: int, keys: int = KEYS) -> tuple[list[bytes], list[int]]:
+    """Candidates of a unit, which are its words and phrases in ``hot`` cells, and how often each occurs there. Single words are counted as they are numbered."""
     u, hot = Unit(text), np.sort(hot)
-    out, sums, found = [None], [int(u.real.sum())], []
+    out, sums, found = [], [], []
     for k, at, cells, ids in u.phrases(longest, lang, bits):
         if not len(hot):
             break
@@ -147,10 +147,7 @@ def scan(text: bytes, lang: str, hot: np.ndarray, longest: int, bits: int, keys:
 
 
 def counts(docs: DataFrame, least: int = 10, longest: int = 3, text_col: str = "text", lang_col: str = "lang", unit: int = UNIT) -> DataFrame:
-    """Whole counts of all words and phrases of up to ``longest`` words that occur ``least`` times or more: lang, ``size`` in words, phrase, n; and of all words together, with size 0 and no phrase.
-
-    Sums below ``least`` may be there too: of candidates that fail the threshold.
-    """
+    """Whole counts of all words and phrases of up to ``longest`` words that occur ``least`` times or more: lang, ``size`` in words, phrase, n; and of all words together, with size 0 and no phrase."""
     spark = docs.sparkSession
     table = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     chars = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -168,13 +165,14 @@ def counts(docs: DataFrame, least: int = 10, longest: int = 3, text_col: str = "
                 to = line.find(b" \n ", at + unit)
                 to = len(line) if to < 0 else to + 3
                 part = line[at:to] if at == 0 else b" " + line[at:to]
+                u = Unit(part)
                 name = task << 33 | made
                 made += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(["unit"]), pa.array([name], pa.int64()), pa.array([lang], pa.string()), pa.array([0], pa.int64()), pa.array([zstandard.ZstdCompressor(level=6).compress(part)], pa.binary())],
+                    [pa.array(["unit"]), pa.array([name], pa.int64()), pa.array([lang], pa.string()), pa.array([int(u.real.sum())], pa.int64()), pa.array([zstandard.ZstdCompressor(level=6).compress(part)], pa.binary())],
                     names=["kind", "unit", "lang", "block", "data"],
                 )
-                yield sketch_rows(name, part, lang, least, longest, bits, "cells")
+                yield sketch_rows(name, u, lang, least, longest, bits, "cells")
                 at = to
 
         for b in batches:
@@ -213,24 +211,58 @@ def counts(docs: DataFrame, least: int = 10, longest: int = 3, text_col: str = "
     release(cells)
     sweep(spark)
 
+    buckets = max(1, -(-chars // BUCKET))
+
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         text, lang = zstandard.ZstdDecompressor().decompress(left.column("data")[0].as_py()), left.column("lang")[0].as_py()
         hot = [_unpacked(x)[0] + (b << BLOCK_BITS) for b, x in zip(right.column("block").to_pylist(), right.column("data").to_pylist(), strict=True)]
-        found, n = scan(text, lang, np.concatenate(hot) if hot else np.zeros(0, np.int64), longest, bits)
-        return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "phrase": pa.array(found, pa.binary()).cast(pa.string()), "n": pa.array(n, pa.int64())})
-
-    each = texts.select("unit", "lang", "data").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(match, "lang string, phrase string, n bigint")
-    out = materialize(each.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).withColumn("size", F.coalesce(F.size(F.split("phrase", " ")), F.lit(0))), "counts")
+        dealt = _dealt(*scan(text, lang, np.concatenate(hot) if hot else np.zeros(0, np.int64), longest, bits), buckets)
+        return pa.table({"lang": pa.array([lang] * len(dealt), pa.string()), "bucket": pa.array([b for b, _ in dealt], pa.int64()), "data": pa.array([x for _, x in dealt], pa.binary())})
+
+    def total(group: pa.Table) -> pa.Table:
+        """Whole counts of a bucket's phrases."""
+        sums: dict[bytes, int] = {}
+        for blob in group.column("data").to_pylist():
+            for phrase, n in zip(*_gathered(blob), strict=True):
+                sums[phrase] = sums.get(phrase, 0) + n
+        kept = {p: n for p, n in sums.items() if n >= least}
+        return pa.table({"lang": pa.array(group.column("lang").to_pylist()[:1] * len(kept), pa.string()), "phrase": pa.array(list(kept), pa.binary()).cast(pa.string()), "n": pa.array(list(kept.values()), pa.int64())})
+
+    each = texts.select("unit", "lang", "data").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(match, "lang string, bucket bigint, data binary")
+    whole = each.groupBy("lang", "bucket").applyInArrow(total, "lang string, phrase string, n bigint").withColumn("size", F.size(F.split("phrase", " ")))
+    words = texts.groupBy("lang").agg(F.sum("block").alias("n")).select("lang", F.lit(None).cast("string").alias("phrase"), "n", F.lit(0).alias("size"))
+    out = materialize(whole.unionByName(words), "counts")
     release(texts)
     release(answers)
+    sweep(spark)
     return out
 
 
+def _dealt(phrases: list[bytes], counts: list[int], buckets: int) -> list[tuple[int, bytes]]:
+    """A unit's phrases in order, with their counts, packed by bucket."""
+    of: dict[int, list[int]] = {}
+    for i, p in enumerate(phrases):
+        of.setdefault(xxhash.xxh3_64_intdigest(p) % buckets, []).append(i)
+    out = []
+    for b, own in of.items():
+        own.sort(key=phrases.__getitem__)
+        numbers = np.ascontiguousarray(np.array([counts[i] for i in own], "<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+        out.append((b, zstandard.ZstdCompressor(level=3).compress(len(own).to_bytes(4, "little") + numbers + BREAK.join(phrases[i] for i in own))))
+    return out
+
+
+def _gathered(blob: bytes) -> tuple[list[bytes], list[int]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    counts = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n).T).view("<u4").ravel()
+    return raw[4 + 4 * n :].split(BREAK), counts.tolist()
+
+
 def collocations(docs: DataFrame, least: int = 10, longest: int = 3, covered: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Each language's first ``top`` phrases by score, count and phrase: lang, rank, phrase, a, l, r, n, score."""
     counted = counts(docs, least, longest, text_col, lang_col)
     total = counted.filter("size = 0").select("lang", F.col("n").alias("total"))
-    often = counted.filter((F.col("n") >= least) & (F.col("size") > 0))
+    often = counted.filter("size > 0")
     phrases = often.filter("size > 1").withColumnRenamed("n", "a")
     words = F.split("phrase", " ")
     part = lambda at, k: F.array_join(F.slice(words, at, k), " ")
