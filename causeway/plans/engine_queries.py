@@ -193,7 +193,7 @@ smp AS (SELECT s.asset_id AS source, k.condition, k.target, s.window_start, e.cl
 def upstream_samples(spark, sf):
     """Decisions up the correlation edges: the target's return between the decision's sessions."""
     c = X.closes(spark, sf)
-    k = X.edge_tables(spark)["correlations"].select(F.col("source").alias("asset_id"), "condition", "target")
+    k = X.edge_tables(spark, sf)["correlations"].select(F.col("source").alias("asset_id"), "condition", "target")
     s = GQ.scored(spark, sf).filter("direction <> 'NEUTRAL'").select("asset_id", "window_start", "baseline", "settlement", F.concat(F.lit("UPSTREAM_"), "direction").alias("condition"))
     at = lambda role: c.select(F.col("asset_id").alias("target"), F.col("session").alias(role), F.col("close").alias(f"{role}_close"))
     j = s.join(k, ["asset_id", "condition"]).join(at("baseline"), ["target", "baseline"]).join(at("settlement"), ["target", "settlement"]).join(L.volatility(c).withColumnRenamed("asset_id", "target"), "target")
@@ -230,7 +230,7 @@ both("l07_edge_state", lambda d: """SELECT k.factor, k.target, coalesce(k.condit
 SELECT 'WRITTEN' AS outcome, c.factor, c.target, coalesce(c.condition, '-') AS condition, coalesce(u.nw, c.weight) AS weight FROM causes c LEFT JOIN up u ON u.factor = c.factor AND u.target = c.target AND u.condition IS NOT DISTINCT FROM c.condition UNION ALL SELECT 'MISSING_EDGE', factor, target, coalesce(condition, '-'), nw FROM up WHERE target = 'A99'""")
 def l08(spark, sf):
     """Weights are written where the edge exists; the others come back as errors."""
-    c = X.edge_tables(spark)["causes"].select("factor", "target", "condition", "direction", "weight")
+    c = X.edge_tables(spark, sf)["causes"].select("factor", "target", "condition", "direction", "weight")
     up = c.filter("direction = 'UP'").select("factor", "target", "condition", (F.col("weight") / 2).alias("new_weight")).unionByName(c.filter("direction = 'DOWN'").select("factor", F.lit("A99").alias("target"), "condition", F.col("weight").alias("new_weight")))
     written, missing = L.write_weights(c, up, ["factor", "target", "condition"])
     row = lambda df, outcome, w: df.select(F.lit(outcome).alias("outcome"), "factor", "target", F.coalesce("condition", F.lit("-")).alias("condition"), F.col(w).alias("weight"))
@@ -244,7 +244,7 @@ UNION ALL SELECT 'CORRELATES_WITH', source, condition, target, CASE WHEN mean >
 SELECT *, count(*) OVER (PARTITION BY kind)::BIGINT AS created FROM new""")
 def l10(spark, sf):
     """Both kinds of samples built, estimated and written, with the number of edges created."""
-    t = X.edge_tables(spark)
+    t = X.edge_tables(spark, sf)
     s = GQ.samples(spark, sf).withColumnRenamed("asset_id", "target")
     created, report = L.learn_edges(s, t["causes"], upstream_samples(spark, sf).drop("window_start"), t["correlations"])
     return created.join(F.broadcast(report), "kind").select("kind", "source", "condition", "target", "direction", "created")  # two rows
@@ -257,7 +257,7 @@ def x15(spark, sf):
     """Credit of decisions to the correlation edges they passed, folded in order."""
     w = Window.partitionBy("source", "window_start")
     edge = F.concat("source", F.lit("->"), "target", F.lit("|"), "condition").alias("edge_id")
-    weights = X.edge_tables(spark)["correlations"].select(edge, "weight")
+    weights = X.edge_tables(spark, sf)["correlations"].select(edge, "weight")
     c = upstream_samples(spark, sf).select(edge, F.col("window_start").alias("scored_at"), F.lit("").alias("prediction_id"), (1.0 / F.count(F.lit(1)).over(w)).alias("credit"), ((F.col("condition") == "UPSTREAM_UP") == (F.col("r") > 0)).alias("is_correct"))
     return L.fold_weights(c.join(weights, "edge_id")).select("edge_id", F.round("weight", 6).alias("weight"))
 
@@ -466,7 +466,7 @@ def x29(spark, sf):
 @register("x32_graph_seed", "WITH " + X.MEMBERS + " SELECT 'NODE' AS kind, asset_id AS a, 'Asset' AS b FROM members UNION SELECT 'NODE', group_id, 'AssetGroup' FROM members UNION SELECT 'MEMBER_OF', asset_id, group_id FROM members UNION SELECT 'FAULT', asset_id, 'NO_SYMBOL' FROM members WHERE substr(asset_id, 2)::INT % 10 = 9")
 def x32(spark, sf):
     """Nodes, membership edges and faults from a registry of groups with arrays of assets."""
-    m = X.edge_tables(spark)["members"]
+    m = X.edge_tables(spark, sf)["members"]
     symbol = F.when(F.substring("asset_id", 2, 4).cast("int") % 10 != 9, F.concat(F.lit("S"), "asset_id"))
     registry = m.groupBy("group_id").agg(F.collect_list(F.struct("asset_id", symbol.alias("provider_symbol"), F.lit("SEK").alias("currency"), F.lit(None).cast("string").alias("fallback"))).alias("assets"))
     assets = registry.select("group_id", F.explode("assets").alias("x")).select("group_id", "x.*")

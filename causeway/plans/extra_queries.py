@@ -43,13 +43,13 @@ def h14(spark, sf):
 
 @register("h26_beta_interval")
 def h26(spark, sf):
-    t = X.edge_tables(spark)["causes"].select("factor", "target", B.beta_interval("alpha", "beta").alias("ci"))
+    t = X.edge_tables(spark, sf)["causes"].select("factor", "target", B.beta_interval("alpha", "beta").alias("ci"))
     return t.select("factor", "target", F.round("ci.lower", 6).alias("lower"), F.round("ci.upper", 6).alias("upper"))
 
 
 @register("l09_history", None)
 def l09(spark, sf):
-    t = X.edge_tables(spark)["causes"].select("factor", "target", "alpha", "beta", (F.col("alpha") + 1).alias("alpha_after"), "weight")
+    t = X.edge_tables(spark, sf)["causes"].select("factor", "target", "alpha", "beta", (F.col("alpha") + 1).alias("alpha_after"), "weight")
     return t.withColumn("ci", B.beta_interval("alpha_after", "beta")).select("factor", "target", "alpha", "alpha_after", F.col("ci.lower").alias("ci_lower"), F.col("ci.upper").alias("ci_upper"), "weight")
 
 
@@ -70,7 +70,7 @@ def p05(spark, sf):
 def p06(spark, sf):
     """All direct decisions first, then what they propagate to."""
     d = materialize(GQ.decided(spark, sf).select(X.stamp("window_start").alias("context_id"), "asset_id", "direction", "confidence"), "direct")
-    far = G.propagate(d, X.edge_tables(spark)["correlations"]).select("asset_id", "context_id", "direction", "depth")
+    far = G.propagate(d, X.edge_tables(spark, sf)["correlations"]).select("asset_id", "context_id", "direction", "depth")
     return d.filter("direction <> 'NEUTRAL'").select("asset_id", "context_id", "direction", F.lit(0).alias("depth")).unionByName(far)
 
 

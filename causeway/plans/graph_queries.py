@@ -59,7 +59,7 @@ def ctx(spark, sf):
 
 
 def fire(spark, sf):
-    t = X.edge_tables(spark)
+    t = X.edge_tables(spark, sf)
     return G.firing_edges(ctx(spark, sf), t["causes"], t["members"])
 
 
@@ -114,12 +114,12 @@ def _edges(df):
 
 @register("d10_own_edges", WITH + FIRE + f" SELECT {EDGE} FROM own")
 def d10(spark, sf):
-    return _edges(G.own_edges(ctx(spark, sf), X.edge_tables(spark)["causes"]))
+    return _edges(G.own_edges(ctx(spark, sf), X.edge_tables(spark, sf)["causes"]))
 
 
 @register("d11_inherited_edges", WITH + FIRE + f" SELECT {EDGE} FROM inh")
 def d11(spark, sf):
-    t, c = X.edge_tables(spark), ctx(spark, sf)
+    t, c = X.edge_tables(spark, sf), ctx(spark, sf)
     return _edges(G.inherited_edges(c, t["causes"], t["members"], G.own_edges(c, t["causes"])))
 
 
@@ -130,7 +130,7 @@ def d12(spark, sf):
 
 @register("d13_correlation_edges", WITH + X.CORRELATIONS + " SELECT source, condition, count(*)::BIGINT AS n, round(avg(weight), 6) AS weight FROM correlations GROUP BY ALL")
 def d13(spark, sf):
-    return X.edge_tables(spark)["correlations"].groupBy("source", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("weight"), 6).alias("weight"))
+    return X.edge_tables(spark, sf)["correlations"].groupBy("source", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("weight"), 6).alias("weight"))
 
 
 @register("p02_firing_with_price_gate", CHAIN + f" SELECT asset_id, {ts('window_start')} AS window_start, factor, direction, weight, elevated FROM kept")
@@ -157,7 +157,7 @@ def e23(spark, sf):
 
 @register("p01_event_fan_out", WITH + X.EVENTS + ", " + X.MEMBERS + " SELECT e.event_id, m.asset_id FROM ev e JOIN members g ON e.asset_id = g.asset_id JOIN members m ON m.group_id = g.group_id")
 def p01(spark, sf):
-    m = X.edge_tables(spark)["members"]
+    m = X.edge_tables(spark, sf)["members"]
     fan = m.withColumnRenamed("asset_id", "other").join(m, "group_id").groupBy("other").agg(F.collect_list("asset_id").alias("affected"))
     return X.events(spark, sf).join(fan.withColumnRenamed("other", "asset_id"), "asset_id").select("event_id", F.explode("affected").alias("asset_id"))
 
@@ -189,7 +189,7 @@ PROPAGATE = (
 @register("p07_propagation", PROPAGATE)
 def p07(spark, sf):
     d = decided(spark, sf).select(X.stamp("window_start").alias("context_id"), "asset_id", "direction", "confidence")
-    return G.propagate(d, X.edge_tables(spark)["correlations"]).select("context_id", "asset_id", "direction", "confidence", "n_edges", "depth")
+    return G.propagate(d, X.edge_tables(spark, sf)["correlations"]).select("context_id", "asset_id", "direction", "confidence", "n_edges", "depth")
 
 
 SCORE_COLUMNS = f"asset_id, {ts('window_start')} AS window_start, baseline::VARCHAR AS baseline, settlement::VARCHAR AS settlement"
@@ -305,7 +305,7 @@ def e21(spark, sf):
 def l03(spark, sf):
     s = samples(spark, sf).withColumn("condition", F.coalesce("condition", F.lit("-")))
     new = L.estimate(s, ["factor", "condition", "asset_id"]).filter("direction <> 'NEUTRAL' and condition <> '-'")
-    have = X.edge_tables(spark)["causes"].select("factor", "condition", F.col("target").alias("asset_id"))
+    have = X.edge_tables(spark, sf)["causes"].select("factor", "condition", F.col("target").alias("asset_id"))
     return new.join(have, ["factor", "condition", "asset_id"], "left_anti").select("factor", "condition", "asset_id")
 
 
@@ -338,7 +338,7 @@ UNION ALL SELECT 'conditioned_and_unconditional', count(*) FROM (SELECT factor,
 UNION ALL SELECT 'group_cardinality', count(*) FROM (SELECT asset_id FROM members GROUP BY asset_id HAVING count(*) <> 1)
 UNION ALL SELECT 'null_condition', count(*) FROM causes WHERE condition = '')""")
 def c15(spark, sf):
-    t = X.edge_tables(spark)
+    t = X.edge_tables(spark, sf)
     c, m = t["causes"], t["members"]
     known = m.select(F.col("asset_id").alias("target")).unionByName(m.select(F.col("group_id").alias("target"))).distinct()
     one = lambda rule, df: df.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("n"))

@@ -20,11 +20,9 @@ statement("h32_completion", "SELECT event_id, hour(from_utc_timestamp(ts, 'Europ
 statement("h34_bar_session", "SELECT event_id, cast(to_date(from_utc_timestamp(ts, 'Asia/Tokyo')) AS string) AS session FROM {ev}", "SELECT event_id, timezone('Asia/Tokyo', timezone('UTC', ts))::DATE::VARCHAR AS session FROM ev")
 
 
-@register("h40_name_uuid", "WITH m AS (SELECT asset_id FROM (VALUES ('A0'), ('A1'), ('A28')) v(asset_id)) SELECT asset_id, 36::BIGINT AS n, true AS version_5 FROM m")
-def h40(spark, sf):
-    u = T.uuid5("6ba7b8109dad11d180b400c04fd430c8", F.col("asset_id"))
-    m = X.edge_tables(spark)["members"].filter("asset_id in ('A0', 'A1', 'A28')")
-    return m.select("asset_id", F.length(u).cast("bigint").alias("n"), (F.substring(u, 15, 1) == "5").alias("version_5"))
+SHA = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(source_id || '/' || article_id))"
 
 
-# --- storage and read models ---
+@register("h40_name_uuid", "WITH " + X.ARTICLES + f" SELECT article_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM (SELECT article_id, {SHA} AS h FROM articles)")
+def h40(spark, sf):
+    return X.articles(spark, sf).select("article_id", T.uuid5("6ba7b8109dad11d180b400c04fd430c8", F.concat_ws("/", "source_id", "article_id")).alias("uuid"))

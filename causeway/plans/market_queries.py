@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -135,7 +137,7 @@ def a13(spark, sf):
 @register("a14_graph_scan", "WITH " + X.CAUSES + ", " + X.MEMBERS + ", " + X.CORRELATIONS + " SELECT 'CAUSES' AS kind, factor AS source, target, coalesce(condition, '-') AS condition, weight FROM causes UNION ALL SELECT 'MEMBER_OF', asset_id, group_id, '-', NULL FROM members UNION ALL SELECT 'CORRELATES_WITH', source, target, condition, weight FROM correlations")
 def a14(spark, sf):
     """Nodes and edges written as seed files and scanned again; edges whose ends aren't nodes are refused."""
-    t, path = X.edge_tables(spark), f"{scratch_dir(spark)}/causeway-graph-seed"
+    t, path = X.edge_tables(spark, sf), f"{scratch_dir(spark)}/causeway-graph-seed-{uuid.uuid4().hex}"
     c, m, r = t["causes"], t["members"], t["correlations"]
     node = lambda df, col, label: df.select(F.col(col).alias("id"), F.lit(label).alias("label"))
     nodes = node(m, "asset_id", "Asset").union(node(m, "group_id", "AssetGroup")).union(node(c, "factor", "CausalFactor")).distinct()
@@ -149,7 +151,7 @@ def a14(spark, sf):
 @register("a16_corpus_files", "SELECT doc_id, lang, length(text)::BIGINT AS n FROM documents")
 def a16(spark, sf):
     """Saved as sorted JSON lines, whole or not at all, and loaded again."""
-    path = f"{scratch_dir(spark)}/causeway-corpus"
+    path = f"{scratch_dir(spark)}/causeway-corpus-{uuid.uuid4().hex}"
     R.save_corpus(X.read(spark, sf, "documents").select("doc_id", "lang", "text"), path, "doc_id")
     return R.load_corpus(spark, path, "doc_id bigint, lang string, text string").select("doc_id", "lang", F.length("text").cast("bigint").alias("n"))
 

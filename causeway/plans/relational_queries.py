@@ -20,8 +20,8 @@ ENTITIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "articles": (X.articles, X.ARTICLES),
     "closes": (X.closes, X.CLOSES.removeprefix(X.EVENTS + ", ")),
     "samples": (X.samples, X.SAMPLES),
-    "causes": (lambda s, d: X.edge_tables(s)["causes"], X.CAUSES),
-    "members": (lambda s, d: X.edge_tables(s)["members"], X.MEMBERS),
+    "causes": (lambda s, d: X.edge_tables(s, d)["causes"], X.CAUSES),
+    "members": (lambda s, d: X.edge_tables(s, d)["members"], X.MEMBERS),
     "decided": (GQ.decided, ""),
     "sc": (GQ.scored, ""),
 }

@@ -142,18 +142,18 @@ def t08(spark, sf):
 
 @register("t10_scope_precedence", f"WITH {SCAN}, {TARGETS}, {GATED}, fan AS (SELECT article_id, list_sort(list(DISTINCT asset_id)) AS l FROM (SELECT article_id, unnest(industry) AS group_id FROM dec) JOIN members USING (group_id) GROUP BY 1), bt AS (SELECT article_id, list_sort(list(asset_id)) AS l FROM fb GROUP BY 1), s AS (SELECT d.article_id, d.event_type, CASE WHEN d.event_type IN ({quoted(RULES.silent)}) OR {guard_sql('d.title')} IS NOT NULL THEN 'NONE' WHEN len(company) > 0 THEN 'COMPANY' WHEN fan.l IS NOT NULL THEN 'INDUSTRY' WHEN bt.l IS NOT NULL THEN 'EVENT_TYPE' ELSE 'NONE' END AS scope, company, fan.l AS fl, bt.l AS bl FROM dec d LEFT JOIN fan USING (article_id) LEFT JOIN bt USING (article_id)) SELECT article_id, event_type, scope, CASE scope WHEN 'COMPANY' THEN array_to_string(company, ',') WHEN 'INDUSTRY' THEN array_to_string(fl, ',') WHEN 'EVENT_TYPE' THEN array_to_string(bl, ',') ELSE '' END AS assets FROM s")
 def t10(spark, sf):
-    m = X.edge_tables(spark)["members"]
+    m = X.edge_tables(spark, sf)["members"]
     return R.scopes(classified(spark, sf), m, R.target_table(spark, RULES, m), RULES.silent).withColumn("assets", F.array_join("assets", ","))
 
 
 @register("t11_gated_fallback", f"WITH {SCAN}, {TARGETS}, {GATED} SELECT * FROM fb")
 def t11(spark, sf):
-    return R.fallback(classified(spark, sf), R.target_table(spark, RULES, X.edge_tables(spark)["members"]))
+    return R.fallback(classified(spark, sf), R.target_table(spark, RULES, X.edge_tables(spark, sf)["members"]))
 
 
 @register("t12_ungated_fallback", f"WITH {SCAN}, {TARGETS} SELECT DISTINCT article_id, asset_id FROM dec JOIN tt USING (event_type) WHERE {guard_sql('title')} IS NULL")
 def t12(spark, sf):
-    return R.fallback(classified(spark, sf), R.target_table(spark, RULES, X.edge_tables(spark)["members"]), gated=False)
+    return R.fallback(classified(spark, sf), R.target_table(spark, RULES, X.edge_tables(spark, sf)["members"]), gated=False)
 
 
 def polarity_sql() -> str:
@@ -234,7 +234,7 @@ def x07(spark, sf):
     """A cluster's assets: those its actions name; else the gated fallback over its titles; none for types that move nothing."""
     c = classified(spark, sf)
     of = X.articles(spark, sf).select("article_id", "source_id")
-    back = R.fallback(c, R.target_table(spark, RULES, X.edge_tables(spark)["members"])).withColumnRenamed("asset_id", "spare")
+    back = R.fallback(c, R.target_table(spark, RULES, X.edge_tables(spark, sf)["members"])).withColumnRenamed("asset_id", "spare")
     j = c.filter(~F.col("event_type").isin(*RULES.silent)).join(of, "article_id").select("article_id", "source_id", "event_type", "company")
     own = j.groupBy("source_id", "event_type").agg(F.array_distinct(F.flatten(F.collect_list("company"))).alias("own"))
     spare = j.join(back, "article_id").groupBy("source_id", "event_type").agg(F.collect_set("spare").alias("spare"))
@@ -247,13 +247,13 @@ def x07(spark, sf):
 def x09(spark, sf):
     """Keyword table of each registered asset, from arrays in the registry."""
     registry = spark.createDataFrame([(a, [k for k, x in RULES.company if x == a]) for a in dict.fromkeys(x for _, x in RULES.company)], "asset_id string, keywords array<string>")
-    return registry.join(X.edge_tables(spark)["members"], "asset_id").select("group_id", "asset_id", F.array_join(F.array_sort("keywords"), ",").alias("keywords"))
+    return registry.join(X.edge_tables(spark, sf)["members"], "asset_id").select("group_id", "asset_id", F.array_join(F.array_sort("keywords"), ",").alias("keywords"))
 
 
 @register("x10_rule_assertions", f"WITH {TARGETS}, {X.values(list(RULES.cue), 'cu', 'cue, family')}, {X.values(list(RULES.sections.items()), 'se', 'section, event_type')} SELECT 'TARGET_WITHOUT_FAMILY' AS rule, target AS key FROM tg WHERE family NOT IN (SELECT family FROM cu) UNION ALL SELECT 'UNKNOWN_TARGET', target FROM tg WHERE target NOT IN (SELECT asset_id FROM members) AND target NOT IN (SELECT group_id FROM members) UNION ALL SELECT 'MARKET_SECTION', section FROM se WHERE event_type NOT IN ({quoted(RULES.silent)})")
 def x10(spark, sf):
     """Faults of the rule tables: none, if they may be loaded."""
-    m = X.edge_tables(spark)["members"]
+    m = X.edge_tables(spark, sf)["members"]
     t = spark.createDataFrame(list(RULES.targets), "event_type string, key string, family string")
     families = spark.createDataFrame(list(RULES.cue), "cue string, family string")
     sections = spark.createDataFrame(list(RULES.sections.items()), "key string, event_type string")

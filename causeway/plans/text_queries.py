@@ -149,7 +149,7 @@ def t01(spark, sf):
 
 @register("t09_group_fan_out", WITH + X.MEMBERS + " SELECT a.asset_id, list_sort(list(b.asset_id))::VARCHAR AS members FROM members a JOIN members b USING (group_id) GROUP BY a.asset_id")
 def t09(spark, sf):
-    m = X.edge_tables(spark)["members"]
+    m = X.edge_tables(spark, sf)["members"]
     g = m.join(m.select("group_id", F.col("asset_id").alias("other")), "group_id").groupBy("asset_id").agg(F.array_sort(F.collect_list("other")).alias("l"))
     return g.select("asset_id", F.concat(F.lit("["), F.array_join("l", ", "), F.lit("]")).alias("members"))
 

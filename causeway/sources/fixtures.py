@@ -56,52 +56,49 @@ EVENTS = """ev AS (SELECT event_id, ts, 'A' || (user_id % 29) AS asset_id, event
   CASE WHEN event_id % 5 < 3 THEN 'RESOLUTION' ELSE 'OCCURRENCE' END AS polarity, value FROM events)"""
 
 
-def causes() -> list[tuple]:
-    """factor, target, direction, weight, alpha, beta, condition; targets are assets or groups."""
-    out = []
-    for i, factor in enumerate(FACTORS):
-        for a in range(ASSETS):
-            if (a * 7 + i * 3) % 5 < 2:
-                direction = ("UP", "DOWN", "UP", "NEUTRAL", "DOWN")[(a + 2 * i) % 5]
-                out.append((factor, f"A{a}", direction, round(0.2 + (a * 13 + i * 5) % 16 / 20, 2), 1.0 + a % 4, 1.0 + i % 3, None if a % 3 else TAGS[(a + i) % 3]))
-        for g in range(7):
-            if (g + i) % 2:
-                out.append((factor, f"G{g}", "UP" if g % 2 else "DOWN", round(0.3 + g / 20, 2), 2.0, 1.0, None if g % 3 else TAGS[g % 3]))
-    return out
-
-
-def members() -> list[tuple]:
-    return [(f"A{a}", f"G{a % 7}") for a in range(ASSETS)]
-
-
-def correlations() -> list[tuple]:
-    """source, target, condition, direction, weight, alpha, beta."""
-    return [
-        (f"A{a}", f"A{(a * k + 5) % ASSETS}", ("UPSTREAM_UP", "UPSTREAM_DOWN")[(a + k) % 2], ("UP", "DOWN")[(a + k // 2) % 2], round(0.3 + (a + k) % 12 / 20, 2), 1.0 + a % 3, 1.0)
-        for a in range(ASSETS)
-        for k in (2, 3)
-        if (a * k + 5) % ASSETS != a
-    ]
-
-
 def values(rows: list[tuple], name: str, columns: str) -> str:
     """A common table expression of literal rows."""
     lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)})"
 
 
-def edge_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    ship(spark)
-    return {
-        "causes": spark.createDataFrame(causes(), "factor string, target string, direction string, weight double, alpha double, beta double, condition string"),
-        "members": spark.createDataFrame(members(), "asset_id string, group_id string"),
-        "correlations": spark.createDataFrame(correlations(), "source string, target string, condition string, direction string, weight double, alpha double, beta double"),
-    }
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """factor, its number i, and the number a of an asset, for every factor and asset that events name: FACTORS times ASSETS at most."""
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("factor"), (F.col("user_id") % ASSETS).cast("int").alias("a")).distinct()
+    return e.withColumn("i", F.array_position(F.array(*map(F.lit, FACTORS)), F.col("factor")).cast("int") - 1)
+
+
+def edge_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The graph that a seed would hold, for the factors and assets in the events: causes (factor, target, direction, weight, alpha, beta, condition; targets are assets
+    or groups), members (asset_id, group_id) and correlations (source, target, condition, direction, weight, alpha, beta). Small by what _seen bounds, hence broadcast."""
+    seen = _seen(spark, sf_dir)
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    name = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    a, i, g = F.col("a"), F.col("i"), F.col("g")
+    own = seen.filter((a * 7 + i * 3) % 5 < 2).select(
+        "factor", name("A", a).alias("target"), pick(("UP", "DOWN", "UP", "NEUTRAL", "DOWN"), (a + 2 * i) % 5).alias("direction"), F.round(0.2 + (a * 13 + i * 5) % 16 / 20, 2).alias("weight"),
+        (1.0 + a % 4).alias("alpha"), (1.0 + i % 3).alias("beta"), F.when(a % 3 == 0, pick(TAGS, (a + i) % 3)).alias("condition"),
+    )
+    group = seen.select("factor", "i", (a % 7).alias("g")).distinct().filter((g + i) % 2 == 1).select(
+        "factor", name("G", g).alias("target"), pick(("DOWN", "UP"), g % 2).alias("direction"), F.round(0.3 + g / 20, 2).alias("weight"), F.lit(2.0).alias("alpha"), F.lit(1.0).alias("beta"), F.when(g % 3 == 0, TAGS[0]).alias("condition"),
+    )
+    assets, k = seen.select("a").distinct(), F.col("k")
+    to = (a * k + 5) % ASSETS
+    pairs = assets.select("a", F.explode(F.array(F.lit(2), F.lit(3))).alias("k")).filter(to != a).select(
+        name("A", a).alias("source"), name("A", to).alias("target"), pick(("UPSTREAM_UP", "UPSTREAM_DOWN"), (a + k) % 2).alias("condition"), pick(("UP", "DOWN"), (a + F.floor(k / 2)) % 2).alias("direction"),
+        F.round(0.3 + (a + k) % 12 / 20, 2).alias("weight"), (1.0 + a % 3).alias("alpha"), F.lit(1.0).alias("beta"),
+    )
+    members = assets.select(name("A", a).alias("asset_id"), name("G", a % 7).alias("group_id"))
+    return {"causes": F.broadcast(own.unionByName(group)), "members": F.broadcast(members), "correlations": F.broadcast(pairs)}
 
 
-CAUSES = values(causes(), "causes", "factor, target, direction, weight, alpha, beta, condition")
-MEMBERS = values(members(), "members", "asset_id, group_id")
-CORRELATIONS = values(correlations(), "correlations", "source, target, condition, direction, weight, alpha, beta")
+_SEEN = f"(SELECT DISTINCT event_type AS factor, (user_id % {ASSETS})::INT AS a, list_position({list(FACTORS)}, event_type)::INT - 1 AS i FROM events)"
+CAUSES = f"""causes AS (SELECT factor, 'A' || a AS target, ['UP', 'DOWN', 'UP', 'NEUTRAL', 'DOWN'][(a + 2 * i) % 5 + 1] AS direction, round(0.2::DOUBLE + (a * 13 + i * 5) % 16 / 20.0::DOUBLE, 2) AS weight, (1 + a % 4)::DOUBLE AS alpha, (1 + i % 3)::DOUBLE AS beta,
+  CASE WHEN a % 3 = 0 THEN {list(TAGS)}[(a + i) % 3 + 1] END AS condition FROM {_SEEN} WHERE (a * 7 + i * 3) % 5 < 2
+  UNION ALL SELECT factor, 'G' || g, ['DOWN', 'UP'][g % 2 + 1], round(0.3::DOUBLE + g / 20.0::DOUBLE, 2), 2.0::DOUBLE, 1.0::DOUBLE, CASE WHEN g % 3 = 0 THEN '{TAGS[0]}' END FROM (SELECT DISTINCT factor, i, a % 7 AS g FROM {_SEEN}) WHERE (g + i) % 2 = 1)"""
+MEMBERS = f"members AS (SELECT DISTINCT 'A' || a AS asset_id, 'G' || (a % 7) AS group_id FROM {_SEEN})"
+CORRELATIONS = f"""correlations AS (SELECT 'A' || a AS source, 'A' || ((a * k + 5) % {ASSETS}) AS target, ['UPSTREAM_UP', 'UPSTREAM_DOWN'][(a + k) % 2 + 1] AS condition, ['UP', 'DOWN'][(a + k // 2) % 2 + 1] AS direction,
+  round(0.3::DOUBLE + (a + k) % 12 / 20.0::DOUBLE, 2) AS weight, (1 + a % 3)::DOUBLE AS alpha, 1.0::DOUBLE AS beta FROM (SELECT DISTINCT a FROM {_SEEN}), (VALUES (2), (3)) AS n(k) WHERE (a * k + 5) % {ASSETS} <> a)"""
 
 
 def closes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from causeway.functions import text as T
 from causeway.operators import asof, clusters, hooks, rules
 from causeway.sources import datasources
 from causeway.streaming import flows
@@ -154,3 +156,25 @@ def test_as_of_takes_the_last_mark(spark):
     got = asof.as_of(spark.createDataFrame(rows, "k string, t int, id int"), spark.createDataFrame(marks, "k string, t int, mark int"), ["k"], "t", ["mark"]).collect()
     want = {i: max(((mt, m) for mk, mt, m in marks if mk == k and mt <= t), default=(0, None))[1] for k, t, i in rows}
     assert {r.id: r.mark for r in got} == want and len(got) == len(rows)
+
+
+def test_phrases_are_found_whatever_their_number(spark):
+    rng = random.Random(9)
+    words = ["rate", "rates", "cut", "cuts", "bid", "take", "over", "the", "new"]
+    docs = [(i, " ".join(rng.choice(words) + rng.choice(["", "", ",", " "]) for _ in range(rng.randint(0, 30))), rng.choice([None, "The rate-cut bid", ""])) for i in range(80)]
+    listed = {(" ".join(rng.choices(words, k=k)) for _ in range(1)).__next__() for k in (1, 2, 2, 3, 3, 4) for _ in range(6)} | {"cut b", "rate c"}
+    many = sorted(listed) + [f"nothing like it {i}" for i in range(20_000)]
+    table = spark.createDataFrame([("r", k, "v") for k in many], "role string, keyword string, value string")
+    got = {(r.id, r.field, r.keyword): r.pos for r in rules.scan(spark.createDataFrame(docs, "id int, title string, body string").repartition(3), table, "id", ["title", "body"]).collect()}
+    want = {}
+    for i, *texts in docs:
+        for name, text in zip(("title", "body"), texts, strict=True):
+            hay = " " + re.sub(r"[^\w\s]", " ", (text or "").lower()) + " "
+            for k in listed:
+                ends = [f" {k}{s} " for s in T.SUFFIXES] if " " not in k else [" " + k]
+                at = min((hay.find(e) for e in ends if e in hay), default=-1)
+                if at >= 0:
+                    want[i, name, k] = hay[: at + 1].count(" ")
+    assert got == want and len(want) > 100
+    few = rules.scan(spark.createDataFrame(docs, "id int, title string, body string"), table.limit(40), "id", ["title"])
+    assert few._jdf.queryExecution().executedPlan().toString().count("Join") == 1
