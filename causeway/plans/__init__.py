@@ -1,6 +1,6 @@
 """Registered queries of the engine."""
 
-from causeway.plans import engine_queries, extra_queries, graph_queries, helper_queries, market_queries, relational_queries, rule_queries, text_queries
+from causeway.plans import engine_queries, extra_queries, graph_queries, helper_queries, market_queries, relational_queries, rule_queries, state_queries, text_queries
 from causeway.plans.registry import ORACLES, QUERIES, register
 
 __all__ = ["ORACLES", "QUERIES", "flagship", "register"]
@@ -11,4 +11,4 @@ def flagship(spark, sf_dir):
     return graph_queries.p03(spark, sf_dir)
 
 
-_ = (engine_queries, extra_queries, helper_queries, market_queries, relational_queries, rule_queries, text_queries)
+_ = (engine_queries, extra_queries, helper_queries, market_queries, relational_queries, rule_queries, state_queries, text_queries)

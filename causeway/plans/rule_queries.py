@@ -11,7 +11,7 @@ from causeway.sources import fixtures as X
 
 #: Rules of our own that fire on the driver's texts: their real words are function words of four languages.
 GUARDS: tuple[R.Guard, ...] = (
-    ("reader_service", (r"^for\b",), "OTHER"), ("resignation_opinion", (r"\bwill\b", r"\bby\b"), "OTHER"), ("reported_joke", (r"\bun\b", r"\bla\b"), "TENSION"), ("denied_event", (r"\bnot? (the|to)\b",), "OTHER"),
+    ("reader_service", (r"^for ",), "OTHER"), ("resignation_opinion", (" will ", " by "), "OTHER"), ("reported_joke", (" un ", " la "), "TENSION"), ("denied_event", (" not? (the|to) ",), "OTHER"),
 )
 RULES = R.Rules(
     specific=(("tariff", "TRADE"), ("from", "TRADE"), ("ist", "LABOUR"), ("des", "SANCTIONS"), ("para", "DEAL"), ("rate cut", "POLICY"), ("this of", "POLICY"), ("is in", "CONFLICT"), ("not", "REGULATION")),
@@ -124,9 +124,15 @@ def t06(spark, sf):
     return classified(spark, sf).groupBy("event_type", "source", "vetoed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("t07_decision_record", f"WITH {SCAN} SELECT article_id, event_type || '|' || coalesce(keyword, '-') || '|' || source || '|' || reason AS record, CASE WHEN source IN ('body', 'body_veto') THEN 'body' WHEN source = 'publisher_section' THEN keyword ELSE title END AS evidence, event_type = 'OTHER' AND reason = 'unmapped' AS allow_llm FROM dec")
+SENTENCES = "string_split_regex(regexp_replace(trim({0}), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+BEARS = f"len(list_filter({SUF}, lambda s: contains({HAY.format('x')}, ' ' || keyword || s || ' '))) > 0 OR contains(keyword, ' ') AND contains({HAY.format('x')}, keyword)"
+
+
+@register("t07_decision_record", f"WITH {SCAN} SELECT article_id, event_type || '|' || coalesce(keyword, '-') || '|' || source || '|' || reason AS record, CASE WHEN source IN ('body', 'body_veto') THEN list_filter({SENTENCES.format('body')}, lambda x: {BEARS})[1] WHEN source = 'publisher_section' THEN keyword ELSE title END AS evidence, event_type = 'OTHER' AND reason = 'unmapped' AS allow_llm FROM dec")
 def t07(spark, sf):
-    evidence = F.when(F.col("source").isin("body", "body_veto"), "body").when(F.col("source") == "publisher_section", F.col("keyword")).otherwise(F.col("title"))
+    """Each decision with what bears it out: of a body, the first sentence that holds the keyword."""
+    sentence = F.try_element_at(F.filter(T.sentences(F.trim("body")), lambda s: T.has_keyword(T.haystack(s), F.col("keyword"))), F.lit(1))
+    evidence = F.when(F.col("source").isin("body", "body_veto"), sentence).when(F.col("source") == "publisher_section", F.col("keyword")).otherwise(F.col("title"))
     record = F.concat_ws("|", "event_type", F.coalesce("keyword", F.lit("-")), "source", "reason")
     return classified(spark, sf).select("article_id", record.alias("record"), evidence.alias("evidence"), ((F.col("event_type") == "OTHER") & (F.col("reason") == "unmapped")).alias("allow_llm"))
 
@@ -202,10 +208,12 @@ def t16(spark, sf):
     return a.select("article_id", "mode", F.when(F.col("mode") != "relevant", F.length("i.body").cast("bigint")).otherwise(-1).alias("n_chars"), F.when(F.col("mode") == "relevant", n.cast("bigint")).otherwise(-1).alias("n_sentences"))
 
 
-@register("t17_extracted_action", f"WITH {SCAN} SELECT article_id, NULL::VARCHAR AS actor, coalesce(keyword, 'OTHER') AS action_lemma, event_type, array_to_string(company, ',') AS object, source || ':' || reason AS audit FROM dec")
+@register("t17_extracted_action", f"WITH {SCAN} SELECT article_id, company[1] AS actor, coalesce(keyword, 'OTHER') AS action_lemma, event_type, array_to_string(company[2:], ',') AS object, source || ':' || reason AS audit FROM dec")
 def t17(spark, sf):
+    """Who acts (the first company that the title names), what it does, and on whom (the others)."""
     c = classified(spark, sf)
-    return c.select("article_id", F.lit(None).cast("string").alias("actor"), F.coalesce("keyword", F.lit("OTHER")).alias("action_lemma"), "event_type", F.array_join("company", ",").alias("object"), F.concat_ws(":", "source", "reason").alias("audit"))
+    others = F.slice("company", 2, F.greatest(F.size("company"), F.lit(1)))
+    return c.select("article_id", F.try_element_at("company", F.lit(1)).alias("actor"), F.coalesce("keyword", F.lit("OTHER")).alias("action_lemma"), "event_type", F.array_join(others, ",").alias("object"), F.concat_ws(":", "source", "reason").alias("audit"))
 
 
 @register("c11_guards", f"WITH {X.ARTICLES} SELECT article_id, {guard_sql('title')} AS guard FROM articles")
