@@ -100,6 +100,60 @@ class _Numbers(dict):
 _loaded: dict[str, Words] = {}
 
 
+def words_at(path: str) -> Words:
+    """One for each Python worker, which keeps it from task to task."""
+    if path not in _loaded:
+        _loaded[path] = Words(path)
+    return _loaded[path]
+
+
+#: Numbers below the first take a byte, those below the second two.
+ONE, TWO = 192, 192 + 63 * 256
+
+
+def _squeeze(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Columns of numbers below 2**32, mostly small, and ``tail``. First bytes, second bytes and whole large numbers lie apart."""
+    parts = [len(columns).to_bytes(4, "little")]
+    for numbers in columns:
+        x = numbers.astype(np.int64)
+        two, large = (x >= ONE) & (x < TWO), x >= TWO
+        first = np.where(x < ONE, x, np.where(two, ONE + (x - ONE >> 8), 255)).astype(np.uint8)
+        rest = np.ascontiguousarray(x[large].astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        parts += [n.to_bytes(4, "little") for n in (len(x), int(two.sum()), int(large.sum()))]
+        parts += [first.tobytes(), ((x[two] - ONE) & 255).astype(np.uint8).tobytes(), rest.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, tail]))
+
+
+def _unsqueeze(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    at, out = 4, []
+    for _ in range(int.from_bytes(raw[:4], "little")):
+        n, twos, larges = (int.from_bytes(raw[at + 4 * k : at + 4 * k + 4], "little") for k in range(3))
+        at += 12
+        x = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
+        two, large = (x >= ONE) & (x < 255), x == 255
+        x[two] = ONE + (x[two] - ONE << 8 | np.frombuffer(raw, np.uint8, twos, at + n))
+        x[large] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * larges, at + n + twos).reshape(4, larges).T).view("<u4").ravel()
+        out.append(x)
+        at += n + twos + 4 * larges
+    return out, raw[at:]
+
+
+def encode(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+_loaded: dict[str, Words] = {}
+
+
 def words_at(path: str) -> Words:
     """One for each Python worker, which keeps it from task to task."""
     if path not in _loaded:

@@ -151,6 +151,14 @@ def test_words_are_cut_as_the_tokenizer_cuts_them():
         assert [i for x in w.encode(list(w.cut(text))) for i in x] == w.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    for top in (1, 150, 256, 17_000, 1 << 20, 1 << 32):
+        columns = [rng.integers(0, top, n) for n in (0, 1, 500)] + [np.array([0, 191, 192, 255, 16_319, 16_320, 16_321, (1 << 32) - 1])]
+        got, tail = bpe._unsqueeze(bpe._squeeze(*columns, tail=b"rest"))
+        assert tail == b"rest" and all(np.array_equal(a, b) for a, b in zip(got, columns, strict=True))
+
+
 def test_any_ids_decode(spark):
     t, rng = tokenizer(), random.Random(5)
     lists = [[rng.randrange(50_257) for _ in range(rng.randint(0, 40))] for _ in range(200)] + [[], None, [50_256], [7] * 25_000]
