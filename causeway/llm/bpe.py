@@ -208,7 +208,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             keys, counts, coded, numbers, held = [], [], [], _Numbers(), 0
 
         for b in batches:
-            for i, text in enumerate(b.column(1).to_pylist()):
+            for i, value in enumerate(b.column(1)):
+                text = value.as_py()
                 found = np.fromiter(map(numbers.__getitem__, words.cut(text or "")), np.uint32)
                 keys.append(b.column(0).slice(i, 1))
                 counts.append(len(found))
