@@ -52,7 +52,8 @@ def telling_words(toxic: list[bytes], ordinary: list[bytes], ratio: float = 8.0)
     """Words of toxic texts with a segment that is at least ``ratio`` times as frequent there."""
     g, n = _shares(toxic)
     o, m = _shares(ordinary)
-    at = np.minimum(np.searchsorted(o, g), len(o) - 1)
+    o, m = np.append(o, np.uint64(0)), np.append(m, 0)  # ordinary texts may have no segment at all
+    at = np.searchsorted(o[:-1], g)
     m = np.where(o[at] == g, m[at], 0)
     share = ((n + 0.5) / (len(toxic) + 1)) / ((m + 0.5) / (len(ordinary) + 1))
     telling = set(g[(n >= max(3, 0.005 * len(toxic))) & (share >= ratio)].tolist())

@@ -36,6 +36,13 @@ def test_toxicity_of_long_wide_and_empty_tables(spark, wide, labels):
     assert toxicity.score(wide.limit(0), model).count() == 0 and toxicity.fit(wide.limit(0), labels) is None
 
 
+def test_toxicity_learns_from_texts_without_segments():
+    for sides in (([b"bad words here"] * 5, [b""] * 5), ([b""] * 5, [b"fine words here"] * 5), ([b""] * 3, [b""] * 3), ([b"bad words"] * 5, [b"abc", b"", b"x y"])):
+        model = toxicity.Distance.train(*sides)
+        windows = toxicity.Windows(model)
+        assert all(0 <= model.score(windows.buckets(x)) <= 1 for x in (b"", b"bad words here", b"fine"))
+
+
 def test_languages_tied_wide_and_empty(spark, wide):
     same = [(f"{k}{i}", "one two three four", k) for k in ("b", "a") for i in range(4)]
     model = langid.fit(spark.createDataFrame(same, "key string, text string, lang string"))
