@@ -8,8 +8,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _scratch: dict[str, SparkSession] = {}
+_tables: dict[str, SparkSession] = {}
+#: As many as Spark takes by default.
+MOST_BUCKETS = 100_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -54,6 +58,21 @@ def materialize_by(df: DataFrame, column: str, values: list[str], name: str = "t
     return out
 
 
+def materialize_buckets(df: DataFrame, column: str, values: list[str], key: str, buckets: int, name: str = "table") -> list[DataFrame]:
+    """As :func:`materialize_by`, with the rows of each table bucketed by ``key``: what groups or joins by it reads them where they lie, without a shuffle."""
+    spark = df.sparkSession
+    path, table = f"{scratch_dir(spark)}/causeway-{name}-{uuid.uuid4().hex}", f"causeway_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).partitionBy(column).bucketBy(min(buckets, MOST_BUCKETS), key).saveAsTable(table)
+    _tables[table] = spark
+    out = []
+    for value in values:
+        part = spark.table(table).filter(F.col(column) == value).drop(column)
+        part._causeway_path = f"{path}/{column}={value}"
+        _scratch[part._causeway_path] = spark
+        out.append(part)
+    return out
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -80,6 +99,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _cleanup() -> None:
+    for table, spark in list(_tables.items()):
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the session is gone, and its catalog with it  # noqa: BLE001
+            pass
     for path, spark in list(_scratch.items()):
         try:
             _delete(spark, path)
