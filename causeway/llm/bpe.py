@@ -3,9 +3,10 @@
 Encoding: texts are cut into words where the tokenizer cuts them. A chunk of texts is kept as numbers of
 its own words, next to the list of those words; lists are dealt out by hash of the word, so that all chunks'
 entries of a word meet, and there the tokenizer encodes each distinct word once. Its ids go back to each
-chunk that has the word and are joined to the words' places by number. What is shuffled are a chunk's
-numbers, about a byte and a half a word, and an entry for each distinct word of a chunk, packed by chunk and
-bucket; a frequent word is one entry a chunk. The number of buckets follows the size of the table.
+chunk that has the word and are joined to the words' places by number. Chunks are written in buckets, so the
+numbers, about a byte and a half a word, aren't shuffled; what is shuffled, there and back, is an entry for
+each distinct word of a chunk, packed by chunk and bucket of words, whose number follows the size of the
+table. A frequent word is one entry a chunk.
 
 Decoding: ids are joined with the vocabulary's pieces in the tasks, batch by batch, and a text's pieces put
 together in order. The pieces, as many as the tokenizer's file has, are sent to every task; no shuffle.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from causeway.llm.common import map_batches, materialize, materialize_by, release, sweep
+from causeway.llm.common import map_batches, materialize, materialize_buckets, release, sweep
 from causeway.session import ship
 
 #: Characters of a chunk of texts, and of the texts for each bucket of words.
@@ -221,7 +222,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             yield from flush()
 
     cut = map_batches(table, run, f"kind string, chunk bigint, at int, key {kind.simpleString()}, n int, data binary")
-    texts, words = materialize_by(cut, "kind", ["text", "word"], "bpe")
+    texts, words = materialize_buckets(cut, "kind", ["text", "word"], "chunk", max(1, -(-chars // chunk)), "bpe")
 
     def encoded(group: pa.Table) -> pa.Table:
         """All chunks' words of a bucket: each distinct one is encoded once."""

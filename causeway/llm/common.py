@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from causeway.scratch import materialize, materialize_by, release, scratch_dir, sweep  # noqa: F401
+from causeway.scratch import materialize, materialize_buckets, materialize_by, release, scratch_dir, sweep  # noqa: F401
 from causeway.session import ship
 
 WHITE = b" \t\n\x0b\x0c\r"
