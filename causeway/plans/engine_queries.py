@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Window
@@ -356,6 +357,44 @@ both("v05_shadow_sweep", lambda d: f"""SELECT asset_id, {d.stamp("closes_at")} A
   SELECT p.asset_id, p.closes_at, count(s.sample_id) AS n, max(s.price) AS hi, min(s.price) AS lo FROM (SELECT asset_id, closes_at FROM (SELECT DISTINCT asset_id, closes_at FROM {{samples}}) k WHERE closes_at + INTERVAL 600 SECOND <= {d.at("2024-01-20 12:00:00")} ORDER BY closes_at, asset_id LIMIT 100) p
   LEFT JOIN {{samples}} s ON s.asset_id = p.asset_id AND s.closes_at = p.closes_at AND s.received_at <= p.closes_at + INTERVAL 600 SECOND AND s.quality = 'FRESH' GROUP BY p.asset_id, p.closes_at) t""")
 
+def _email(alerts: list[dict]) -> None:
+    if not all(a["asset_id"] for a in alerts):
+        raise ValueError("an alert without an asset")
+
+
+def _messenger(alerts: list[dict]) -> None:
+    raise ConnectionError("no route")
+
+
+ALERT = "magnitude = 'LARGE' AND direction <> 'NEUTRAL'"
+
+
+@register("b11_alert_dispatch", GQ.CHAIN + f" SELECT channel, (SELECT count(*) FROM decided WHERE {ALERT})::BIGINT AS n, channel = 'messenger' AS failed FROM (VALUES ('email'), ('messenger')) v(channel)")
+def b11(spark, sf):
+    """Alerts of strong decisions, streamed to two channels; one is down, and the log tells so."""
+    path = f"{scratch_dir(spark)}/causeway-alerts-{uuid.uuid4().hex}"
+    rows = GQ.decided(spark, sf).filter(ALERT).select("asset_id", F.col("window_start").cast("timestamp").alias("at"), "direction", "magnitude", "confidence")
+    rows.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    flows.run(stream, H.notify({"email": _email, "messenger": _messenger}, f"{path}/log"), f"{path}/checkpoint").awaitTermination()
+    log = spark.read.schema("channel string, n bigint, error string").parquet(f"{path}/log")
+    return log.groupBy("channel").agg(F.sum("n").alias("n"), F.bool_or(F.col("error").isNotNull()).alias("failed"))
+
+
+def _subject_verb_object(titles, bodies):
+    """An extractor: the first three words."""
+    found = [re.findall(r"\w+", t) + [None] * 3 for t in titles]
+    return [(w[0], (w[1] or "OTHER").lower(), w[2]) for w in found]
+
+
+@register("u02_action_extractors", f"WITH {RQ.SCAN}, w AS (SELECT *, regexp_extract_all(title, '[\\p{{L}}\\p{{N}}_]+') AS w FROM dec) SELECT article_id, 'pluggable' AS extractor, w[1] AS actor, lower(coalesce(w[2], 'OTHER')) AS action_lemma, w[3] AS object, event_type FROM w UNION ALL SELECT article_id, 'keyword', NULL, coalesce(keyword, 'OTHER'), NULL, event_type FROM dec")
+def u02(spark, sf):
+    """Actions by an extractor that the caller supplies, and by keyword where none is."""
+    c = RQ.classified(spark, sf)
+    told = lambda name, df: df.select("article_id", F.lit(name).alias("extractor"), "actor", "action_lemma", "object", "event_type")
+    return told("pluggable", H.extract_actions(c, _subject_verb_object)).unionByName(told("keyword", H.extract_actions(c)))
+
+
 # --- storage and read models ---
 
 

@@ -18,6 +18,7 @@ from causeway.plans.relational_queries import statement
 from causeway.scratch import materialize, scratch_dir
 from causeway.sources import fixtures as X
 from causeway.sources import readers as R
+from causeway.sources.export import digests
 
 
 @dataclass(frozen=True)
@@ -134,7 +135,7 @@ def a13(spark, sf):
     return D.consumed(e, "payload", "k int", F.col("failing")).select("event_id", "outcome", F.coalesce("message.k", F.lit(-1)).alias("k"))
 
 
-@register("a14_graph_scan", "WITH " + X.CAUSES + ", " + X.MEMBERS + ", " + X.CORRELATIONS + " SELECT 'CAUSES' AS kind, factor AS source, target, coalesce(condition, '-') AS condition, weight FROM causes UNION ALL SELECT 'MEMBER_OF', asset_id, group_id, '-', NULL FROM members UNION ALL SELECT 'CORRELATES_WITH', source, target, condition, weight FROM correlations")
+@register("a14_graph_scan", "WITH " + X.CAUSES + ", " + X.MEMBERS + ", " + X.CORRELATIONS + " SELECT 'CAUSES' AS kind, factor AS source, target, coalesce(condition, '-') AS condition, weight FROM causes UNION ALL SELECT 'MEMBER_OF', asset_id, group_id, '-', NULL FROM members UNION ALL SELECT 'CORRELATES_WITH', source, target, condition, weight FROM correlations WHERE target IN (SELECT asset_id FROM members)")
 def a14(spark, sf):
     """Nodes and edges written as seed files and scanned again; edges whose ends aren't nodes are refused."""
     t, path = X.edge_tables(spark, sf), f"{scratch_dir(spark)}/causeway-graph-seed-{uuid.uuid4().hex}"
@@ -183,7 +184,13 @@ both("b07_typed_dispatch", lambda d: f"""SELECT event_id, event_type, CASE WHEN
   FROM (SELECT event_id, event_type, CASE event_type WHEN 'purchase' THEN concat(chr(123), '"amount":', cast(event_id % 500 AS string), '.5', chr(125)) WHEN 'error' THEN concat(chr(123), '"code":', cast(event_id % 40 AS string), chr(125)) END AS payload FROM {{events}}) t""")
 both("b08_retention", lambda d: f"""SELECT 'article' AS kind, article_id AS id FROM {{articles}} WHERE published_at >= {d.at("2024-01-31 00:00:00")} - INTERVAL 30 DAY
   UNION ALL SELECT 'outbox', o_orderkey FROM {{orders}} WHERE NOT (o_orderstatus = 'F' AND o_orderdate < {d.at("2001-06-01 00:00:00")} - INTERVAL 7 DAY)""")
-both("b09_export_manifest", lambda d: f"""SELECT lang, count(*) AS n, cast(sum(k) AS bigint) AS labels, {d.sha(d.joined("h", "doc_id"))} AS digest FROM (SELECT lang, doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS k, {d.sha("concat(cast(doc_id AS string), '|', text)")} AS h FROM {{documents}}) t GROUP BY lang""")
+@register("b09_export_manifest", """WITH a AS (SELECT lang, doc_id, sha256(doc_id || '|' || text) AS h FROM documents),
+b AS (SELECT lang, doc_id // 1000 AS part, sha256(string_agg(h, '' ORDER BY doc_id)) AS h, count(*) AS n FROM a GROUP BY ALL), c AS (SELECT lang, b.part // 1000 AS part, sha256(string_agg(h, '' ORDER BY b.part)) AS h, sum(n) AS n FROM b GROUP BY lang, b.part // 1000),
+d AS (SELECT lang, c.part // 1000 AS part, sha256(string_agg(h, '' ORDER BY c.part)) AS h, sum(n) AS n FROM c GROUP BY lang, c.part // 1000) SELECT lang, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY part)) AS digest FROM d GROUP BY lang""")
+def b09(spark, sf):
+    """Rows and one digest of each language's texts in the order of their ids, from a tree of hashes."""
+    return digests(X.read(spark, sf, "documents"), ["lang"], "doc_id", F.concat_ws("|", F.col("doc_id").cast("string"), "text"))
+
 
 # --- predicates over samples ---
 ELIGIBLE = """currency = 'SEK' AND quote_unit = 'UNIT' AND mapping_version = 'm1' AND registry_version = 'r1' AND kind = 'LAST' AND market_state = 'OPEN' AND quality = 'FRESH' AND price > 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import text as T
 from causeway.operators import rules as R
+from causeway.operators.overlap import similar_sets
 from causeway.plans.registry import register
 from causeway.sources import fixtures as X
 
@@ -190,7 +191,7 @@ def t14(spark, sf):
 
 @register("t15_compatible", f"WITH {SCAN}, k AS (SELECT DISTINCT event_type AS t FROM dec) SELECT a.t AS a, b.t AS b, a.t = b.t AND a.t NOT IN ({quoted(RULES.silent)}) AS compatible FROM k a, k b")
 def t15(spark, sf):
-    kinds = sorted({v for role in ("specific", "generic", "reject") for _, v in getattr(RULES, role)} | set(RULES.sections.values()) | {"OTHER"})
+    kinds = sorted({v for role in ("specific", "generic", "reject") for _, v in getattr(RULES, role)} | set(RULES.sections.values()) | {kind for *_, kind in RULES.guards} | {"OTHER"})
     k = classified(spark, sf).select("event_type").distinct()  # one row an event type
     pairs = k.select(F.col("event_type").alias("a"), F.explode(F.array(*map(F.lit, kinds))).alias("b")).join(k.select(F.col("event_type").alias("b")), "b")
     return pairs.select("a", "b", R.compatible(F.col("a"), F.col("b"), RULES.silent).alias("compatible"))
@@ -229,6 +230,18 @@ def g05(spark, sf):
     return j.groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
+SETS = f"t AS (SELECT article_id, list_sort({TERMS.format('title')}) AS w FROM articles), cl AS (SELECT *, min(article_id) OVER (PARTITION BY w) AS class_id FROM t), one AS (SELECT DISTINCT class_id, w FROM cl WHERE len(w) > 0)"
+
+
+@register("g05_similar_titles", f"WITH {X.ARTICLES}, {SETS} SELECT 'member' AS kind, article_id AS a, class_id AS b, 1.0::DOUBLE AS similarity FROM cl UNION ALL SELECT 'link', x.class_id, y.class_id, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w)))::DOUBLE, 6) FROM one x JOIN one y ON x.class_id < y.class_id WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w)))::DOUBLE >= 0.4 - 1e-9")
+def g05s(spark, sf):
+    """Titles whose terms are the same, and those that share most of them."""
+    sets = X.articles(spark, sf).select("article_id", R.terms(F.col("title")).alias("terms"))
+    members, links = similar_sets(sets, "article_id", "terms", 0.4)
+    member = members.select(F.lit("member").alias("kind"), F.col("article_id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("similarity"))
+    return member.unionByName(links.select(F.lit("link").alias("kind"), F.col("class_a").alias("a"), F.col("class_b").alias("b"), F.round("similarity", 6).alias("similarity")))
+
+
 @register("x06_predicates", f"WITH {X.ARTICLES}, k AS (SELECT unnest(['OPEN', 'QUIET', 'CLOSED', 'DONE']) AS state) SELECT article_id, state, state IN ('OPEN', 'QUIET') AS accepts, contains({HAY.format('title')}, ' and ') OR contains({HAY.format('title')}, 'de la') AS cue, bit_count(xor(article_id, article_id * 5)) <= 3 AS near FROM articles, k")
 def x06(spark, sf):
     hay = T.haystack(F.coalesce("title", F.lit("")))

@@ -6,11 +6,13 @@ in the folder given. Each name is a partition, so feeds are fetched side by side
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from datetime import date, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from causeway.session import ship
 from causeway.sources import readers
@@ -61,6 +63,80 @@ class _Stream(DataSourceStreamReader):
         yield partition.value, self.adapter(partition.value)
 
 
+BARS = "symbol string, session date, close double"
+
+
+class _Bars(DataSourceReader):
+    """Daily bars in one JSON-lines file for each symbol and month, ``symbol/yyyy-mm.jsonl``. Filters on symbol and session choose the files that are planned; bounds on the session are kept by the files' readers."""
+
+    def __init__(self, folder: str, symbols: list[str], first: date, last: date):
+        self.folder, self.symbols, self.first, self.last = folder, symbols, first, last
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """Takes equality and membership of symbols and bounds of sessions; gives back what it can't answer."""
+        for f in filters:
+            name, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if isinstance(f, IsNotNull) and name in (("symbol",), ("session",)):
+                continue  # no bar lacks them
+            if isinstance(f, EqualTo) and name == ("symbol",):
+                self.symbols = [s for s in self.symbols if s == value]
+            elif isinstance(f, In) and name == ("symbol",):
+                self.symbols = [s for s in self.symbols if s in value]
+            elif isinstance(f, (EqualTo, GreaterThanOrEqual)) and name == ("session",):
+                self.first = max(self.first, value)
+                self.last = min(self.last, value) if isinstance(f, EqualTo) else self.last
+            elif isinstance(f, GreaterThan) and name == ("session",):
+                self.first = max(self.first, value + timedelta(days=1))
+            elif isinstance(f, LessThanOrEqual) and name == ("session",):
+                self.last = min(self.last, value)
+            elif isinstance(f, LessThan) and name == ("session",):
+                self.last = min(self.last, value - timedelta(days=1))
+            else:
+                yield f
+
+    def partitions(self) -> list[InputPartition]:
+        months, at = [], self.first.replace(day=1)
+        while at <= self.last:
+            months.append(f"{at:%Y-%m}")
+            at = (at + timedelta(days=32)).replace(day=1)
+        return [InputPartition((s, m)) for s in self.symbols for m in months]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, date, float]]:
+        if partition is None:  # none was planned
+            return
+        symbol, month = partition.value
+        path = Path(self.folder) / symbol / f"{month}.jsonl"
+        if path.exists():
+            for line in path.read_text(encoding="utf-8").splitlines():
+                bar = json.loads(line)
+                at = date.fromisoformat(bar["session"])
+                if self.first <= at <= self.last:
+                    yield symbol, at, bar["close"]
+
+
+class BarSource(DataSource):
+    """Options: ``folder``, ``symbols`` by commas, ``first`` and ``last`` (ISO days) of what there is."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "causeway_bars"
+
+    def schema(self) -> str:
+        return BARS
+
+    def reader(self, schema) -> DataSourceReader:
+        days = (date.fromisoformat(self.options[k]) for k in ("first", "last"))
+        return _Bars(self.options["folder"], [x for x in self.options["symbols"].split(",") if x], *days)
+
+
+def bars(spark: SparkSession, folder: str, symbols: list[str], first: date, last: date) -> DataFrame:
+    """Daily bars; filters on symbol and session reach the reader, so that only the months asked for are planned and read."""
+    ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BarSource)
+    return spark.read.format("causeway_bars").options(folder=folder, symbols=",".join(symbols), first=first.isoformat(), last=last.isoformat()).load()
+
+
 class PayloadSource(DataSource):
     """Options: ``names`` by commas, ``folder`` for the file adapter, ``polls`` of a stream. Subclasses give another adapter."""
 

@@ -33,6 +33,19 @@ def windowed(events: DataFrame, minutes: int = 15, grace: str = "5 minutes") ->
     return g.select("asset_id", F.col("window.start").alias("window_start"), "factor", "tags", (F.col("resolved") == 1).alias("resolved"), "n_events")
 
 
+def judged(scores: DataFrame, notices: DataFrame, within: str = "9 days", delay: str = "1 hour") -> DataFrame:
+    """scores: a stream of key, scored_at, r; notices: a stream of key, superseded_at, delivered at least once. Each score once, ``skipped`` if its decision was superseded by then.
+
+    Whichever comes first waits in state for the other, up to ``within``; a score without a notice comes out when the watermark has passed all that could still concern it.
+    """
+    s = scores.withWatermark("scored_at", delay).alias("s")
+    n = notices.withWatermark("superseded_at", delay).alias("n")
+    near = (F.col("n.superseded_at") <= F.col("s.scored_at")) & (F.col("n.superseded_at") >= F.col("s.scored_at") - F.expr(f"interval {within}"))
+    met = s.join(n, (F.col("s.key") == F.col("n.key")) & near, "leftOuter")
+    told = met.select(F.col("s.key").alias("key"), F.col("s.scored_at").alias("scored_at"), F.col("s.r").alias("r"), F.col("n.key").isNotNull().alias("skipped"))
+    return told.dropDuplicatesWithinWatermark(["key"])
+
+
 CLUSTER = "cluster_id string, asset_id string, n bigint, first_ts timestamp, last_ts timestamp"
 
 

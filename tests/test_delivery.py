@@ -1,5 +1,6 @@
 """Streams of deliveries, hooks, data sources and clusters in time, against plain loops."""
 
+import datetime as dt
 import json
 import random
 import re
@@ -178,3 +179,22 @@ def test_phrases_are_found_whatever_their_number(spark):
     assert got == want and len(want) > 100
     few = rules.scan(spark.createDataFrame(docs, "id int, title string, body string"), table.limit(40), "id", ["title"])
     assert few._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+
+
+def test_filters_reach_the_bars_reader(spark, tmp_path):
+    first, last, rows = dt.date(2023, 11, 1), dt.date(2024, 4, 30), []
+    for symbol in "ABC":
+        (tmp_path / symbol).mkdir()
+        for k in range(0, 180, 3):
+            day = first + dt.timedelta(days=k)
+            rows.append((symbol, day, float(k)))
+            with (tmp_path / symbol / f"{day:%Y-%m}.jsonl").open("a") as f:
+                f.write(json.dumps({"session": day.isoformat(), "close": float(k)}) + "\n")
+    bars = datasources.bars(spark, str(tmp_path), list("ABC"), first, last)
+    assert {tuple(r) for r in bars.collect()} == set(rows) and bars.rdd.getNumPartitions() == 18
+    few = bars.filter("symbol IN ('A', 'C') AND session > DATE '2024-01-10' AND session <= DATE '2024-02-20' AND close > 80")
+    assert {tuple(r) for r in few.collect()} == {r for r in rows if r[0] in "AC" and dt.date(2024, 1, 10) < r[1] <= dt.date(2024, 2, 20) and r[2] > 80}
+    assert few.rdd.getNumPartitions() == 4  # two symbols, two months
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "session" not in plan.split("Filter", 1)[1].split("\n")[0]  # only the close is still tested after the scan
+    assert bars.filter("symbol = 'D'").count() == 0 and bars.filter("session = DATE '2023-11-04'").count() == 3

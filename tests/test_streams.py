@@ -122,3 +122,32 @@ def test_revisions_stop_at_a_gap_or_a_conflict(spark):
     done = F.when(F.col("k") == "a", 1).when(F.col("k") == "c", 2).otherwise(0)
     got = versions.contiguous(spark.createDataFrame(rows, "k string, r int, content string"), "k", "r", done).collect()
     assert sorted(map(tuple, got)) == [("a", 2, "x"), ("a", 3, "y"), ("b", 1, "x"), ("c", 3, "late")]
+
+
+@pytest.mark.parametrize("first", ["scores", "notices"])
+def test_scores_meet_notices_in_either_order(spark, tmp_path, first):
+    t0 = dt.datetime(2024, 1, 1)
+    day = lambda n: t0 + dt.timedelta(days=n)
+    scores = [(f"k{i}", day(3), float(i)) for i in range(6)]
+    notices = [("k0", day(1)), ("k0", day(2)), ("k1", day(4)), ("k2", day(3)), ("k2", day(3)), ("zz", day(1))]  # k1's comes after its score was due
+    flush = [("clock", day(60), 0.0)], [("clock2", day(60))]
+    schema = {"scores": "key string, scored_at timestamp, r double", "notices": "key string, superseded_at timestamp"}
+
+    def put(name, rows):
+        spark.createDataFrame(rows, schema[name]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+
+    def run():
+        streams = [spark.readStream.schema(schema[n]).parquet(f"{tmp_path}/{n}") for n in ("scores", "notices")]
+        flows.run(flows.judged(*streams), flows.idempotent(f"{tmp_path}/out"), f"{tmp_path}/c").awaitTermination()
+
+    rows = {"scores": scores, "notices": notices}
+    for name in ("scores", "notices"):
+        put(name, rows[name] if name == first else rows[name][:0])
+    run()
+    put("scores" if first == "notices" else "notices", rows["scores" if first == "notices" else "notices"])
+    run()
+    for name, extra in zip(("scores", "notices"), flush, strict=True):
+        put(name, extra)
+    run()
+    got = sorted((r.key, r.skipped) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.key != "clock")
+    assert got == [("k0", True), ("k1", False), ("k2", True), ("k3", False), ("k4", False), ("k5", False)]
