@@ -19,6 +19,7 @@ from causeway.scratch import materialize, scratch_dir
 from causeway.sources import fixtures as X
 from causeway.sources import readers as R
 from causeway.sources.export import digests
+from causeway.sources.ledger import Ledger
 
 
 @dataclass(frozen=True)
@@ -170,12 +171,14 @@ def a18(spark, sf):
 
 @register("b05_state_and_outbox", "WITH k AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P') SELECT 'state' AS kind, sha256('state|' || o_orderkey) AS key, o_orderstatus AS value FROM k UNION ALL SELECT 'outbox', sha256('outbox|' || o_orderkey), 'PENDING' FROM k WHERE o_orderstatus = 'F'")
 def b05(spark, sf):
-    """A batch of states with the messages they call for, under keys of their own; a repeated batch adds nothing."""
+    """A batch of states with the messages they call for, in one transaction; the same batch again adds nothing."""
     o = X.read(spark, sf, "orders").filter("o_orderstatus <> 'P'")
-    key = lambda kind: F.sha2(F.concat(F.lit(kind + "|"), F.col("o_orderkey")), 256).alias("key")
-    batch = o.select(F.lit("state").alias("kind"), key("state"), F.col("o_orderstatus").alias("value")).unionByName(o.filter("o_orderstatus = 'F'").select(F.lit("outbox").alias("kind"), key("outbox"), F.lit("PENDING").alias("value")))
-    target = materialize(D.insert_new(batch, batch.limit(0), ["kind", "key"]), "outbox")
-    return target.unionByName(D.insert_new(batch, target, ["kind", "key"]))  # the same batch again
+    row = lambda df, kind, value: df.select(F.lit(kind).alias("kind"), F.sha2(F.concat(F.lit(kind + "|"), F.col("o_orderkey")), 256).alias("key"), value.alias("value"))
+    batch = {"state": row(o, "state", F.col("o_orderstatus")), "outbox": row(o.filter("o_orderstatus = 'F'"), "outbox", F.lit("PENDING"))}
+    ledger = Ledger(spark, f"{scratch_dir(spark)}/causeway-ledger-{uuid.uuid4().hex}", dict.fromkeys(batch, "kind string, key string, value string"))
+    for _ in range(2):
+        ledger.commit("orders", batch)
+    return ledger.table("state").unionByName(ledger.table("outbox"))
 
 
 both("b06_outbox_relay", lambda d: """SELECT o_orderkey, CASE WHEN place IS NULL THEN 'WAITING' WHEN o_orderkey % 9 = 4 THEN 'PENDING' ELSE 'DELIVERED' END AS status, CASE WHEN place IS NOT NULL THEN 1 ELSE 0 END AS attempts
