@@ -258,9 +258,9 @@ def _gathered(blob: bytes) -> tuple[list[bytes], list[int]]:
     return raw[4 + 4 * n :].split(BREAK), counts.tolist()
 
 
-def collocations(docs: DataFrame, least: int = 10, longest: int = 3, covered: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, longest: int = 3, covered: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang", unit: int = UNIT) -> DataFrame:
     """Each language's first ``top`` phrases by score, count and phrase: lang, rank, phrase, a, l, r, n, score."""
-    counted = counts(docs, least, longest, text_col, lang_col)
+    counted = counts(docs, least, longest, text_col, lang_col, unit)
     total = counted.filter("size = 0").select("lang", F.col("n").alias("total"))
     often = counted.filter("size > 0")
     phrases = often.filter("size > 1").withColumnRenamed("n", "a")

@@ -104,9 +104,8 @@ def plain_collocations(documents, least, longest, covered, top):
 
 
 @pytest.mark.parametrize(("least", "longest", "covered", "unit"), [(10, 3, 50, 6 << 20), (3, 3, 50, 300), (2, 4, 80, 100), (300, 3, 50, 20_000)])
-def test_collocations_equal_plain_counts(docs, least, longest, covered, unit, monkeypatch):
-    monkeypatch.setattr(collocations.counts, "__defaults__", (*collocations.counts.__defaults__[:-1], unit))
-    got = collocations.collocations(docs, least, longest, covered, 40)
+def test_collocations_equal_plain_counts(docs, least, longest, covered, unit):
+    got = collocations.collocations(docs, least, longest, covered, 40, unit=unit)
     want = plain_collocations(rows(), least, longest, covered, 40)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and want
     assert sorted(map(tuple, got.collect())) == want
