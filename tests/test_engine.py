@@ -179,9 +179,12 @@ def duck():
 
 def rows(frame):
     def cell(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or v is pd.NaT or v is pd.NA or v != v:
             return "None"
-        return repr(round(float(v), 7) + 0.0) if type(v).__name__ in ("float", "float64", "float32", "Decimal") else str(v)
+        if type(v).__name__ not in ("float", "float64", "float32", "Decimal"):
+            return str(v)
+        x = round(float(v), 7) + 0.0
+        return str(int(x)) if x.is_integer() and abs(x) < 1 << 53 else repr(x)  # integers beside nulls are floats in one of the frames
 
     return sorted("|".join(map(cell, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
