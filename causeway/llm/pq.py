@@ -9,7 +9,8 @@ computed in double precision, and links have at least ``threshold``.
 
 Quantisers are fitted to a bounded sample (``sample`` classes, smallest hashes first); every vector is
 indexed. Half a sample's worth of centroids in each half makes 10 ** 8 lists, so they may grow with the table. The probes decide recall: a pair
-is found when either vector searches the other's list.
+is found when either vector searches the other's list. Lists shrink as they grow in number and more of them lie within reach, so the probes
+grow with the power ``SPREAD`` of the lists, at every size: that holds the recall of the worst case, random pairs at the threshold.
 
 A list is cut into tiles of ``tile`` vectors and its queries into as many chunks, so no task holds more;
 tasks return link counts and a spanning forest, never pairs.
@@ -34,7 +35,14 @@ from causeway.llm.common import map_batches, materialize
 from causeway.llm.components import connected_components
 from causeway.llm.simhash import _join
 
-SAMPLE, PROBES, TILE = 20_000, 12, 2048
+SAMPLE, TILE = 20_000, 2048
+#: Lists that a vector searches: PROBES times the lists to the power SPREAD.
+PROBES, SPREAD = 2.5, 0.3
+
+
+def probes_for(lists: int) -> int:
+    """10 of 101 lists, 28 of 3,000, 56 of 30,000."""
+    return max(1, math.ceil(PROBES * lists**SPREAD))
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -191,8 +199,8 @@ def _cell_links(q: Quantiser, threshold: float, kind: str):
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, probes: int = PROBES, sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
-    """id, n_links, component_id, kept of every vector."""
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, probes: int | None = None, sample: int = SAMPLE, tile: int = TILE) -> DataFrame:
+    """id, n_links, component_id, kept of every vector. probes: by the number of lists (:func:`probes_for`), if None."""
     v, i = F.col(vec_col), F.col(id_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(i.alias("id"), v.alias("embedding"), F.coalesce(finite, F.lit(False)).alias("good"))
@@ -218,13 +226,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _links(each: DataFrame, n: int, threshold: float, probes: int, sample: int, tile: int) -> DataFrame:
+def _links(each: DataFrame, n: int, threshold: float, probes: int | None, sample: int, tile: int) -> DataFrame:
     """node, n (partial link counts), to (a node linked with it, or itself) of classes of one length."""
     h = F.pmod(F.xxhash64("embedding"), F.lit(1 << 32))
     drawn = each.filter(h < int((1 << 32) * min(1.0, 1.2 * sample / n))).orderBy(h).limit(sample).select("embedding").toPandas()
     x = _unit(np.array([np.asarray(e, np.float64) for e in drawn["embedding"]]))
     q = Quantiser.fit(x, max(1, round(math.sqrt(n))))
-    indexed = materialize(_assign(each, q, probes), "indexed")
+    indexed = materialize(_assign(each, q, probes or probes_for(math.prod(map(len, q.coarse)))), "indexed")
     # a row for each list: at most as many as the square root of the vectors, which the planner broadcasts if it is small
     size = indexed.groupBy(F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("own"))
     asked = indexed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("asked"))
