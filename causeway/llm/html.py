@@ -11,6 +11,9 @@ Character references are decoded after the markup is read, white space becomes o
 joined by one space in page order. Inline tags don't part words.
 
 A root's own class, id and role don't make it boilerplate on pages where they would leave no root.
+Within a root, a name with as many words that labelled pages never use as boilerplate words (``share-price-table``)
+may speak of the topic: it counts where most words inside are links. An article beside a larger one, less than
+TEASER of its length, that opens with a link is a teaser.
 
 Defined results: null or empty html, and pages without a positive word, give an empty text; an empty table gives an empty result. Broken
 markup (unclosed or stray tags, a page that ends inside a tag, comment or script) is read as far as it
@@ -40,6 +43,9 @@ MAIN = frozenset(["article", "main"])
 #: Most that boilerplate between two runs of text costs on a page without a content root.
 BOX = 10.0
 
+#: Of the longest article's words: a shorter article that opens with a link only points to its story.
+TEASER = 1 / 3
+
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -51,26 +57,34 @@ _PIECE = re.compile(
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+")
+#: Parts of a name that may be words: not next to digits, as in generated names.
+_WORD = re.compile(r"(?<![a-z0-9])[a-z]{3,}(?![a-z0-9])")
 
 
-def _marks(tag: str, attrs: str) -> tuple[str, ...]:
-    """What is known of an element: tag, parts of its class, id and role."""
-    out = [tag]
+def _marks(tag: str, attrs: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """What is known of an element: tag and parts of its class, id and role; and those names of several words."""
+    out, names = [tag], []
     if attrs and not attrs.isspace():
         for m in _NAMED.finditer(attrs):
-            out += [f".{x}" for x in _PART.findall((m[2] or m[3] or m[4] or "").lower())]
+            value = (m[2] or m[3] or m[4] or "").lower()
+            out += [f".{x}" for x in _PART.findall(value)]
+            names += value.split()
         if _HIDDEN.search(attrs):
             out.append(".hidden")
-    return tuple(out)
+    return tuple(out), tuple(names)
 
 
 class Element:
     """An open element; what holds for it and all around it is worked out once, from its parent, so deep pages cost no more than flat ones."""
 
-    __slots__ = ("known", "marks", "parent", "tag")
+    __slots__ = ("article", "known", "lead", "link", "linked", "marks", "names", "parent", "tag", "teaser", "words")
 
-    def __init__(self, tag: str, marks: tuple[str, ...], parent: Element | None):
-        self.tag, self.marks, self.parent, self.known = tag, marks, parent, None
+    def __init__(self, tag: str, marks: tuple[tuple[str, ...], tuple[str, ...]], parent: Element | None):
+        self.tag, (self.marks, self.names), self.parent, self.known = tag, marks, parent, None
+        #: Whether it is, or is in, a link; its words and those of them in links; place of its first text, and whether that is a link.
+        self.link = tag == "a" or (parent is not None and parent.link)
+        self.words, self.linked, self.lead, self.teaser = 0, 0, None, False
+        self.article = parent and (parent if parent.tag == "article" else parent.article)
 
     def line(self) -> Iterator[Element]:
         """Itself and what is around it, inside out."""
@@ -120,15 +134,53 @@ def pieces(page: str) -> Iterator[tuple[str, str, Element | None]]:
         yield "text", page[at:], open_[-1] if open_ else None
 
 
+def measure(items: list[tuple[str, str, Element | None]]) -> None:
+    """Words, link words and first text of every element, what is inside it included; then which articles are teasers."""
+    opened = list(dict.fromkeys(e for kind, _, e in items if kind == "tag" and e))  # an element comes after those around it
+    for i, (kind, x, e) in enumerate(items):
+        if kind == "text" and e and (n := len(x.split())):
+            e.words += n
+            e.linked += n * e.link
+            e.lead = e.lead or (i, e.link)
+    for e in reversed(opened):
+        if e.parent and e.words:
+            e.parent.words += e.words
+            e.parent.linked += e.linked
+            e.parent.lead = min(filter(None, (e.parent.lead, e.lead)))
+    own = {e: e.words for e in opened if e.tag == "article"}
+    for e in own:
+        if e.article in own:
+            own[e.article] -= e.words
+    longest = max(own, key=own.get, default=None)
+    around = set(longest.line()) if longest else ()
+    for e in own:
+        e.teaser = e not in around and e.lead is not None and e.lead[1] and e.words < TEASER * own[longest]
+
+
 @dataclass(frozen=True)
 class Weights:
-    """word: of a word outside boilerplate. marks: log-odds of main text, negative ones only. tags: penalties. outside: of words outside the main element of a page that has one. roots: classes and ids of containers of main text."""
+    """word: of a word outside boilerplate. marks: log-odds of main text, negative ones only. tags: penalties. outside: of words outside the main element of a page that has one. roots: classes and ids of containers of main text. seen: all marks of labelled pages."""
 
     word: float
     outside: float
     marks: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
     roots: frozenset[str] = frozenset()
+    seen: frozenset[str] = frozenset()
+
+    def _topical(self, name: str) -> bool:
+        """Whether a name has as many words unknown to labelled pages as boilerplate words."""
+        parts = [f".{x}" for x in _WORD.findall(name)]
+        strange = sum(x not in self.seen and x.removesuffix("s") not in self.seen for x in parts)
+        return 0 < sum(f".{x}" in self.marks for x in _PART.findall(name)) <= strange
+
+    def worst(self, e: Element, within: bool) -> float:
+        """The worst mark of an element itself."""
+        got = [w for k in e.marks if (w := self.marks.get(k, 0.0)) < 0]
+        if got and within and e.names and 2 * e.linked < e.words and any(map(self._topical, e.names)):
+            clear = [f".{x}" for name in e.names if not self._topical(name) for x in _PART.findall(name)]
+            got = [w for k in (e.tag, *clear, *(k for k in e.marks if k == ".hidden")) if (w := self.marks.get(k, 0.0)) < 0]
+        return min(got, default=0.0) if not e.teaser else min([*got, -1.0])
 
     def is_root(self, e: Element, has_main: bool) -> bool:
         """Whether an element, were it the outermost such, is the content root."""
@@ -147,7 +199,7 @@ class Weights:
         for x in reversed(todo):
             begins = not rooted and self.is_root(x, has_main)
             if not (begins and trusting):
-                worst = min(worst, min((self.marks.get(k, 0.0) for k in x.marks), default=0.0))
+                worst = min(worst, self.worst(x, rooted))
             if begins:
                 rooted, at_root = True, worst
             x.known = worst, rooted, at_root
@@ -170,7 +222,7 @@ def _has_main(items) -> bool:
 
 def learn(pages: Iterable[tuple[str, str]]) -> Weights:
     """pages: html and main text. Log-odds of words by mark, and of tags by whether main text goes on after them."""
-    good, bad, inside, outside, away = Counter(), Counter(), Counter(), Counter(), [0, 0]
+    good, bad, inside, outside, away, seen = Counter(), Counter(), Counter(), Counter(), [0, 0], set()
     for page, main in pages:
         main = f" {' '.join(main.split())} "
         items = list(pieces(page))
@@ -178,6 +230,7 @@ def learn(pages: Iterable[tuple[str, str]]) -> Weights:
         for kind, x, around in items:
             if kind == "tag":
                 (inside if last else outside)[x] += 1
+                seen.update(around.marks if around else ())
                 continue
             words = references.unescape(x).split()
             if not words:
@@ -192,7 +245,7 @@ def learn(pages: Iterable[tuple[str, str]]) -> Weights:
     marks = {m: w for m in good | bad if (w := odds(good[m], bad[m])) < -1}
     tags = {t: min(-0.05, odds(inside[t], outside[t]) / 2) for t in inside | outside}
     roots = frozenset(m for m in good if m.startswith(".") and odds(good[m], bad[m]) > 1)
-    return Weights(1.0, min(-1.0, odds(*away)), marks, tags, roots)
+    return Weights(1.0, min(-1.0, odds(*away)), marks, tags, roots, frozenset(seen))
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -209,6 +262,7 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: Weights) -> str:
     items = list(pieces(page))
+    measure(items)
     has_main, scores, shown, spent = _has_main(items), [], [], 0.0
     states = [weights.state(around, has_main, False) for kind, _, around in items if kind == "text"]
     rooted = has_main or any(x[1] for x in states)
@@ -253,8 +307,13 @@ def labelled_pages() -> list[tuple[str, str]]:
         "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
         "sidebar side rail widget related recommended recommendations trending share sharing social follow comment comments commentlist reply replies respond discussion disqus "
         "menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead topbar footer copyright legal newsletter subscribe subscription signup login "
-        "search form toolbar hidden skip contentinfo complementary navigation dialog paywall outbrain taboola"
+        "search form toolbar hidden skip contentinfo complementary navigation dialog paywall outbrain taboola "
+        "colophon thoughts reactions feedback"
     ).split()
+    layout = (
+        "area author bar block body bottom box boxes button buttons card cards col column container desktop entry fixed grid group head heading holder icon icons image inline inner item items "
+        "label layout left link links list main message mobile module more outer page panel post posts reader readers region right row section site slot small sticky story stories text thread title top unit wide wrap wrapper zone"
+    )
     boxes = [(f"<{t}>", f"</{t}>") for t in boiler_tags] + [(f'<div class="{m}">', "</div>") for m in boiler_marks]
     shells = [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="story">', "</div>")]
     out = []
@@ -266,7 +325,7 @@ def labelled_pages() -> list[tuple[str, str]]:
         main = f"{text} {text} {more} {more} {more} {text} {more} {more} {text}"
         first, last = (box, "") if k % 3 == 0 else ("", box)
         within = box if k % 3 == 2 else ""
-        links = f"<div><ul><li><a href='/z'>{side[0]}</a></li></ul></div>"
+        links = f"<div class='{layout}'></div><div><ul><li><a href='/z'>{side[0]}</a></li></ul></div>"
         out.append((f"<html><head><title>x</title></head><body>{links}{first}{a}{body}{within}{body}{b}{last}{links}</body></html>", f"{main} {main}"))
     return out
 
