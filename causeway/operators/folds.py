@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -26,6 +26,25 @@ def cut(rows: DataFrame, key: str, order: list[str], pieces: int | None = None)
     return materialize(dealt.withColumn("piece", F.spark_partition_id()), "pieces")
 
 
+def running_sums(rows: DataFrame, keys: list[str], order: list[str], value: str, out: str, pieces: int | None = None) -> DataFrame:
+    """``rows`` with ``out``: the sum of ``value`` up to each row, within equal ``keys`` (all rows, if none). Rows that tie in ``order`` count each other.
+
+    A key's rows are spread over as many tasks as they fill: sums of pieces are added up first, a row for each piece and key, then rows within a piece.
+    Null values add nothing (a sum without any other is null); null keys are a group of their own.
+    """
+    head, *tail = [*keys, *order]
+    parts = cut(rows, head, tail, pieces)
+    sums = parts.groupBy("piece", *keys).agg(F.sum(value).alias("_sum")).select(F.col("piece").alias("_at"), *(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), "_sum")
+    keyed = Window.partitionBy(*(f"_{i}" for i in range(len(keys)))).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.sum("_sum").over(keyed))
+    on = F.col("piece") == F.col("_at")
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_{i}"))
+    own = F.sum(value).over(Window.partitionBy("piece", *keys).orderBy(*order))
+    total = F.when(own.isNull(), F.col("_before")).otherwise(own + F.coalesce("_before", F.lit(0)))
+    return parts.join(sums, on).withColumn(out, total).select(*rows.columns, out)
+
+
 def _clamp(x: Column, low: Column, high: Column) -> Column:
     return F.least(high, F.greatest(low, x))
 

@@ -13,6 +13,7 @@ from causeway.functions import scoring as S
 from causeway.functions import text as T
 from causeway.operators import clusters as C
 from causeway.operators import dedup as D
+from causeway.operators import folds
 from causeway.operators import graph as G
 from causeway.operators import hooks as H
 from causeway.operators import learning as L
@@ -84,11 +85,9 @@ both("h39_evidence_reasons", lambda d: f"""SELECT asset_id, {d.stamp("window_sta
 
 @register("h42_token_budget", A + ", t AS (SELECT article_id, ceil(length(body) / 4.0)::BIGINT AS n FROM articles), c AS (SELECT *, sum(n) OVER (ORDER BY article_id)::BIGINT AS used FROM t) SELECT article_id, n, used, round(n * 0.25 / 1000, 6)::DOUBLE AS cost FROM c WHERE used <= 50000")
 def h42(spark, sf):
-    """Tokens, cost and the budget used up to each article in order: sums within ranges of ids, then over ranges."""
-    t = X.articles(spark, sf).select("article_id", F.ceil(F.length("body") / 4.0).cast("bigint").alias("n"), F.floor(F.col("article_id") / 1000).alias("part"))
-    before = t.groupBy("part").agg(F.sum("n").alias("s")).select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))  # one row for a thousand articles
-    used = F.sum("n").over(Window.partitionBy("part").orderBy("article_id")) + F.col("before")
-    return t.join(before, "part").withColumn("used", used).filter("used <= 50000").select("article_id", "n", "used", F.round(F.col("n") * 0.25 / 1000, 6).alias("cost"))
+    """Tokens, cost and the budget used up to each article in order: running sums over pieces of the table."""
+    t = X.articles(spark, sf).select("article_id", F.ceil(F.length("body") / 4.0).cast("bigint").alias("n"))
+    return folds.running_sums(t, [], ["article_id"], "n", "used").filter("used <= 50000").select("article_id", "n", "used", F.round(F.col("n") * 0.25 / 1000, 6).alias("cost"))
 
 
 # --- joins, windows, rules ---
@@ -518,11 +517,11 @@ def x32(spark, sf):
 def x34(spark, sf):
     """A dry run: repeats and cached questions cost nothing, the others use a budget for each language in order."""
     t = X.read(spark, sf, "documents").select("doc_id", "lang", F.sha2(F.concat(F.lit("m1|"), "text"), 256).alias("key"), F.ceil(F.length("text") / 4.0).cast("bigint").alias("n"))
-    f = t.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
-    new = F.when((F.col("k") == 1) & (F.col("doc_id") % 4 != 0), F.col("n"))
-    u = f.withColumn("spent", F.sum(new).over(Window.partitionBy("lang").orderBy("doc_id")))
-    plan = F.when(F.col("k") > 1, "REPEAT").when(F.col("doc_id") % 4 == 0, "CACHED").when(F.col("spent") <= 20000, "ASK").otherwise("OVER_BUDGET")
-    return u.select("doc_id", plan.alias("plan"), F.when(new.isNotNull(), F.col("spent")).otherwise(0).alias("used"))
+    first = t.groupBy("key").agg(F.min("doc_id").alias("doc_id")).withColumn("is_first", F.lit(True))
+    f = t.join(first, ["key", "doc_id"], "left").withColumn("new", F.when(F.col("is_first") & (F.col("doc_id") % 4 != 0), F.col("n")))
+    u = folds.running_sums(f.select("doc_id", "lang", "is_first", "new"), ["lang"], ["doc_id"], "new", "spent")
+    plan = F.when(F.col("is_first").isNull(), "REPEAT").when(F.col("doc_id") % 4 == 0, "CACHED").when(F.col("spent") <= 20000, "ASK").otherwise("OVER_BUDGET")
+    return u.select("doc_id", plan.alias("plan"), F.when(F.col("new").isNotNull(), F.col("spent")).otherwise(0).alias("used"))
 
 
 @register("x35_corpus_identity", "WITH " + TQ.URL + ", c AS (SELECT page_id, scheme || '://' || h || p || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS u FROM v), all_ AS (SELECT page_id, u FROM c UNION ALL SELECT page_id + 1000000, u FROM c) SELECT sha256(u) AS id, min(page_id) AS page_id, count(*)::BIGINT AS seen FROM all_ GROUP BY u")

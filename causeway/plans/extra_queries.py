@@ -89,7 +89,7 @@ def i02(spark, sf):
 
 @register("a05_chart_scan", "WITH " + X.CLOSES + " SELECT asset_id AS symbol, session::VARCHAR AS session, close FROM closes")
 def a05(spark, sf):
-    c = X.closes(spark, sf).groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("session", "close"))).alias("r"))
+    c = X.closes(spark, sf).groupBy("asset_id", F.year("session").alias("year")).agg(F.array_sort(F.collect_list(F.struct("session", "close"))).alias("r"))
     at = F.transform("r", lambda x: F.unix_seconds(F.to_timestamp(x["session"])) + 43200)
     close = F.transform("r", lambda x: x["close"])
     quote = F.array(F.struct(close.alias("open"), close.alias("high"), close.alias("low"), close.alias("close")))
@@ -102,7 +102,7 @@ def a05(spark, sf):
 @register("a06_ohlc_scan", "WITH " + X.CLOSES + " SELECT asset_id AS symbol, session::VARCHAR AS session, close FROM closes")
 def a06(spark, sf):
     bar = F.struct(F.concat(F.col("session").cast("string"), F.lit("T00:00:00Z")).alias("time"), F.col("close").alias("open"), F.col("close").alias("high"), F.col("close").alias("low"), F.col("close"), F.lit(False).alias("isOpen"))
-    payload = X.closes(spark, sf).groupBy(F.col("asset_id").alias("symbol")).agg(F.to_json(F.collect_list(bar)).alias("payload"))
+    payload = X.closes(spark, sf).groupBy(F.col("asset_id").alias("symbol"), F.year("session")).agg(F.to_json(F.collect_list(bar)).alias("payload"))
     return R.ohlc_bars(payload).select("symbol", F.col("session").cast("string"), "close")
 
 
@@ -110,7 +110,7 @@ def a06(spark, sf):
 def a01(spark, sf):
     a = X.articles(spark, sf)
     item = F.concat(F.lit("<item><title>n"), F.col("article_id"), F.lit("</title><link>https://x.example/"), F.col("article_id"), F.lit("</link><description>d</description><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate></item>"))
-    feed = a.groupBy("source_id").agg(F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("xml"))
+    feed = a.groupBy("source_id", F.floor(F.col("article_id") / 1000)).agg(F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("xml"))
     return R.feed_items(feed).select("source_id", "title", "url")
 
 

@@ -93,7 +93,7 @@ def a04(spark, sf):
 def a07(spark, sf):
     e = X.events(spark, sf).withColumn("v", F.when(F.col("factor") != "error", F.col("value"))).withColumn("at", F.unix_seconds(F.date_trunc("minute", "ts").cast("timestamp")))
     rows = F.sort_array(F.collect_list(F.struct("at", "v")))
-    p = e.groupBy("asset_id").agg(rows.alias("r")).select(F.to_json(F.struct(F.col("asset_id").alias("symbol"), F.col("r.at").alias("at"), *[F.col("r.v").alias(c) for c in ("open", "high", "low", "close")]), {"ignoreNullFields": "false"}).alias("payload"))
+    p = e.groupBy("asset_id", F.floor(F.col("at") / 86400)).agg(rows.alias("r")).select(F.to_json(F.struct(F.col("asset_id").alias("symbol"), F.col("r.at").alias("at"), *[F.col("r.v").alias(c) for c in ("open", "high", "low", "close")]), {"ignoreNullFields": "false"}).alias("payload"))
     at = lambda x: F.expr(f"timestamp_ntz'{x}'")
     return R.minute_bars(p, at("2024-01-05 00:00:00"), at("2024-01-20 00:00:00"), at("2024-01-18 12:00:30")).select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "open", "conflict")
 

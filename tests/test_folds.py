@@ -80,3 +80,24 @@ def test_clamped_sums_of_many_keys(spark):
         got = {r.k: r.value for r in folds.clamped_sums(table.repartition(4), "k", ["at"], "d", "w", 0.1, 0.9, pieces).collect()}
         assert got == pytest.approx(want)
     assert folds.clamped_sums(table.limit(0), "k", ["at"], "d", "w", 0.1, 0.9).count() == 0
+
+
+@pytest.mark.parametrize("pieces", [1, 7, 30])
+def test_running_sums_equal_a_loop(spark, pieces):
+    rng = random.Random(pieces)
+    rows = [(k, rng.randrange(300), rng.choice([None, *range(9)]), "clash") for k, n in (("HOT", 600), (None, 90), ("A", 1)) for _ in range(n)]
+    rows.append(("EMPTY", 1, None, "clash"))
+    table = spark.createDataFrame(rows, "k string, at int, n bigint, piece_of string").repartition(5)
+
+    def plain(keyed):
+        out = []
+        for k, at, n, _ in rows:
+            seen = [x for j, b, x, _ in rows if (j == k or not keyed) and b <= at and x is not None]
+            out.append((k, at, n, sum(seen) if seen else None))
+        return sorted(out, key=repr)
+
+    for keys in (["k"], []):
+        got = folds.running_sums(table, keys, ["at"], "n", "used", pieces)
+        assert got.columns == [*table.columns, "used"]
+        assert sorted(((r.k, r.at, r.n, r.used) for r in got.collect()), key=repr) == plain(bool(keys))
+    assert folds.running_sums(table.limit(0), ["k"], ["at"], "n", "used").count() == 0
