@@ -154,8 +154,8 @@ def t21(spark, sf):
     w = spark.createDataFrame(WEIGHTS, "factor string, weight double")
     s = X.events(spark, sf).join(F.broadcast(w), "factor").groupBy("asset_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum(F.when(F.col("polarity") == "RESOLUTION", -F.col("weight")).otherwise(F.col("weight"))).alias("s"))
     v = s.select("asset_id", "day", F.when(F.col("s") > 0.05, "UP").when(F.col("s") < -0.05, "DOWN").otherwise("NEUTRAL").alias("weighted"))
-    major = v.groupBy("weighted").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("weighted", F.struct(-F.col("n"), "weighted")).alias("m")).first().m
-    methods = F.array(F.struct(F.lit("weighted").alias("method"), F.col("weighted").alias("verdict")), F.struct(F.lit("always").alias("method"), F.lit("NEUTRAL").alias("verdict")), F.struct(F.lit("majority").alias("method"), F.lit(major).alias("verdict")))
+    major = v.groupBy("weighted").agg(F.count(F.lit(1)).alias("n")).agg(F.min_by("weighted", F.struct(-F.col("n"), "weighted")).alias("m")).scalar()
+    methods = F.array(F.struct(F.lit("weighted").alias("method"), F.col("weighted").alias("verdict")), F.struct(F.lit("always").alias("method"), F.lit("NEUTRAL").alias("verdict")), F.struct(F.lit("majority").alias("method"), major.alias("verdict")))
     return v.select("asset_id", "day", F.explode(methods).alias("x")).select("asset_id", "day", "x.*")
 
 
