@@ -34,3 +34,9 @@ def test_many_times_of_one_key_are_clustered_in_one_pass(spark):
     assert time.monotonic() - began < 60
     day = 8641  # the start and the 24 hours after it, that end included
     assert [r["count"] for r in got] == [day] * (n // day) + [n % day]
+
+
+def test_a_price_of_zero_reaches_the_target(spark, tmp_path):
+    at = [datetime(2024, 1, 3, 10) + timedelta(minutes=k) for k in range(6)]
+    sf = written(tmp_path, events={"event_id": [1, 2, 3, 4, 5, 6], "ts": at, "user_id": [1, 1, 2, 2, 3, 3], "event_type": ["view"] * 6, "value": [0.0, 5.0, 7.0, 7.0, 0.0, 0.0], "props": ['{"k": 1}'] * 6})
+    assert [r[3] for r in same(spark, "v05_shadow_sweep", sf, "events")] == ["TARGET_REACHED", "NOT_REACHED", "TARGET_REACHED"]
