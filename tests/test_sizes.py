@@ -40,3 +40,9 @@ def test_a_price_of_zero_reaches_the_target(spark, tmp_path):
     at = [datetime(2024, 1, 3, 10) + timedelta(minutes=k) for k in range(6)]
     sf = written(tmp_path, events={"event_id": [1, 2, 3, 4, 5, 6], "ts": at, "user_id": [1, 1, 2, 2, 3, 3], "event_type": ["view"] * 6, "value": [0.0, 5.0, 7.0, 7.0, 0.0, 0.0], "props": ['{"k": 1}'] * 6})
     assert [r[3] for r in same(spark, "v05_shadow_sweep", sf, "events")] == ["TARGET_REACHED", "NOT_REACHED", "TARGET_REACHED"]
+
+
+def test_the_latest_order_is_told_among_equal_keys(spark, tmp_path):
+    day = datetime(2024, 1, 1)
+    sf = written(tmp_path, customer={"c_custkey": [1, 2, 3]}, orders={"o_orderkey": [7, 7, 7, 8], "o_custkey": [1, 1, 1, 2], "o_orderdate": [day] * 4, "o_totalprice": [1.0, 3.0, 2.0, 5.0]})
+    assert same(spark, "d09_latest_lateral", sf, "customer", "orders") == [(1, 7, 3.0), (2, 8, 5.0), (3, None, None)]
