@@ -1,14 +1,18 @@
 """What failed on larger or odd tables."""
 
+import hashlib
 import time
 from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from causeway import plans
-from causeway.operators import clusters
+from causeway.functions import clean
+from causeway.operators import clusters, dedup, rules
+from pyspark.sql import functions as F
 
 
 def written(tmp_path, **tables):
@@ -54,3 +58,23 @@ def test_the_latest_order_is_told_among_equal_keys(spark, tmp_path):
     day = datetime(2024, 1, 1)
     sf = written(tmp_path, customer={"c_custkey": [1, 2, 3]}, orders={"o_orderkey": [7, 7, 7, 8], "o_custkey": [1, 1, 1, 2], "o_orderdate": [day] * 4, "o_totalprice": [1.0, 3.0, 2.0, 5.0]})
     assert same(spark, "d09_latest_lateral", sf, "customer", "orders") == [(1, 7, 3.0), (2, 8, 5.0), (3, None, None)]
+
+
+def test_rules_in_a_dictionary_find_what_the_join_finds(spark):
+    rng = np.random.default_rng(5)
+    words = ["rate", "cut", "cuts", "strike", "striker", "striking", "de", "la", "las", "", "x\ny", "İst", "a-b"]
+    texts = [None, "", "rate", "rate cut", " rate  cut "] + [" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, body string").withColumn("title", F.reverse("body"))
+    pairs = [("strike", "LABOUR"), ("strik", "LABOUR"), ("strik", "OTHER"), ("rate cut", "POLICY"), ("rate cut", "POLICY"), ("rate cut de", "POLICY"), ("de la", "X"), ("rate rate rate", "Y"), ("", "EMPTY"), ("de  la", "GAP")]
+    table = rules.rule_table(spark, [("specific", *p) for p in pairs] + [("generic", *p) for p in pairs[:3]])
+    got = rules.scan(docs, table, "id", ["title", "body"])
+    joined = rules._joined(docs, table, "id", ["title", "body"]).groupBy("id", "field", "role", "keyword", "value").agg(F.min("pos").alias("pos"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joined.collect()))
+    assert {r.keyword for r in got.collect()} >= {"strike", "rate cut", "rate cut de", "de la", ""}
+    assert "posexplode" not in got._jdf.queryExecution().toString()  # no row for each word
+    known = rules.BROADCAST_ROWS
+    try:
+        rules.BROADCAST_ROWS = 8
+        assert sorted(map(tuple, rules.scan(docs, table, "id", ["title", "body"]).collect())) == sorted(map(tuple, got.collect()))
+    finally:
+        rules.BROADCAST_ROWS = known
