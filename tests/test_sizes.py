@@ -78,3 +78,16 @@ def test_rules_in_a_dictionary_find_what_the_join_finds(spark):
         assert sorted(map(tuple, rules.scan(docs, table, "id", ["title", "body"]).collect())) == sorted(map(tuple, got.collect()))
     finally:
         rules.BROADCAST_ROWS = known
+
+
+def test_tokens_of_a_fingerprint_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, ""), (4, " ".join(f"w{k % 977}" for k in range(120_000))), (5, "a"), (1, "c")], "id bigint, text string").coalesce(1)
+    got = dedup.simhash(docs, "id", "text")
+
+    def plain(tokens):
+        hashes = [int(hashlib.sha256(t.encode()).hexdigest()[:15], 16) for t in tokens]
+        return sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    want = {1: plain(["b", "a", "b", "c"]), 2: 0, 3: 0, 4: plain(f"w{k % 977}" for k in range(120_000)), 5: plain(["a"])}
+    assert {r.id: r.simhash for r in got.collect()} == want
+    assert "explode" not in got._jdf.queryExecution().toString()
