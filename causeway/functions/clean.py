@@ -10,7 +10,9 @@ import hashlib
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -174,12 +176,22 @@ def hashed(text: str | None, dims: int = 1024):
     import numpy as np
 
     v = np.zeros(dims)
-    for token in re.findall(r"\w+", (text or "").lower()):
-        h = hashlib.blake2b(token.encode(), digest_size=8).digest()
-        v[int.from_bytes(h[:4], "big") % dims] += 1 if h[4] & 1 else -1
+    for token, n in Counter(re.findall(r"\w+", (text or "").lower())).items():
+        at, sign = _place(token)
+        v[at % dims] += sign * n
     return v
 
 
+@lru_cache(1 << 16)
+def _place(token: str) -> tuple[int, int]:
+    h = hashlib.blake2b(token.encode(), digest_size=8).digest()
+    return int.from_bytes(h[:4], "big"), 1 if h[4] & 1 else -1
+
+
+#: Texts whose vectors are made and sent at once.
+EMBEDDED = 256
+
+
 def embedder(model: Callable[[list[str]], Sequence[Sequence[float]]] | None = None) -> Callable[[Column], Column]:
     """A function from a text column to unit vectors: of ``model``, a function from texts to vectors that is loaded once in each worker, else hashed tokens."""
 
@@ -187,10 +199,12 @@ def embedder(model: Callable[[list[str]], Sequence[Sequence[float]]] | None = No
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
-        for t in texts:
-            rows = np.asarray(model([x or "" for x in t]) if model else [hashed(x) for x in t], float)
-            scale = np.sqrt((rows * rows).sum(1, keepdims=True)) if len(rows) else 1.0
-            yield pd.Series(list((rows / np.where(scale > 0, scale, 1.0)).astype("float32")))
+        for batch in texts:
+            for at in range(0, len(batch), EMBEDDED):  # vectors of a whole batch would be many times its texts
+                t = batch.iloc[at : at + EMBEDDED]
+                rows = np.asarray(model([x or "" for x in t]) if model else [hashed(x) for x in t], float)
+                scale = np.sqrt((rows * rows).sum(1, keepdims=True)) if len(rows) else 1.0
+                yield pd.Series(list((rows / np.where(scale > 0, scale, 1.0)).astype("float32")))
 
     return run
 

@@ -91,3 +91,11 @@ def test_tokens_of_a_fingerprint_are_not_shuffled(spark):
     want = {1: plain(["b", "a", "b", "c"]), 2: 0, 3: 0, 4: plain(f"w{k % 977}" for k in range(120_000)), 5: plain(["a"])}
     assert {r.id: r.simhash for r in got.collect()} == want
     assert "explode" not in got._jdf.queryExecution().toString()
+
+
+def test_vectors_leave_in_small_pieces(spark):
+    texts = [None, "", "a b a", "B"] * 200
+    sizes = [len(s) for s in clean.embed.func(iter([pd.Series(texts)]))]
+    assert sum(sizes) == len(texts) and max(sizes) <= clean.EMBEDDED
+    v = np.concatenate([np.stack(list(s)) for s in clean.embed.func(iter([pd.Series(texts)]))])
+    assert np.allclose((v * v).sum(1), [0, 0, 1, 1] * 200)
