@@ -3,6 +3,8 @@
 import hashlib
 import time
 from datetime import datetime, timedelta
+from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -12,6 +14,7 @@ import pyarrow.parquet as pq
 from causeway import plans
 from causeway.functions import clean
 from causeway.operators import clusters, dedup, rules
+from causeway.streaming import flows, online
 from pyspark.sql import functions as F
 
 
@@ -99,3 +102,42 @@ def test_vectors_leave_in_small_pieces(spark):
     assert sum(sizes) == len(texts) and max(sizes) <= clean.EMBEDDED
     v = np.concatenate([np.stack(list(s)) for s in clean.embed.func(iter([pd.Series(texts)]))])
     assert np.allclose((v * v).sum(1), [0, 0, 1, 1] * 200)
+
+
+class Held(dict):
+    """Map state in memory, with the most rows that were read at once."""
+
+    most = 0
+    exists = keys = lambda self: list(dict.keys(self))
+    iterator = lambda self: iter(list(self.items()))
+    updateValue = dict.__setitem__
+    removeKey = dict.pop
+
+    def getValue(self, key):
+        self.most = max(self.most, len(self[key][0]))
+        return self[key]
+
+
+def test_waiting_articles_are_read_by_slots_of_time():
+    rng = np.random.default_rng(9)
+    n, minute = 2_000, 60_000_000
+    at = np.sort(rng.choice(np.arange(1, 50_000), n, replace=False)) * minute
+    vecs = rng.normal(size=(n, 4)).astype("float32")
+    p = online.OnlineClusters(0.8, 30 * minute, 1440 * minute, ())
+    p.open, p.waiting, timers = Held(), Held(), []
+    p.handle = SimpleNamespace(listTimers=lambda: list(timers), deleteTimer=timers.remove, registerTimer=timers.append)
+    told, mixed = [], rng.permutation(n)
+    now = lambda t: SimpleNamespace(getCurrentWatermarkInMs=lambda: int(t) // 1000)
+    for part in np.array_split(mixed, 3):
+        told += p.handleInputRows(("T",), iter([pd.DataFrame({"at": pd.to_datetime(at[part], unit="us"), "article_id": part, "actor": None, "vec": list(vecs[part])})]), now(0))
+    for t in (at[n // 2], at[-1] + 3000 * minute):
+        told += p.handleExpiredTimer(("T",), now(t), None)
+    assert not p.waiting and not timers and p.waiting.most < n / 20
+    state, want = clusters.OpenClusters(0.8, 30 * minute, 1440 * minute), []
+    for i in range(n):
+        want += [clusters.closed_row("T", *x) for x in state.closed(at[i])]
+        state.add(f"T|{i}", at[i], None, vecs[i].astype(float), False)
+    want += [clusters.closed_row("T", *x) for x in state.closed(None)]
+    assert sorted(map(tuple, pd.concat(told).itertuples(index=False))) == sorted(want)
+    wide = np.array([1e300, 1 / 3, np.nan])
+    assert np.array_equal(online._unpacked(online._packed(wide)), wide, equal_nan=True)
