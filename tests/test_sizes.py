@@ -141,3 +141,18 @@ def test_waiting_articles_are_read_by_slots_of_time():
     assert sorted(map(tuple, pd.concat(told).itertuples(index=False))) == sorted(want)
     wide = np.array([1e300, 1 / 3, np.nan])
     assert np.array_equal(online._unpacked(online._packed(wide)), wide, equal_nan=True)
+
+
+def test_a_stream_is_dealt_by_many_tasks(spark, tmp_path):
+    text = ["a b c", None, "d e f g"] * 4
+    pq.write_table(pa.table({"doc_id": list(range(12)), "text": text}), f"{tmp_path}/documents.parquet", row_group_size=3)
+    seen = []
+    run, parts = flows.run, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    flows.run = lambda stream, sink, at: (seen.append(len(list(Path(at.removeprefix("file:")).parent.glob("in/*.parquet")))), run(stream, sink, at))[1]
+    try:
+        got = {r.id: r.kept for r in plans.QUERIES["i02_streamed_dedup"](spark, str(tmp_path)).collect()}
+    finally:
+        flows.run = run
+        spark.conf.set("spark.sql.files.maxPartitionBytes", parts)
+    assert got == {k: k < 3 for k in range(12)} and seen[0] > 1
