@@ -10,9 +10,7 @@ import hashlib
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -171,21 +169,31 @@ def blake_hash(token: pd.Series) -> pd.Series:
     return token.map(lambda t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "big", signed=True))
 
 
-def hashed(text: str | None, dims: int = 1024):
-    """Hashed bag of tokens with signs, scaled to length 1."""
-    import numpy as np
+#: Tokens whose hashes are kept in a worker.
+KEPT = 1 << 18
+WORD = re.compile(r"\w+")
+
+
+class _Hashes(dict):
+    """First 64 bits of BLAKE2b of a token, made once while up to KEPT tokens are known."""
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        self[token] = h = hashlib.blake2b(token.encode(), digest_size=8).digest()
+        return h
 
-    v = np.zeros(dims)
-    for token, n in Counter(re.findall(r"\w+", (text or "").lower())).items():
-        at, sign = _place(token)
-        v[at % dims] += sign * n
-    return v
 
+_hashes = _Hashes()
+
+
+def hashed(text: str | None, dims: int = 1024):
+    """Hashed bag of tokens with signs: 32 bits of a hash tell the place, one bit more the sign."""
+    import numpy as np
 
-@lru_cache(1 << 16)
-def _place(token: str) -> tuple[int, int]:
-    h = hashlib.blake2b(token.encode(), digest_size=8).digest()
-    return int.from_bytes(h[:4], "big"), 1 if h[4] & 1 else -1
+    h = np.frombuffer(b"".join(map(_hashes.__getitem__, WORD.findall((text or "").lower()))), [("at", ">u4"), ("sign", "u1"), ("rest", "V3")])
+    n = np.bincount(h["at"] % np.int64(dims) + dims * (h["sign"] & np.int64(1)), minlength=2 * dims)
+    return (n[dims:] - n[:dims]).astype(float)
 
 
 #: Texts whose vectors are made and sent at once.

@@ -180,3 +180,17 @@ def test_similar_sets_in_blocks_follow_a_plain_loop(spark):
         assert {tuple(r) for r in members.collect()} == {(i, first[tuple(w)]) for i, w in enumerate(sets)}
         pairs = ((i, j, len(set(a) & set(b)) / len(set(a) | set(b))) for (a, i), (b, j) in itertools.product(first.items(), repeat=2) if i < j and a and b)
         assert sorted(map(tuple, links.collect())) == sorted(p for p in pairs if p[2] >= least - 1e-9)
+
+
+def test_tokens_of_a_large_vocabulary_are_hashed_once(monkeypatch):
+    made, plain = [], hashlib.blake2b
+    monkeypatch.setattr(hashlib, "blake2b", lambda *a, **k: (made.append(a[0]), plain(*a, **k))[1])
+    texts = [" ".join(f"W{k}x Été_{k}" for k in range(at, at + 500)) for at in range(0, 50_000, 500)]
+    for _ in range(3):
+        got = [clean.hashed(t) for t in texts]
+    assert len(made) == len(set(made)) == 100_000
+    want = np.zeros(1024)
+    for token in texts[7].lower().split():
+        h = plain(token.encode(), digest_size=8).digest()
+        want[int.from_bytes(h[:4], "big") % 1024] += 1 if h[4] & 1 else -1
+    assert np.array_equal(got[7], want) and not clean.hashed(None).any() and clean.hashed("a", 7).shape == (7,)
