@@ -64,6 +64,21 @@ def test_the_latest_order_is_told_among_equal_keys(spark, tmp_path):
     assert same(spark, "d09_latest_lateral", sf, "customer", "orders") == [(1, 7, 3.0), (2, 8, 5.0), (3, None, None)]
 
 
+def test_the_latest_order_survives_a_shuffle(spark, tmp_path):
+    n, rng = 6_000, np.random.default_rng(3)
+    at = datetime(2024, 1, 1)
+    odd = {"o_orderkey": [n, n + 1, None], "o_custkey": [41, None, 42], "o_orderdate": [None, at, at], "o_totalprice": [float("inf"), 1.0, None]}
+    orders = {"o_orderkey": np.arange(n), "o_custkey": rng.integers(0, 40, n), "o_orderdate": [at + timedelta(days=int(k)) for k in rng.integers(0, 900, n)], "o_totalprice": np.round(rng.random(n), 2)}
+    sf = written(tmp_path, customer={"c_custkey": pa.array([*range(44), 3, None], "int64")}, orders={k: pa.array([*v, *odd[k]]) for k, v in orders.items()})
+    conf, key = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(key, "50")  # sorts are merged from pieces, as those of large tables are
+    try:
+        want = same(spark, "d09_latest_lateral", sf, "customer", "orders")
+    finally:
+        conf.remove(key)
+    assert len(want) == 46
+
+
 def test_rules_in_a_dictionary_find_what_the_join_finds(spark):
     rng = np.random.default_rng(5)
     words = ["rate", "cut", "cuts", "strike", "striker", "striking", "de", "la", "las", "", "x\ny", "İst", "a-b"]
