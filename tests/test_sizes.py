@@ -79,6 +79,13 @@ def test_the_latest_order_survives_a_shuffle(spark, tmp_path):
     assert len(want) == 46
 
 
+def test_sentences_of_odd_texts_are_counted_as_the_sql_counts(spark, tmp_path):
+    texts = [None, "", " ", "a", "a.", ". a", "a. ", "a.\n", "a.\n ", "a. \n", "a. b.\t", "a.\x0bb", "a. \x0b", "a.\xa0", "a.\u3000", "\u3000a. b", "a. \u2003", "a.\r\nb", "a。b", "a. b。c", "?! a", ". . .", "...", "\n.\n", "a.\x00 b", "a. \u200b", "a.\x1cb", "a.\u0085b"]
+    sf = written(tmp_path, documents={"doc_id": list(range(len(texts))), "text": texts, "lang": ["en"] * len(texts), "source": ["s"] * len(texts)})
+    got = dict(same(spark, "h05_sentences", sf, "documents"))
+    assert (got[0], got[1], got[6], got[7], got[18]) == (None, 1, 1, 2, 1)
+
+
 def test_rules_in_a_dictionary_find_what_the_join_finds(spark):
     rng = np.random.default_rng(5)
     words = ["rate", "cut", "cuts", "strike", "striker", "striking", "de", "la", "las", "", "x\ny", "İst", "a-b"]
